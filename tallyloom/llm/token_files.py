@@ -316,7 +316,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", t
         if keys:
             yield flush()
 
-    files = [r.asDict() for r in docs.mapInArrow(write, "shard long, temp string, name string, documents long, ids long, bytes long").orderBy("shard").collect()]
+    files = sorted((r.asDict() for r in docs.mapInArrow(write, "shard long, temp string, name string, documents long, ids long, bytes long").collect()), key=lambda f: f["name"])  # no sort in Spark: its sample would run the writer twice
     store, root = located(folder)
     store.create_dir(root, recursive=True)
     return commit_files(spark, folder, files)
