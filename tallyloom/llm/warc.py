@@ -144,7 +144,7 @@ def write_warc(pages: DataFrame, *, key: str = "page_id", url: str = "url", payl
         if out:
             yield close()
 
-    files = [r.asDict() for r in p.mapInArrow(write, "shard long, part long, temp string, name string, records long, bytes long").orderBy("shard", "part").collect()]
+    files = sorted((r.asDict() for r in p.mapInArrow(write, "shard long, part long, temp string, name string, records long, bytes long").collect()), key=lambda f: f["name"])  # no sort in Spark: its sample would run the writer twice
     store, root = located(folder)
     store.create_dir(root, recursive=True)
     return commit_files(spark, folder, files)
