@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import alignment, checks, reviewing
+from tallyloom.plans import alignment, checks, objects, reviewing
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (alignment, checks, reviewing)
+MODULES = (alignment, checks, objects, reviewing)
 
 
 def queries() -> dict[str, Query]:
