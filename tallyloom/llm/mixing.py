@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,20 +105,21 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     order = F.xxhash64("id", "size")
     own = own.withColumn("group", F.pmod(order, F.col("groups"))).withColumn("order", order)
 
-    def rounded(pdf):
-        pdf = pdf.sort_values(["size", "order", "id"], ascending=[False, True, True], kind="stable")
-        low = np.floor(pdf["rate"].to_numpy() + 1e-9)
-        part = np.clip(pdf["rate"].to_numpy() - low, 0, 1)
-        words = (pdf["size"] * pdf["rows"]).to_numpy(dtype=float)
+    def rounded(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("size", "descending"), ("order", "ascending"), ("id", "ascending")])
+        rate = rows["rate"].to_numpy()
+        low = np.floor(rate + 1e-9)
+        part = np.clip(rate - low, 0, 1)
+        words = (rows["size"].to_numpy() * rows["rows"].to_numpy()).astype(float)
         copies, due = low.astype(np.int64), 0.0
         for i, (w, f) in enumerate(zip(words.tolist(), part.tolist(), strict=True)):
             due += w * f
             if f > 1e-9 and w and due >= w / 2:
                 copies[i] += 1
                 due -= w
-        return pdf.assign(copies=copies)[["id", "source", "size", "rows", "source_size", "target", "copies"]]
+        return rows.append_column("copies", pa.array(copies)).select(["id", "source", "size", "rows", "source_size", "target", "copies"])
 
-    return own.groupBy("source", "group").applyInPandas(rounded, "id long, source string, size long, rows long, source_size long, target double, copies long")
+    return own.groupBy("source", "group").applyInArrow(rounded, "id long, source string, size long, rows long, source_size long, target double, copies long")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

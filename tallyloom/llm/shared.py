@@ -6,6 +6,8 @@ import bisect
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,9 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of whole texts or sets that a Python worker gets at once.
+BATCH_ROWS = 500
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,6 +52,18 @@ def discard(*tables: DataFrame) -> None:
         store.delete_dir(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """For jobs that run within: Arrow batches of so many rows at most, so that long rows don't add up to much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -92,6 +109,8 @@ def shard_bounds(df: DataFrame, key: str, weight: Column, target: int) -> list[i
     lo, hi, total = cur.agg(F.min("k"), F.max("k"), F.sum("w")).first()
     if lo is None:
         return []
+    coarse = 2 if hi - lo >= 1 << 62 else 0  # differences of keys must fit a long
+    lo, hi, cur = lo >> coarse, hi >> coarse, cur.withColumn("k", F.shiftright("k", coarse))
     width = max(1, -(-(hi - lo + 1) // (4 * max(1, -(-(total or 0) // target)) + 16)))
     cur, light = cur.withColumn("s", F.expr(f"{lo}L + ((k - {lo}L) div {width}) * {width}")), []
     while True:
@@ -106,7 +125,7 @@ def shard_bounds(df: DataFrame, key: str, weight: Column, target: int) -> list[i
     bounds, have = [], 0
     for start, w in sorted(light):
         if have and have + w > target:
-            bounds.append(start)
+            bounds.append(start << coarse)
             have = 0
         have += w
     return bounds
