@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def required(populated: DataFrame, rows: DataFrame, columns: DataFrame, on: list[str], and_: list[str]) -> DataFrame:
-    """Coordinates of the grid rows x columns without a populated cell; columns is an axis of a declared range.
+    """Coordinates of the grid rows x columns without a populated cell; columns is the short axis of a declared range.
 
-    The axis is checked to be small; the grid is a generator over the rows, never a join of two large sides.
+    The axis is checked to have at most 10000 positions; each row generates its own, so no two tables are crossed.
     """
-    axis = columns.select(F.struct(*and_).alias("s")).distinct().limit(10_001).collect()
+    axis = columns.select(*and_).distinct().limit(10_001).collect()
     if len(axis) > 10_000:
         raise ValueError("a required range has at most 10000 positions on its short axis")
-    points = columns.sparkSession.createDataFrame([r.s for r in axis], columns.select(*and_).schema)
-    grid = rows.select(*on).distinct().join(F.broadcast(points))
+    kind = columns.select(F.struct(*and_).alias("s")).schema["s"].dataType.simpleString()
+    points = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(and_, r, strict=True)]) for r in axis]).cast(f"array<{kind}>")
+    grid = rows.select(*on).distinct().withColumn("_p", F.explode(points)).select(*on, *[F.col(f"_p.{c}").alias(c) for c in and_])
     return grid.join(populated.select(*on, *and_).distinct(), [*on, *and_], "left_anti")
 
 
@@ -69,7 +70,3 @@ def allowed_blanks(blanks: DataFrame, rules: list[tuple[int, int, int, int, tupl
     after = [F.when(F.col(row).between(a, b) & F.col(col).between(c, d), F.struct(F.col(f"{period}.k1"), F.col(f"{period}.k2"), F.col(f"{period}.k3")) > F.struct(*map(F.lit, last))) for a, b, c, d, last in rules]
     hits = F.array_compact(F.array(*after)) if after else F.array().cast("array<boolean>")
     return blanks.withColumn("allowed", (F.size(hits) > 0) & F.forall(hits, lambda x: x))
-
-
-def numbered(df: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

@@ -28,7 +28,7 @@ def limited(coverage: DataFrame) -> DataFrame:
 
 def workload(cells: DataFrame, limits: dict[str, tuple[int, int]]) -> DataFrame:
     """Measures of a workbook against limits (warn, refuse): measure, value, verdict ok, warn or refuse. Measures: cells, formulas, sheets, area."""
-    area = cells.groupBy("sheet").agg((F.max("row") * F.max("col")).alias("area"))
-    m = cells.agg(F.count("*").alias("cells"), F.count("formula").alias("formulas"), F.countDistinct("sheet").alias("sheets")).join(area.agg(F.coalesce(F.sum("area"), F.lit(0)).alias("area")))
+    sheet = cells.groupBy("sheet").agg(F.count("*").alias("cells"), F.count("formula").alias("formulas"), (F.max("row") * F.max("col")).alias("area"))
+    m = sheet.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cells", "formulas", "area")], F.count("*").alias("sheets"))
     long = m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).cast("long").alias("value"), F.lit(w).alias("w"), F.lit(r).alias("r")) for k, (w, r) in limits.items()])).alias("x")).select("x.*")
     return long.select("measure", "value", F.when(F.col("value") > F.col("r"), "refuse").when(F.col("value") > F.col("w"), "warn").otherwise("ok").alias("verdict"))

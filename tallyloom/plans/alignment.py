@@ -57,7 +57,7 @@ def period_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH a AS ({AXIS}), w AS (SELECT *, CASE WHEN m > lag(m) OVER (PARTITION BY customer ORDER BY place) THEN 0 ELSE 1 END AS new FROM a)
-SELECT customer, place, sum(new) OVER (PARTITION BY customer ORDER BY place) AS band FROM w
+SELECT customer, place, CAST(sum(new) OVER (PARTITION BY customer ORDER BY place) AS BIGINT) AS band FROM w
 """)
 def period_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of increasing months along each customer's orders."""

@@ -249,7 +249,7 @@ SELECT figure_id, rank, row, value, shown FROM r WHERE rank <= 5
 """)
 def figure_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five likeliest source cells of each displayed figure."""
-    return crosscheck.candidates(figures(spark, sf_dir), balances(spark, sf_dir)).select("figure_id", "rank", "row", "value", "shown")
+    return crosscheck.candidates(figures(spark, sf_dir), balances(spark, sf_dir)).select("figure_id", F.col("rank").cast("long").alias("rank"), "row", "value", "shown")
 
 
 @query(f"""

@@ -53,7 +53,7 @@ def axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), "o_orderkey", "o_orderdate")
-    d = months(o, "o_orderdate").withColumn("place", F.row_number().over(Window.partitionBy("customer").orderBy("o_orderkey")))
+    d = months(o, "o_orderdate").withColumn("place", F.row_number().over(Window.partitionBy("customer").orderBy("o_orderkey")).cast("long"))
     return d.select("customer", "place", "period")
 
 

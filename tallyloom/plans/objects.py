@@ -154,5 +154,5 @@ def order_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring rules whose order is reversed."""
     o = table(spark, sf_dir, "orders")
     w = Window.partitionBy("o_custkey")
-    d = o.select(F.col("o_custkey").alias("customer"), F.row_number().over(w.orderBy("o_orderkey")).alias("base"), F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).alias("current"))
+    d = o.select(F.col("o_custkey").alias("customer"), F.row_number().over(w.orderBy("o_orderkey")).cast("long").alias("base"), F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).cast("long").alias("current"))
     return objects.inversions(d, "customer", "base", "current")
