@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import discard, fresh_name, kept
+from tallyloom.llm.shared import discard, fresh_name, kept, small_batches
 
 #: Counters of the sketch that orders shingles; fixed, whatever the size of the corpus.
 SKETCH = 1 << 20
@@ -112,17 +112,14 @@ def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame, doc_id: str,
     filled[words_set["w"].to_numpy()] = words_set["v"].to_numpy()
     sent = spark.sparkContext.broadcast(filled)
 
-    @F.arrow_udf("boolean")
-    def wanted(p: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<binary>")
+    def sets(p: pa.Array, texts: pa.Array) -> pa.Array:
         x = p.to_numpy(zero_copy_only=False)
-        return pa.array((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
-
-    @F.arrow_udf("binary")
-    def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, words).tobytes() for t in texts.to_pylist()], pa.binary())
+        met = (sent.value[x >> 6] >> (x & 63)) & 1 == 1
+        return pa.array([[shingle_set(t.as_py(), words).tobytes()] if m else [] for m, t in zip(met, texts, strict=True)], pa.list_(pa.binary()))
 
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
-    own = own.where(wanted(F.pmod(F.xxhash64("id"), F.lit(bits)))).select("id", sets("t").alias("s"))
+    own = own.select("id", F.explode(sets(F.pmod(F.xxhash64("id"), F.lit(bits)), F.col("t"))).alias("s"))  # not a filter, before which Spark would call it once more
     own = own.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
 
     @F.arrow_udf("boolean")
@@ -169,10 +166,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     A text of fewer words is one shingle; an empty or null text has none and stands alone. Rows with the same doc_id are
     one node of the links. A row without doc_id takes the component of its equals, else null, and joins no others.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, doc_id, text, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     d = kept(profiles(docs, doc_id, text, words, percent), "profiles")
     classes = d.where("n > 0").groupBy("class").agg(F.min("id").alias("rep"))
     reps = classes.where("rep is not null").select(F.col("rep").alias("id")).distinct()
-    c = kept(d.where("n > 0").join(reps, "id", "left_semi").groupBy("id", "class").agg(F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("prefix").alias("prefix")), "classes")
+    c = d.where("n > 0").join(reps, "id", "left_semi")
 
     hits = c.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "id", F.shiftleft("n", 24).bitwiseOR(F.col("pos")).alias("at"))
     shared = hits.groupBy("token").agg(F.min(F.struct("id", "at")).alias("pivot"), F.max("id").alias("last")).where("last > pivot.id").select("token", "pivot")
@@ -186,7 +188,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         left = lambda at: size(at) - at.bitwiseAND((1 << 24) - 1)
         return (100 * F.least(size(x), size(y)) >= percent * F.greatest(size(x), size(y))) & ((100 + percent) * F.least(left(x), left(y)) >= percent * (size(x) + size(y)))
 
-    narrow = c.select("id", "parts")
+    narrow = kept(c.select("id", "parts"), "parts")
     star = hits.where(F.col("id") != F.col("pivot.id")).where(fits(F.col("at"), F.col("pivot.at"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
     links = similar(star, docs, narrow, doc_id, text, words, percent)
     part = kept(components(links), "components")
@@ -199,7 +201,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     across = across.join(star, ["a", "b"], "left_anti")
     more = similar(across, docs, narrow, doc_id, text, words, percent)
     part = kept(components(links.unionByName(more)), "components") if more.head(1) else part
-    discard(c, hits, rest)
+    discard(narrow, hits, rest)
     d = d.select("id", "n", "class")
 
     named = classes.join(part.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("c"))

@@ -278,7 +278,7 @@ def counter(path: str) -> Counter:
     return COUNTERS[path]
 
 
-def with_token_counts(docs: DataFrame, tokenizer: str, name: str, *, text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def with_token_counts(docs: DataFrame, tokenizer: str, name: str, *, text: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """docs with the number of each text's tokens (null: empty) in the column of that name. No shuffle.
 
     tokenizer: a byte-level BPE file for the tokenizers library that every executor has.

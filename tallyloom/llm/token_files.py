@@ -19,6 +19,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.shared import commit_files, fresh_path, located, shard_bounds, shard_of
+from tallyloom.llm.token_counts import byte_letters
 
 MAGIC = b"TLTOKEN1"
 BLOCK, LANES = 4096, 2048
@@ -82,29 +84,32 @@ class Lanes:
         one = self.one[:k]
         h1 = self.slot0[:k] + (((one * 0x9E3779B1) >> 15) & (SLOTS - 1))
         h2 = self.slot0[:k] + (((one * 0x85EBCA77 + self.two[:k] * 0x27D4EB2F) >> 13) & (SLOTS - 1))
-        e1, e2 = self.seen[0][h1], self.seen[1][h2]
+        e1, e2 = self.seen[0].take(h1), self.seen[1].take(h2)
         guess = np.where(e2 > 0, e2, e1)
         has = guess > 0
         guess = (guess & 0xFFFF).astype(np.int64)
         s1 = np.where((e1 > 0) & ((e1 & 0xFFFF) == guess), e1 >> 16, NONE)
         r1, r2 = self.row0[:k] + s1, self.row0[:k] + np.where(e2 > 0, e2 >> 16, NONE)
-        p1, p2 = self.right[0][r1], self.right[1][r2]
+        p1, p2 = self.right[0].take(r1), self.right[1].take(r2)
         w1, w2 = self.weight[0][:k], self.weight[1][:k]
         p = np.minimum(np.maximum((p1 * w1 + p2 * w2) // (w1 + w2), 32), (1 << ODDS) - 32)
         return np.where(has, guess, -1), np.where(has, p, 1).astype(np.int64), (h1, h2, e1, e2, r1, r2, p1, p2)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, told: tuple, k: int) -> None:
         h1, h2, e1, e2, r1, r2, p1, p2 = told
-        goal = np.where(hit, np.int32(1 << ODDS), np.int32(0))
+        goal, ids = hit.astype(np.int32) << ODDS, ids.astype(np.int32)
         for i, (h, e, r, p) in enumerate(((h1, e1, r1, p1), (h2, e2, r2, p2))):
             miss = goal - p
             self.right[i][r] = p + (miss >> 5)
             w = self.weight[i][:k]
             w += ((1 << ODDS) - np.abs(miss) - w) >> 5
             np.maximum(w, 64, out=w)
-            c = e >> 16
-            self.seen[i][h] = np.where((e & 0xFFFF) == ids, (np.minimum(c + 1, SURE) << 16) | ids, np.where(c > 1, ((c >> 1) << 16) | (e & 0xFFFF), (1 << 16) | ids))
-        self.two[:k], self.one[:k] = self.one[:k], ids + 1
+            c, was = e >> 16, e & 0xFFFF
+            keep = was == ids
+            c = np.where(keep, np.minimum(c + 1, SURE), np.where(c > 1, c >> 1, 0))
+            self.seen[i][h] = np.where(c == 0, (1 << 16) | ids, (c << 16) | was)
+        self.two[:k] = self.one[:k]
+        self.one[:k] = ids + 1
 
     def narrow(self, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
         """Takes the part [start, start + size) of 1 << (PRIOR + ODDS) of the ranges; the lanes that can move 16 bits on."""
@@ -150,7 +155,7 @@ def encode_blocks(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
             now = ids[t, :k]
             guess, p, told = m.predict(k)
             hit = guess == now
-            idx = m.narrow(np.where(hit, 0, (p << PRIOR) + prior.cum[now] * ((1 << ODDS) - p)), np.where(hit, p << PRIOR, prior.freq[now] * ((1 << ODDS) - p)), k)
+            idx = m.narrow(np.where(hit, 0, (p << PRIOR) + prior.cum.take(now) * ((1 << ODDS) - p)), np.where(hit, p << PRIOR, prior.freq.take(now) * ((1 << ODDS) - p)), k)
             m.learn(now, hit, told, k)
             while len(idx):
                 words[idx, m.at[idx]] = (m.low[idx] >> U(48)).astype(np.uint16)
@@ -176,9 +181,9 @@ def decode_blocks(packed: list[np.ndarray], lengths: np.ndarray, prior: Prior) -
             guess, p, told = m.predict(k)
             v = np.minimum((code[:k] - m.low[:k]) // (m.width[:k] >> U(PRIOR + ODDS)), U((1 << (PRIOR + ODDS)) - 1)).astype(np.int64)
             hit = v < (p << PRIOR)
-            now = np.where(hit, guess, prior.found[np.maximum(v - (p << PRIOR), 0) // ((1 << ODDS) - p)])
+            now = np.where(hit, guess, prior.found.take(np.maximum(v - (p << PRIOR), 0) // ((1 << ODDS) - p)))
             hit = guess == now
-            idx = m.narrow(np.where(hit, 0, (p << PRIOR) + prior.cum[now] * ((1 << ODDS) - p)), np.where(hit, p << PRIOR, prior.freq[now] * ((1 << ODDS) - p)), k)
+            idx = m.narrow(np.where(hit, 0, (p << PRIOR) + prior.cum.take(now) * ((1 << ODDS) - p)), np.where(hit, p << PRIOR, prior.freq.take(now) * ((1 << ODDS) - p)), k)
             m.learn(now, hit, told, k)
             while len(idx):
                 code[idx] = (code[idx] << U(16)) | words[idx, np.minimum(m.at[idx] + 4, words.shape[1] - 1)].astype(U)
@@ -228,7 +233,7 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 class Encoder:
     """A text's ids as the tokenizers library gives them. The library encodes each pretoken alone, so pretokens met before are looked up."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -237,7 +242,10 @@ class Encoder:
 
         with open(path) as f:
             told = json.load(f)
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.merge, self.letters = self.library.model.tokenize, {b: ord(c) for c, b in byte_letters().items()}
         pre, model = told.get("pre_tokenizer") or {}, told["model"]
         plain = told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
         added = [a["content"] for a in told.get("added_tokens", []) if not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"])]
@@ -246,6 +254,10 @@ class Encoder:
         self.added = {a["content"]: np.array([a["id"]], "<u4").tobytes() for a in told.get("added_tokens", [])}
         self.parts = re.compile("(" + "|".join(re.escape(a) for a in sorted(added, key=len, reverse=True)) + ")").split if added else lambda t: [t]
 
+    def pretoken(self, word: str) -> bytes:
+        """A pretoken's ids from the library's model, which takes its bytes spelt as letters."""
+        return array("I", [t.id for t in self.merge(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]).tobytes()
+
     def ids(self, text: str) -> np.ndarray:
         if not self.split:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -258,11 +270,12 @@ class Encoder:
             try:
                 out.append(b"".join(map(known.__getitem__, words)))
             except KeyError:
-                if len(known) > self.MOST:
-                    known.clear()
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+                if len(known) > self.MOST:  # of the older half only what is met again comes back
+                    self.old, self.known = known, {}
+                    known = self.known
+                for w in words:
+                    if w not in known:
+                        known[w] = self.old.get(w) or self.pretoken(w)
                 out.append(b"".join(map(known.__getitem__, words)))
         return np.frombuffer(b"".join(out), "<u4")
 

@@ -101,24 +101,25 @@ def write_warc(pages: DataFrame, *, key: str = "page_id", url: str = "url", payl
     """Writes a record for each row (null payload: empty) in key order, rows without a key first; returns the folder.
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more the one with the smallest key (rows without a key are after all
-    others; then by url) is the response. Digests are grouped with a partial count in each task, and only digests that occur twice are
-    joined back; revisits go on without their payload.
+    others; then by url) is the response. Digests are grouped with a partial count in each task; only digests that occur twice
+    are joined back, to keys, and go to the shards as rows of their own. So a payload moves once.
     """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     p = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     p = p.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    twice = p.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    p = p.join(twice.withColumn("again", F.lit(True)), "digest", "left")
-    later = F.coalesce(F.col("again") & ~F.col("key").eqNullSafe(F.col("first")), F.lit(False))
-    p = p.withColumn("payload", F.when(later, F.lit(None)).otherwise(F.col("payload")))
+    narrow = p.select("key", "digest", "size")
+    twice = narrow.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    notes = narrow.join(twice, "digest").select("key", "digest", "first").distinct()
+    none = F.lit(None).cast("string")
+    p = p.withColumn("first", F.lit(None).cast("long")).withColumn("note", F.lit(False)).unionByName(notes.select("key", none.alias("url"), none.alias("payload"), F.lit(0).cast("long").alias("size"), "digest", "first", F.lit(True).alias("note")))
     bounds = shard_bounds(pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.octet_length(payload), F.lit(0)).alias("size")), "key", F.col("size") + 256, shard_bytes)
-    p = p.withColumn("shard", shard_of(F.col("key"), bounds)).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "digest", "url")
+    p = p.withColumn("shard", shard_of(F.col("key"), bounds)).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("key"), F.col("digest"), F.col("note").desc(), F.col("url"))
 
     def write(batches):
         store, root = located(folder)
         store.create_dir(f"{root}/_temporary", recursive=True)
-        out = shard = temp = before = None
+        out = shard = temp = before = noted = None
         part = size = count = 0
 
         def close() -> pa.RecordBatch:
@@ -127,17 +128,21 @@ def write_warc(pages: DataFrame, *, key: str = "page_id", url: str = "url", payl
 
         for b in batches:
             cols = {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)}
-            for k, u, t, n, digest, first, again, s in zip(*(cols[c] for c in ("key", "url", "payload", "size", "digest", "first", "again", "shard")), strict=True):
+            for k, u, t, n, digest, first, note, s in zip(*(cols[c] for c in ("key", "url", "payload", "size", "digest", "first", "note", "shard")), strict=True):
+                if note:
+                    noted = (k, digest, first)
+                    continue
                 if out and (s != shard or size >= roll_bytes):
                     yield close()
                     part, out = (part + 1 if s == shard else 0), None
                 if not out:
                     shard, size, count, temp = s, 0, 0, f"_temporary/{uuid.uuid4().hex}"
                     out = store.open_output_stream(f"{root}/{temp}", compression=None)
-                revisit = bool(again) and (t is None or (k, digest) == before)
+                same = noted is not None and noted[:2] == (k, digest)
+                revisit = same and (k != noted[2] or (k, digest) == before)
                 before = (k, digest)
                 c = zlib.compressobj(6, zlib.DEFLATED, 31)
-                raw = record(k, u, b"" if revisit else t.encode("utf-8", "surrogatepass"), n, digest, first, revisit)
+                raw = record(k, u, b"" if revisit else t.encode("utf-8", "surrogatepass"), n, digest, noted[2] if same else None, revisit)
                 raw = c.compress(raw) + c.flush()
                 out.write(raw)
                 size, count = size + len(raw), count + 1

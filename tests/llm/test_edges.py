@@ -281,3 +281,21 @@ def test_shards(spark):
     sizes = np.bincount([shard_of_value(i * i, bounds) for i in range(1000)])
     assert sizes.max() <= 50 and len(sizes) < 60
     assert shard_bounds(spark.createDataFrame([(None,), (0,), (0,), (2**62,)], "k long"), "k", F.lit(1), 1) != []
+
+
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_pipeline(spark, tmp_path, rows):
+    import corpus_pipeline as P
+
+    d = spark.createDataFrame(rows, SCHEMA).withColumn("_copies", F.lit("own")).withColumn("Shard", F.lit(1))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in (1, 2, 3)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    bench(spark, [(1, "Short"), (None, None)]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    for _, stage in P.STAGES[:-1]:
+        docs = P.kept(stage(spark, docs, str(tmp_path)), "edge")
+        assert docs.columns == columns
+    out = P.kept(P.STAGES[-1][1](spark, docs, str(tmp_path)), "edge")
+    assert out.count() == docs.count() and 8 not in {r.doc_id for r in out.collect()}
+    assert sum(r.n_tokens for r in out.collect()) == max((r.start + r.n_tokens for r in out.collect()), default=0)
