@@ -34,7 +34,10 @@ MAGIC = b"TLTOKEN1"
 BLOCK, LANES = 4096, 2048
 #: Contexts of order 1 and of order 2 in a block; frequencies of order 0 sum to 1 << PRIOR; probabilities are of 1 << ODDS.
 SLOTS, PRIOR, ODDS = 1 << 12, 18, 12
-SURE, NONE = 7, 15
+#: Probabilities lie between LOWEST and LOWEST + FROM_TO; what confidence c becomes, at 2 c after a miss and 2 c + 1 after a hit.
+LOWEST, FROM_TO, EIGHT = np.int32(32), np.int32((1 << ODDS) - 64), np.int32(8)
+GROWN = np.array([1, 1, 1, 2, 1, 3, 1, 4, 2, 5, 2, 6, 3, 7, 3, 7], np.int32) << 16
+ONE, FIVE, TOP, SPREAD = np.uint32(1), np.uint32(5), np.uint32(20), np.uint32(0x9E3779B1)
 U = np.uint64
 
 
@@ -43,10 +46,15 @@ class Prior:
 
     def __init__(self, ids: np.ndarray, freqs: np.ndarray):
         self.ids, self.freqs = ids.astype(np.int64), freqs.astype(np.int64)
-        self.freq, self.cum = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.freq, self.cum = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.freq[self.ids] = self.freqs
         self.cum[self.ids] = np.cumsum(self.freqs) - self.freqs
-        self.found = np.repeat(self.ids, self.freqs)
+        self.found = np.repeat(self.ids, self.freqs).astype(np.int32)
+
+    def part(self, ids: np.ndarray, hit: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of an id's part of the range: the first p of 1 << ODDS if it was predicted, else its share of the rest."""
+        first, rest = p << PRIOR, (1 << ODDS) - p
+        return np.where(hit, 0, first + self.cum.take(ids) * rest), np.where(hit, first, self.freq.take(ids) * rest)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Prior:
@@ -69,47 +77,45 @@ class Prior:
 
 
 class Lanes:
-    """Models and range coder state of n blocks that advance together. The first k lanes go on."""
+    """Models and range coder state of n blocks that advance together. The first k lanes go on.
+
+    What follows a context is an id and a confidence in one number (confidence << 16 | id; 0 before the context is met).
+    """
 
     def __init__(self, n: int):
         self.seen = [np.zeros(n * SLOTS, np.int32) for _ in range(2)]
         self.right = [np.full(n * 16, 1 << (ODDS - 1), np.int32) for _ in range(2)]
-        self.weight = [np.full(n, 1 << ODDS, np.int32) for _ in range(2)]
+        self.weight = np.full(n, 1 << (ODDS - 1), np.int32)
         self.slot0, self.row0 = np.arange(n, dtype=np.int64) * SLOTS, np.arange(n, dtype=np.int64) * 16
-        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.contexts, self.last = [self.slot0, self.slot0], np.zeros(n, np.uint32)
         self.low, self.width, self.at = np.zeros(n, U), np.full(n, U((1 << 64) - 1), U), np.zeros(n, np.int64)
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """The predicted id (-1: none), its probability of 1 << ODDS, and what learn() needs."""
-        one = self.one[:k]
-        h1 = self.slot0[:k] + (((one * 0x9E3779B1) >> 15) & (SLOTS - 1))
-        h2 = self.slot0[:k] + (((one * 0x85EBCA77 + self.two[:k] * 0x27D4EB2F) >> 13) & (SLOTS - 1))
+        """The predicted id, its probability of 1 << ODDS, and what learn() needs."""
+        h1, h2 = self.contexts[0][:k], self.contexts[1][:k]
         e1, e2 = self.seen[0].take(h1), self.seen[1].take(h2)
-        guess = np.where(e2 > 0, e2, e1)
-        has = guess > 0
-        guess = (guess & 0xFFFF).astype(np.int64)
-        s1 = np.where((e1 > 0) & ((e1 & 0xFFFF) == guess), e1 >> 16, NONE)
-        r1, r2 = self.row0[:k] + s1, self.row0[:k] + np.where(e2 > 0, e2 >> 16, NONE)
+        id1, c1, c2 = e1 & 0xFFFF, e1 >> 16, e2 >> 16
+        guess = np.where(c2, e2, e1) & 0xFFFF
+        r1, r2 = self.row0[:k] + (c1 + ((id1 != guess) * EIGHT)), self.row0[:k] + c2
         p1, p2 = self.right[0].take(r1), self.right[1].take(r2)
-        w1, w2 = self.weight[0][:k], self.weight[1][:k]
-        p = np.minimum(np.maximum((p1 * w1 + p2 * w2) // (w1 + w2), 32), (1 << ODDS) - 32)
-        return np.where(has, guess, -1), np.where(has, p, 1).astype(np.int64), (h1, h2, e1, e2, r1, r2, p1, p2)
+        lead = p1 - p2
+        return guess, p2 + ((lead * self.weight[:k]) >> ODDS), (h1, h2, e2, id1, c1, c2, r1, r2, p1, p2, lead)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray, told: tuple, k: int) -> None:
-        h1, h2, e1, e2, r1, r2, p1, p2 = told
-        goal, ids = hit.astype(np.int32) << ODDS, ids.astype(np.int32)
-        for i, (h, e, r, p) in enumerate(((h1, e1, r1, p1), (h2, e2, r2, p2))):
-            miss = goal - p
-            self.right[i][r] = p + (miss >> 5)
-            w = self.weight[i][:k]
-            w += ((1 << ODDS) - np.abs(miss) - w) >> 5
-            np.maximum(w, 64, out=w)
-            c, was = e >> 16, e & 0xFFFF
-            keep = was == ids
-            c = np.where(keep, np.minimum(c + 1, SURE), np.where(c > 1, c >> 1, 0))
-            self.seen[i][h] = np.where(c == 0, (1 << 16) | ids, (c << 16) | was)
-        self.two[:k] = self.one[:k]
-        self.one[:k] = ids + 1
+        h1, h2, e2, id1, c1, c2, r1, r2, p1, p2, lead = told
+        goal = hit * FROM_TO + LOWEST
+        self.right[0][r1] = p1 + ((goal - p1) >> 5)
+        self.right[1][r2] = p2 + ((goal - p2) >> 5)
+        w = self.weight[:k]
+        w += np.where(hit, lead, -lead) >> 5
+        np.maximum(w, LOWEST, out=w)
+        np.minimum(w, LOWEST + FROM_TO, out=w)
+        id2 = e2 & 0xFFFF
+        self.seen[0][h1] = GROWN.take(c1 + c1 + (id1 == ids)) | np.where(c1 > 1, id1, ids)
+        self.seen[1][h2] = GROWN.take(c2 + c2 + (id2 == ids)) | np.where(c2 > 1, id2, ids)
+        now = (ids.astype(np.uint32) + ONE) * SPREAD
+        self.contexts = [self.slot0[:k] + (now >> TOP), self.slot0[:k] + (((now ^ (self.last[:k] >> FIVE)) * SPREAD) >> TOP)]
+        self.last = now
 
     def narrow(self, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
         """Takes the part [start, start + size) of 1 << (PRIOR + ODDS) of the ranges; the lanes that can move 16 bits on."""
@@ -146,7 +152,7 @@ def encode_blocks(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks], np.int64)
     for some, going in by_length(lengths) if len(blocks) else ():
         n, most = len(some), int(lengths[some[0]])
-        ids = np.zeros((most, n), np.int64)
+        ids = np.zeros((most, n), np.int32)
         for lane, b in enumerate(some):
             ids[: lengths[b], lane] = blocks[b]
         m, words = Lanes(n), np.zeros((n, 2 * most + 8), np.uint16)
@@ -155,7 +161,7 @@ def encode_blocks(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
             now = ids[t, :k]
             guess, p, told = m.predict(k)
             hit = guess == now
-            idx = m.narrow(np.where(hit, 0, (p << PRIOR) + prior.cum.take(now) * ((1 << ODDS) - p)), np.where(hit, p << PRIOR, prior.freq.take(now) * ((1 << ODDS) - p)), k)
+            idx = m.narrow(*prior.part(now, hit, p), k)
             m.learn(now, hit, told, k)
             while len(idx):
                 words[idx, m.at[idx]] = (m.low[idx] >> U(48)).astype(np.uint16)
@@ -179,11 +185,10 @@ def decode_blocks(packed: list[np.ndarray], lengths: np.ndarray, prior: Prior) -
         for t in range(most):
             k = int(going[t])
             guess, p, told = m.predict(k)
-            v = np.minimum((code[:k] - m.low[:k]) // (m.width[:k] >> U(PRIOR + ODDS)), U((1 << (PRIOR + ODDS)) - 1)).astype(np.int64)
-            hit = v < (p << PRIOR)
-            now = np.where(hit, guess, prior.found.take(np.maximum(v - (p << PRIOR), 0) // ((1 << ODDS) - p)))
-            hit = guess == now
-            idx = m.narrow(np.where(hit, 0, (p << PRIOR) + prior.cum.take(now) * ((1 << ODDS) - p)), np.where(hit, p << PRIOR, prior.freq.take(now) * ((1 << ODDS) - p)), k)
+            v = np.minimum((code[:k] - m.low[:k]) // (m.width[:k] >> U(PRIOR + ODDS)), U((1 << (PRIOR + ODDS)) - 1)).astype(np.int32) - (p << PRIOR)
+            hit = v < 0
+            now = np.where(hit, guess, prior.found.take((np.maximum(v, 0) / ((1 << ODDS) - p)).astype(np.int32)))  # exact: both are small whole numbers
+            idx = m.narrow(*prior.part(now, hit, p), k)
             m.learn(now, hit, told, k)
             while len(idx):
                 code[idx] = (code[idx] << U(16)) | words[idx, np.minimum(m.at[idx] + 4, words.shape[1] - 1)].astype(U)
