@@ -3,7 +3,8 @@
 Words are tilted as little as possible so that constraints hold: of all rates r of documents with the wanted sums
 sum(size r) for each value of each constrained column, those that minimise sum(size (r log r - r)). The minimum has the
 form r = exp(sum of a multiplier for each of the document's values), cut off at the most repeats that are allowed; the
-multipliers minimise a convex dual, found by Newton iterations whose gradients and curvatures Spark sums over the
+multipliers minimise a convex dual. With one constrained column that minimum is target / size of each value, for any number
+of values. For several columns balance() finds it by Newton iterations whose gradients and curvatures Spark sums over the
 documents. Rates are then rounded to whole copies.
 """
 
@@ -19,28 +20,44 @@ from pyspark.sql import functions as F
 from tallyloom.llm.shared import fresh_name, kept
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words, or rather documents, that one rounding group holds at most, about; and values that constraints may have in all.
-GROUP_ROWS, MOST_VALUES = 20_000, 4_000
+#: Words, or rather documents, that one rounding group holds at most, about; values that constraints over several columns may
+#: have in all; and sources up to which their rates are broadcast.
+GROUP_ROWS, MOST_VALUES, BROADCAST_SOURCES = 20_000, 4_000, 100_000
 #: Fixed by the query: weights of sources in code point order, and the most times that a source is repeated.
 WEIGHTS, MOST_REPEATS = (5.0, 2.0, 1.0), 3.0
 
 
-def shares(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: float = MOST_REPEATS) -> dict[str | None, float]:
-    """Targets of sources: weights repeat over the sources by code point, null last; what exceeds most times a size is shared anew by weight."""
-    named = sorted(sizes, key=lambda s: (s[0] is None, (s[0] or "").encode("utf-8", "surrogatepass")))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(named)}
-    size, total = dict(named), float(sum(n for _, n in named))
-    target, free, left = {}, [s for s, _ in named], total
-    while free:
-        unit = left / sum(weight[s] for s in free)
-        over = [s for s in free if weight[s] * unit > most * size[s]]
-        if not over:
-            return target | {s: weight[s] * unit for s in free}
-        for s in over:
-            target[s] = most * size[s]
-            left -= target[s]
-        free = [s for s in free if s not in set(over)]
-    return target
+def told(cells: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
+    """cells (source, size, items; a row for each source) with target, rate and groups, however many sources there are.
+
+    Weights repeat over the sources by code point, null last; what exceeds most times a size is shared anew by weight.
+    Words for each unit of weight only grow from round to round, so they alone tell which sources are at their most.
+    With one constrained column the dual falls apart into a term for each source, least where the rate is target / size.
+    The driver sees sums for each weight, and a row for each partition.
+    """
+    spark, size = cells.sparkSession, F.col("size")
+    lined = kept(cells.orderBy(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()), "lined")  # partition << 33 | row
+    lined = lined.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
+    starts, n = [], 0
+    for r in sorted(lined.groupBy("_part").count().collect()):
+        starts.append((r[0], n))
+        n += r[1]
+    place = (F.col("_start") + F.col("_row")) % len(weights)
+    lined = lined.join(F.broadcast(spark.createDataFrame(starts, "_part long, _start long")), "_part")
+    lined = lined.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), place.cast("int")))
+    unit, past, before = 0.0, F.lit(False), -1
+    while True:
+        sums = lined.groupBy("weight").agg(F.count_if(past).alias("past"), F.count_if(~past).alias("free"), F.sum("size").alias("words"), F.coalesce(F.sum(F.when(past, size)), F.lit(0)).alias("held")).orderBy("weight").collect()
+        now, free = sum(r.past for r in sums), sum(r.weight * r.free for r in sums)
+        if now == before or not free:
+            break
+        unit, before = (sum(r.words for r in sums) - most * sum(r.held for r in sums)) / free, now
+        past = F.col("weight") * F.lit(unit) > F.lit(float(most)) * size
+    target = F.when(past, F.lit(float(most)) * size).otherwise(F.col("weight") * F.lit(unit))
+    rate = F.when(size > 0, F.least(F.lit(float(most)), F.col("target") / size)).otherwise(0.0)
+    out = lined.withColumn("target", target).withColumn("rate", rate).withColumn("groups", F.ceil(F.col("items") / GROUP_ROWS).cast("int"))
+    out = out.select(F.col("source").alias("s"), size.alias("source_size"), "target", "rate", "groups")
+    return F.broadcast(out) if n <= BROADCAST_SOURCES else out
 
 
 def balance(cells: DataFrame, columns: list[str], targets: dict[str, dict], most: float, *, rounds: int = 60, close: float = 1e-9) -> dict[str, dict]:
@@ -94,14 +111,8 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     items = kept(narrow.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "items")
     cells = kept(items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.count("*").alias("items")), "cells")
-    rows = cells.collect()  # a row for each source; balance() bounds them
-    target = shares([(r.source, r["size"]) for r in rows], weights, most)
-    lam = balance(cells.where("size > 0"), ["source"], {"source": {r.source: target[r.source] for r in rows if r["size"]}}, most)["source"]
-    told = docs.sparkSession.createDataFrame(
-        [(r.source, r["size"], target[r.source], min(most, math.exp(min(lam.get(r.source, 0.0), 50))) if r["size"] else 0.0, -(-r["items"] // GROUP_ROWS)) for r in rows],
-        "s string, source_size long, target double, rate double, groups int",
-    )
-    own = items.join(F.broadcast(told), items["source"].eqNullSafe(told["s"])).drop("s")
+    by_source = told(cells, weights, most)
+    own = items.join(by_source, items["source"].eqNullSafe(by_source["s"])).drop("s")
     order = F.xxhash64("id", "size")
     own = own.withColumn("group", F.pmod(order, F.col("groups"))).withColumn("order", order)
 

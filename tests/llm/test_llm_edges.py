@@ -181,6 +181,27 @@ def test_mixing(docs, clashing, empty):
     assert sum(words(r.text) for r in out.collect()) == sum(r.taken for r in got)
 
 
+def test_mixing_more_sources_than_a_dense_solve_holds(spark, monkeypatch):
+    sizes = {f"s{i:04}": 1 + (i * 37) % 41 for i in range(4_500)} | {"\U0001f600": 7, "\uffee": 30_000, None: 9, "none": 0}
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string").repartition(5)
+    named = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(named)}
+    want, free, left = {}, set(named), float(sum(sizes.values()))
+    while True:
+        unit = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * unit > 3 * sizes[s]}
+        if not over:
+            break
+        want |= {s: 3.0 * sizes[s] for s in over}
+        left, free = left - sum(3 * sizes[s] for s in over), free - over
+    want |= {s: weight[s] * unit for s in free}
+    for most in (mixing.BROADCAST_SOURCES, 10):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        got = mixing.mixed(docs).collect()
+        assert {r.source: r.target for r in got} == pytest.approx(want, rel=1e-12) and len(got) == len(sizes)
+        assert all(abs(r.copies * r["size"] - r.target) <= r["size"] and r.copies <= 3 for r in got)
+
+
 def test_balance_of_two_columns(spark):
     cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 300), ("b", "x", 200), ("b", "y", 50)], "s string, l string, size long")
     lam = mixing.balance(cells, ["s", "l"], {"s": {"a": 350.0, "b": 300.0}, "l": {"x": 400.0, "y": 250.0}}, 3.0)
