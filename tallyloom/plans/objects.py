@@ -140,9 +140,22 @@ SELECT start, reached, distance FROM t
 """)
 def decision_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of earlier decisions behind each large order of a customer."""
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 440000")
-    e = o.select(F.col("o_orderkey").alias("a"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("b")).where("b is not null")
-    return graph.closure(e)
+    return graph.closure(decisions(table(spark, sf_dir, "orders").where("o_totalprice > 440000")))
+
+
+def decisions(orders: DataFrame) -> DataFrame:
+    """An edge from each order to the customer's order before it."""
+    return orders.select(F.col("o_orderkey").alias("a"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("b")).where("b is not null")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT o_orderkey AS a, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders), x AS (SELECT a, b FROM e WHERE b IS NOT NULL),
+t AS (SELECT a AS start, b AS reached, 1 AS distance FROM x UNION ALL SELECT t.start, x.b, distance + 1 FROM t JOIN x ON t.reached = x.a)
+SELECT start, reached, distance FROM t
+""")
+def decision_dossier_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of earlier decisions behind each order of a customer."""
+    return graph.closure(decisions(table(spark, sf_dir, "orders")))
 
 
 @query("""

@@ -119,6 +119,14 @@ def test_graph(spark):
     assert graph.connected(e.limit(0)).count() == 0 and graph.closure(e.limit(0)).count() == 0
 
 
+def test_graph_of_any_depth(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(0, 2), (100, 120)], "a long, b long")
+    step = {(a, b): b - a - (a == 0 and b > 1) - 19 * (a <= 100 and b >= 120) for a in range(151) for b in range(a + 1, 151)}
+    assert {(r.start, r.reached): r.distance for r in graph.closure(chain).collect()} == step
+    ring = spark.createDataFrame([(i, (i + 1) % 100) for i in range(100)] + [(99, 100), *[(i, i + 1) for i in range(100, 180)], (180, 180)], "a long, b long")
+    assert {(r.id, r.cycle) for r in graph.cycles(ring).collect()} == {(i, 0) for i in range(100)} | {(180, 180)}
+
+
 def test_root_causes(spark):
     f = spark.createDataFrame([("excel", "S", "A1", "formula_error"), ("excel", "S", "A1", "formula_hardcoded"), ("excel", "S", "A2", "formula_error"), ("excel", "S", "A1", "value_changed")], "artifact string, sheet string, location string, finding_class string")
     assert sorted(str(r.root_cause_key) for r in triage.root_causes(f).collect()) == ["None", "None", "excel:S:A1", "excel:S:A1"]
