@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Weights of a region pair's likeness, the least likeness that pairs, materiality of a chart's geometry.
 LABELS, SHAPE, POSITION, LEAST = 0.65, 0.25, 0.10, 0.20
+#: The label score of two regions without labels. And how far rows or cols of regions at different places, without a common
+#: label, can be apart: 0.25 (x + 1) / 2 + 0.10 / 2 >= 0.20 needs x >= 0.2; a little more, so that buckets of logarithms miss none.
+NO_LABELS, ALIKE = 0.25, 5.01
 MOVED_EMU, RESIZED = 50_000, 0.02
 
 
@@ -27,20 +32,31 @@ def dice(common: Column, a: Column, b: Column) -> Column:
 
 
 def region_scores(base: DataFrame, current: DataFrame, labels_base: DataFrame, labels_current: DataFrame) -> DataFrame:
-    """Scored pairs of a sheet's regions with the same orientation and a label or a place in common: sheet, a, b, score.
+    """All pairs of a sheet's regions with the same orientation and a score of LEAST or more: sheet, a, b, score.
 
-    Regions: sheet, id, orientation, rows, cols, top. Labels: sheet, id, label. Pairs come from joins on labels and on place, not from all pairs.
+    Regions: sheet, id, orientation, rows, cols, top, and left if columns count. Labels: sheet, id, label. Without a label
+    in common, only two regions without any label, two at the same place, or two whose rows and cols are each within
+    ALIKE times the other's can reach LEAST; these, and those with a common label, come from equality joins.
     """
+    corner = ["top", "left"] if "left" in base.columns and "left" in current.columns else ["top"]
     la, lb = labels_base.select("sheet", F.col("id").alias("a"), "label").distinct(), labels_current.select("sheet", F.col("id").alias("b"), "label").distinct()
     common = la.join(lb, ["sheet", "label"]).groupBy("sheet", "a", "b").agg(F.count("*").alias("common"))
-    place = base.select("sheet", F.col("id").alias("a"), "top").join(current.select("sheet", F.col("id").alias("b"), "top"), ["sheet", "top"]).select("sheet", "a", "b")
-    pairs = common.select("sheet", "a", "b").unionByName(place).distinct().join(common, ["sheet", "a", "b"], "left")
     n = lambda df, c: df.groupBy("sheet", c).agg(F.count("*").alias(f"n_{c}"))
-    pairs = pairs.join(n(la, "a"), ["sheet", "a"], "left").join(n(lb, "b"), ["sheet", "b"], "left")
-    side = lambda df, c: df.select("sheet", F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("orientation", "rows", "cols", "top")])
-    j = pairs.join(side(base, "a"), ["sheet", "a"]).join(side(current, "b"), ["sheet", "b"]).where("orientation_a = orientation_b")
-    ratio = lambda x: F.least(f"{x}_a", f"{x}_b") / F.greatest(f"{x}_a", f"{x}_b", F.lit(1))
-    score = LABELS * dice(F.coalesce("common", F.lit(0)), F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))) + SHAPE * (ratio("rows") + ratio("cols")) / 2 + POSITION / (1 + F.abs(F.col("top_a") - F.col("top_b")))
+    side = lambda df, labels, c: df.select("sheet", F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("orientation", "rows", "cols", *corner)]).join(n(labels, c), ["sheet", c], "left").fillna(0, [f"n_{c}"])
+    x, y = side(base, la, "a"), side(current, lb, "b")
+    band = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / math.log(ALIKE)).cast("long")
+    near = lambda c: F.explode(F.sequence(band(c) - 1, band(c) + 1))
+    same = lambda on: x.selectExpr("sheet", "a", "orientation_a as _o", *[f"{c}_a as _{c}" for c in on]).join(y.selectExpr("sheet", "b", "orientation_b as _o", *[f"{c}_b as _{c}" for c in on]), ["sheet", "_o", *[f"_{c}" for c in on]]).select("sheet", "a", "b")
+    bare = x.where("n_a = 0").selectExpr("sheet", "a", "orientation_a as _o").join(y.where("n_b = 0").selectExpr("sheet", "b", "orientation_b as _o"), ["sheet", "_o"]).select("sheet", "a", "b")
+    xs = x.withColumn("_r", near("rows_a")).withColumn("_c", near("cols_a")).selectExpr("sheet", "a", "orientation_a as _o", "_r", "_c")
+    ys = y.withColumn("_r", band("rows_b")).withColumn("_c", band("cols_b")).selectExpr("sheet", "b", "orientation_b as _o", "_r", "_c")
+    shape = xs.join(ys, ["sheet", "_o", "_r", "_c"]).select("sheet", "a", "b")
+    pairs = common.select("sheet", "a", "b").unionByName(same(corner)).unionByName(bare).unionByName(shape).distinct().join(common, ["sheet", "a", "b"], "left")
+    j = pairs.join(x, ["sheet", "a"]).join(y, ["sheet", "b"]).where("orientation_a = orientation_b")
+    ratio = lambda c: F.least(f"{c}_a", f"{c}_b") / F.greatest(f"{c}_a", f"{c}_b", F.lit(1))
+    labels = F.when(F.col("n_a") + F.col("n_b") == 0, NO_LABELS).otherwise(dice(F.coalesce("common", F.lit(0)), F.col("n_a"), F.col("n_b")))
+    distance = sum((F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) for c in corner), F.lit(0))
+    score = LABELS * labels + SHAPE * (ratio("rows") + ratio("cols")) / 2 + POSITION / (1 + distance)
     return j.select("sheet", "a", "b", score.alias("score")).where(F.col("score") >= LEAST)
 
 

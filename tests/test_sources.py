@@ -1,12 +1,13 @@
 """Workbooks and decks made here by hand, read back as rows; sinks; streams; operators on small cases."""
 
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import formulas, numbers, periods, privacy, similarity
-from tallyloom.operators import align, diff, graph, triage
+from tallyloom.operators import align, diff, graph, objects, triage
 from tallyloom.sources import ooxml, sinks
 from tallyloom.streaming import arrivals
 
@@ -127,6 +128,25 @@ def test_graph_of_any_depth(spark):
     assert {(r.id, r.cycle) for r in graph.cycles(ring).collect()} == {(i, 0) for i in range(100)} | {(180, 180)}
 
 
+def test_region_scores_of_all_pairs(spark):
+    pick = random.Random(3)
+    side = lambda: [("s", i, pick.choice(["long", "block"]), pick.choice([1, 4, 5, 25, 26, 125, 700]), pick.choice([1, 2, 5, 25, 30]), pick.randint(1, 9), pick.randint(1, 3)) for i in range(40)]
+    a, b = side(), side()
+    la, lb = ({(x[1], pick.choice("pqrst")) for x in y for _ in range(x[1] % 3)} for y in (a, b))
+    want = {}
+    for _, i, o, r, c, t, l in a:
+        for _, k, p, q, d, u, m in b:
+            x, y = {z for j, z in la if j == i}, {z for j, z in lb if j == k}
+            label = 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.25
+            score = 0.65 * label + 0.25 * (min(r, q) / max(r, q) + min(c, d) / max(c, d)) / 2 + 0.10 / (1 + abs(t - u) + abs(l - m))
+            if o == p and score >= 0.20:
+                want[i, k] = score
+    frame = lambda y: spark.createDataFrame(y, "sheet string, id long, orientation string, rows long, cols long, top long, left long")
+    words = lambda y: spark.createDataFrame([("s", *x) for x in sorted(y)], "sheet string, id long, label string")
+    got = objects.region_scores(frame(a), frame(b), words(la), words(lb)).collect()
+    assert {(r.a, r.b): r.score for r in got} == pytest.approx(want, abs=1e-12) and len(got) == len(want) > 200
+
+
 def test_root_causes(spark):
     f = spark.createDataFrame([("excel", "S", "A1", "formula_error"), ("excel", "S", "A1", "formula_hardcoded"), ("excel", "S", "A2", "formula_error"), ("excel", "S", "A1", "value_changed")], "artifact string, sheet string, location string, finding_class string")
     assert sorted(str(r.root_cause_key) for r in triage.root_causes(f).collect()) == ["None", "None", "excel:S:A1", "excel:S:A1"]
