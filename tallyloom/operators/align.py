@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import periods
+from tallyloom.operators.graph import shared
 
 # The share of baseline keys that must match, and the axis size from which a fallback is called unsure.
 LEAST_MATCHED, SURE_SIZE = 0.5, 4
@@ -106,15 +107,24 @@ def unique_cascade(base: DataFrame, current: DataFrame, passes: list[tuple[str,
     return found
 
 
-def mutual_best(scored: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """Of scored candidate pairs those that are each other's best, without a tie on either side."""
-    out = scored
-    for side in (a, b):
-        best = scored.groupBy(side).agg(F.max(score).alias("_best"))
-        top = scored.join(best, side).where(F.col(score) == F.col("_best"))
-        single = top.groupBy(side).agg(F.count("*").alias("_n")).where("_n = 1").select(side)
-        out = out.join(top.join(single, side, "left_semi").select(a, b), [a, b], "left_semi")
-    return out
+def mutual_best(scored: DataFrame, a: str, b: str, score: str, rounds: int | None = None) -> DataFrame:
+    """Of scored candidate pairs those that are each other's best, without a tie on either side.
+
+    They leave with all their pairs, and what is left is matched again until a round finds none, or for so many rounds.
+    """
+    left, found, n = shared(scored), None, 0
+    while True:
+        out = left
+        for side in (a, b):
+            best = left.groupBy(side).agg(F.max(score).alias("_best"))
+            top = left.join(best, side).where(F.col(score) == F.col("_best"))
+            single = top.groupBy(side).agg(F.count("*").alias("_n")).where("_n = 1").select(side)
+            out = out.join(top.join(single, side, "left_semi").select(a, b), [a, b], "left_semi")
+        out, n = shared(out), n + 1
+        found = out if found is None else found.unionByName(out)
+        if n == rounds or not out.head(1):
+            return found
+        left = shared(left.join(out.select(a), a, "left_anti").join(out.select(b), b, "left_anti"))
 
 
 def greedy(scored: DataFrame, group: str, a: str, b: str, score: str, least: float) -> DataFrame:

@@ -170,6 +170,11 @@ def object_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.unique_cascade(b, c, [("balance and nation", ["whole", "nation"]), ("balance", ["whole"])], "id")
 
 
+def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts that can pair, scored by quantity."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part")).agg(F.sum(F.col("l_quantity").cast("long")).alias("score"))
+
+
 @query("""
 WITH s AS (SELECT l_suppkey AS supplier, l_partkey AS part, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS score FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, max(score) OVER (PARTITION BY supplier) AS a, max(score) OVER (PARTITION BY part) AS b FROM s),
@@ -177,9 +182,23 @@ x AS (SELECT supplier FROM r WHERE score = a GROUP BY 1 HAVING count(*) = 1), y
 SELECT supplier, part, score FROM r WHERE score = a AND score = b AND supplier IN (SELECT supplier FROM x) AND part IN (SELECT part FROM y)
 """)
 def mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and parts that are each other's best by quantity, without ties."""
-    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part")).agg(F.sum(F.col("l_quantity").cast("long")).alias("score"))
-    return align.mutual_best(s, "supplier", "part", "score")
+    """Suppliers and parts that are each other's best by quantity, without ties: the first round, as its SQL states."""
+    return align.mutual_best(quantities(spark, sf_dir), "supplier", "part", "score", rounds=1)
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT l_suppkey AS supplier, l_partkey AS part, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS score FROM lineitem GROUP BY 1, 2),
+t AS (
+  SELECT supplier, part, score, score = max(score) OVER (PARTITION BY supplier) AND score = max(score) OVER (PARTITION BY part) AND count(*) OVER (PARTITION BY supplier, score) = 1 AND count(*) OVER (PARTITION BY part, score) = 1 AS hit FROM s
+  UNION ALL
+  SELECT supplier, part, score, score = max(score) OVER (PARTITION BY supplier) AND score = max(score) OVER (PARTITION BY part) AND count(*) OVER (PARTITION BY supplier, score) = 1 AND count(*) OVER (PARTITION BY part, score) = 1
+  FROM (SELECT supplier, part, score FROM t WHERE supplier NOT IN (SELECT supplier FROM t WHERE hit) AND part NOT IN (SELECT part FROM t WHERE hit) AND EXISTS (SELECT 1 FROM t WHERE hit)) u
+)
+SELECT supplier, part, score FROM t WHERE hit
+""")
+def mutual_best_until_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts matched as each other's best among what is left, until no pair is found."""
+    return align.mutual_best(quantities(spark, sf_dir), "supplier", "part", "score")
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

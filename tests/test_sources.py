@@ -147,6 +147,13 @@ def test_region_scores_of_all_pairs(spark):
     assert {(r.a, r.b): r.score for r in got} == pytest.approx(want, abs=1e-12) and len(got) == len(want) > 200
 
 
+def test_mutual_best_until_none_is_left(spark):
+    scored = spark.createDataFrame([("a1", "b1", 9), ("a1", "b2", 8), ("a2", "b1", 7), ("a2", "b2", 6), ("a3", "b3", 5), ("a3", "b4", 5), ("a4", "b3", 4)], "a string, b string, s long")
+    assert {(r.a, r.b) for r in align.mutual_best(scored, "a", "b", "s").collect()} == {("a1", "b1"), ("a2", "b2")}
+    assert [(r.a, r.b) for r in align.mutual_best(scored, "a", "b", "s", rounds=1).collect()] == [("a1", "b1")]
+    assert align.mutual_best(scored.limit(0), "a", "b", "s").count() == 0
+
+
 def test_root_causes(spark):
     f = spark.createDataFrame([("excel", "S", "A1", "formula_error"), ("excel", "S", "A1", "formula_hardcoded"), ("excel", "S", "A2", "formula_error"), ("excel", "S", "A1", "value_changed")], "artifact string, sheet string, location string, finding_class string")
     assert sorted(str(r.root_cause_key) for r in triage.root_causes(f).collect()) == ["None", "None", "excel:S:A1", "excel:S:A1"]
