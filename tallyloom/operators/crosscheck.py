@@ -24,6 +24,8 @@ def candidates(figures: DataFrame, cells: DataFrame, most: int = 5) -> DataFrame
     figures: figure_id, mantissa, scale, percent, decimals, negative, figure_value. cells: sheet, row, col, value. A band join:
     an equality join on buckets of the logarithm, each figure listed in the buckets that what matches it can lie in.
     """
+    # Cells without a finite number match nothing; nulls come first in Spark's order and would take the smallest cells' places.
+    cells = cells.where(F.abs("value") < F.lit(math.inf))
     half = F.col("scale") * F.when(F.col("percent"), 0.01).otherwise(1.0) * (0.5 * F.pow(F.lit(10.0), -F.col("decimals")) + 1e-9)
     lo = F.least(F.col("figure_value") - half, F.col("figure_value") - NEAR * F.abs("figure_value"))
     hi = F.greatest(F.col("figure_value") + half, F.col("figure_value") + NEAR * F.abs("figure_value"))

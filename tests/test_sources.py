@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import formulas, numbers, periods, privacy, similarity
-from tallyloom.operators import align, diff, graph, objects, triage
+from tallyloom.operators import align, crosscheck, diff, graph, objects, triage
 from tallyloom.sources import ooxml, sinks
 from tallyloom.streaming import arrivals
 
@@ -154,6 +154,13 @@ def test_mutual_best_until_none_is_left(spark):
     assert align.mutual_best(scored.limit(0), "a", "b", "s").count() == 0
 
 
+def test_zero_figure_among_cells_without_a_number(spark):
+    figures = spark.createDataFrame([(1, 0.0, 1.0, False, 0, False, 0.0)], "figure_id long, mantissa double, scale double, percent boolean, decimals int, negative boolean, figure_value double")
+    values = [None] * 8 + [float("nan"), float("inf"), 0.4, -0.1, 0.2, 0.0, 0.3, 0.45, 7.0]
+    cells = spark.createDataFrame([("s", i, 1, v) for i, v in enumerate(values)], "sheet string, row long, col long, value double")
+    assert [r.value for r in crosscheck.candidates(figures, cells).orderBy("rank").collect()] == [0.0, -0.1, 0.2, 0.3, 0.4]
+
+
 def test_root_causes(spark):
     f = spark.createDataFrame([("excel", "S", "A1", "formula_error"), ("excel", "S", "A1", "formula_hardcoded"), ("excel", "S", "A2", "formula_error"), ("excel", "S", "A1", "value_changed")], "artifact string, sheet string, location string, finding_class string")
     assert sorted(str(r.root_cause_key) for r in triage.root_causes(f).collect()) == ["None", "None", "excel:S:A1", "excel:S:A1"]
