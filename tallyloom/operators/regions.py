@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.graph import connected
+from tallyloom.operators.graph import connected, shared
 
 
 def runs(df: DataFrame, line: list[str], place: str) -> DataFrame:
@@ -16,6 +16,32 @@ def runs(df: DataFrame, line: list[str], place: str) -> DataFrame:
 
 
 def regions(cells: DataFrame, sheet: str, row: str, col: str) -> DataFrame:
+    """Connected components' bounding boxes, merged until no two overlap: sheet, min_row, max_row, min_col, max_col, cells."""
+    return merged(components(cells, sheet, row, col), sheet)
+
+
+def merged(boxes: DataFrame, sheet: str, rows: int = 64, columns: int = 16) -> DataFrame:
+    """Boxes (sheet, min_row, max_row, min_col, max_col, cells) of which those that overlap become their union, until none do.
+
+    Boxes that overlap share a block of rows x columns, and are joined through the block that holds the upper left corner
+    of what they share, so each pair is met once.
+    """
+    at = lambda c, n: F.floor(F.col(c) / n)
+    corners = ["min_row", "max_row", "min_col", "max_col"]
+    while True:
+        d = shared(boxes.withColumn("id", F.concat_ws(":", F.col(sheet).cast("string"), *[F.col(c).cast("string") for c in corners])))
+        listed = d.withColumn("_br", F.explode(F.sequence(at("min_row", rows), at("max_row", rows)))).withColumn("_bc", F.explode(F.sequence(at("min_col", columns), at("max_col", columns))))
+        x, y = (listed.select(F.col(sheet).alias("_s"), "_br", "_bc", F.col("id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in corners]) for i in ("a", "b"))
+        overlap = "a < b and min_row_a <= max_row_b and min_row_b <= max_row_a and min_col_a <= max_col_b and min_col_b <= max_col_a"
+        first = (F.floor(F.greatest("min_row_a", "min_row_b") / rows) == F.col("_br")) & (F.floor(F.greatest("min_col_a", "min_col_b") / columns) == F.col("_bc"))
+        links = shared(x.join(y, ["_s", "_br", "_bc"]).where(overlap).where(first).select("a", "b"))
+        if not links.head(1):
+            return d.drop("id")
+        named = d.join(connected(links), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        boxes = named.groupBy(sheet, "part").agg(F.min("min_row").alias("min_row"), F.max("max_row").alias("max_row"), F.min("min_col").alias("min_col"), F.max("max_col").alias("max_col"), F.sum("cells").alias("cells")).drop("part")
+
+
+def components(cells: DataFrame, sheet: str, row: str, col: str) -> DataFrame:
     """Bounding boxes of cells connected left, right, up or down: sheet, min_row, max_row, min_col, max_col, cells.
 
     Cells become runs of each row; runs that overlap in neighbouring rows are linked. A run overlaps few runs of the row

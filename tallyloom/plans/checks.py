@@ -103,7 +103,23 @@ s AS (SELECT r0, a0, min(row * 1000000 + a) AS part FROM t GROUP BY 1, 2)
 SELECT 'Orders' AS sheet, min(u.row) AS min_row, max(u.row) AS max_row, min(u.a) AS min_col, max(u.b) AS max_col, CAST(sum(u.b - u.a + 1) AS BIGINT) AS cells FROM s JOIN u ON s.r0 = u.row AND s.a0 = u.a GROUP BY part
 """)
 def regions_of_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounding boxes of cells that touch."""
+    """Bounding boxes of cells that touch, as its SQL states; they can overlap."""
+    return regions.components(grid(spark, sf_dir), "sheet", "row", "col")
+
+
+@query(f"""
+WITH RECURSIVE g AS ({GRID}), r AS (SELECT *, col - row_number() OVER (PARTITION BY row ORDER BY col) AS i FROM g), u AS (SELECT row, min(col) AS a, max(col) AS b FROM r GROUP BY row, i),
+e AS (SELECT x.row AS r1, x.a AS a1, y.row AS r2, y.a AS a2 FROM u x JOIN u y ON (y.row = x.row + 1 OR y.row = x.row - 1) AND x.a <= y.b AND y.a <= x.b),
+t AS (SELECT row AS r0, a AS a0, row, a FROM u UNION SELECT t.r0, t.a0, e.r2, e.a2 FROM t JOIN e ON t.row = e.r1 AND t.a = e.a1),
+s AS (SELECT r0, a0, min(row * 1000000 + a) AS part FROM t GROUP BY 1, 2),
+c AS (SELECT min(u.row) AS r1, max(u.row) AS r2, min(u.a) AS c1, max(u.b) AS c2, sum(u.b - u.a + 1) AS cells FROM s JOIN u ON s.r0 = u.row AND s.a0 = u.a GROUP BY part),
+m AS (SELECT 0 AS n, r1, r2, c1, c2 FROM c UNION ALL SELECT DISTINCT n + 1, r1, r2, c1, c2 FROM (SELECT x.n, min(y.r1) AS r1, max(y.r2) AS r2, min(y.c1) AS c1, max(y.c2) AS c2
+  FROM m x JOIN m y ON x.r1 <= y.r2 AND y.r1 <= x.r2 AND x.c1 <= y.c2 AND y.c1 <= x.c2 WHERE EXISTS (SELECT 1 FROM m v JOIN m w ON v.r1 <= w.r2 AND w.r1 <= v.r2 AND v.c1 <= w.c2 AND w.c1 <= v.c2 AND (v.r1, v.r2, v.c1, v.c2) <> (w.r1, w.r2, w.c1, w.c2)) GROUP BY x.n, x.r1, x.r2, x.c1, x.c2)),
+f AS (SELECT * FROM m WHERE n = (SELECT max(n) FROM m))
+SELECT 'Orders' AS sheet, f.r1 AS min_row, f.r2 AS max_row, f.c1 AS min_col, f.c2 AS max_col, CAST(sum(c.cells) AS BIGINT) AS cells FROM f JOIN c ON c.r1 >= f.r1 AND c.r2 <= f.r2 AND c.c1 >= f.c1 AND c.c2 <= f.c2 GROUP BY 1, 2, 3, 4, 5
+""")
+def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of cells that touch, merged until none overlap."""
     return regions.regions(grid(spark, sf_dir), "sheet", "row", "col")
 
 

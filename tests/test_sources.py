@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import formulas, numbers, periods, privacy, similarity
-from tallyloom.operators import align, crosscheck, diff, graph, objects, triage
+from tallyloom.operators import align, crosscheck, diff, graph, objects, regions, triage
 from tallyloom.sources import ooxml, sinks
 from tallyloom.streaming import arrivals
 
@@ -161,6 +161,34 @@ def test_zero_figure_among_cells_without_a_number(spark):
     assert [r.value for r in crosscheck.candidates(figures, cells).orderBy("rank").collect()] == [0.0, -0.1, 0.2, 0.3, 0.4]
 
 
+def test_regions_whose_boxes_overlap_are_merged(spark):
+    pick = random.Random(5)
+    cells = {(r, 0) for r in range(6)} | {(5, c) for c in range(6)} | {(1, 3), (1, 4)} | {(pick.randint(60, 140), pick.randint(10, 90)) for _ in range(1_500)} | {(r, 200) for r in range(0, 200, 2)} | {(r, 201) for r in range(40)}
+    left, boxes = set(cells), []
+    while left:
+        part = {left.pop()}
+        edge = list(part)
+        while edge:
+            r, c = edge.pop()
+            near = {(r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)} & left
+            left -= near
+            part |= near
+            edge += near
+        boxes.append([min(r for r, _ in part), max(r for r, _ in part), min(c for _, c in part), max(c for _, c in part), len(part)])
+    parts, again = len(boxes), True
+    while again:
+        again = False
+        for i, j in ((i, j) for i in range(len(boxes)) for j in range(i)):
+            x, y = boxes[i], boxes[j]
+            if x[0] <= y[1] and y[0] <= x[1] and x[2] <= y[3] and y[2] <= x[3]:
+                boxes[j], again = [min(x[0], y[0]), max(x[1], y[1]), min(x[2], y[2]), max(x[3], y[3]), x[4] + y[4]], True
+                del boxes[i]
+                break
+    got = regions.regions(spark.createDataFrame([("s", *x) for x in cells], "sheet string, row long, col long"), "sheet", "row", "col").collect()
+    assert sorted([r.min_row, r.max_row, r.min_col, r.max_col, r.cells] for r in got) == sorted(boxes)
+    assert [0, 5, 0, 5, 13] in boxes and len(boxes) < parts - 1
+
+
 def test_root_causes(spark):
     f = spark.createDataFrame([("excel", "S", "A1", "formula_error"), ("excel", "S", "A1", "formula_hardcoded"), ("excel", "S", "A2", "formula_error"), ("excel", "S", "A1", "value_changed")], "artifact string, sheet string, location string, finding_class string")
     assert sorted(str(r.root_cause_key) for r in triage.root_causes(f).collect()) == ["None", "None", "excel:S:A1", "excel:S:A1"]
