@@ -1,141 +1,156 @@
 """Token ids as binary shards, packed by an adaptive context-mixing range coder.
 
-A shard holds the ids of consecutive documents in key order. Its ids are cut into blocks of BLOCK ids. Each block is
-coded with models that start anew, so any block can be read alone, and carries the CRC-32 of its ids. Orders 1 and 2
-predict an id from the one and the two ids before it, by what followed them last in the block, each with a confidence;
-how often each confidence has been right is learned, and both estimates are mixed by weights that follow how well each
-order has done. The mix is the probability of the predicted id; the rest of the range goes to all ids by order 0, the
-shard's own frequencies, kept in its header. Many blocks are coded side by side, one numpy lane each.
-
-File: MAGIC, a header (documents, ids, blocks, ids in a block, bytes of order 0; 5 x uint64), for each block its ids,
-16-bit words and CRC-32 (3 x uint32), for each document its key (int64), whether it has one (uint8) and its ids (uint32),
-order 0 (ids uint16, then frequencies uint32, deflated), then the blocks' words. All little-endian.
+A shard holds the ids of consecutive documents in key order, as places in the sorted list of the ids that it has. These are
+cut into blocks of BLOCK. Each block is coded with models that start anew, so any block can be read alone, and carries the
+CRC-32 of its ids. Orders 1 and 2 predict an id from the one and the two ids before it, by what followed them last in the
+block, each with a confidence; how often each confidence has been right is learned, and both estimates are mixed by
+weights that follow how well each order has done. The mix is the probability of the predicted id; the rest of the range
+goes to all ids by order 0, the shard's own frequencies, kept in its header. Many blocks are coded side by side, one
+numpy lane each.
+
+File: MAGIC, a header (documents, ids, blocks, ids in a block, bytes of order 0, bits of its sum; 6 x uint64), for each
+block its ids, 32-bit words and CRC-32 (3 x uint32), for each document its key (int64), whether it has one (uint8) and its
+ids (uint32), order 0 (ids uint32, then frequencies uint32, deflated), then the blocks' words. All little-endian.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import commit_files, fresh_path, located, shard_bounds, shard_of
-from tallyloom.llm.token_counts import byte_letters
+from tallyloom.llm.shared import commit_files, fresh_path, located, shard_bounds, shard_of, small_batches
+from tallyloom.llm.token_counts import CONTRACTIONS, LETTER, NUMBER, OTHER, RESET, WHITE_MORE, byte_letters, classes
 
-MAGIC = b"TLTOKEN1"
-BLOCK, LANES = 4096, 2048
-#: Contexts of order 1 and of order 2 in a block; frequencies of order 0 sum to 1 << PRIOR; probabilities are of 1 << ODDS.
-SLOTS, PRIOR, ODDS = 1 << 12, 18, 12
+MAGIC = b"TLTOKEN2"
+BLOCK, LANES = 1024, 4096
+#: Contexts of an order in a block are numbers of SLOT bits. Frequencies of order 0 sum to 1 << PRIOR, or more where a shard
+#: has many ids, up to 1 << MOST_PRIOR; probabilities are of 1 << ODDS.
+SLOT, PRIOR, MOST_PRIOR, ODDS = 9, 18, 20, 12
 #: Probabilities lie between LOWEST and LOWEST + FROM_TO; what confidence c becomes, at 2 c after a miss and 2 c + 1 after a hit.
-LOWEST, FROM_TO, EIGHT = np.int32(32), np.int32((1 << ODDS) - 64), np.int32(8)
-GROWN = np.array([1, 1, 1, 2, 1, 3, 1, 4, 2, 5, 2, 6, 3, 7, 3, 7], np.int32) << 16
-ONE, FIVE, TOP, SPREAD = np.uint32(1), np.uint32(5), np.uint32(20), np.uint32(0x9E3779B1)
+LOWEST, FROM_TO = np.int32(32), np.int32((1 << ODDS) - 64)
+GROWN = np.array([1, 1, 1, 2, 1, 3, 1, 4, 2, 5, 2, 6, 3, 7, 3, 7], np.int32)
+ONE, FIVE, TOP, SPREAD = np.uint32(1), np.uint32(5), np.uint32(32 - SLOT), np.uint32(0x9E3779B1)
 U = np.uint64
+WORD, WORD_BITS = U((1 << 32) - 1), U(32)
 
 
 class Prior:
-    """Order 0: frequencies of a shard's ids, at least 1 each, that sum to 1 << PRIOR."""
+    """Order 0: a shard's ids in ascending order with frequencies, at least 1 each, that sum to 1 << bits."""
 
-    def __init__(self, ids: np.ndarray, freqs: np.ndarray):
-        self.ids, self.freqs = ids.astype(np.int64), freqs.astype(np.int64)
-        self.freq, self.cum = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.freq[self.ids] = self.freqs
-        self.cum[self.ids] = np.cumsum(self.freqs) - self.freqs
-        self.found = np.repeat(self.ids, self.freqs).astype(np.int32)
+    def __init__(self, ids: np.ndarray, freqs: np.ndarray, bits: int):
+        self.ids, self.freq, self.bits = ids.astype(np.uint32), freqs.astype(np.int64), bits
+        self.cum = np.cumsum(self.freq) - self.freq
+        self.found = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.freq)
 
-    def part(self, ids: np.ndarray, hit: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def part(self, places: np.ndarray, hit: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of an id's part of the range: the first p of 1 << ODDS if it was predicted, else its share of the rest."""
-        first, rest = p << PRIOR, (1 << ODDS) - p
-        return np.where(hit, 0, first + self.cum.take(ids) * rest), np.where(hit, first, self.freq.take(ids) * rest)
+        first = p.astype(np.int64)
+        rest = (1 << ODDS) - first
+        first <<= self.bits
+        return np.where(hit, 0, first + self.cum.take(places) * rest).view(U), np.where(hit, first, self.freq.take(places) * rest).view(U)
 
     @classmethod
-    def of(cls, ids: np.ndarray) -> Prior:
-        counts = np.bincount(ids, minlength=1)
-        own = np.flatnonzero(counts)
-        if not len(own):
-            return cls(np.zeros(1), np.full(1, 1 << PRIOR))
-        f = np.maximum(counts[own] * ((1 << PRIOR) - len(own)) // len(ids), 0) + 1
-        f[f.argmax()] += (1 << PRIOR) - f.sum()
-        return cls(own, f)
+    def of(cls, ids: np.ndarray) -> tuple[Prior, np.ndarray]:
+        """Order 0 of these ids, and their places in it."""
+        if not len(ids):
+            return cls(np.zeros(1), np.full(1, 1 << PRIOR), PRIOR), np.empty(0, np.int32)
+        if int(ids.max()) < 1 << 22:
+            counts = np.bincount(ids)
+            own = np.flatnonzero(counts)
+            counts, lookup = counts[own], np.zeros(len(counts), np.int32)
+            lookup[own] = np.arange(len(own), dtype=np.int32)
+            places = lookup.take(ids)
+        else:
+            own, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        bits = max(PRIOR, (len(own) - 1).bit_length() + 1)
+        if bits > MOST_PRIOR:
+            raise ValueError(f"a shard has {len(own)} different ids; make shards smaller")
+        f = counts * ((1 << bits) - len(own)) // len(ids) + 1
+        f[f.argmax()] += (1 << bits) - f.sum()
+        return cls(own, f, bits), places.astype(np.int32)
 
     def packed(self) -> bytes:
-        return zlib.compress(self.ids.astype("<u2").tobytes() + self.freqs.astype("<u4").tobytes())
+        return zlib.compress(self.ids.astype("<u4").tobytes() + self.freq.astype("<u4").tobytes())
 
     @classmethod
-    def unpacked(cls, data: bytes) -> Prior:
-        raw = zlib.decompress(data)
-        n = len(raw) // 6
-        return cls(np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<u4", n, 2 * n))
+    def unpacked(cls, data: bytes, bits: int) -> Prior:
+        raw = np.frombuffer(zlib.decompress(data), "<u4").reshape(2, -1)
+        return cls(raw[0], raw[1], bits)
 
 
 class Lanes:
     """Models and range coder state of n blocks that advance together. The first k lanes go on.
 
-    What follows a context is an id and a confidence in one number (confidence << 16 | id; 0 before the context is met).
+    Arrays of two rows hold order 1 and order 2. What follows a context is a place of an id and a confidence in one number
+    (place << 3 | confidence; 0 before the context is met).
     """
 
     def __init__(self, n: int):
-        self.seen = [np.zeros(n * SLOTS, np.int32) for _ in range(2)]
-        self.right = [np.full(n * 16, 1 << (ODDS - 1), np.int32) for _ in range(2)]
+        self.seen = np.zeros(2 * n << SLOT, np.int32)
+        self.right = np.full(2 * n * 16, 1 << (ODDS - 1), np.int32)
         self.weight = np.full(n, 1 << (ODDS - 1), np.int32)
-        self.slot0, self.row0 = np.arange(n, dtype=np.int64) * SLOTS, np.arange(n, dtype=np.int64) * 16
-        self.contexts, self.last = [self.slot0, self.slot0], np.zeros(n, np.uint32)
+        both = np.arange(2 * n, dtype=np.int64).reshape(2, n)
+        self.slots, self.rows, self.contexts, self.last = both << SLOT, both << 4, both << SLOT, np.zeros(n, np.uint32)
         self.low, self.width, self.at = np.zeros(n, U), np.full(n, U((1 << 64) - 1), U), np.zeros(n, np.int64)
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """The predicted id, its probability of 1 << ODDS, and what learn() needs."""
-        h1, h2 = self.contexts[0][:k], self.contexts[1][:k]
-        e1, e2 = self.seen[0].take(h1), self.seen[1].take(h2)
-        id1, c1, c2 = e1 & 0xFFFF, e1 >> 16, e2 >> 16
-        guess = np.where(c2, e2, e1) & 0xFFFF
-        r1, r2 = self.row0[:k] + (c1 + ((id1 != guess) * EIGHT)), self.row0[:k] + c2
-        p1, p2 = self.right[0].take(r1), self.right[1].take(r2)
-        lead = p1 - p2
-        return guess, p2 + ((lead * self.weight[:k]) >> ODDS), (h1, h2, e2, id1, c1, c2, r1, r2, p1, p2, lead)
-
-    def learn(self, ids: np.ndarray, hit: np.ndarray, told: tuple, k: int) -> None:
-        h1, h2, e2, id1, c1, c2, r1, r2, p1, p2, lead = told
-        goal = hit * FROM_TO + LOWEST
-        self.right[0][r1] = p1 + ((goal - p1) >> 5)
-        self.right[1][r2] = p2 + ((goal - p2) >> 5)
+        """The predicted id's place, its probability of 1 << ODDS, and what learn() needs."""
+        at = self.contexts if self.contexts.shape[1] == k else self.contexts[:, :k].copy()
+        was = self.seen.take(at)
+        c, s = was & 7, was >> 3
+        guess = np.where(c[1], s[1], s[0])
+        row = self.rows[:, :k] + c
+        row[0] += (s[0] != guess) * 8
+        p = self.right.take(row)
+        lead = p[0] - p[1]
+        return guess, p[1] + ((lead * self.weight[:k]) >> ODDS), (at, c, s, row, p, lead)
+
+    def learn(self, places: np.ndarray, hit: np.ndarray, told: tuple, k: int) -> None:
+        at, c, s, row, p, lead = told
+        goal = hit * FROM_TO
+        goal += LOWEST
+        self.right[row.ravel()] = (p + ((goal - p) >> 5)).ravel()
         w = self.weight[:k]
         w += np.where(hit, lead, -lead) >> 5
         np.maximum(w, LOWEST, out=w)
         np.minimum(w, LOWEST + FROM_TO, out=w)
-        id2 = e2 & 0xFFFF
-        self.seen[0][h1] = GROWN.take(c1 + c1 + (id1 == ids)) | np.where(c1 > 1, id1, ids)
-        self.seen[1][h2] = GROWN.take(c2 + c2 + (id2 == ids)) | np.where(c2 > 1, id2, ids)
-        now = (ids.astype(np.uint32) + ONE) * SPREAD
-        self.contexts = [self.slot0[:k] + (now >> TOP), self.slot0[:k] + (((now ^ (self.last[:k] >> FIVE)) * SPREAD) >> TOP)]
-        self.last = now
-
-    def narrow(self, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
-        """Takes the part [start, start + size) of 1 << (PRIOR + ODDS) of the ranges; the lanes that can move 16 bits on."""
-        unit = self.width[:k] >> U(PRIOR + ODDS)
-        self.low[:k] += unit * start.astype(U)
-        self.width[:k] = unit * size.astype(U)
-        return np.flatnonzero(self.full(self.low[:k], self.width[:k]))
-
-    @staticmethod
-    def full(low: np.ndarray, width: np.ndarray) -> np.ndarray:
-        """Whether the top 16 bits are settled, or the range has become so small that it is cut until they are."""
-        return ((low ^ (low + width)) < U(1 << 48)) | (width < U(1 << 40))
-
-    def shift(self, idx: np.ndarray) -> np.ndarray:
-        x, w = self.low[idx], self.width[idx]
-        w = np.where((x ^ (x + w)) < U(1 << 48), w, (U(0) - x) & U((1 << 40) - 1))
-        x, w = x << U(16), w << U(16)
-        self.low[idx], self.width[idx] = x, w
-        self.at[idx] += 1
-        return idx[self.full(x, w)]
+        now = np.where(c > 1, s, places) << 3
+        now |= GROWN.take(c + c + (s == places))
+        self.seen[at.ravel()] = now.ravel()
+        one = (places.view(np.uint32) + ONE) * SPREAD
+        two = ((one ^ (self.last[:k] >> FIVE)) * SPREAD) >> TOP
+        self.last, one = one, one >> TOP
+        self.contexts = self.slots[:, :k].copy()
+        self.contexts[0] += one
+        self.contexts[1] += two
+
+    def narrow(self, start: np.ndarray, size: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Takes the part [start, start + size) of 1 << (bits + ODDS) of the ranges.
+
+        Ranges that have become smaller than 1 << 32 move 32 bits on, cut before if they reach over a multiple of 1 << 32.
+        Returns those lanes, the bits that leave, and the place of these among the lane's words.
+        """
+        low, width = self.low[:k], self.width[:k]
+        width >>= U(bits + ODDS)
+        low += width * start
+        width *= size
+        idx = np.flatnonzero(width <= WORD)
+        x, at = low.take(idx), self.at.take(idx)
+        low[idx] = x << WORD_BITS
+        width[idx] = np.minimum(width.take(idx), WORD - (x & WORD) + U(1)) << WORD_BITS
+        self.at[idx] = at + 1
+        return idx, (x >> WORD_BITS).astype(np.uint32), at
 
 
 def by_length(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,70 +161,70 @@ def by_length(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield some, np.searchsorted(-lengths[some], -np.arange(lengths[some[0]]), side="left")
 
 
-def encode_blocks(blocks: list[np.ndarray], prior: Prior) -> list[bytes]:
-    """Each block of ids as 16-bit words."""
-    out: list[bytes] = [b""] * len(blocks)
-    lengths = np.array([len(b) for b in blocks], np.int64)
-    for some, going in by_length(lengths) if len(blocks) else ():
+def encode_blocks(places: np.ndarray, prior: Prior) -> list[np.ndarray]:
+    """The 32-bit words of each block of BLOCK places."""
+    lengths = np.full(-(-len(places) // BLOCK), BLOCK, np.int64)
+    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(lengths)
+    if len(lengths):
+        lengths[-1] -= len(lengths) * BLOCK - len(places)
+    for some, going in by_length(lengths):
         n, most = len(some), int(lengths[some[0]])
         ids = np.zeros((most, n), np.int32)
         for lane, b in enumerate(some):
-            ids[: lengths[b], lane] = blocks[b]
-        m, words = Lanes(n), np.zeros((n, 2 * most + 8), np.uint16)
-        for t in range(most):
-            k = int(going[t])
+            ids[: lengths[b], lane] = places[b * BLOCK : b * BLOCK + lengths[b]]
+        m, words = Lanes(n), np.zeros((n, most + 3), np.uint32)  # a step sends a word at most
+        for t, k in enumerate(going.tolist()):
             now = ids[t, :k]
             guess, p, told = m.predict(k)
             hit = guess == now
-            idx = m.narrow(*prior.part(now, hit, p), k)
+            idx, word, at = m.narrow(*prior.part(now, hit, p), k, prior.bits)
+            words[idx, at] = word
             m.learn(now, hit, told, k)
-            while len(idx):
-                words[idx, m.at[idx]] = (m.low[idx] >> U(48)).astype(np.uint16)
-                idx = m.shift(idx)
+        lanes = np.arange(n)
+        words[lanes, m.at], words[lanes, m.at + 1] = (m.low >> WORD_BITS).astype(np.uint32), (m.low & WORD).astype(np.uint32)
         for lane, b in enumerate(some):
-            end = words[lane, : m.at[lane]].tolist() + [int(m.low[lane]) >> s & 0xFFFF for s in (48, 32, 16, 0)]
-            out[b] = np.array(end, "<u2").tobytes()
+            out[b] = words[lane, : m.at[lane] + 2].copy()
     return out
 
 
-def decode_blocks(packed: list[np.ndarray], lengths: np.ndarray, prior: Prior) -> list[np.ndarray]:
-    """The blocks' ids from their 16-bit words."""
-    out: list[np.ndarray] = [np.empty(0, np.uint16)] * len(packed)
-    for some, going in by_length(lengths) if len(packed) else ():
-        n, most = len(some), int(lengths[some[0]])
-        words = np.zeros((n, max(len(packed[b]) for b in some) + 8), np.uint16)
+def decode_blocks(packed: list[np.ndarray], lengths: np.ndarray, prior: Prior) -> np.ndarray:
+    """The places of all blocks, one after the other, from their words."""
+    out, starts = np.empty(int(lengths.sum()), np.int32), np.cumsum(lengths) - lengths
+    for some, going in by_length(lengths):
+        n, most, bits = len(some), int(lengths[some[0]]), prior.bits
+        words = np.zeros((n, max(len(packed[b]) for b in some) + 3), np.uint32)
         for lane, b in enumerate(some):
             words[lane, : len(packed[b])] = packed[b]
-        m, ids = Lanes(n), np.zeros((most, n), np.uint16)
-        code = (words[:, 0].astype(U) << U(48)) | (words[:, 1].astype(U) << U(32)) | (words[:, 2].astype(U) << U(16)) | words[:, 3].astype(U)
-        for t in range(most):
-            k = int(going[t])
+        m, ids = Lanes(n), np.zeros((most, n), np.int32)
+        code, last = (words[:, 0].astype(U) << WORD_BITS) | words[:, 1].astype(U), words.shape[1] - 1
+        for t, k in enumerate(going.tolist()):
             guess, p, told = m.predict(k)
-            v = np.minimum((code[:k] - m.low[:k]) // (m.width[:k] >> U(PRIOR + ODDS)), U((1 << (PRIOR + ODDS)) - 1)).astype(np.int32) - (p << PRIOR)
+            v = ((code[:k] - m.low[:k]) // (m.width[:k] >> U(bits + ODDS))).view(np.int64)
+            wide = p.astype(np.int64)
+            np.minimum(v, (1 << (bits + ODDS)) - 1, out=v)
+            v -= wide << bits
             hit = v < 0
-            now = np.where(hit, guess, prior.found.take((np.maximum(v, 0) / ((1 << ODDS) - p)).astype(np.int32)))  # exact: both are small whole numbers
-            idx = m.narrow(*prior.part(now, hit, p), k)
+            np.maximum(v, 0, out=v)
+            now = np.where(hit, guess, prior.found.take((v / ((1 << ODDS) - wide)).astype(np.int64)))  # exact: both are small whole numbers
+            idx, _, at = m.narrow(*prior.part(now, hit, p), k, bits)
+            code[idx] = (code.take(idx) << WORD_BITS) | words[idx, np.minimum(at + 2, last)]
             m.learn(now, hit, told, k)
-            while len(idx):
-                code[idx] = (code[idx] << U(16)) | words[idx, np.minimum(m.at[idx] + 4, words.shape[1] - 1)].astype(U)
-                idx = m.shift(idx)
             ids[t, :k] = now
         for lane, b in enumerate(some):
-            out[b] = ids[: lengths[b], lane]
+            out[starts[b] : starts[b] + lengths[b]] = ids[: lengths[b], lane]
     return out
 
 
-def packed_shard(keys: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """A shard file's bytes."""
-    if ids.size and int(ids.max()) > 0xFFFF:
-        raise ValueError("this format holds ids below 65536")
-    ids = ids.astype(np.uint16)
-    blocks, prior = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)], Prior.of(ids)
-    packed, order0 = encode_blocks(blocks, prior), prior.packed()
-    table = np.array([(len(b), len(p) // 2, zlib.crc32(b.astype("<u2").tobytes())) for b, p in zip(blocks, packed, strict=True)], "<u4").reshape(-1, 3)
+def packed_shard(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A shard file's bytes. ids: uint32."""
+    prior, places = Prior.of(ids)
+    packed, order0 = encode_blocks(places, prior), prior.packed()
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    sums = [zlib.crc32(raw[4 * i : 4 * (i + BLOCK)]) for i in range(0, len(ids), BLOCK)]
+    table = np.array([(min(BLOCK, len(ids) - BLOCK * i), len(p), c) for i, (p, c) in enumerate(zip(packed, sums, strict=True))], "<u4").reshape(-1, 3)
     return b"".join([
-        MAGIC, struct.pack("<5Q", len(keys), len(ids), len(blocks), BLOCK, len(order0)), table.tobytes(), np.array([k or 0 for k in keys], "<i8").tobytes(),
-        np.array([k is not None for k in keys], np.uint8).tobytes(), np.array(lengths, "<u4").tobytes(), order0, *packed,
+        MAGIC, struct.pack("<6Q", len(keys), len(ids), len(packed), BLOCK, len(order0), prior.bits), table.tobytes(), np.array([k or 0 for k in keys], "<i8").tobytes(),
+        np.array([k is not None for k in keys], np.uint8).tobytes(), np.asarray(lengths).astype("<u4").tobytes(), order0, *(p.astype("<u4").tobytes() for p in packed),
     ])
 
 
@@ -217,72 +232,174 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Keys, numbers of ids, and ids of a shard file; raises if a block's checksum is wrong."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    docs, _, blocks, _, order0 = struct.unpack_from("<5Q", data, 8)
-    at = 48
+    docs, _, blocks, _, order0, bits = struct.unpack_from("<6Q", data, 8)
+    at = 56
     table = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
     at += 12 * blocks
     keys = np.frombuffer(data, "<i8", docs, at).tolist()
     has = np.frombuffer(data, np.uint8, docs, at + 8 * docs)
     lengths = np.frombuffer(data, "<u4", docs, at + 9 * docs)
     at += 13 * docs
-    prior = Prior.unpacked(data[at : at + order0])
-    ends = at + order0 + 2 * np.cumsum(table[:, 1])
-    packed = [np.frombuffer(data, "<u2", int(w), int(e - 2 * w)) for w, e in zip(table[:, 1], ends, strict=True)]
-    found = decode_blocks(packed, table[:, 0], prior)
-    for b, crc in zip(found, table[:, 2], strict=True):
-        if zlib.crc32(b.astype("<u2").tobytes()) != crc:
+    prior = Prior.unpacked(data[at : at + order0], bits)
+    ends = at + order0 + 4 * np.cumsum(table[:, 1])
+    packed = [np.frombuffer(data, "<u4", int(w), int(e - 4 * w)) for w, e in zip(table[:, 1], ends, strict=True)]
+    ids = prior.ids.take(decode_blocks(packed, table[:, 0], prior))
+    raw, start = memoryview(ids).cast("B"), 0
+    for n, crc in zip(table[:, 0].tolist(), table[:, 2].tolist(), strict=True):
+        if zlib.crc32(raw[4 * start : 4 * (start + n)]) != crc:
             raise ValueError("a block's checksum is wrong")
-    return [k if h else None for k, h in zip(keys, has, strict=True)], lengths.astype(np.int64), np.concatenate([np.empty(0, np.uint16), *found])
+        start += n
+    return [k if h else None for k, h in zip(keys, has, strict=True)], lengths.astype(np.int64), ids
+
+
+def cuts(points: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Which characters begin a pretoken, by the usual pattern of byte-level BPE; at heads a text begins anew."""
+    c = CLASSES.take(points)
+    c[heads] = RESET
+    before, after = np.concatenate(([RESET], c[:-1])), np.concatenate((c[1:], [RESET]))
+    joins = np.concatenate(([False], points[:-1] == 32))  # after a space, which goes with what follows
+    joins[heads[heads < len(joins) - 1] + 1] = False
+    begins = np.where(c == WHITE_MORE, (before != WHITE_MORE) | (after <= OTHER), (c != before) & ~joins)
+    begins[heads] = True
+    quote = np.flatnonzero((points == 39) & begins)
+    if len(quote):
+        ahead = np.concatenate((points, np.zeros(3, points.dtype)))
+        one, two = ahead[quote + 1], ahead[quote + 2]
+        short = np.isin(one, [ord(x) for x in CONTRACTIONS[1]])
+        long = np.logical_or.reduce([(one == ord(a)) & (two == ord(b)) for a, b in CONTRACTIONS[2]])
+        begins = np.concatenate((begins, np.zeros(3, bool)))
+        begins[quote[short | long] + 1] = False
+        begins[quote[short] + 2] = True
+        begins[quote[long] + 2] = False
+        begins[quote[long] + 3] = True
+    return begins[: len(points)]
+
+
+assert (LETTER, NUMBER, OTHER) == (0, 1, 2)
+CLASSES = np.empty(0, np.uint8)
 
 
 class Encoder:
-    """A text's ids as the tokenizers library gives them. The library encodes each pretoken alone, so pretokens met before are looked up."""
+    """Texts' ids as the tokenizers library gives them. It encodes each pretoken alone, so its model is asked for those not met before.
+
+    About MOST pretokens that were met are kept at most, of MOST_BYTES each at most: 60 MB.
+    """
 
-    MOST = 250_000
+    MOST, MOST_BYTES = 300_000, 100
 
     def __init__(self, path: str):
+        global CLASSES
         from tokenizers import Tokenizer
-
-        import regex
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         with open(path) as f:
             told = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.merge, self.letters = self.library.model.tokenize, {b: ord(c) for c, b in byte_letters().items()}
         pre, model = told.get("pre_tokenizer") or {}, told["model"]
         plain = told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
         added = [a["content"] for a in told.get("added_tokens", []) if not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"])]
         #: Only for byte-level BPE with the usual pattern; other tokenizers encode whole texts.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall if plain and len(added) == len(told.get("added_tokens", [])) else None
-        self.added = {a["content"]: np.array([a["id"]], "<u4").tobytes() for a in told.get("added_tokens", [])}
+        self.plain = bool(plain and len(added) == len(told.get("added_tokens", [])))
+        if self.plain and not len(CLASSES):
+            CLASSES = classes()
+        self.merger = Tokenizer(self.library.model)
+        self.merger.pre_tokenizer = CharDelimiterSplit("\n")
+        self.letters, vocab = np.full(256, ord("\n"), "<u2"), self.library.get_vocab()
+        self.length = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, i in vocab.items():
+            self.length[i] = len(token)
+        for letter, byte in byte_letters().items():
+            if byte < 0xFF:  # which no UTF-8 text has: here it stands between pretokens
+                self.letters[byte] = ord(letter)
+        self.added = {a["content"]: a["id"] for a in told.get("added_tokens", [])}
         self.parts = re.compile("(" + "|".join(re.escape(a) for a in sorted(added, key=len, reverse=True)) + ")").split if added else lambda t: [t]
-
-    def pretoken(self, word: str) -> bytes:
-        """A pretoken's ids from the library's model, which takes its bytes spelt as letters."""
-        return array("I", [t.id for t in self.merge(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]).tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        if not self.split:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        known, out = self.known, []
-        for part in self.parts(text):
-            if part in self.added:
-                out.append(self.added[part])
-                continue
-            words = self.split(part)
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                if len(known) > self.MOST:  # of the older half only what is met again comes back
-                    self.old, self.known = known, {}
-                    known = self.known
-                for w in words:
-                    if w not in known:
-                        known[w] = self.old.get(w) or self.pretoken(w)
-                out.append(b"".join(map(known.__getitem__, words)))
-        return np.frombuffer(b"".join(out), "<u4")
+        self.forget()
+
+    def forget(self) -> None:
+        """Number 0 is a head, 1 ... the added tokens, then pretokens as they come: where their ids begin and how many they are."""
+        self.known: dict[bytes, int] = {}
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), len(self.added)
+        self.first, self.size = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.ids[: self.used] = list(self.added.values())
+        self.first[1 : self.used + 1], self.size[1 : self.used + 1] = range(self.used), 1
+        self.number = {a: i for i, a in enumerate(self.added, 1)}
+        self.count = self.used + 1
+
+    def learn(self, words: list[bytes]) -> list[int]:
+        """Numbers of pretokens. The library's model is asked for new ones, all at once, their bytes spelt as letters, a line for each."""
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        known.update(zip(new, range(self.count, self.count + len(new)), strict=True))
+        lines = self.letters.take(np.frombuffer(b"\xff".join(new), np.uint8)).tobytes().decode("utf-16-le")
+        ids = np.array(self.merger.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
+        ends, reach = np.cumsum([len(w) for w in new]), np.cumsum(self.length.take(ids))
+        if len(new) and (not len(ids) or ends[-1] != reach[-1]):  # the vocabulary lacks a byte, so lengths don't tell whose ids are whose
+            sizes = np.bincount(np.array(self.merger.encode(lines, add_special_tokens=False).word_ids, np.int64), minlength=len(new))
+        else:
+            sizes = np.diff(np.searchsorted(reach, ends, side="right"), prepend=0)
+        numbers = [known[w] for w in words]
+        self.ids, self.first, self.size = roomy(self.ids, self.used + len(ids)), roomy(self.first, self.count + len(sizes)), roomy(self.size, self.count + len(sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[self.count : self.count + len(sizes)] = sizes
+        self.first[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.count = self.used + len(ids), self.count + len(sizes)
+        return numbers
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        if not self.plain:
+            found = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            return np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64)
+        pieces, numbers, firsts = [], [], []
+        for t in texts:
+            firsts.append(len(pieces))
+            for p in self.parts(t) if any(a in t for a in self.added) else (t,):
+                n = self.number.get(p, 0)
+                pieces.append("" if n else p)
+                numbers.append(n)
+        if not pieces:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        joined = "\0" + "\0".join(pieces)
+        sizes = np.array([len(p) + 1 for p in pieces], np.int64)
+        heads = np.cumsum(sizes) - sizes
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.flatnonzero(cuts(points, heads))
+        own = np.searchsorted(starts, heads)  # the words that are heads
+        raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        if len(raw) > len(points):
+            starts = np.flatnonzero((raw & 0xC0) != 0x80).take(starts)
+        words = parted(raw, starts)
+        w = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        w[own] = numbers
+        missing, long = np.flatnonzero(w < 0), set()
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            w[missing] = self.learn(new)
+            long = {x for x in new if len(x) > self.MOST_BYTES}
+        size = self.size.take(w)
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.ids.take(np.repeat(self.first.take(w) - ends + size, size) + np.arange(int(ends[-1])))
+        for x in long:
+            del self.known[x]
+        if self.count > self.MOST or self.used > 8 * self.MOST:
+            self.forget()
+        edges, totals = np.concatenate((own[firsts], [len(w)])), np.concatenate(([0], ends))
+        return ids, totals[edges[1:]] - totals[edges[:-1]]
+
+
+def roomy(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate((a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)))
+
+
+def parted(raw: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The bytes from each start to the next. 0xFF stands in no UTF-8 text, so it can mark the cuts."""
+    marked = np.empty(len(raw) + len(starts), np.uint8)
+    at = starts + np.arange(len(starts))
+    text = np.ones(len(marked), bool)
+    text[at] = False
+    marked[at] = 0xFF
+    marked[text] = raw
+    return marked.tobytes()[1:].split(b"\xff")
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -290,7 +407,9 @@ ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One for each Python worker."""
-    return ENCODERS.setdefault(path, None) or ENCODERS.__setitem__(path, Encoder(path)) or ENCODERS[path]
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = None, folder: str | None = None, shard_bytes: int = 16 << 20) -> str:
@@ -307,8 +426,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", t
     docs = docs.withColumn("shard", shard_of(F.col("key"), bounds)).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "text")
 
     def write(batches):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc, store = encoder(tokenizer), located(folder)
         shard, keys, lengths, ids = None, [], [], []
@@ -316,25 +433,34 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", t
         def flush() -> pa.RecordBatch:
             temp = f"_temporary/{uuid.uuid4().hex}"
             store[0].create_dir(f"{store[1]}/_temporary", recursive=True)
-            data = packed_shard(keys, lengths, np.concatenate([np.empty(0, np.uint32), *ids]))
+            whole = np.concatenate(ids)
+            ids.clear()
+            data = packed_shard(keys, np.concatenate(lengths), whole)
             with store[0].open_output_stream(f"{store[1]}/{temp}") as out:
                 out.write(data)
-            return pa.RecordBatch.from_pylist([{"shard": shard, "temp": temp, "name": f"shard-{shard:06d}.tok", "documents": len(keys), "ids": sum(lengths), "bytes": len(data)}])
+            return pa.RecordBatch.from_pylist([{"shard": shard, "temp": temp, "name": f"shard-{shard:06d}.tok", "documents": len(keys), "ids": len(whole), "bytes": len(data)}])
 
-        end = np.array([] if end_id is None else [end_id], np.uint32)
         for b in batches:
-            for k, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if s != shard and keys:
+            shards = b.column(2).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                if shards[i] != shard and keys:
                     yield flush()
-                    keys, lengths, ids = [], [], []
-                shard = s
-                keys.append(k)
-                ids.append(np.concatenate((enc.ids(t), end)))
-                lengths.append(len(ids[-1]))
+                    keys, lengths = [], []
+                shard = int(shards[i])
+                found, sizes = enc.encode(b.column(1).slice(i, j - i).to_pylist())
+                if end_id is not None:
+                    found, sizes = np.insert(found, np.cumsum(sizes), end_id), sizes + 1
+                keys += b.column(0).slice(i, j - i).to_pylist()
+                lengths.append(sizes)
+                ids.append(found)
         if keys:
             yield flush()
 
-    files = sorted((r.asDict() for r in docs.mapInArrow(write, "shard long, temp string, name string, documents long, ids long, bytes long").collect()), key=lambda f: f["name"])  # no sort in Spark: its sample would run the writer twice
+    with small_batches(spark):
+        files = sorted((r.asDict() for r in docs.mapInArrow(write, "shard long, temp string, name string, documents long, ids long, bytes long").collect()), key=lambda f: f["name"])  # no sort in Spark: its sample would run the writer twice
     store, root = located(folder)
     store.create_dir(root, recursive=True)
     return commit_files(spark, folder, files)
@@ -356,10 +482,10 @@ def read_token_files(spark, folder: str, *, ids: bool = False) -> DataFrame:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(f"{root}/{name}", compression=None) as f:
                     keys, lengths, found = read_shard(f.read())
-                ends = np.cumsum(lengths)
-                raw = [found[e - n : e].astype("<u4") for n, e in zip(lengths, ends, strict=True)]
-                cols = [pa.array(keys, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(r.tobytes()) for r in raw], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, *([pa.array([r.tolist() for r in raw], pa.list_(pa.int64()))] if ids else [])], ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if ids else [])])
+                edges = np.concatenate(([0], np.cumsum(lengths)))
+                raw, at = memoryview(found.astype("<u4", copy=False)).cast("B"), (4 * edges).tolist()
+                cols = [pa.array(keys, pa.int64()), pa.array(start + edges[:-1]), pa.array(lengths), pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(found, pa.int64()))] if ids else [])], ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if ids else [])])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
     return spark.createDataFrame(rows, "name string, start long").repartition(max(1, len(rows)), "name").mapInArrow(read, schema)

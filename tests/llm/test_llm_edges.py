@@ -128,7 +128,7 @@ def test_token_files(spark, docs, empty):
 
 def test_range_coder():
     rng = np.random.default_rng(2)
-    for ids in (np.zeros(0), np.array([65535]), rng.integers(0, 65536, 9000), np.full(9000, 7), np.arange(20_000) % 300, rng.zipf(1.3, 30_000) % 50_000):
+    for ids in (np.zeros(0), np.array([65535]), np.array([2**32 - 1, 7, 7, 200_000]), np.arange(300_000)[::-1], rng.integers(0, 65536, 9000), np.full(9000, 7), np.arange(20_000) % 300, rng.zipf(1.3, 30_000) % 50_000):
         data = token_files.packed_shard([1, None], [len(ids), 0], ids.astype(np.uint32))
         keys, lengths, back = token_files.read_shard(data)
         assert keys == [1, None] and lengths.tolist() == [len(ids), 0] and (back == ids).all()
@@ -141,6 +141,20 @@ def test_range_coder():
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
+def test_encoder_of_any_text():
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng, t, e = random.Random(5), Tokenizer.from_file(Q.tokenizer_path()), token_files.encoder(Q.tokenizer_path())
+    parts = ["'", "'s", "'re", "'ll", "'d", " ", "  ", "\n", "\t", "a", "the", "é", "ß", "日本", "1", "23", "½", "!", "...", "<|endoftext|>", "\u3000", "\x00", "\x85", "I", "'S", "_", "😀", "\u0301", "\r\n", "x" * 150]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    for _ in range(2):
+        ids, sizes = e.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode([])[0].tolist() == []
+
+
     t = Tokenizer.from_file(Q.tokenizer_path())
     want = sorted(repr((r[0], len((r[1] or "").encode()), n := len(t.encode(r[1] or "", add_special_tokens=False).ids), n > 1024)) for r in ROWS)
     assert sorted_rows(token_counts.report(docs, Q.tokenizer_path())) == want
