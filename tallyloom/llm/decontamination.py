@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +10,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import fresh_name
+from tallyloom.llm.shared import discard, fresh_name, kept
 
 #: Of ASCII, 0-9 and a-z are parts of words, A-Z too in lower case; so is all else from U+0080 on.
 WORD_BYTES = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
-#: Words of benchmark items that one scan may hold; a larger benchmark is scanned for in several passes over the same rows.
-BLOCK_WORDS = 4_000_000
+#: Bytes that the windows of one scan may take, about, in each Python worker; a larger benchmark is scanned for block by block.
+BLOCK_BYTES = 64 << 20
+#: What a word of a block takes (a word id, a hash, a place and an item), and what a distinct word takes besides.
+PER_WORD, PER_DISTINCT = 24, 150
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -24,18 +26,32 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of items: word ids, hashes of windows by length, and the items of each window."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int):
-        self.ids: dict[bytes, int] = {}
-        by: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, words in items:
-            own = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in words)
-            n = min(size, len(own))
-            for i in range(len(own) - n + 1) if n else ():
-                by.setdefault(n, {}).setdefault(own[i : i + n], set()).add(item)
-        self.by = by
-        self.hashes = {n: np.unique(np.array([self.rolled(np.array(w, np.int64), n)[0] for w in found], np.uint64)) for n, found in by.items()}
+    """The windows of a block of items in flat arrays: all items' word ids end to end, and by length the windows' hashes in order, places, and items.
+
+    items: id (null: an item without one) and words. An item's windows are those of size words; of fewer words, all of them are one window.
+    """
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int):
+        self.words: dict[bytes, int] = {}
+        self.items = [i for i, _ in items]
+        self.flat = np.array([self.words.setdefault(w, len(self.words) + 1) for _, own in items for w in own], np.int32)
+        lengths = np.array([len(own) for _, own in items], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        self.by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(lengths, size)).tolist():
+            some = np.flatnonzero(np.minimum(lengths, size) == n)
+            if not n:
+                continue
+            each = lengths[some] - n + 1
+            item = np.repeat(some, each)
+            at = np.repeat(starts[some] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+            hashes = self.rolled(self.flat, n)[at]
+            order = np.lexsort((item, hashes))
+            hashes, at, item = hashes[order], at[order], item[order]
+            again = np.concatenate(([False], (hashes[1:] == hashes[:-1]) & (item[1:] == item[:-1])))
+            for k in range(n):  # a window that an item has twice is listed once
+                again[1:] &= self.flat[at[1:] + k] == self.flat[at[:-1] + k]
+            self.by[n] = hashes[~again], at[~again].astype(np.int32 if len(self.flat) < 1 << 31 else np.int64), item[~again].astype(np.int32)
 
     @staticmethod
     def rolled(ids: np.ndarray, n: int) -> np.ndarray:
@@ -47,11 +63,11 @@ class Windows:
             h = h * np.uint64(0x100000001B3) + x[j : j + len(h)]
         return h
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str | None]]:
         """Which of the words lie in an occurrence of a window, and the items of those windows."""
-        get, hit, items = self.ids.get, np.zeros(len(words), bool), set()
+        get, hit, items = self.words.get, np.zeros(len(words), bool), set()
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        for n, hashes in self.hashes.items():
+        for n, (hashes, places, owner) in self.by.items():
             if len(ids) < n:
                 continue
             known = np.concatenate(([0], np.cumsum(ids > 0)))
@@ -60,25 +76,30 @@ class Windows:
                 continue
             h = self.rolled(ids, n)[starts] if len(starts) * 4 > len(ids) else np.array([self.rolled(ids[s : s + n], n)[0] for s in starts], np.uint64)
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for s in starts[hashes[at] == h]:
-                if found := self.by[n].get(tuple(ids[s : s + n].tolist())):  # the hash only proposes
+            for s, a, own in zip(*(x[hashes[at] == h] for x in (starts, at, h)), strict=True):
+                b = a + np.searchsorted(hashes[a:], own, side="right")
+                same = (self.flat[places[a:b, None] + np.arange(n)] == ids[s : s + n]).all(axis=1)  # the hash only proposes
+                if same.any():
                     hit[s : s + n] = True
-                    items |= found
+                    items.update(self.items[i] for i in owner[a:b][same].tolist())
         return hit, items
 
 
-def blocks(benchmark: DataFrame, size: int, item: str, text: str, block_words: int) -> list[Windows]:
-    """The benchmark as blocks of at most block_words words (an item isn't split). It streams to the driver item by item."""
-    out, block, have = [], [], 0
+def blocks(benchmark: DataFrame, size: int, item: str, text: str, block_bytes: int) -> Iterator[Windows]:
+    """The benchmark in blocks of about block_bytes (an item isn't split), one at a time. It streams to the driver item by item."""
+    block, words, have, none = [], set(), 0, True
     for r in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).orderBy("i", "t").toLocalIterator():
-        words = words_of(r.t)
-        if not words or r.i is None:
+        own = words_of(r.t)
+        if not own:
             continue
-        if block and have + len(words) > block_words:
-            out, block, have = [*out, Windows(block, size)], [], 0
-        block.append((r.i, words))
-        have += len(words)
-    return [*out, Windows(block, size)] if block or not out else out
+        if block and have + PER_WORD * len(own) + PER_DISTINCT * len(words) > block_bytes:
+            yield Windows(block, size)
+            block, words, have, none = [], set(), 0, False
+        block.append((r.i, own))
+        words.update(own)
+        have += PER_WORD * len(own)
+    if block or none:
+        yield Windows(block, size)
 
 
 #: Of a text: number of words, positions of hit words as [start, end) spans of words, items with occurring windows.
@@ -91,49 +112,54 @@ def runs(hit: np.ndarray) -> list[dict]:
     return [{"start": int(a), "stop": int(b)} for a, b in edges.reshape(-1, 2)]
 
 
+def in_order(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 def scanner(sent: Broadcast) -> Callable:
-    """The scan for one broadcast block, as a function of columns."""
+    """The scan for one broadcast block, as a function of the text's column and that of what earlier blocks found (null: nothing)."""
 
     @F.arrow_udf(SCAN)
-    def scan(texts: pa.Array) -> pa.Array:
+    def scan(texts: pa.Array, before: pa.Array) -> pa.Array:
         own, out = sent.value, []
-        for t in texts.to_pylist():
+        for t, old in zip(texts.to_pylist(), before.to_pylist(), strict=True):
             words = words_of(t)
             hit, items = own.scan(words)
-            out.append({"n_words": len(words), "spans": runs(hit) if items else [], "items": sorted(items)})
+            if old:
+                items.update(old["items"])
+                for s in old["spans"]:
+                    hit[s["start"] : s["stop"]] = True
+            out.append({"n_words": len(words), "spans": runs(hit) if items else [], "items": in_order(items)})
         return pa.array(out, SCAN_TYPE)
 
     return scan
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, name: str, *, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with a struct column (see SCAN) under the given name. No shuffle: each pass over the rows has one broadcast block.
+def scanned(docs: DataFrame, benchmark: DataFrame, name: str, *, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with a struct column (see SCAN) under the given name. No shuffle: a pass over the rows has one broadcast block.
 
-    A null or wordless text has no words and no hits; a null item_id or wordless item takes no part; items with the
-    same id count once. Other columns pass through.
+    A benchmark of more than one block takes a pass for each; the rows are written to the shared folder between passes, so
+    no task and no driver holds two blocks. A null or wordless text has no words and no hits; a wordless item takes no part;
+    items with the same id count once, and those without an id count as one, listed as null at the end. Other columns pass through.
     """
-    sc = docs.sparkSession.sparkContext
-    parts = [scanner(sc.broadcast(w))(F.col(text)) for w in blocks(benchmark, size, item, item_text, block_words)]
-    if len(parts) == 1:
-        return docs.withColumn(name, parts[0])
-
-    @F.arrow_udf(SCAN)
-    def joined(all_parts: pa.Array) -> pa.Array:
-        out = []
-        for row in all_parts.to_pylist():
-            hit, items = np.zeros(row[0]["n_words"], bool), set()
-            for p in row:
-                items.update(p["items"])
-                for s in p["spans"]:
-                    hit[s["start"] : s["stop"]] = True
-            out.append({"n_words": len(hit), "spans": runs(hit), "items": sorted(items)})
-        return pa.array(out, SCAN_TYPE)
-
-    return docs.withColumn(name, joined(F.array(*parts)))
+    sc, out, before = docs.sparkSession.sparkContext, docs, None
+    for own in blocks(benchmark, size, item, item_text, block_bytes):
+        if before is not None:  # a further block: what the one before found is written first
+            done = kept(out, "scanned")
+            before.destroy()
+            if out is not docs and earlier is not None:
+                discard(earlier)
+            out, earlier = done, done
+        else:
+            earlier = None
+        sent = sc.broadcast(own)
+        out = out.withColumn(name, scanner(sent)(F.col(text), F.col(name) if before is not None else F.lit(None).cast(SCAN)))
+        before = sent
+    return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256 (of the ids that there are), contaminated of each document."""
     d = docs.select("doc_id", options.get("text", "text"))
     s = F.col("_scan")
     n_hit = F.aggregate(s["spans"], F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"]))
@@ -146,7 +172,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def without_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no window of the benchmark occurs, whole and as they were."""
     name = fresh_name(docs, "_scan")
-    return scanned(docs, benchmark, name, **options).where(F.size(F.col(name)["items"]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scanned(docs, benchmark, name, **options).where(F.size(F.col(name)["spans"]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
@@ -154,30 +180,32 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
     Texts are scanned again until no window is left, for what remains can join to a new one. A text without hits stays as it was.
     """
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(w) for w in blocks(benchmark, options.get("size", 10), options.get("item", "item_id"), options.get("item_text", "text"), options.get("block_words", BLOCK_WORDS))]
+    own = {k: v for k, v in options.items() if k in ("size", "item", "item_text", "block_bytes")}
+    name = fresh_name(docs, "_scan")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
 
     @F.arrow_udf("string")
-    def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([cut_spans(t, [b.value.scan for b in sent]) for t in texts.to_pylist()], pa.string())
-
-    return docs.withColumn(text, cut(F.col(text)))
-
-
-def cut_spans(text: str | None, scans: list[Callable]) -> str | None:
-    while text:
-        raw = text.encode("utf-8", "surrogatepass")
-        words = words_of(text)
-        hit = np.zeros(len(words), bool)
-        for scan in scans:
-            hit |= scan(words)[0]
-        if not hit.any():
-            break
-        is_word = np.frombuffer(raw.translate(WORD_BYTES), np.uint8) != 0x20
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], is_word.view(np.int8), [0])))).reshape(-1, 2)
-        keep, at = [], 0
-        for s in runs(hit):
-            keep.append(raw[at : edges[s["start"], 0]])
-            at = edges[s["stop"] - 1, 1]
-        text = (b"".join(keep) + raw[at:]).decode("utf-8", "surrogatepass")
-    return text
+    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+        return pa.array([cut_spans(t, s["spans"]) if s["spans"] else t for t, s in zip(texts.to_pylist(), found.to_pylist(), strict=True)], pa.string())
+
+    clean = None
+    while True:
+        d = kept(scanned(docs, benchmark, name, text=text, **own), "spans")
+        done = d.where(F.size(F.col(name)["spans"]) == 0).select(*columns)
+        clean = done if clean is None else clean.unionByName(done)
+        left = d.where(F.size(F.col(name)["spans"]) > 0)
+        if not left.head(1):
+            return clean
+        docs = kept(left.withColumn(text, cut(F.col(text), F.col(name))).select(*columns), "cut")
+
+
+def cut_spans(text: str, spans: list[dict]) -> str:
+    """text without the words of the spans and what stands between them."""
+    raw = text.encode("utf-8", "surrogatepass")
+    is_word = np.frombuffer(raw.translate(WORD_BYTES), np.uint8) != 0x20
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], is_word.view(np.int8), [0])))).reshape(-1, 2)
+    keep, at = [], 0
+    for s in spans:
+        keep.append(raw[at : edges[s["start"], 0]])
+        at = edges[s["stop"] - 1, 1]
+    return (b"".join(keep) + raw[at:]).decode("utf-8", "surrogatepass")

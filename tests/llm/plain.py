@@ -10,7 +10,7 @@ def words10(text):
 
 
 def leaks(docs, items, size=10):
-    own = [(str(i), words10(t)) for i, t in items if i is not None]
+    own = [(None if i is None else str(i), words10(t)) for i, t in items]
     out = []
     for d, t in docs:
         w, hit, met = words10(t), set(), set()
@@ -21,7 +21,7 @@ def leaks(docs, items, size=10):
                 if tuple(w[k : k + n]) in grams:
                     met.add(i)
                     hit.update(range(k, k + n))
-        out.append((d, len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(m for m in met if m is not None)).encode()).hexdigest(), bool(hit)))
     return out
 
 

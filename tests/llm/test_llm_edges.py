@@ -51,17 +51,20 @@ ITEMS = [(1, "Six SEVEN eight nine ten eleven twelve thirteen fourteen fifteen s
 def test_decontamination(spark, docs, empty):
     want = sorted(map(repr, plain.leaks([(r[0], r[1]) for r in ROWS], ITEMS)))
     assert sorted_rows(decontamination.report(docs, bench(spark, ITEMS))) == want
-    assert sorted_rows(decontamination.report(docs, bench(spark, ITEMS), block_words=3)) == want  # many blocks
+    assert sorted_rows(decontamination.report(docs, bench(spark, ITEMS), block_bytes=1000)) == want  # many blocks
     assert decontamination.report(empty, bench(spark, ITEMS)).count() == 0
     assert {r.n_hit for r in decontamination.report(docs, bench(spark, [])).collect()} == {0}
 
 
 def test_decontamination_removes(spark, clashing):
-    left = decontamination.without_documents(clashing, bench(spark, ITEMS))
+    named = [i for i in ITEMS if i[0] is not None]
+    left = decontamination.without_documents(clashing, bench(spark, named))
     assert left.columns == clashing.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in ROWS if r[0] not in (1, 8, 9) and r[1] != SENTENCE)
-    cut = {r.doc_id: r.text for r in decontamination.without_spans(clashing, bench(spark, ITEMS)).collect()}
+    cut = {r.doc_id: r.text for r in decontamination.without_spans(clashing, bench(spark, named)).collect()}
     assert cut[1] == "one two three four five  seventeen eighteen nineteen twenty" and cut[8] == "" and cut[5] == LONG and cut[2] is None
+    nameless = decontamination.without_documents(clashing, bench(spark, ITEMS))
+    assert {r.text for r in nameless.collect()}.isdisjoint({SENTENCE, "Short"})
 
 
 def test_line_dedup(spark, empty):
