@@ -11,12 +11,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import ascii_lower, fresh_name, kept
+from tallyloom.llm.shared import ascii_lower, discard, fresh_name, kept
 
-#: Bits that all levels together may have: what is sent to the executors (4 MB).
+#: Bits that a level may have, so that what one pass sends to the executors is small (4 MB a level); a longer rule list is cut
+#: into parts by its keys' hashes, and the pages are judged by one part after the other.
 MOST_BITS = 1 << 25
 #: Fixed by the query: rules as (host and path prefix, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -38,10 +40,10 @@ def path_of(url: Column) -> Column:
 class Level:
     bits: int
     hashes: int
-    words: tuple[int, ...]
+    words: np.ndarray
 
     def takes(self, key: Column, salt: int) -> Column:
-        words = F.array(*[F.lit(w).cast("long") for w in self.words])
+        words = F.lit(self.words)
         out = F.lit(True)
         for p in positions(key, salt, self.bits, self.hashes):
             out = out & (F.getbit(F.get(words, F.call_function("shiftright", p, F.lit(6)).cast("int")), (p % 64).cast("int")) == 1)
@@ -54,16 +56,26 @@ def positions(key: Column, salt: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(h + i * g + i * i, F.lit(bits)) for i in range(hashes)]
 
 
-def level(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
-    """A Bloom filter of the keys, for about this rate of mistakes."""
+def bits_for(count: int, rate: float) -> tuple[int, int]:
+    """Bits and hashes of a Bloom filter of so many keys, for about this rate of mistakes."""
     per_key = max(1.0, -math.log(rate) / math.log(2) ** 2)
     bits = 64 * max(1, math.ceil(count * per_key / 64))
-    hashes = max(1, round(bits / max(count, 1) * math.log(2))) if count * per_key > 64 else max(1, round(per_key * math.log(2)))
-    if bits > MOST_BITS:
-        raise ValueError(f"a level of {bits} bits; at most {MOST_BITS} are sent to executors: split the rule list and apply the parts in turn")
+    return bits, max(1, round(bits / max(count, 1) * math.log(2))) if count * per_key > 64 else max(1, round(per_key * math.log(2)))
+
+
+def level(keys: DataFrame, count: int, rate: float, salt: int) -> Level:
+    """A Bloom filter of the keys, for about this rate of mistakes. The driver gets its words that aren't 0, of 64 bits each."""
+    bits, hashes = bits_for(count, rate)
     at = keys.select(F.explode(F.array(*positions(F.col("key"), salt, bits, hashes))).alias("p"))
-    words = dict(at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("v")).collect())
-    return Level(bits, hashes, tuple(words.get(w, 0) for w in range(bits // 64)))
+    told = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("v")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[told["w"].to_numpy()] = told["v"].to_numpy()
+    return Level(bits, hashes, words)
+
+
+def first_rate(count: int, universe_rows: int) -> float:
+    """Level 1's rate: such that its mistakes are about as many as the listed keys."""
+    return min(0.5, count / (1.4 * max(universe_rows, 1)))
 
 
 @dataclass(frozen=True)
@@ -81,13 +93,13 @@ class Cascade:
 def cascade(listed: DataFrame, universe: DataFrame, universe_rows: int) -> Cascade:
     """A cascade for the column key of both; universe may repeat keys and is scanned once, for level 1's mistakes.
 
-    Level 1's rate is such that those are about as many as the listed keys, so each level's size is bound by the list.
+    Those are about as many as the listed keys, so each level's size is bound by the list.
     """
     listed = listed.select("key").where("key is not null").distinct()
     n = listed.count()
     if not n:
         return Cascade(())
-    levels = [level(listed, n, min(0.5, n / (1.4 * max(universe_rows, 1))), 0)]
+    levels = [level(listed, n, first_rate(n, universe_rows), 0)]
     wrong = kept(universe.select("key").where(levels[0].takes(F.col("key"), 0)).distinct().join(listed, "key", "left_anti"), "mistakes")
     right = listed
     while (k := wrong.count()):
@@ -110,15 +122,15 @@ def keys_of(host: Column, path: Column, labels: int, lengths: list[int]) -> Colu
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.array_sort(keys), lambda k: k["key"]))
 
 
-def judged(pages: DataFrame, rules: DataFrame, name: str, *, url: str = "url", default: str = "allow") -> DataFrame:
+def judged(pages: DataFrame, rules: DataFrame, name: str, *, url: str = "url", default: str = "allow", most_bits: int = MOST_BITS) -> DataFrame:
     """pages with host, path, rule (the longest that fits, else null) and verdict in a struct column of that name.
 
     rules: key (host and path prefix, from the first / on) and verdict (allow or block). A rule fits its host and all
     subdomains if the path starts with the rule's. Of the verdicts of a repeated key block wins. A url that no rule fits, a null
-    one too, gets the default: the cascade finds none of its keys listed.
+    one too, gets the default: the cascade finds none of its keys listed. The driver sees the lengths of the rules' paths.
     """
     rules = rules.select("key", "verdict").where("key is not null and instr(key, '/') > 1").groupBy("key").agg(F.max("verdict").alias("verdict"))
-    shape = rules.agg(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))).alias("labels"), F.collect_set(F.length("key") - F.instr("key", "/") + 1).alias("lengths")).first()
+    shape = rules.agg(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))).alias("labels"), F.collect_set(F.length("key") - F.instr("key", "/") + 1).alias("lengths"), F.count("*").alias("rules")).first()
     lengths = sorted(shape.lengths or [])
     u = pages.withColumn(name, F.struct(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")))
     own = F.col(name)
@@ -127,13 +139,27 @@ def judged(pages: DataFrame, rules: DataFrame, name: str, *, url: str = "url", d
     keys = u.select(keys_of(own["host"], own["path"], shape.labels, lengths).alias("keys"))
     universe = keys.select(F.explode("keys").alias("key"))
     rows = keys.agg(F.sum(F.size("keys"))).first()[0] or 0
-    listed = cascade(rules, universe, rows)
-    blocked = cascade(rules.where("verdict = 'block'"), universe, rows)
-    rule = F.get(F.filter(keys_of(own["host"], own["path"], shape.labels, lengths), listed.holds), F.lit(0))
-    u = u.withColumn(name, F.struct(own["host"].alias("host"), own["path"].alias("path"), rule.alias("rule")))
-    own = F.col(name)
-    verdict = F.when(own["rule"].isNull(), F.lit(default)).when(blocked.holds(own["rule"]), F.lit("block")).otherwise(F.lit("allow"))
-    return u.withColumn(name, F.struct(own["host"].alias("host"), own["path"].alias("path"), own["rule"].alias("rule"), verdict.alias("verdict")))
+    parts = -(-bits_for(shape.rules, first_rate(shape.rules, rows))[0] // most_bits)
+    rules, tables = kept(rules, "rules"), []
+    u = u.withColumn(name, F.struct(own["host"].alias("host"), own["path"].alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
+    for part in range(parts):
+        own_part = lambda key: F.pmod(F.hash(key), F.lit(parts)) == part  # noqa: E731, B023
+        some = rules.where(own_part(F.col("key")))
+        own_keys = universe.where(own_part(F.col("key")))
+        listed, blocked = cascade(some, own_keys, -(-rows // parts)), cascade(some.where("verdict = 'block'"), own_keys, -(-rows // parts))
+        rule = F.get(F.filter(keys_of(own["host"], own["path"], shape.labels, lengths), lambda k: own_part(k) & listed.holds(k)), F.lit(0))  # noqa: B023
+        found = u.withColumn(name, F.struct(own["host"].alias("host"), own["path"].alias("path"), own["rule"].alias("rule"), own["verdict"].alias("verdict"), rule.alias("new")))
+        new = own["new"]
+        #: Of two rules that fit, both suffixes of the host with the path from its start, the longer one.
+        longer = new.isNotNull() & (own["rule"].isNull() | (F.length(new) > F.length(own["rule"])) | ((F.length(new) == F.length(own["rule"])) & (F.instr(new, "/") > F.instr(own["rule"], "/"))))
+        verdict = F.when(blocked.holds(new), F.lit("block")).otherwise(F.lit("allow"))
+        u = found.withColumn(name, F.struct(own["host"].alias("host"), own["path"].alias("path"), F.when(longer, new).otherwise(own["rule"]).alias("rule"), F.when(longer, verdict).otherwise(own["verdict"]).alias("verdict")))
+        if part + 1 < parts:
+            tables.append(kept(u, "judged"))
+            u = tables[-1]
+            discard(*tables[:-1])
+            tables = tables[-1:]
+    return u
 
 
 def report(pages: DataFrame, rules: DataFrame) -> DataFrame:

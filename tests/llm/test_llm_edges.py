@@ -141,9 +141,6 @@ def test_range_coder():
         token_files.read_shard(bytes(broken))
 
 
-def test_token_counts(docs, empty):
-    from tokenizers import Tokenizer
-
 def test_encoder_of_any_text():
     import random
 
@@ -158,6 +155,9 @@ def test_encoder_of_any_text():
     assert e.encode([])[0].tolist() == []
 
 
+def test_token_counts(docs, empty):
+    from tokenizers import Tokenizer
+
     t = Tokenizer.from_file(Q.tokenizer_path())
     want = sorted(repr((r[0], len((r[1] or "").encode()), n := len(t.encode(r[1] or "", add_special_tokens=False).ids), n > 1024)) for r in ROWS)
     assert sorted_rows(token_counts.report(docs, Q.tokenizer_path())) == want
@@ -304,6 +304,22 @@ def test_urls(spark):
     assert url_filters.report(pages.limit(0), rules).count() == 0
 
 
+def test_many_rules(spark):
+    """A list of 20000 rules, in one part and in several."""
+    rules = [(f"h{i}.com/", "block" if i % 3 else "allow") for i in range(0, 20_000, 2)] + [(f"x.h{i}.com/p{i % 7}", "block" if i % 5 else "allow") for i in range(10_000)]
+    known = dict(rules)
+    urls = [f"http://{'x.' * (i % 3)}h{i}.com/p{i % 11}/q" for i in range(3_000)]
+    pages, listed = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "key string, verdict string")
+    want = []
+    for i in range(3_000):
+        rule = f"x.h{i}.com/p{i % 7}" if i % 3 and f"p{i % 11}".startswith(f"p{i % 7}") else None
+        rule = rule or (f"h{i}.com/" if i % 2 == 0 else None)
+        want.append((i, rule, known.get(rule, "allow")))
+    for most in (url_filters.MOST_BITS, 1 << 16):
+        got = url_filters.judged(pages, listed, "j", most_bits=most).select("page_id", "j.rule", "j.verdict")
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_cascade_is_exact(spark):
     listed = spark.range(300).selectExpr("concat('k', id) as key")
     universe = spark.range(20_000).selectExpr("concat('k', id) as key")
