@@ -21,15 +21,16 @@ from tallyloom.llm.shared import discard, fresh_name, kept
 LEAST_WORDS = 50
 
 
-def ranked(pairs: DataFrame, columns: list[str]) -> DataFrame:
+def ranked(pairs: DataFrame, columns: list[str], tables: list[DataFrame]) -> DataFrame:
     """Distinct rows of the columns that occur twice or more, with their rank in sorted order (from 1).
 
     Counted with a partial count in each task, then sorted by range; a rank is a place in a partition plus the rows of
-    the partitions before it, of which the driver gets one number each.
+    the partitions before it, of which the driver gets one number each. What is written is added to tables.
     """
     rows = pairs.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").select(*columns)
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = kept(rows.repartitionByRange(n, *columns).sortWithinPartitions(*columns).select(*columns, F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("place")), "ranks")
+    tables.append(rows)
     before, told = 0, []
     for r in rows.groupBy("part").agg(F.max("place").alias("m")).orderBy("part").collect():
         told.append((r.part, before))
@@ -66,12 +67,14 @@ def later_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """id, text (its hash), place of each line to delete.
 
     A line goes if it lies in a run of at least so many words that occurred before: in a document of smaller id (without an
-    id: after all others; then by the text's hash), or earlier in its own. Runs don't cross documents. Rows with equal id
-    and text are one document.
+    id: after all others; then by the text's hash), or earlier in its own, where both don't overlap. So the first copy stays
+    whole: of a line that repeats without end as many stay as make one run. Runs don't cross documents. Rows with equal id and
+    text are one document.
     """
     lines = kept(lines_of(docs, doc_id, text, least).dropDuplicates(["id", "text", "place"]), "lines")
-    level = lines.join(ranked(lines, ["line"]), "line").select("id", "text", "place", F.col("rank"))
-    levels, tables, k = [kept(level, "level")], [lines], 0
+    tables, k = [lines], 0
+    level = lines.join(ranked(lines, ["line"], tables), "line").select("id", "text", "place", F.col("rank"))
+    levels = [kept(level, "level")]
     runs = lines.select("id", "text", "place", F.col("ahead").alias("n")).where("n is not null").unionByName(lines.select("id", "text", (F.col("place") - F.col("back") + 1).alias("place"), F.col("back").alias("n")).where("n is not null")).distinct()
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.text") == F.col(f"{b}.text"))
 
@@ -82,7 +85,7 @@ def later_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     most = runs.agg(F.max("n")).first()[0] or 1
     while 2 ** (k + 1) <= most:
         pairs = kept(joined(levels[k], levels[k], F.lit(2**k)).select("a.id", "a.text", "a.place", F.col("a.rank").alias("x"), F.col("b.rank").alias("y")), "pairs")
-        r = ranked(pairs, ["x", "y"])
+        r = ranked(pairs, ["x", "y"], tables)
         levels.append(kept(pairs.join(r, ["x", "y"]).select("id", "text", "place", "rank"), "level"))
         tables.append(pairs)
         k += 1
@@ -95,7 +98,8 @@ def later_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = kept(found, "found")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "text", "place")
     first = found.groupBy("n", "x", "y").agg(F.min(at).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
-    out = found.join(first, ["n", "x", "y"]).where(at != F.col("first")).select("id", "text", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("n") - 1)).alias("place")).distinct()
+    apart = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text") == F.col("first.text")) & (F.col("place") < F.col("first.place") + F.col("n")))
+    out = found.join(first, ["n", "x", "y"]).where(apart).select("id", "text", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("n") - 1)).alias("place")).distinct()
     out = kept(out, "later")
     discard(*levels, *tables, runs, found)
     return out

@@ -63,10 +63,10 @@ def kept_lines(docs, least=50):
             for b in range(a + 1, len(d) + 1):
                 if sum(count[i][a:b]) >= least:
                     key = tuple(d[a:b])
-                    if key in first:
+                    if key not in first:
+                        first[key] = (i, b)
+                    elif first[key][0] != i or first[key][1] <= a:
                         gone[i].update(range(a, b))
-                    else:
-                        first[key] = i
     return [(k, "\n".join(x for n, x in enumerate(d) if n not in gone[i])) for i, ((k, _), d) in enumerate(zip(docs, lines, strict=True))]
 
 

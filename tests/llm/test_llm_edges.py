@@ -69,7 +69,7 @@ def test_decontamination_removes(spark, clashing):
 
 def test_line_dedup(spark, empty):
     a = "\n".join(f"line {i} " + "word " * 9 for i in range(12))
-    rows = [(1, "head\n" + a + "\ntail"), (2, a), (3, "x\n" + a[: len(a) // 2]), (4, None), (5, ""), (6, "\n\n\n"), (None, a), (7, "short\nshort\nshort"), (8, ("repeat " * 60 + "\n") * 3), (9, "few words\n" * 40), (2, a)]
+    rows = [(1, "head\n" + a + "\ntail"), (2, a), (3, "x\n" + a[: len(a) // 2]), (4, None), (5, ""), (6, "\n\n\n"), (None, a), (7, "short\nshort\nshort"), (8, ("repeat " * 60 + "\n") * 3), (9, "few words\n" * 40), (2, a), (10, "\n".join(["ten words of one line that comes again and again"] * 12)), (11, "\n".join(["ten words of one line that comes again and again"] * 7))]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1)).repartition(3)
     order = sorted(dict.fromkeys(rows), key=lambda r: (r[0] is None, r[0] or 0))
     want = dict(plain.kept_lines(order))
@@ -77,6 +77,8 @@ def test_line_dedup(spark, empty):
     assert got.columns == d.columns
     for r in got.collect():
         assert r.text == (None if r.doc_id == 4 else want[r.doc_id]), r
+    kept = {r.doc_id: r.n_kept for r in line_dedup.report(d).collect()}
+    assert (kept[10], kept[11]) == (5, 0)
     assert line_dedup.report(empty).count() == 0
 
 
