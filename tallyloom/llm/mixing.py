@@ -1,11 +1,12 @@
 """Mixing sources to target weights by entropy balancing.
 
 Words are tilted as little as possible so that constraints hold: of all rates r of documents with the wanted sums
-sum(size r) for each value of each constrained column, those that minimise sum(size (r log r - r)). The minimum has the
-form r = exp(sum of a multiplier for each of the document's values), cut off at the most repeats that are allowed; the
-multipliers minimise a convex dual. With one constrained column that minimum is target / size of each value, for any number
-of values. For several columns balance() finds it by Newton iterations whose gradients and curvatures Spark sums over the
-documents. Rates are then rounded to whole copies.
+sum(size r) for each source, and with the corpus's mean logarithm of a word's document's size, those that minimise
+sum(size (r log r - r)). The minimum has the form r = exp(multiplier of the source + tilt x log size), cut off at the most
+repeats that are allowed; multipliers and tilt minimise a convex dual. Newton iterations find them: Spark sums gradient and
+curvature over the documents, source by source, and the step for the tilt comes from what is left of the curvature once
+each source's own is taken out, so any number of sources works. Sources come first: where the moment can't be kept, their
+sums still are. Rates are then rounded to whole copies.
 """
 
 from __future__ import annotations
@@ -14,25 +15,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import fresh_name, kept
+from tallyloom.llm.shared import discard, fresh_name, kept
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words, or rather documents, that one rounding group holds at most, about; values that constraints over several columns may
-#: have in all; and sources up to which their rates are broadcast.
-GROUP_ROWS, MOST_VALUES, BROADCAST_SOURCES = 20_000, 4_000, 100_000
+#: Documents that one rounding group holds, about; values that constraints over several columns may have in all; and sources
+#: up to which their rates are broadcast.
+GROUP_ROWS, MOST_VALUES, BROADCAST_SOURCES = 2_000, 4_000, 100_000
+#: Newton rounds for multipliers and tilt together and for multipliers alone, at most; how near sums must come, relatively; and
+#: the longest step of each.
+ROUNDS, LAST_ROUNDS, CLOSE, STEP = 12, 40, 1e-7, 1.0
 #: Fixed by the query: weights of sources in code point order, and the most times that a source is repeated.
 WEIGHTS, MOST_REPEATS = (5.0, 2.0, 1.0), 3.0
 
 
 def told(cells: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
-    """cells (source, size, items; a row for each source) with target, rate and groups, however many sources there are.
+    """cells (source, size, items; a row for each source) with target and groups, however many sources there are.
 
     Weights repeat over the sources by code point, null last; what exceeds most times a size is shared anew by weight.
     Words for each unit of weight only grow from round to round, so they alone tell which sources are at their most.
-    With one constrained column the dual falls apart into a term for each source, least where the rate is target / size.
     The driver sees sums for each weight, and a row for each partition.
     """
     spark, size = cells.sparkSession, F.col("size")
@@ -54,10 +57,56 @@ def told(cells: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS) -> DataF
         unit, before = (sum(r.words for r in sums) - most * sum(r.held for r in sums)) / free, now
         past = F.col("weight") * F.lit(unit) > F.lit(float(most)) * size
     target = F.when(past, F.lit(float(most)) * size).otherwise(F.col("weight") * F.lit(unit))
-    rate = F.when(size > 0, F.least(F.lit(float(most)), F.col("target") / size)).otherwise(0.0)
-    out = lined.withColumn("target", target).withColumn("rate", rate).withColumn("groups", F.ceil(F.col("items") / GROUP_ROWS).cast("int"))
-    out = out.select(F.col("source").alias("s"), size.alias("source_size"), "target", "rate", "groups")
-    return F.broadcast(out) if n <= BROADCAST_SOURCES else out
+    out = lined.withColumn("target", target).withColumn("groups", F.ceil(F.col("items") / GROUP_ROWS).cast("int"))
+    return out.select(F.col("source").alias("s"), size.alias("source_size"), "target", "groups"), n
+
+
+def whole(x: Column) -> Column:
+    """A sum that doesn't depend on the order of its terms: in whole 2^-20."""
+    return F.sum((x * F.lit(float(1 << 20))).cast("decimal(38,0)")).cast("double") / float(1 << 20)
+
+
+def tilted(sizes: DataFrame, sources: DataFrame, n: int, most: float) -> tuple[DataFrame, float, float]:
+    """sources with multiplier (null: all rates are most, or there are no words), the tilt, and the mean log size it is about.
+
+    sizes: source, size (of a document), words (of all that size); documents of a source and size have the same rate, so their
+    sum stands for them. The driver sees one row of sums a round.
+    """
+    near = lambda df: F.broadcast(df) if n <= BROADCAST_SOURCES else df
+    sizes = sizes.where("size > 0").withColumn("log", F.log(F.col("size").cast("double")))
+    told = sizes.agg(whole(F.col("words").cast("double")).alias("words"), whole(F.col("words") * F.col("log")).alias("moment")).first()
+    total = told.words or 0.0
+    mean = told.moment / total if total else 0.0
+    free = (F.col("source_size") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-12)) & (F.col("target") > 0)
+    own = kept(sources.withColumn("multiplier", F.when(free, F.log(F.col("target") / F.col("source_size")))), "multipliers")
+    if not total:
+        return own, 0.0, mean
+    tables, tilt, z = [own], 0.0, F.col("log") - F.lit(mean)
+    for n_round in range(ROUNDS + LAST_ROUNDS):
+        both = n_round < ROUNDS
+        u = F.col("multiplier") + F.lit(tilt) * z
+        rate = F.coalesce(F.least(F.exp(F.least(u, F.lit(50.0))), F.lit(most)), F.lit(most))
+        slope = F.when(u < F.lit(float(np.log(most))), rate).otherwise(0.0)
+        d = sizes.join(near(own.select("s", "multiplier")), sizes["source"].eqNullSafe(F.col("s")))
+        w = F.col("words")
+        sums = d.groupBy("source").agg(whole(w * rate).alias("g"), whole(w * rate * z).alias("m"), whole(w * slope).alias("a"), whole(w * slope * z).alias("b"), whole(w * slope * z * z).alias("c"))
+        now = own.join(sums, own["s"].eqNullSafe(sums["source"]), "left").withColumn("gap", F.when(F.col("multiplier").isNotNull(), F.col("g") - F.col("target")))
+        now = kept(now.select("s", "source_size", "target", "groups", "multiplier", "gap", "m", "a", "b", "c"), "sums")
+        steep = F.col("a") > F.lit(1e-9)
+        seen = now.agg(F.max(F.abs("gap") / F.greatest("target", F.lit(1.0))).alias("gap"), whole(F.col("m")).alias("m"), whole(F.when(steep, F.col("b") * F.col("gap") / F.col("a"))).alias("bg"), whole(F.when(steep, F.col("c") - F.col("b") * F.col("b") / F.col("a"))).alias("left")).first()
+        settled = (seen.gap or 0.0) <= CLOSE
+        step = 0.0
+        if both and seen.left and seen.left > 1e-9 * total:
+            step = float(np.clip(-(seen.m - (seen.bg or 0.0)) / seen.left, -STEP, STEP))
+        if settled and (abs(seen.m) <= CLOSE * total or abs(step) < 1e-9 or not both):
+            tables.append(now)
+            break
+        move = F.when(steep, -(F.col("gap") + F.col("b") * F.lit(step)) / F.col("a")).otherwise(F.signum(-F.col("gap")))
+        tilt += step
+        own = kept(now.select("s", "source_size", "target", "groups", (F.col("multiplier") + F.greatest(F.lit(-STEP), F.least(F.lit(STEP), move))).alias("multiplier")), "multipliers")
+        tables += [now, own]
+    discard(*[t for t in tables if t is not own])
+    return own, tilt, mean
 
 
 def balance(cells: DataFrame, columns: list[str], targets: dict[str, dict], most: float, *, rounds: int = 60, close: float = 1e-9) -> dict[str, dict]:
@@ -110,9 +159,13 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     items = kept(narrow.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "items")
-    cells = kept(items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.count("*").alias("items")), "cells")
-    by_source = told(cells, weights, most)
-    own = items.join(by_source, items["source"].eqNullSafe(by_source["s"])).drop("s")
+    sizes = kept(items.groupBy("source", "size").agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.count("*").alias("items")), "sizes")
+    cells = kept(sizes.groupBy("source").agg(F.sum("words").alias("size"), F.sum("items").alias("items")), "cells")
+    by_source, n = told(cells, weights, most)
+    by_source, tilt, mean = tilted(sizes, by_source, n, most)
+    by_source = F.broadcast(by_source) if n <= BROADCAST_SOURCES else by_source
+    rate = F.coalesce(F.least(F.exp(F.least(F.col("multiplier") + F.lit(tilt) * (F.log(F.col("size").cast("double")) - F.lit(mean)), F.lit(50.0))), F.lit(float(most))), F.lit(float(most)))
+    own = items.join(by_source, items["source"].eqNullSafe(by_source["s"])).drop("s").withColumn("rate", F.when((F.col("size") > 0) & (F.col("target") > 0), rate).otherwise(0.0))
     order = F.xxhash64("id", "size")
     own = own.withColumn("group", F.pmod(order, F.col("groups"))).withColumn("order", order)
 
