@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import shard_bounds, shard_of
+from tallyloom.llm.shared import shards_of
 
 #: Bytes of a chunk: least, normal, most; and of a digest in a fingerprint.
 LEAST, NORMAL, MOST, DIGEST = 16, 32, 128, 6
@@ -118,9 +118,9 @@ def against_neighbours(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     the last the first. Texts move once, into shards along doc_id; the first row of each shard goes to the one before too.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    bounds = shard_bounds(d, "id", F.octet_length("t") + 16, shard_bytes)
-    shards = len(bounds) + 1
-    d = d.withColumn("shard", shard_of(F.col("id"), bounds))
+    cut = shards_of(d, "id", F.octet_length("t") + 16, shard_bytes, split=False)
+    shards = cut.count
+    d = d.withColumn("shard", cut.of(F.col("id"), F.lit(0).cast("long")))
     heads = d.groupBy("shard").agg(F.max(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("top")).orderBy("shard").collect()  # a row for each shard
     full = [r.shard for r in heads]
     #: The shard whose last row is followed by this shard's first: the next one above that has rows, or around.

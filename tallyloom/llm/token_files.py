@@ -26,10 +26,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import commit_files, fresh_path, located, shard_bounds, shard_of, small_batches
+from tallyloom.llm.shared import MOST_SHARDS, commit_files, fresh_path, hashed, located, manifest, shards_of, small_batches
 from tallyloom.llm.token_counts import CONTRACTIONS, LETTER, NUMBER, OTHER, RESET, WHITE_MORE, byte_letters, classes
 
 MAGIC = b"TLTOKEN2"
@@ -282,10 +282,10 @@ CLASSES = np.empty(0, np.uint8)
 class Encoder:
     """Texts' ids as the tokenizers library gives them. It encodes each pretoken alone, so its model is asked for those not met before.
 
-    About MOST pretokens that were met are kept at most, of MOST_BYTES each at most: 60 MB.
+    About MOST pretokens that were met are kept at most, of MOST_BYTES each at most: 40 MB.
     """
 
-    MOST, MOST_BYTES = 300_000, 100
+    MOST, MOST_BYTES = 200_000, 100
 
     def __init__(self, path: str):
         global CLASSES
@@ -412,69 +412,76 @@ def encoder(path: str) -> Encoder:
     return ENCODERS[path]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = None, folder: str | None = None, shard_bytes: int = 16 << 20) -> str:
+FILES = "shard long, part long, temp string, name string, documents long, ids long, bytes long"
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int | None = None, folder: str | None = None, shard_bytes: int = 8 << 20) -> str:
     """Writes the ids of all texts (null: empty) in ascending key order (no key first), end_id after each; returns the folder.
 
-    Shards are cut along the key at about shard_bytes of text, wherever the rows lie. Equal keys stand together, by text.
-    Files are written under temporary names and moved when the job has succeeded; the manifest comes last.
+    Shards are cut along the key at about shard_bytes of text, wherever the rows lie; a task writes a file for each
+    shard_bytes of its shard. Equal keys stand together, by text; a key with more than shard_bytes is first dealt by a hash of
+    the text. Files are written under temporary names and get their own when the job has succeeded; the manifest comes last.
     tokenizer: a file for the tokenizers library that every executor has.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
     docs = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = shard_bounds(docs, "key", F.octet_length("text") + 16, shard_bytes)
-    docs = docs.withColumn("shard", shard_of(F.col("key"), bounds)).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "text")
+    shards = shards_of(docs, "key", F.octet_length("text") + 16, shard_bytes)
+    docs = docs.withColumn("shard", shards.of(F.col("key"), hashed(F.col("text")))).repartitionById(shards.count, F.col("shard")).sortWithinPartitions("shard", "key", "text")
 
     def write(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc, store = encoder(tokenizer), located(folder)
-        shard, keys, lengths, ids = None, [], [], []
+        enc, (store, root) = encoder(tokenizer), located(folder)
+        store.create_dir(f"{root}/_temporary", recursive=True)
+        shard, part, size, keys, lengths, ids = None, 0, 0, [], [], []
 
         def flush() -> pa.RecordBatch:
-            temp = f"_temporary/{uuid.uuid4().hex}"
-            store[0].create_dir(f"{store[1]}/_temporary", recursive=True)
             whole = np.concatenate(ids)
             ids.clear()
             data = packed_shard(keys, np.concatenate(lengths), whole)
-            with store[0].open_output_stream(f"{store[1]}/{temp}") as out:
+            temp = f"_temporary/{uuid.uuid4().hex}"
+            with store.open_output_stream(f"{root}/{temp}") as out:
                 out.write(data)
-            return pa.RecordBatch.from_pylist([{"shard": shard, "temp": temp, "name": f"shard-{shard:06d}.tok", "documents": len(keys), "ids": len(whole), "bytes": len(data)}])
+            return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "temp": temp, "name": f"shard-{shard:06d}-{part:04d}.tok", "documents": len(keys), "ids": len(whole), "bytes": len(data)}])
 
         for b in batches:
-            shards = b.column(2).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            own = b.column(2).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
             for i, j in zip(edges, edges[1:], strict=False):
                 if i == j:
                     continue
-                if shards[i] != shard and keys:
+                if keys and (own[i] != shard or size >= shard_bytes):
                     yield flush()
-                    keys, lengths = [], []
-                shard = int(shards[i])
-                found, sizes = enc.encode(b.column(1).slice(i, j - i).to_pylist())
+                    part, size, keys, lengths = (part + 1 if own[i] == shard else 0), 0, [], []
+                shard = int(own[i])
+                texts = b.column(1).slice(i, j - i)
+                found, sizes = enc.encode(texts.to_pylist())
                 if end_id is not None:
                     found, sizes = np.insert(found, np.cumsum(sizes), end_id), sizes + 1
                 keys += b.column(0).slice(i, j - i).to_pylist()
                 lengths.append(sizes)
                 ids.append(found)
+                size += texts.nbytes
         if keys:
             yield flush()
 
     with small_batches(spark):
-        files = sorted((r.asDict() for r in docs.mapInArrow(write, "shard long, temp string, name string, documents long, ids long, bytes long").collect()), key=lambda f: f["name"])  # no sort in Spark: its sample would run the writer twice
-    store, root = located(folder)
-    store.create_dir(root, recursive=True)
-    return commit_files(spark, folder, files)
-
-
-def read_token_files(spark, folder: str, *, ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as 32-bit little-endian) and, if asked for, ids."""
-    store, root = located(folder)
-    with store.open_input_stream(f"{root}/_MANIFEST.json") as f:
-        files = json.loads(f.read())
-    rows, start = [], 0
-    for f in files:
-        rows.append((f["name"], start))
-        start += f["ids"]
+        return commit_files(docs.mapInArrow(write, FILES), folder)
+
+
+def read_token_files(spark: SparkSession, folder: str, *, ids: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as 32-bit little-endian) and, if asked for, ids.
+
+    The driver gets the number of ids of each shard.
+    """
+    files = manifest(spark, folder)
+    rows, start, n = [], 0, 0
+    for r in files.groupBy("shard").agg(F.sum("ids").alias("ids"), F.count("*").alias("files")).orderBy("shard").collect():
+        rows.append((r.shard, start))
+        start, n = start + r.ids, n + r.files
+    before = F.coalesce(F.sum("ids").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.withColumn("before", before).join(F.broadcast(spark.createDataFrame(rows, "shard long, start long")), "shard")
+    files = files.select("name", (F.col("start") + F.col("before")).alias("start"), F.pmod(F.col("shard") + F.col("part"), F.lit(max(n, 1))).cast("int").alias("task"))
 
     def read(batches):
         store, root = located(folder)
@@ -488,4 +495,4 @@ def read_token_files(spark, folder: str, *, ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*cols, *([pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(found, pa.int64()))] if ids else [])], ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if ids else [])])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    return spark.createDataFrame(rows, "name string, start long").repartition(max(1, len(rows)), "name").mapInArrow(read, schema)
+    return files.repartitionById(max(1, min(n, MOST_SHARDS)), F.col("task")).mapInArrow(read, schema)

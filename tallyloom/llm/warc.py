@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.shared import commit_files, fresh_path, located, shard_bounds, shard_of
+from tallyloom.llm.shared import MOST_SHARDS, commit_files, fresh_path, hashed, located, manifest, shards_of
 
 #: Payloads of fewer bytes are always written whole.
 LEAST_REVISIT = 100
@@ -113,8 +112,8 @@ def write_warc(pages: DataFrame, *, key: str = "page_id", url: str = "url", payl
     notes = narrow.join(twice, "digest").select("key", "digest", "first").distinct()
     none = F.lit(None).cast("string")
     p = p.withColumn("first", F.lit(None).cast("long")).withColumn("note", F.lit(False)).unionByName(notes.select("key", none.alias("url"), none.alias("payload"), F.lit(0).cast("long").alias("size"), "digest", "first", F.lit(True).alias("note")))
-    bounds = shard_bounds(pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.octet_length(payload), F.lit(0)).alias("size")), "key", F.col("size") + 256, shard_bytes)
-    p = p.withColumn("shard", shard_of(F.col("key"), bounds)).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("key"), F.col("digest"), F.col("note").desc(), F.col("url"))
+    shards = shards_of(pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.octet_length(payload), F.lit(0)).alias("size")), "key", F.col("size") + 256, shard_bytes)
+    p = p.withColumn("shard", shards.of(F.col("key"), hashed(F.col("digest")))).repartitionById(shards.count, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("key"), F.col("digest"), F.col("note").desc(), F.col("url"))
 
     def write(batches):
         store, root = located(folder)
@@ -149,17 +148,13 @@ def write_warc(pages: DataFrame, *, key: str = "page_id", url: str = "url", payl
         if out:
             yield close()
 
-    files = sorted((r.asDict() for r in p.mapInArrow(write, "shard long, part long, temp string, name string, records long, bytes long").collect()), key=lambda f: f["name"])  # no sort in Spark: its sample would run the writer twice
-    store, root = located(folder)
-    store.create_dir(root, recursive=True)
-    return commit_files(spark, folder, files)
+    return commit_files(p.mapInArrow(write, "shard long, part long, temp string, name string, records long, bytes long"), folder)
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """A row of ROWS for each record (target: the payload of a response), file by file from the manifest."""
-    store, root = located(folder)
-    with store.open_input_stream(f"{root}/_MANIFEST.json") as f:
-        names = [(x["name"],) for x in json.loads(f.read())]
+    files = manifest(spark, folder)
+    n = max(1, min(files.count(), MOST_SHARDS))
     types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("target", pa.string())])
 
     def read(batches):
@@ -177,4 +172,4 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, types)
 
-    return spark.createDataFrame(names, "name string").repartition(max(1, len(names)), "name").mapInArrow(read, ROWS)
+    return files.select("name", F.pmod(F.col("shard") + F.col("part"), F.lit(n)).cast("int").alias("task")).repartitionById(n, F.col("task")).mapInArrow(read, ROWS)

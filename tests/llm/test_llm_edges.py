@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import decontamination, fingerprints, jaccard, line_dedup, mixing, quality_rules, token_counts, token_files, url_filters, warc
 from tallyloom.llm import queries as Q
-from tallyloom.llm.shared import shard_bounds, shard_of_value
+from tallyloom.llm.shared import hashed, shards_of
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -258,8 +258,9 @@ def test_warc_is_deterministic(spark):
 
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     one, two = (warc.write_warc(pages.repartition(n), shard_bytes=400) for n in (2, 7))
-    read = lambda f: {p.name: p.read_bytes() for p in Path(f.removeprefix("file://")).iterdir()}
-    assert read(one) == read(two)
+    read = lambda f: {p.name: p.read_bytes() for p in Path(f.removeprefix("file://")).glob("*.warc.gz")}
+    assert read(one) == read(two) != {}
+    assert sorted(warc.manifest(spark, one).collect()) == sorted(warc.manifest(spark, two).collect())
 
 
 def test_fingerprints(docs, empty):
@@ -332,11 +333,23 @@ def test_cascade_is_exact(spark):
 
 def test_shards(spark):
     d = spark.range(1000).selectExpr("id * id as k")
-    bounds = shard_bounds(d, "k", F.lit(1), 50)
-    assert shard_bounds(d.repartition(7), "k", F.lit(1), 50) == bounds
-    sizes = np.bincount([shard_of_value(i * i, bounds) for i in range(1000)])
-    assert sizes.max() <= 50 and len(sizes) < 60
-    assert shard_bounds(spark.createDataFrame([(None,), (0,), (0,), (2**62,)], "k long"), "k", F.lit(1), 1) != []
+    cut = shards_of(d, "k", F.lit(1), 50)
+    assert shards_of(d.repartition(7), "k", F.lit(1), 50) == cut
+    none = np.zeros(1000, bool)
+    sizes = np.bincount(cut.of_values(np.arange(1000) ** 2, none, np.zeros(1000, np.int64)))
+    assert sizes.max() <= 50 and len(sizes) == cut.count < 60
+    assert shards_of(spark.createDataFrame([(None,), (0,), (0,), (2**62,)], "k long"), "k", F.lit(1), 1).count >= 2
+    assert shards_of(d.limit(0), "k", F.lit(1), 1).count == 1
+    hot = spark.range(3000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 7L else id end as k", "cast(id as string) as t")
+    cut = shards_of(hot, "k", F.lit(1), 100)
+    n = {r.s: r["count"] for r in hot.groupBy(cut.of(F.col("k"), hashed(F.col("t"))).alias("s")).count().collect()}
+    assert max(n.values()) < 200 and sum(n.values()) == 3000 and max(n) < cut.count
+    places = hot.select("k", cut.of(F.col("k"), hashed(F.col("t"))).alias("s")).collect()
+    by = {}
+    for r in places:
+        by.setdefault(r.s, set()).add(-1 if r.k is None else r.k)
+    spans = [(min(by[s]), max(by[s])) for s in sorted(by)]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
 @pytest.mark.parametrize("rows", [ROWS, []])
