@@ -115,6 +115,8 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 #: Shards of a table at most: what the driver knows of its keys is bound by this, not by the table.
 MOST_SHARDS = 20_000
+#: Cells that heavy ones are cut into in a round, together, about (or 16 each).
+CELLS = 200_000
 
 
 class Shards:
@@ -158,8 +160,8 @@ def hashed(text: Column) -> Column:
 def shards_of(df: DataFrame, key: str, weight: Column, target: int, *, split: bool = True) -> Shards:
     """Shards of about target weight each, or more where there would be over MOST_SHARDS, cut along a long key.
 
-    Depends on the rows alone, not on how they are partitioned. The driver sees one row for each cell of the key's range, a
-    few for each shard that results. split: whether a key heavier than target may be dealt over several shards.
+    Depends on the rows alone, not on how they are partitioned. The driver sees one row for each cell of the key's range that
+    has rows, CELLS or 16 for each shard at most. split: whether a key heavier than target may be dealt over several shards.
     """
     spark = df.sparkSession
     cur = df.select(F.col(key).cast("long").alias("k"), weight.cast("long").alias("w"))
@@ -178,7 +180,7 @@ def shards_of(df: DataFrame, key: str, weight: Column, target: int, *, split: bo
         light += [c for c in cells if c[0] not in heavy]
         if not heavy:
             break
-        sub = -(-width // 16)
+        sub = -(-width // max(16, min(1 << 16, CELLS // len(heavy))))
         cur = cur.join(F.broadcast(spark.createDataFrame([(s,) for s in sorted(heavy)], "s long")), "s").select("k", "w", F.expr(f"s + ((k - s) div {sub}) * {sub}").alias("s"))
         width = sub
     bounds, widths, have = [], [1], 0
