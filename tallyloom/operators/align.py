@@ -92,15 +92,19 @@ def identity(base: DataFrame, current: DataFrame, key: list[str], order: list[st
     return out
 
 
-def unique_cascade(base: DataFrame, current: DataFrame, passes: list[tuple[str, list[str]]], id_: str) -> DataFrame:
+def unique_cascade(base: DataFrame, current: DataFrame, passes: list[tuple], id_: str) -> DataFrame:
     """Pairs objects by passes of ever weaker keys: a pass pairs keys that occur once on each side among what is left.
 
-    Gives base_id, current_id and the pass's name. Null keys pair with nothing.
+    A pass is its name and key, and for one that pairs equal keys in order instead, the column that orders them. Gives
+    base_id, current_id and the pass's name. Null keys pair with nothing.
     """
     found = None
-    for name, key in passes:
-        once = lambda df, key=key: df.dropna(subset=key).groupBy(*key).agg(F.min(id_).alias("_id"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-        hits = once(base).withColumnRenamed("_id", "base_id").join(once(current).withColumnRenamed("_id", "current_id"), key).select("base_id", "current_id", F.lit(name).alias("pass"))
+    for name, key, *order in passes:
+        if order:
+            one = lambda df, key=key, o=order: df.dropna(subset=key).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*o, id_))).select(*key, "_n", F.col(id_).alias("_id"))
+        else:
+            one = lambda df, key=key: df.dropna(subset=key).groupBy(*key).agg(F.min(id_).alias("_id"), F.count("*").alias("_n")).where("_n = 1")
+        hits = one(base).withColumnRenamed("_id", "base_id").join(one(current).withColumnRenamed("_id", "current_id"), [*key, "_n"]).select("base_id", "current_id", F.lit(name).alias("pass"))
         base = base.join(hits.select(F.col("base_id").alias(id_)), id_, "left_anti")
         current = current.join(hits.select(F.col("current_id").alias(id_)), id_, "left_anti")
         found = hits if found is None else found.unionByName(hits)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import alignment, checks, objects, reviewing
+from tallyloom.plans import alignment, cells, checks, objects, parts, reviewing
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (alignment, checks, objects, reviewing)
+MODULES = (alignment, cells, checks, objects, parts, reviewing)
 
 
 def queries() -> dict[str, Query]:
