@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions import numbers, privacy
-from tallyloom.operators import history, keys, review, triage
+from tallyloom.functions import numbers, periods, privacy
+from tallyloom.operators import axes, history, keys, review, triage
 from tallyloom.plans.alignment import CHANGES, MONTHS, aligned_months, changes
-from tallyloom.plans.cycles import table
+from tallyloom.plans.cycles import booked, booked_months, table
 from tallyloom.streaming import arrivals
 
 QUERIES, SQL = {}, {}
@@ -29,15 +29,22 @@ def query(sql: str | None = None):
     return add
 
 
+def with_context(spark: SparkSession, sf_dir: str, changed: DataFrame) -> DataFrame:
+    """Changed orders with the context of their month among the customer's months; unbooked ones have none."""
+    months = booked_months(spark, sf_dir)
+    known = axes.context(months, ["customer"], recent=periods.RECENT["month"]).select("customer", "month", "context")
+    return changed.join(booked(spark, sf_dir).select("key", "customer", "month"), "key", "left").join(known, ["customer", "month"], "left")
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atomic findings of the cycle comparison: changed values, and months deleted, inserted or grown."""
     b, c = F.col("base"), F.col("current")
-    v = changes(spark, sf_dir).where(~b.eqNullSafe(c))
+    v = with_context(spark, sf_dir, changes(spark, sf_dir).where(~b.eqNullSafe(c)))
     none = F.lit(None).cast("string")
     place = lambda p, x: F.concat(F.lit(p), F.lpad(x.cast("string"), 10, "0"))
     values = v.select(
         F.lit("excel").alias("artifact"), F.lit("Orders").alias("sheet"), place("R", F.col("key")).alias("location"), F.lit("value").alias("element"), F.lit("value_changed").alias("finding_class"), none.alias("expected_reason"),
-        numbers.materiality(b, c, numbers.matches(b, c, 1000.0, 0.02)).alias("materiality"), F.when(F.col("key") % 3 == 0, "recent_window").otherwise("historical").alias("temporal_context"), F.lit("changed").alias("provenance"),
+        numbers.materiality(b, c, numbers.matches(b, c, 1000.0, 0.02)).alias("materiality"), F.col("context").alias("temporal_context"), F.lit("changed").alias("provenance"),
         F.when(b.isNull(), "added").when(c.isNull(), "cleared").otherwise("replacement").alias("message"),
     )
     m = aligned_months(spark, sf_dir).where("event <> 'paired'")
@@ -52,15 +59,15 @@ FINDINGS = f"""
 {CHANGES}, v AS (
   SELECT 'Orders' AS sheet, 'R' || lpad(CAST(key AS VARCHAR), 10, '0') AS location, 'value' AS element, 'value_changed' AS finding_class, NULL AS expected_reason,
     CASE WHEN base IS NULL OR current IS NULL THEN NULL WHEN abs(current - base) <= 4 * (nextafter(greatest(abs(base), abs(current)), 'inf'::DOUBLE) - greatest(abs(base), abs(current))) THEN 'noise' WHEN abs(current - base) <= 1000 OR abs(current - base) <= 0.02 * abs(base) THEN 'within_tolerance' ELSE 'material' END AS materiality,
-    CASE WHEN key % 3 = 0 THEN 'recent_window' ELSE 'historical' END AS context, CASE WHEN base IS NULL THEN 'added' WHEN current IS NULL THEN 'cleared' ELSE 'replacement' END AS message
-  FROM ch WHERE base IS DISTINCT FROM current
+    CASE WHEN r = 1 THEN 'current_period' WHEN r <= 2 THEN 'recent_window' WHEN r IS NOT NULL THEN 'historical' END AS context, CASE WHEN base IS NULL THEN 'added' WHEN current IS NULL THEN 'cleared' ELSE 'replacement' END AS message
+  FROM ch LEFT JOIN (SELECT o_orderkey AS k, dense_rank() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) * 12 + month(o_orderdate) DESC) AS r FROM orders) z ON k = key WHERE base IS DISTINCT FROM current
 ), {MONTHS}, e AS (
   SELECT 'Months' AS sheet, 'C' || lpad(CAST(customer AS VARCHAR), 10, '0') AS location, strftime(make_date(CAST((m - 1) // 12 AS INT), CAST((m - 1) % 12 + 1 AS INT), 1), '%b-%Y') AS element, 'column_' || event AS finding_class,
     CASE WHEN event = 'growth' THEN 'period_progression' END AS expected_reason, NULL AS materiality, 'historical' AS context, event AS message FROM aligned WHERE event <> 'paired'
 ), a AS (
   SELECT *, CASE WHEN finding_class = 'column_deleted' AND location = 'C0000000007' THEN 'waiver' ELSE expected_reason END AS reason FROM (SELECT * FROM v UNION ALL SELECT * FROM e)
 ), f AS (
-  SELECT *, CASE WHEN reason IS NOT NULL THEN 'expected' WHEN materiality IN ('noise', 'within_tolerance') THEN 'info' WHEN materiality = 'material' AND context = 'recent_window' THEN 'warning' WHEN finding_class IN ('value_changed', 'column_deleted') THEN 'critical' ELSE 'warning' END AS severity FROM a
+  SELECT *, CASE WHEN reason IS NOT NULL THEN 'expected' WHEN materiality IN ('noise', 'within_tolerance') THEN 'info' WHEN materiality = 'material' AND context IN ('current_period', 'recent_window') THEN 'warning' WHEN finding_class IN ('value_changed', 'column_deleted') THEN 'critical' ELSE 'warning' END AS severity FROM a
 )"""
 
 
