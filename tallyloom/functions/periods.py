@@ -6,7 +6,7 @@ A period is struct<kind, k1, k2, k3, label>: kind month, week, quarter or date;
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The label patterns and month names that count as periods.
@@ -27,31 +27,47 @@ RECENT = {"week": 8, "month": 2, "quarter": 1}
 TYPE = "struct<kind:string,k1:int,k2:int,k3:int,label:string>"
 
 
-def _year(raw: Column) -> Column:
-    y = F.when(raw == "", 0).otherwise(raw.try_cast("int"))
-    return F.when((y < 100) & (raw != ""), y + 2000).otherwise(y)
+#: What each pattern's groups are, as kind, k1, k2, k3 between separators that no label has.
+SEP = "\u0001"
+FORMS = (
+    (MONTH_NAME, "month", "$2", "$1", "0"), (ISO_DATE, "date", "$1", "$2", "$3"), (ISO_MONTH, "month", "$1", "$2", "0"),
+    (ISO_WEEK, "week", "$1", "0", "$2"), (WEEK, "week", "$2", "0", "$1"), (QUARTER, "quarter", "$2", "$1", "0"),
+)
+
+
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def parse_period(value: Column) -> Column:
-    """The period that a text names, null if none; anything around it rules it out."""
-    t = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
-
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(t, pattern, i)
-
-    def made(kind: str, k1: Column, k2: Column, k3: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), k1.cast("int").alias("k1"), k2.cast("int").alias("k2"), k3.cast("int").alias("k3"), t.alias("label"))
-
-    zero = F.lit(0)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(MONTH_NAME, 1)))
-    return (
-        F.when(t.rlike(MONTH_NAME), made("month", _year(part(MONTH_NAME, 2)), month, zero))
-        .when(t.rlike(ISO_DATE), made("date", _year(part(ISO_DATE, 1)), part(ISO_DATE, 2).try_cast("int"), part(ISO_DATE, 3).try_cast("int")))
-        .when(t.rlike(ISO_MONTH), made("month", _year(part(ISO_MONTH, 1)), part(ISO_MONTH, 2).try_cast("int"), zero))
-        .when(t.rlike(ISO_WEEK), made("week", _year(part(ISO_WEEK, 1)), zero, part(ISO_WEEK, 2).try_cast("int")))
-        .when(t.rlike(WEEK), made("week", _year(part(WEEK, 2)), zero, part(WEEK, 1).try_cast("int")))
-        .when(t.rlike(QUARTER), made("quarter", _year(part(QUARTER, 2)), part(QUARTER, 1).try_cast("int"), zero))
-    )
+    """The period that a text names, null if none; anything around it rules it out.
+
+    Each pattern rewrites a label that it matches as its parts; what no pattern matches is no period.
+    """
+
+    def rewritten(t: Column) -> Column:
+        x = F.when(F.instr(t, SEP) == 0, t)
+        for pattern, *parts in FORMS:
+            x = F.regexp_replace(x, pattern, SEP + SEP.join(parts))
+        return F.struct(t.alias("t"), F.split(x, SEP).alias("p"))
+
+    def made(x: Column) -> Column:
+        p = x["p"]
+        year, month = F.get(p, 2), F.get(p, 3)
+        y = F.when(year == "", 0).otherwise(year.try_cast("int"))
+        k1 = F.when((year != "") & (y < 100), y + 2000).otherwise(y)
+        named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(month))
+        period = F.struct(F.get(p, 1).alias("kind"), k1.cast("int").alias("k1"), F.when(named > 0, named).otherwise(month.try_cast("int")).cast("int").alias("k2"), F.get(p, 4).try_cast("int").alias("k3"), x["t"].alias("label"))
+        return F.when(F.size(p) == 5, period)
+
+    return bound(bound(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), rewritten), made)
+
+
+def with_period(df: DataFrame, label: str, name: str) -> DataFrame:
+    """df with the period of each label, parsed once for each distinct one."""
+    known = df.select(F.col(label).cast("string").alias("_label")).where("_label is not null").distinct().withColumn(name, parse_period(F.col("_label"))).where(F.col(name).isNotNull())
+    return df.join(known, df[label].cast("string") == known["_label"], "left").drop("_label")
 
 
 def date_period(value: Column) -> Column:

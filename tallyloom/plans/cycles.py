@@ -32,8 +32,7 @@ BILLED = "SELECT l_orderkey AS key, sum(CAST(floor(l_extendedprice * (1 - l_disc
 
 def months(df: DataFrame, date: str) -> DataFrame:
     """df with month (a label) and period (parsed from it)."""
-    d = df.withColumn("month", F.date_format(date, "MMM-yyyy"))
-    return d.withColumn("period", periods.parse_period(F.col("month")))
+    return periods.with_period(df.withColumn("month", F.date_format(date, "MMM-yyyy")), "month", "period")
 
 
 def booked_months(spark: SparkSession, sf_dir: str) -> DataFrame:
