@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Positions of a required range's second axis that one list holds, about.
+SHARE = 4096
+
 
 def required(populated: DataFrame, rows: DataFrame, columns: DataFrame, on: list[str], and_: list[str]) -> DataFrame:
-    """Coordinates of the grid rows x columns without a populated cell; columns is the short axis of a declared range.
+    """Coordinates of the grid rows x columns without a populated cell.
 
-    The axis is checked to have at most 10000 positions; each row generates its own, so no two tables are crossed.
+    A row that has all positions needs no grid: only rows with fewer are completed, each from its own share of the positions,
+    which are dealt to as many parts as a position list of SHARE values needs.
     """
-    axis = columns.select(*and_).distinct().limit(10_001).collect()
-    if len(axis) > 10_000:
-        raise ValueError("a required range has at most 10000 positions on its short axis")
-    kind = columns.select(F.struct(*and_).alias("s")).schema["s"].dataType.simpleString()
-    points = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(and_, r, strict=True)]) for r in axis]).cast(f"array<{kind}>")
-    grid = rows.select(*on).distinct().withColumn("_p", F.explode(points)).select(*on, *[F.col(f"_p.{c}").alias(c) for c in and_])
-    return grid.join(populated.select(*on, *and_).distinct(), [*on, *and_], "left_anti")
+    axis = columns.select(*and_).distinct()
+    own = populated.select(*on, *and_).distinct().join(F.broadcast(axis) if axis.count() <= SHARE else axis, and_, "left_semi")
+    every = axis.count()
+    short = rows.select(*on).distinct().join(own.groupBy(*on).agg(F.count("*").alias("_n")), on, "left").where(F.coalesce("_n", F.lit(0)) < every).select(*on)
+    parts = max(1, -(-every // SHARE))
+    lists = axis.groupBy(F.pmod(F.hash(*and_), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct(*and_)).alias("_list"))
+    grid = short.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(lists, "_part").select(*on, F.explode("_list").alias("_p"))
+    return grid.select(*on, *[F.col(f"_p.{c}").alias(c) for c in and_]).join(own, [*on, *and_], "left_anti")
 
 
 def duplicates(df: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers
+from tallyloom.operators.graph import contained
+
+#: A row or column beyond any sheet's, for bands without a bound.
+OPEN = 1 << 36
 
 
 def blank(text: Column) -> Column:
@@ -31,20 +35,20 @@ def subtype(base: Column, current: Column) -> Column:
 def accepted(changes: DataFrame, bands: DataFrame, row: str, col: str, base: str, current: str) -> DataFrame:
     """changes with column accepted: whether a band of (bounds, absolute, relative) that holds the cell takes the change.
 
-    bands are a profile's, a few hundred rows at most.
+    A null bound is open. Changes meet the bands that hold them through blocks, however many bands a profile has; each
+    distinct (row, col, base, current) is looked up once.
     """
-    delta = F.abs(F.col(current) - F.col(base))
-    bounds = [tuple(r) for r in bands.select("min_row", "max_row", "min_col", "max_col", "absolute", "relative").limit(10_001).collect()]
-    if len(bounds) > 10_000:
-        raise ValueError("a profile has at most 10000 acceptance bands")
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(b, ("min_row", "max_row", "min_col", "max_col", "absolute", "relative"), strict=True)]) for b in bounds]) if bounds else None
-
-    def takes(r: Column) -> Column:
-        inside = (F.col(row) >= F.coalesce(r["min_row"], F.col(row))) & (F.col(row) <= F.coalesce(r["max_row"], F.col(row))) & (F.col(col) >= F.coalesce(r["min_col"], F.col(col))) & (F.col(col) <= F.coalesce(r["max_col"], F.col(col)))
-        near = ((r["absolute"] > 0) & (delta <= r["absolute"])) | ((r["relative"] > 0) & (F.col(base) != 0) & (delta <= r["relative"] * F.abs(F.col(base))))
-        return inside & near
-
-    return changes.withColumn("accepted", F.lit(False) if table is None else F.coalesce(F.exists(table, takes), F.lit(False)))
+    cell = {row: "row", col: "col", base: "_base", current: "_current"}
+    keys = changes.select(*[F.col(c).alias(n) for c, n in cell.items()]).distinct().withColumn("sheet", F.lit(0))
+    bound = lambda c, default: F.coalesce(F.col(c).cast("long"), F.lit(default)).alias(c)
+    boxes = bands.select(F.lit(0).alias("sheet"), bound("min_row", 0), bound("max_row", OPEN), bound("min_col", 0), bound("max_col", OPEN), "absolute", "relative")
+    delta = F.abs(F.col("_current") - F.col("_base"))
+    near = ((F.col("absolute") > 0) & (delta <= F.col("absolute"))) | ((F.col("relative") > 0) & (F.col("_base") != 0) & (delta <= F.col("relative") * F.abs("_base")))
+    taken = contained(keys, boxes).where(near).select("row", "col", "_base", "_current").distinct().withColumn("accepted", F.lit(True))
+    cond = F.lit(True)
+    for c, n in cell.items():
+        cond = cond & F.col(f"c.{c}").eqNullSafe(F.col(f"t.{n}"))
+    return changes.alias("c").join(taken.alias("t"), cond, "left").select("c.*", F.coalesce("t.accepted", F.lit(False)).alias("accepted"))
 
 
 def structure(base: DataFrame, current: DataFrame, key: list[str], fields: list[str]) -> DataFrame:

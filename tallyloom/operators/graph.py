@@ -73,12 +73,25 @@ def cycles(edges: DataFrame) -> DataFrame:
     return c.join(back, ["start", "reached"]).groupBy(F.col("start").alias("id")).agg(F.least(F.col("id"), F.min("reached")).alias("cycle"))
 
 
+#: A rectangle is listed in the blocks that it meets at the finest level where they are no more than this.
+MOST_BLOCKS, LEVELS = 64, 10
+
+
 def contained(points: DataFrame, rectangles: DataFrame, rows: int = 64, columns: int = 16) -> DataFrame:
     """Points (sheet, row, col, ...) joined to rectangles (sheet, min_row, max_row, min_col, max_col, ...) that hold them.
 
-    An equality join on blocks of rows x columns, then the exact test; a rectangle is listed in the blocks that it meets.
+    An equality join on blocks of rows x columns, then the exact test. Blocks of each level are eight times as high and as
+    wide as those of the one below, so a whole column or sheet takes few blocks too; points are listed at the levels in use.
     """
-    at = lambda c, n: F.floor(F.col(c) / n)
-    r = rectangles.withColumn("_br", F.explode(F.sequence(at("min_row", rows), at("max_row", rows)))).withColumn("_bc", F.explode(F.sequence(at("min_col", columns), at("max_col", columns))))
-    p = points.withColumn("_br", at("row", rows)).withColumn("_bc", at("col", columns))
-    return p.join(r, ["sheet", "_br", "_bc"]).where("row between min_row and max_row and col between min_col and max_col").drop("_br", "_bc")
+    at = lambda c, n, k: F.floor(F.col(c) / (n * 8**k)).cast("long")
+    met = lambda k: (at("max_row", rows, k) - at("min_row", rows, k) + 1) * (at("max_col", columns, k) - at("min_col", columns, k) + 1)
+    level = F.lit(LEVELS)
+    for k in range(LEVELS - 1, -1, -1):
+        level = F.when(met(k) <= MOST_BLOCKS, k).otherwise(level)
+    r = rectangles.withColumn("_l", level)
+    used = sorted(x["_l"] for x in r.select("_l").distinct().collect() if x["_l"] is not None)  # LEVELS + 1 at most
+    span = lambda lo, hi, n: F.explode(F.sequence(*(F.floor(F.col(c) / (n * F.pow(F.lit(8.0), "_l"))).cast("long") for c in (lo, hi))))
+    r = r.withColumn("_br", span("min_row", "max_row", rows)).withColumn("_bc", span("min_col", "max_col", columns))
+    p = points.withColumn("_b", F.explode(F.array(*[F.struct(F.lit(k).alias("_l"), at("row", rows, k).alias("_br"), at("col", columns, k).alias("_bc")) for k in used]) if used else F.array().cast("array<struct<_l:int,_br:bigint,_bc:bigint>>")))
+    p = p.select(*points.columns, "_b._l", "_b._br", "_b._bc")
+    return p.join(r, ["sheet", "_l", "_br", "_bc"]).where("row between min_row and max_row and col between min_col and max_col").drop("_l", "_br", "_bc")

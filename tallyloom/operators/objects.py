@@ -87,9 +87,13 @@ def excerpts(findings: DataFrame, cells: DataFrame, around: int = 3) -> DataFram
 
 
 def inversions(rules: DataFrame, group: str, base: str, current: str) -> DataFrame:
-    """Neighbouring rules of the baseline whose order is reversed in the current cycle."""
+    """Rules whose order towards at least one other is reversed in the current cycle.
+
+    A rule is, if one before it in the baseline now stands after it, or one after it before it: two running bounds tell.
+    """
     w = Window.partitionBy(group).orderBy(base)
-    return rules.withColumn("_next", F.lead(current).over(w)).where(F.col("_next") < F.col(current)).drop("_next")
+    d = rules.withColumn("_most", F.max(current).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_least", F.min(current).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    return d.where((F.col("_most") > F.col(current)) | (F.col("_least") < F.col(current))).drop("_most", "_least")
 
 
 def selected(members: DataFrame, member: str, order: list, most: int) -> DataFrame:

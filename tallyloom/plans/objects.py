@@ -176,8 +176,8 @@ def decision_dossier_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFram
 
 @query("""
 WITH r AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS base, o_orderkey, o_totalprice FROM orders), s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY o_totalprice, o_orderkey) AS current FROM r),
-n AS (SELECT *, lead(current) OVER (PARTITION BY g ORDER BY base) AS nxt FROM s)
-SELECT g AS customer, base, current FROM n WHERE nxt < current
+n AS (SELECT DISTINCT x.g, x.base, x.current FROM s x JOIN s y ON x.g = y.g AND ((y.base < x.base AND y.current > x.current) OR (y.base > x.base AND y.current < x.current)))
+SELECT g AS customer, base, current FROM n
 """)
 def order_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring rules whose order is reversed."""
