@@ -94,3 +94,23 @@ def display_matches(mantissa: Column, scale: Column, percent: Column, decimals:
 
 def relative_difference(figure: Column, value: Column) -> Column:
     return F.when(figure == 0, F.abs(value)).otherwise(F.abs(value - figure) / F.abs(figure))
+
+
+def evidence_tags(base: Column, current: Column, shown_base: Column | None = None, shown_current: Column | None = None) -> Column:
+    """What is proved of a changed pair's representation: ulp_scale, display_equivalent. shown: what the cells' format shows."""
+    b, c = finite(base), finite(current)
+    alike = F.lit(None) if shown_base is None or shown_current is None else F.when(shown_base == shown_current, F.lit("display_equivalent"))
+    tags = F.array_compact(F.array(F.when(within_ulps(b, c), F.lit("ulp_scale")), alike.cast("string")))
+    return F.when(b.isNull() | c.isNull() | (b == c), F.array().cast("array<string>")).otherwise(tags)
+
+
+def shown_like(figure: Column, value: Column) -> Column:
+    """A value in a figure's style: its currency, grouping, decimals, suffix, and brackets for a minus. figure: of figures()."""
+    raw = figure["raw"]
+    scaled = F.when(figure["percent"], value * 100).otherwise(value / figure["scale"])
+    size, out = F.abs(scaled), F.lit(None).cast("string")
+    for d in range(9, -1, -1):
+        plain = F.when(F.instr(raw, ",") > 0, F.format_number(size, d)).otherwise(F.format_string(f"%.{d}f", size))
+        out = F.when(figure["decimals"] == d, plain).otherwise(out)
+    out = F.concat(F.coalesce(figure["currency"], F.lit("")), out, F.regexp_extract(raw, r"(?i)(%|bn|mn|k|m|b)\s*\)?$", 1))
+    return F.when(scaled < 0, F.when(F.startswith(raw, F.lit("(")), F.concat(F.lit("("), out, F.lit(")"))).otherwise(F.concat(F.lit("-"), out))).otherwise(out)

@@ -100,3 +100,13 @@ def cadence(median_gap: Column) -> Column:
     for days, kind in reversed(CADENCES):
         out = F.when(median_gap <= days, kind).otherwise(out)
     return out
+
+
+# What names a period within a text, without what anchors it there.
+IN_TEXT = r"(?i)(?<![\w])(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-_ ]?'?\d{2,4}|\d{4}-\d{2}-\d{2}|\d{4}-\d{2}|\d{4}[-_ ]?(?:CW|WK|W)[-_ ]?\d{1,2}|(?:CW|WK|W)[-_ ]?\d{1,2}(?:[-_ ]?'?\d{2,4})?|Q[1-4](?:[-_ ]?(?:FY)?[-_ ]?'?\d{2,4})?)(?![\w])"
+
+
+def in_text(text: Column) -> Column:
+    """The periods that a text names, in order."""
+    found = F.regexp_extract_all(text, F.lit(IN_TEXT), F.lit(0))
+    return F.filter(F.transform(found, parse_period), lambda p: p.isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,35 @@ def kind(text: Column) -> Column:
     """What a cell's text is: blank, number, date, error, text."""
     t = F.trim(text)
     return F.when(text.isNull() | (t == ""), "blank").when(t.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$"), "number").when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date").when(t.isin("#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#N/A"), "error").otherwise("text")
+
+
+#: Of a text, what may stay when it is hidden: periods and figures.
+KEEPS = r"(?i)(?:\b\d{4}-\d{2}(?:-\d{2})?\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-_ ]?'?\d{2,4}\b|\bQ[1-4]\b|[$€£₹]?\d[\d,.]*\s*(?:%|bn|mn|k|m|b)?)"
+
+
+def redacted(text: Column) -> Column:
+    """text with pseudonyms for all but its periods and figures, joined by spaces."""
+    marked = F.regexp_replace(text, KEEPS, "\u0001$0\u0001")
+    pieces = F.split(marked, "\u0001")
+    hidden = F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.trim(x)).when(F.trim(x) == "", F.lit("")).otherwise(pseudonym(F.trim(x))))
+    return F.array_join(F.filter(hidden, lambda x: x != ""), " ")
+
+
+def leaks(text: Column, originals: Column) -> Column:
+    """Which of the original words are still readable in a hidden text."""
+    return F.filter(originals, lambda w: F.instr(F.lower(text), F.lower(w)) > 0)
+
+
+def duplicates(files: DataFrame) -> DataFrame:
+    """Files (path, content) whose bytes are those of another: digest and the paths."""
+    n = files.groupBy(F.sha2("content", 256).alias("digest")).agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    return n.where(F.size("paths") > 1)
+
+
+def projected_volume(base: DataFrame, current: DataFrame) -> DataFrame:
+    """The most findings that each sheet (sheet, part_digest, cells) of two cycles can give: nothing if its part is the same byte by byte."""
+    a, b = base.alias("a"), current.alias("b")
+    j = a.join(b, F.col("a.sheet") == F.col("b.sheet"), "full_outer")
+    state = F.when(F.col("a.sheet").isNull(), "added").when(F.col("b.sheet").isNull(), "removed").when(F.col("a.part_digest") == F.col("b.part_digest"), "identical").otherwise("changed")
+    most = F.when(state == "identical", F.lit(0)).otherwise(F.greatest(F.coalesce("a.cells", F.lit(0)), F.coalesce("b.cells", F.lit(0))))
+    return j.select(F.coalesce("a.sheet", "b.sheet").alias("sheet"), state.alias("state"), most.cast("long").alias("most_findings"))

@@ -75,3 +75,25 @@ def allowed_blanks(blanks: DataFrame, rules: list[tuple[int, int, int, int, tupl
     after = [F.when(F.col(row).between(a, b) & F.col(col).between(c, d), F.struct(F.col(f"{period}.k1"), F.col(f"{period}.k2"), F.col(f"{period}.k3")) > F.struct(*map(F.lit, last))) for a, b, c, d, last in rules]
     hits = F.array_compact(F.array(*after)) if after else F.array().cast("array<boolean>")
     return blanks.withColumn("allowed", (F.size(hits) > 0) & F.forall(hits, lambda x: x))
+
+
+def blank_keys(df: DataFrame, key: list[str], place: str) -> DataFrame:
+    """Rows with a blank part of an identity key, which stop a run: place and the blank parts."""
+    blanks = F.array_compact(F.array(*[F.when(F.col(k).isNull() | (F.trim(F.col(k).cast("string")) == ""), F.lit(k)) for k in key]))
+    return df.select(F.col(place), blanks.alias("blank")).where(F.size("blank") > 0)
+
+
+def governing(targets: DataFrame, periods_: DataFrame) -> DataFrame:
+    """target and the period that governs it. targets: target, box; periods_: box, row, col, period of declared period cells.
+
+    One period cell governs a whole target; a line of them as long as the target governs row by row or column by column.
+    """
+    t = targets.select("target", *[F.col(c).alias(f"t_{c}") for c in ("min_row", "max_row", "min_col", "max_col")], "group")
+    j = t.join(periods_, "group")
+    rows, cols = F.col("t_max_row") - F.col("t_min_row"), F.col("t_max_col") - F.col("t_min_col")
+    single = (F.col("min_row") == F.col("max_row")) & (F.col("min_col") == F.col("max_col"))
+    down = ~single & (F.col("min_col") == F.col("max_col")) & (F.col("max_row") - F.col("min_row") == rows)
+    across = ~single & (F.col("min_row") == F.col("max_row")) & (F.col("max_col") - F.col("min_col") == cols)
+    at_row = F.when(down, F.col("t_min_row") + F.col("row") - F.col("min_row"))
+    at_col = F.when(across, F.col("t_min_col") + F.col("col") - F.col("min_col"))
+    return j.where(single | down | across).select("target", at_row.alias("row"), at_col.alias("col"), "period")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,3 +95,29 @@ def contained(points: DataFrame, rectangles: DataFrame, rows: int = 64, columns:
     p = points.withColumn("_b", F.explode(F.array(*[F.struct(F.lit(k).alias("_l"), at("row", rows, k).alias("_br"), at("col", columns, k).alias("_bc")) for k in used]) if used else F.array().cast("array<struct<_l:int,_br:bigint,_bc:bigint>>")))
     p = p.select(*points.columns, "_b._l", "_b._br", "_b._bc")
     return p.join(r, ["sheet", "_l", "_br", "_bc"]).where("row between min_row and max_row and col between min_col and max_col").drop("_l", "_br", "_bc")
+
+
+# Impacts that a finding shows.
+MOST_IMPACTS = 25
+
+
+def affected(changed: DataFrame, edges: DataFrame) -> DataFrame:
+    """start and reached of the ids (id) that changed, over edges (a, b) from what is read to what reads it: breadth first, from the changed ids alone.
+
+    A round joins only what the one before reached anew; a start that lies on a cycle reaches itself.
+    """
+    e = shared(edges.select("a", "b").distinct())
+    found = front = shared(changed.select(F.col("id").alias("start")).distinct().join(e, F.col("start") == F.col("a")).select("start", F.col("b").alias("reached")).distinct())
+    while front.head(1):
+        step = front.join(e, F.col("reached") == F.col("a")).select("start", F.col("b").alias("reached")).distinct()
+        front = shared(step.join(found, ["start", "reached"], "left_anti"))
+        found = shared(found.unionByName(front))
+    return found
+
+
+def impacts(reached: DataFrame, most: int = MOST_IMPACTS) -> DataFrame:
+    """start, impacts (the smallest reached ids, so many at most), more (how many others): what a finding shows of its dependents."""
+    w = Window.partitionBy("start").orderBy("reached")
+    d = reached.withColumn("_n", F.row_number().over(w))
+    top = d.where(F.col("_n") <= most).groupBy("start").agg(F.sort_array(F.collect_list("reached")).alias("impacts"))
+    return reached.groupBy("start").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more")).join(top, "start").select("start", "impacts", "more")

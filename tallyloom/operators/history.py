@@ -37,3 +37,35 @@ def recurring(runs: DataFrame, identity: list[str], *, finalized: int = 3, manua
 def identities(columns: list[str]):
     """SHA-256 over the columns as JSON with null as null."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def carried_populations(members: DataFrame, decisions: DataFrame, population: str, location: str) -> DataFrame:
+    """population and status of what its members (population, location) were decided before (location, severity, comment, finalized).
+
+    unfinalized: some decision isn't final; partial: not all members have one; severity_conflict, comment_conflict; else inherited.
+    """
+    j = members.join(decisions, location, "left")
+    d = j.groupBy(population).agg(F.count("*").alias("n"), F.count("severity").alias("decided"), F.count_if(F.col("severity").isNotNull() & ~F.col("finalized")).alias("open"), F.countDistinct("severity").alias("severities"), F.countDistinct("comment").alias("comments"))
+    status = F.when(F.col("open") > 0, "unfinalized").when(F.col("decided") < F.col("n"), "partial").when(F.col("severities") > 1, "severity_conflict").when(F.col("comments") > 1, "comment_conflict").otherwise("inherited")
+    return d.select(population, F.col("n").alias("members"), status.alias("status"))
+
+
+def signoff(findings: DataFrame, coverage: DataFrame, acknowledged: DataFrame, run: list[str]) -> DataFrame:
+    """run, undecided (critical or warning findings without a decision), required and missing acknowledgements of degraded or unavailable checks, ready.
+
+    findings: run, severity, decided. coverage: run, check, state. acknowledged: run, check.
+    """
+    open_ = findings.groupBy(*run).agg(F.count_if(F.col("severity").isin("critical", "warning") & ~F.col("decided")).alias("undecided"))
+    due = coverage.where(F.col("state").isin("degraded", "unavailable"))
+    got = acknowledged.select(*run, "check").distinct().withColumn("_ok", F.lit(True))
+    n = due.join(got, [*run, "check"], "left").groupBy(*run).agg(F.count("*").alias("required"), F.count_if(F.col("_ok").isNull()).alias("missing"))
+    j = open_.join(n, run, "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return j.select(*run, zero("undecided").alias("undecided"), zero("required").alias("required"), zero("missing").alias("missing"), ((zero("undecided") == 0) & (zero("missing") == 0)).alias("ready"))
+
+
+def review_seconds(sessions: DataFrame, run: str, now, most: int) -> DataFrame:
+    """run and seconds of review: active seconds of closed sessions, and of open ones the time since their start, so many seconds at most."""
+    since = F.unix_timestamp(F.lit(now)) - F.unix_timestamp("started_at")
+    seconds = F.when(F.col("ended_at").isNotNull(), F.coalesce("active_seconds", F.lit(0.0))).otherwise(F.greatest(F.lit(0), F.least(since, F.lit(most))).cast("double"))
+    return sessions.groupBy(run).agg(F.sum(seconds).alias("seconds"))

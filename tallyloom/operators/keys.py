@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a key must cover, how unique it must be, how far both cycles' keys must overlap.
 COVERAGE, UNIQUE, OVERLAP = 0.95, 0.995, 0.90
+# Rows that place would pair wrongly, and findings that a key must avoid, before it is suggested.
+DISPLACED, PROJECTED = 0.20, 10_000
 
 
 def screen(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,3 +40,47 @@ def overlap(base: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
     a, b = base.select(*key).dropna().distinct().withColumn("_a", F.lit(1)), current.select(*key).dropna().distinct().withColumn("_b", F.lit(1))
     d = a.join(b, key, "full_outer").agg(F.count("_a").alias("baseline_keys"), F.count("_b").alias("current_keys"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("common"), F.count("*").alias("all_keys"))
     return d.withColumn("overlap", F.col("common") / F.greatest(F.col("all_keys"), F.lit(1))).drop("all_keys")
+
+
+# Numbers that a sequence has at least, digits that its steps are rounded to.
+SEQUENCE, STEP_DIGITS = 3, 9
+
+
+def sequences(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """name and is_sequence of each column: whether its numbers, in order, have one step that isn't zero. Such a column only repeats places."""
+    long = df.select(F.col(order).alias("_o"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("_o", "x.name", "x.v").where("v is not null")
+    # Steps add up to the whole way only if they are all alike: least, greatest and number of distinct places decide without one task for each column.
+    w = Window.partitionBy("name", F.floor(F.col("_o") / 4096)).orderBy("_o")
+    steps = long.withColumn("_d", F.round(F.col("v") - F.lag("v").over(w), STEP_DIGITS)).withColumn("_block", F.floor(F.col("_o") / 4096))
+    inner = steps.where("_d is not null").groupBy("name").agg(F.min("_d").alias("lo"), F.max("_d").alias("hi"))
+    edge = long.withColumn("_block", F.floor(F.col("_o") / 4096)).groupBy("name", "_block").agg(F.min_by("v", "_o").alias("first"), F.max_by("v", "_o").alias("last"))
+    over = edge.withColumn("_d", F.round(F.col("first") - F.lag("last").over(Window.partitionBy("name").orderBy("_block")), STEP_DIGITS)).where("_d is not null").groupBy("name").agg(F.min("_d").alias("lo2"), F.max("_d").alias("hi2"))
+    n = long.groupBy("name").agg(F.count("*").alias("n"))
+    j = n.join(inner, "name", "left").join(over, "name", "left")
+    lo, hi = F.least("lo", "lo2"), F.greatest("hi", "hi2")
+    return j.select("name", F.coalesce((F.col("n") >= SEQUENCE) & (lo == hi) & (lo != 0), F.lit(False)).alias("is_sequence"))
+
+
+def stride(df: DataFrame, key: list[str], most: int) -> DataFrame:
+    """The report's sample of keys: about so many, evenly spread over their order by hash, the same ones each time."""
+    h = F.xxhash64(*key)
+    n = df.count()
+    return df.where(F.pmod(h, F.lit(max(1, n // most))) == 0)
+
+
+def header_rows(cells: DataFrame, depth: int = 10) -> DataFrame:
+    """sheet and header_row: of a sheet's first rows the one with the most distinct texts, no number, and data below; of equals the first."""
+    top = cells.where(F.col("row") <= depth).groupBy("sheet", "row").agg(F.countDistinct(F.when(F.col("vtype") == "text", F.col("value"))).alias("texts"), F.count_if(F.col("vtype") != "text").alias("others"))
+    last = cells.groupBy("sheet").agg(F.max("row").alias("bottom"))
+    good = top.where("others = 0 and texts > 0").join(last, "sheet").where("row < bottom")
+    return good.groupBy("sheet").agg(F.max(F.struct("texts", (-F.col("row")).alias("up"))).alias("m")).select("sheet", (-F.col("m.up")).alias("header_row"))
+
+
+def evaluated(candidates: DataFrame) -> DataFrame:
+    """Candidate keys (key, coverage, uniqueness, overlap, displaced, projected) with whether one is suggested, best first by rank.
+
+    displaced: share of rows that place alone would pair wrongly; projected: findings that the key would avoid.
+    """
+    ok = (F.col("coverage") >= COVERAGE) & (F.col("uniqueness") >= UNIQUE) & (F.col("overlap") >= OVERLAP) & (F.col("displaced") >= DISPLACED) & (F.col("projected") >= PROJECTED)
+    rank = F.row_number().over(Window.partitionBy("sheet").orderBy(ok.desc(), F.col("overlap").desc(), F.col("uniqueness").desc(), "key"))
+    return candidates.withColumn("suggested", ok).withColumn("rank", rank)

@@ -59,3 +59,75 @@ def stories(findings: DataFrame, finding: str, tokens: str) -> DataFrame:
 def subtotals(findings: DataFrame, columns: list[str]) -> DataFrame:
     """Counts by every combination of the columns."""
     return findings.cube(*columns).agg(F.count("*").alias("members"))
+
+
+# Weights of what a group's findings show, tiers that defer a group, members that make one wide, evidence lines of a story.
+WEIGHTS = {
+    "critical": 1000, "warning": 400, "info": 50, "material": 300, "historical": 250, "new": 200, "impacts": 150, "residual": 120, "wide": 80,
+    "inherited": -200, "noise": -300, "tolerated": -250, "story": -100,
+}
+DEFERRED, WIDE, EVIDENCE = {"reviewed": 1, "waived": 2, "expected": 3}, 25, 8
+
+
+def grouped(findings: DataFrame, key: list[str]) -> DataFrame:
+    """Spatial review groups: findings (sheet, row, col, key) of one key that touch are one group; those without a place are groups of their own.
+
+    Gives key, sheet, box, members.
+    """
+    from tallyloom.operators.regions import components
+
+    tag = F.to_json(F.struct("sheet", *key), {"ignoreNullFields": "false"})
+    placed = findings.where("row is not null and col is not null").withColumn("_sheet", tag)
+    boxes = components(placed.select("_sheet", "row", "col").distinct(), "_sheet", "row", "col")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in findings.select("sheet", *key).schema)
+    told = boxes.withColumn("_k", F.from_json("_sheet", kinds)).select("_k.*", "min_row", "max_row", "min_col", "max_col", F.col("cells").alias("members"))
+    alone = findings.where("row is null or col is null").select("sheet", *key, *[F.lit(None).cast(told.schema[c].dataType).alias(c) for c in ("min_row", "max_row", "min_col", "max_col")], F.lit(1).cast(told.schema["members"].dataType).alias("members"))
+    return told.unionByName(alone)
+
+
+def ranked_groups(findings: DataFrame, group: str) -> DataFrame:
+    """group, members, score, tier, rank: by tier of deferral, then by the weights of what its findings show, then by group.
+
+    findings: severity, materiality, temporal_context, provenance, reviewed, waived (boolean).
+    """
+    has = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    is_ = lambda c, v: F.col(c) == v
+    d = findings.groupBy(group).agg(
+        F.count("*").alias("members"), *[has(is_("severity", s)).alias(s) for s in ("critical", "warning", "info")], has(is_("materiality", "material")).alias("material"), has(is_("temporal_context", "historical")).alias("historical"),
+        has(is_("provenance", "new")).alias("new"), F.bool_and(F.coalesce(is_("provenance", "inherited"), F.lit(False))).alias("inherited"), F.bool_and(F.coalesce(is_("materiality", "noise"), F.lit(False))).alias("noise"),
+        F.bool_and(F.coalesce(is_("materiality", "within_tolerance"), F.lit(False))).alias("tolerated"), F.bool_and("reviewed").alias("_reviewed"), F.bool_and("waived").alias("_waived"), F.bool_and(is_("severity", "expected")).alias("_expected"),
+    ).withColumn("wide", F.col("members") >= WIDE)
+    score = F.lit(0)
+    for s, w in WEIGHTS.items():
+        score = score + F.when(F.col(s), w).otherwise(0) if s in d.columns else score
+    tier = F.when(F.col("_expected"), DEFERRED["expected"]).when(F.col("_waived"), DEFERRED["waived"]).when(F.col("_reviewed"), DEFERRED["reviewed"]).otherwise(0)
+    return d.select(group, "members", score.alias("score"), tier.alias("tier"))
+
+
+def decided(findings: DataFrame, decisions: DataFrame, group: str) -> DataFrame:
+    """findings with the decision of their group (group, severity, comment): members that were decided by hand (manual) keep their own."""
+    j = findings.join(decisions.select(group, F.col("severity").alias("_severity"), F.col("comment").alias("_comment")), group, "left")
+    apply = F.col("_severity").isNotNull() & ~F.col("manual")
+    return j.withColumn("severity", F.when(apply, F.col("_severity")).otherwise(F.col("severity"))).withColumn("comment", F.when(apply, F.col("_comment")).otherwise(F.col("comment"))).drop("_severity", "_comment")
+
+
+def shape_digest(before: str, after: str):
+    """A digest of what a change does to the shape of texts, figures blanked: equal for the same edit at many places."""
+    from tallyloom.functions.numbers import skeleton
+
+    return F.sha2(F.to_json(F.struct(skeleton(F.coalesce(F.col(before), F.lit(""))).alias("b"), skeleton(F.coalesce(F.col(after), F.lit(""))).alias("a"))), 256)
+
+
+def told_stories(findings: DataFrame, story: str, title: str, evidence: str) -> DataFrame:
+    """story, title (of its first finding), members, counts by severity, and at most EVIDENCE lines of evidence, by finding."""
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.partitionBy(story).orderBy("finding"))
+    d = findings.withColumn("_n", n)
+    lines = d.where(F.col("_n") <= EVIDENCE).groupBy(story).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", evidence))), lambda x: x[evidence]).alias("evidence"))
+    return d.groupBy(story).agg(F.min_by(title, "finding").alias("title"), F.count("*").alias("members"), *counts()).join(lines, story)
+
+
+def represented(rows: DataFrame) -> DataFrame:
+    """How many decisions a review asks for, and how many findings they stand for (member_count, null: one)."""
+    return rows.agg(F.count("*").alias("decisions"), F.sum(F.coalesce("member_count", F.lit(1))).cast("long").alias("findings"))
