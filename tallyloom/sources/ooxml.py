@@ -6,7 +6,6 @@ cell. Python parses the XML part by part; everything after is Spark.
 
 from __future__ import annotations
 
-import io
 import posixpath
 import re
 import zipfile
@@ -26,10 +25,9 @@ TYPES = {"b": "bool", "e": "error", "s": "text", "str": "text", "inlineStr": "te
 
 
 def opened(path: str) -> zipfile.ZipFile:
-    """The package at a path or URI; raises on parts that leave the package or occur twice."""
+    """The package at a path or URI, of which only the parts that are asked for are read; raises on parts that leave the package or occur twice."""
     store, at = fs.FileSystem.from_uri(path) if re.match(r"\w+:/", path) else (fs.LocalFileSystem(), path)
-    with store.open_input_file(at) as f:
-        z = zipfile.ZipFile(io.BytesIO(f.read()))
+    z = zipfile.ZipFile(store.open_input_file(at))
     names = z.namelist()
     if len(set(names)) != len(names) or any(n.startswith("/") or ".." in n.split("/") for n in names):
         raise ValueError(f"{path}: not a safe package")
@@ -96,6 +94,8 @@ class WorkbookReader(DataSourceReader):
                     if "f" in kids:
                         own = kids["f"]
                         formula = "=" + own.text if own.text else None
+                        if own.get("t") == "array" and formula:  # one formula for all cells of its range, shown once
+                            formula = "{" + formula + "}"
                         if own.get("t") == "shared":
                             if own.text:
                                 shared[own.get("si")] = (own.text, row, col)
@@ -197,5 +197,7 @@ class Decks(DataSource):
 
 
 def register(spark) -> None:
-    spark.dataSource.register(Workbooks)
-    spark.dataSource.register(Decks)
+    from tallyloom.sources.parts import WorkbookParts
+
+    for source in (Workbooks, WorkbookParts, Decks):
+        spark.dataSource.register(source)

@@ -46,6 +46,34 @@ def test_workbook(spark, workbook):
     assert kinds["Data", "formula"] == 2 and kinds["Data", "text"] == 3
 
 
+def test_workbook_parts(spark, tmp_path):
+    path = tmp_path / "parts.xlsx"
+    kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rels = lambda *x: f'<Relationships {REL}>' + "".join(f'<Relationship Id="{i}" Type="{kind}/{t}" Target="{to}"/>' for i, t, to in x) + "</Relationships>"
+    c = 'xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:xdr="http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {NS}><sheets><sheet name="Data" sheetId="1" r:id="a"/><sheet name="Old" sheetId="2" state="hidden" r:id="b"/></sheets><definedNames><definedName name="Total">Data!$A$1:$A$9</definedName><definedName name="Own" localSheetId="1">Old!$B$2</definedName></definedNames></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", rels(("a", "worksheet", "worksheets/sheet1.xml"), ("b", "worksheet", "worksheets/sheet2.xml")))
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {NS}><dimension ref="A1:B2"/><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData><conditionalFormatting sqref="A1:A9"><cfRule type="cellIs" operator="greaterThan" priority="1"><formula>5</formula></cfRule></conditionalFormatting><dataValidations><dataValidation type="list" sqref="B1:B9"><formula1>"a,b"</formula1></dataValidation></dataValidations></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {NS}><sheetData/></worksheet>")
+        z.writestr("xl/worksheets/_rels/sheet1.xml.rels", rels(("t", "table", "../tables/table1.xml"), ("c", "comments", "../comments1.xml"), ("d", "drawing", "../drawings/drawing1.xml")))
+        z.writestr("xl/tables/table1.xml", f'<table {NS} displayName="Sales" ref="A1:B9"><tableColumns><tableColumn name="x"/><tableColumn name="y"/></tableColumns></table>')
+        z.writestr("xl/comments1.xml", f'<comments {NS}><commentList><comment ref="A1"><text><t>check</t></text></comment></commentList></comments>')
+        z.writestr("xl/drawings/drawing1.xml", f'<xdr:wsDr {c}><xdr:twoCellAnchor><xdr:from><xdr:col>1</xdr:col><xdr:row>2</xdr:row></xdr:from><xdr:to><xdr:col>5</xdr:col><xdr:row>9</xdr:row></xdr:to><xdr:graphicFrame><c:chart r:id="k"/></xdr:graphicFrame></xdr:twoCellAnchor></xdr:wsDr>')
+        z.writestr("xl/drawings/_rels/drawing1.xml.rels", rels(("k", "chart", "../charts/chart1.xml")))
+        z.writestr("xl/charts/chart1.xml", f'<c:chartSpace {c}><c:chart><c:title><a:t>Growth</a:t></c:title><c:plotArea><c:barChart><c:ser><c:order val="0"/><c:tx><c:strRef><c:f>Data!$B$1</c:f></c:strRef></c:tx><c:cat><c:strRef><c:f>Data!$A$2:$A$9</c:f></c:strRef></c:cat><c:val><c:numRef><c:f>Data!$B$2:$B$9</c:f></c:numRef></c:val></c:ser></c:barChart></c:plotArea></c:chart></c:chartSpace>')
+        z.writestr("xl/vbaProject.bin", b"macro")
+    ooxml.register(spark)
+    got = {(r.kind, r.sheet, r.name): r.fields for r in spark.read.format("workbook_parts").load(str(path)).collect()}
+    assert got["sheet", "Old", "Old"] == {"state": "hidden"} and got["name", None, "Total"] == {"ref": "Data!$A$1:$A$9"} and got["name", "Old", "Own"] == {"ref": "Old!$B$2"}
+    assert got["table", "Data", "Sales"]["columns"] == "x\ny" and got["comment", "Data", "A1"] == {"text": "check"} and got["dimension", "Data", ""] == {"ref": "A1:B2"}
+    assert got["validation", "Data", "1"] == {"type": "list", "sqref": "B1:B9", "formula1": '"a,b"'}
+    assert got["conditional_format", "Data", "1"] == {"type": "cellIs", "operator": "greaterThan", "priority": "1", "sqref": "A1:A9", "formula1": "5"}
+    assert got["chart", "Data", "chart1.xml"] == {"title": "Growth", "index": "0", "from_col": "1", "from_row": "2", "to_col": "5", "to_row": "9"}
+    assert got["chart_series", "Data", "chart1.xml/0"] == {"plot": "bar", "order": "0", "name_ref": "Data!$B$1", "categories_ref": "Data!$A$2:$A$9", "values_ref": "Data!$B$2:$B$9", "chart": "chart1.xml"}
+    assert got["risk", None, "xl/vbaProject.bin"]["risk"] == "macro"
+
+
 def test_unsafe_package(tmp_path):
     path = tmp_path / "bad.xlsx"
     with zipfile.ZipFile(path, "w") as z:
