@@ -105,6 +105,7 @@ def unique_cascade(base: DataFrame, current: DataFrame, passes: list[tuple], id_
         else:
             one = lambda df, key=key: df.dropna(subset=key).groupBy(*key).agg(F.min(id_).alias("_id"), F.count("*").alias("_n")).where("_n = 1")
         hits = one(base).withColumnRenamed("_id", "base_id").join(one(current).withColumnRenamed("_id", "current_id"), [*key, "_n"]).select("base_id", "current_id", F.lit(name).alias("pass"))
+        hits = shared(hits)  # each pass reads what the ones before left twice
         base = base.join(hits.select(F.col("base_id").alias(id_)), id_, "left_anti")
         current = current.join(hits.select(F.col("current_id").alias(id_)), id_, "left_anti")
         found = hits if found is None else found.unionByName(hits)
