@@ -1,9 +1,14 @@
 """Plain versions of what the operators compute, on small tables in one process."""
 
 import hashlib
+import math
 import re
+import string
+import unicodedata
 import zlib
 
+import xxhash
+
 
 def words10(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
@@ -70,5 +75,43 @@ def kept_lines(docs, least=50):
     return [(k, "\n".join(x for n, x in enumerate(d) if n not in gone[i])) for i, ((k, _), d) in enumerate(zip(docs, lines, strict=True))]
 
 
+def statistics(text):
+    """A text's statistics, one value at a time."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, chars = len(words), len(t)
+    share = lambda keep: sum(map(keep, t)) / max(chars, 1)
+    return {
+        "chars": math.log1p(chars), "word_chars": (chars - n + 1) / max(n, 1), "distinct_words": len(set(words)) / max(n, 1), "upper": share(lambda c: unicodedata.category(c) == "Lu"), "digits": share(lambda c: c in "0123456789"),
+        "marks": share(lambda c: c in string.punctuation and c not in "'"), "stops": share(lambda c: c in ".,"), "exclaimed": share(lambda c: c == "!"), "line_words": n / len(t.split("\n")), "words": math.log1p(n),
+    }
+
+
+def rule_score(model, text):
+    s = statistics(text)
+    z = model.bias + sum(r.weight for r in model.rules if all(s[k] > x if above else s[k] <= x for k, above, x in r.tests))
+    return 1 / (1 + math.exp(-z))
+
+
+def print_of(text, least=16, normal=32, most=128, digest=6):
+    """A fingerprint, byte by byte: the hash of the last 32 bytes is summed anew at each place."""
+    gear = [int.from_bytes(hashlib.sha256(b"gear %d" % b).digest()[:4], "big") for b in range(256)]
+    data, at, covered = text.encode(), 0, {}
+    while at < len(data):
+        end = len(data)
+        if end - at > least:
+            for k in range(at + least - 1, min(at + most, len(data))):
+                h = sum(gear[data[k - j]] << j for j in range(min(32, k + 1))) & 0xFFFFFFFF
+                if h & ((63 if k < at + normal else 7) << 26) == 0:
+                    end = k + 1
+                    break
+            else:
+                end = min(at + most, len(data))
+        d = xxhash.xxh3_64_digest(data[at:end])[:digest]
+        covered[d] = covered.get(d, 0) + end - at
+        at = end
+    return covered
+
+
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))

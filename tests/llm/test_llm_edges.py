@@ -189,6 +189,42 @@ def test_quality(spark, docs, clashing, empty):
     assert quality_rules.accepted(clashing, labels).columns == clashing.columns
 
 
+def test_quality_scores_are_those_of_the_rules(spark):
+    """Scores against a plain version of statistics and rules, long and odd texts among them."""
+    texts = [None, "", " \n\t ", LONG, "a" * 200_000, SENTENCE, "BAD!! $$$ 123, ok.", "é É 日本 's\nline two", "one\n\n\n", "x\x0by\x85z"]
+    many = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, F.concat(F.lit(SENTENCE), F.repeat(F.lit(" word"), F.col("id").cast("int")))).otherwise(F.concat(F.lit("BAD!! $$$ WORDS!!"), F.repeat(F.lit("! 1"), F.col("id").cast("int")))).alias("text"))
+    model = quality_rules.fit(many, many.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    assert model.rules
+    got = quality_rules.scored(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), model, "score").orderBy("i").collect()
+    assert [r.score for r in got] == pytest.approx([plain.rule_score(model, t) for t in texts], abs=1e-12)
+
+
+def test_tilt(spark):
+    """Multipliers and tilt against the conditions that only the minimum meets: sources' targets and the moment, with rates cut off."""
+    rng = np.random.default_rng(6)
+    sizes = [(s, int(n), int(n) * int(rng.integers(1, 50))) for s in ("a", "b", None) for n in rng.choice(np.arange(1, 3000), 40, replace=False)]
+    of = {s: sum(w for k, _, w in sizes if k == s) for s in ("a", "b", None)}
+    targets = {"a": 0.4 * of["a"], "b": 1.7 * of["b"], None: 3.0 * of[None]}
+    table = spark.createDataFrame(sizes, "source string, size long, words long")
+    sources = spark.createDataFrame([(s, of[s], float(targets[s]), 1) for s in of], "s string, source_size long, target double, groups int")
+    found, tilt, mean = mixing.tilted(table, sources, 3, 3.0)
+    lam = {r.s: r.multiplier for r in found.collect()}
+    assert lam[None] is None and abs(tilt) > 1e-4
+    total = sum(of.values())
+    assert mean == pytest.approx(sum(w * np.log(n) for _, n, w in sizes) / total, rel=1e-9)
+    rate = {(s, n): 3.0 if s is None else min(3.0, np.exp(lam[s] + tilt * (np.log(n) - mean))) for s, n, _ in sizes}
+    for s in ("a", "b"):
+        assert sum(w * rate[k, n] for k, n, w in sizes if k == s) == pytest.approx(targets[s], rel=1e-6)
+    assert abs(sum(w * rate[k, n] * (np.log(n) - mean) for k, n, w in sizes)) < 1e-5 * total
+    assert mixing.tilted(table.limit(0), sources, 3, 3.0)[1] == 0.0
+
+
+def test_fingerprint_byte_by_byte():
+    rng = np.random.default_rng(7)
+    for t in ("", "a", "short text", SENTENCE, "a" * 1000, " ".join(f"w{rng.integers(50)}" for _ in range(600)), "é日本" * 150):
+        assert fingerprints.weights(fingerprints.fingerprint(t)) == plain.print_of(t)
+
+
 def test_mixing(docs, clashing, empty):
     got = mixing.report(docs).collect()
     assert len(got) == len(ROWS)
