@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KNOWN = re.compile(r"(?P<before>[^0#?.,%E]*)(?P<digits>[0#?,]*[0#?]|)(?P<point>\.(?P<decimals>[0#?]+))?(?P<scale>,*)(?P<exponent>E[+-]0+)?(?P<after>[^0#?.,E]*)", re.IGNORECASE)
 RULE = "struct<decimals:int,percent:boolean,thousands:int,grouped:boolean,scientific:boolean>"
+RULE_TYPE = pa.struct([("decimals", pa.int32()), ("percent", pa.bool_()), ("thousands", pa.int32()), ("grouped", pa.bool_()), ("scientific", pa.bool_())])
+#: Decimals that a format may show; a double has no more.
+MOST_DECIMALS = 17
 
 
 def first_section(fmt: str) -> str:
@@ -43,7 +47,12 @@ def parse(fmt: str | None) -> dict | None:
 
 def with_rule(cells: DataFrame, fmt: str, name: str) -> DataFrame:
     """cells with the rule of each format; Python sees each distinct format once."""
-    known = cells.select(F.col(fmt).alias("_f")).where("_f is not null").distinct().withColumn(name, F.udf(parse, RULE)("_f"))
+
+    @F.arrow_udf(RULE)
+    def rule(formats: pa.Array) -> pa.Array:
+        return pa.array([parse(f) for f in formats.to_pylist()], RULE_TYPE)
+
+    known = cells.select(F.col(fmt).alias("_f")).where("_f is not null").distinct().withColumn(name, rule(F.col("_f")))
     return cells.join(known, cells[fmt] == known["_f"], "left").drop("_f")
 
 
@@ -54,6 +63,6 @@ def shown(value: Column, rule: Column) -> Column:
     """
     x = value * F.when(rule["percent"], 100).otherwise(1) / F.pow(F.lit(1000.0), rule["thousands"])
     out = F.lit(None).cast("string")
-    for d in range(9, -1, -1):
+    for d in range(MOST_DECIMALS, -1, -1):
         out = F.when(rule["decimals"] == d, F.format_string(f"%.{d}f", x)).otherwise(out)
     return F.when(rule.isNull() | rule["scientific"] | value.isNull() | F.isnan(value), None).otherwise(out)

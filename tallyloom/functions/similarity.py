@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SKELETON = re.compile(r"[-+]?[\d.,]+\s*%?")
+from tallyloom.functions.numbers import NUMERIC_TOKEN
+
+SKELETON = re.compile(NUMERIC_TOKEN)
 
 
 def indel_ratio(a: str, b: str) -> float:

@@ -263,7 +263,7 @@ def structure_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs of a conversation's user and assistant turns, as slides of a deck, scored. A pair needs a word in common or a near place."""
+    """All pairs of a conversation's user and assistant turns, as slides of two decks, scored: any pair can be alike enough by its titles' letters."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     a = t.where("role = 'user'").select("conv_id", F.col("turn").alias("a"), F.col("text").alias("x"))
     b = t.where("role = 'assistant'").select("conv_id", F.col("turn").alias("b"), F.col("text").alias("y"))
