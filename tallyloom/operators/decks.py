@@ -57,7 +57,7 @@ def category_changes(base: DataFrame, current: DataFrame, series: list[str]) ->
     d = d.join(both.select(*series, rolled.alias("rolled")), series, "left")
     latest = base.where("period is not null").groupBy(*series, F.col("period.kind").alias("kind")).agg(F.max(F.struct("period.k1", "period.k2", "period.k3")).alias("last"))
     d = d.withColumn("kind", F.col("period.kind")).join(latest, [*series, "kind"], "left")
-    later = F.coalesce(periods.is_after(F.col("period"), F.struct("kind", "last.k1", "last.k2", "last.k3")), F.lit(False))
+    later = F.col("last").isNotNull() & F.coalesce(periods.is_after(F.col("period"), F.struct("kind", "last.k1", "last.k2", "last.k3")), F.lit(False))
     keep = F.col("event").isNotNull() & ~((F.col("event") == "removed") & F.coalesce("rolled", F.lit(False)))
     reason = F.when((F.col("event") == "added") & F.coalesce("rolled", F.lit(False)), "rolling_window").when((F.col("event") == "added") & later, "cadence_extension")
     return d.where(keep).select(*series, "label", (F.col("_n") - 1).alias("occurrence"), "event", reason.alias("expected_reason"))

@@ -104,7 +104,8 @@ MOST_IMPACTS = 25
 def affected(changed: DataFrame, edges: DataFrame) -> DataFrame:
     """start and reached of the ids (id) that changed, over edges (a, b) from what is read to what reads it: breadth first, from the changed ids alone.
 
-    A round joins only what the one before reached anew; a start that lies on a cycle reaches itself.
+    A round joins only what the one before reached anew, so there are as many rounds as the longest shortest path has edges;
+    for long chains closure() takes the logarithm of that. A start that lies on a cycle reaches itself.
     """
     e = shared(edges.select("a", "b").distinct())
     found = front = shared(changed.select(F.col("id").alias("start")).distinct().join(e, F.col("start") == F.col("a")).select("start", F.col("b").alias("reached")).distinct())
