@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontamination, fingerprints, jaccard, line_dedup, merkle, mixing, quality_rules, token_counts, token_files, url_filters, warc
+from tallyloom.llm import centroids, decontamination, fingerprints, jaccard, line_dedup, merkle, mixing, quality_rules, token_counts, token_files, url_filters, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -67,6 +67,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,13 +78,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_line_dedup, op3_ngram_jaccard, op4_token_files, op5_token_counts, op6_quality_rules, op7_mixing, op8_warc, op9_fingerprints, op10_url_filters, op11_merkle, pipeline)
+    own = (op1_decontamination, op2_line_dedup, op3_ngram_jaccard, op4_token_files, op5_token_counts, op6_quality_rules, op7_mixing, op8_warc, op9_fingerprints, op10_url_filters, op11_merkle, op12_centroids, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL expresses on whole tables; the others are tested against plain versions in tests/llm."""
-    return {"op8_warc": WARC_SQL, "op10_url_filters": URL_SQL, "op11_merkle": MERKLE_SQL}
+    return {"op8_warc": WARC_SQL, "op10_url_filters": URL_SQL, "op11_merkle": MERKLE_SQL, "op12_centroids": CENTROIDS_SQL}
 
 
 WARC_SQL = """
@@ -155,3 +159,27 @@ WITH RECURSIVE f AS (
 )
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """
+
+CENTROIDS_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c(round, j, x) AS (
+  SELECT 0, row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1, x FROM (SELECT * FROM v ORDER BY sha256('3:' || vec_id), x LIMIT 8)
+  UNION ALL
+  SELECT round + 1, j, coalesce(list(part ORDER BY place) FILTER (WHERE place > 0), any_value(x)) FROM (
+    SELECT c.round, c.j, c.x, s.place, (s.total - (s.total % s.n + s.n) % s.n) // s.n AS part FROM c LEFT JOIN (
+      SELECT j, place, sum(component) AS total, count(*) AS n FROM (
+        SELECT j, unnest(x) AS component, unnest(range(1, 65)) AS place FROM (
+          SELECT v.x, arg_min(c.j, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * 8 + c.j) AS j FROM v, c GROUP BY v.vec_id, v.x
+        )
+      ) GROUP BY j, place
+    ) s ON s.j = c.j
+  ) WHERE round < 10 GROUP BY round, j
+), d AS (
+  SELECT v.vec_id, min(CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) * 8 + c.j) AS near FROM v, c WHERE c.round = 10 GROUP BY v.vec_id, v.x
+)
+SELECT d.vec_id, CAST(d.near % 8 AS INTEGER) AS cluster, CAST(d.near // 8 AS BIGINT) AS distance, CAST(sum(d.near // 8) OVER (PARTITION BY d.near % 8) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d.near // 8) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM d JOIN c ON c.round = 10 AND c.j = d.near % 8
+"""

@@ -156,3 +156,21 @@ def merkle(rows, order_of_null=""):
                 cur = h(*a, cur, *b)
             out.append((r[0], leaf(r), trees[x][-1][0], top[-1][0], h(*(s for a, b in steps for s in a + b)), cur, cur == top[-1][0]))
     return sorted(out, key=repr)
+
+
+def clusters(rows, k=8, rounds=10):
+    """rows (vec_id, components): (vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256), all distances in every round."""
+    kept = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    if not kept:
+        return []
+    first = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[1]))
+    c = [v for _, v in first[:k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, x, strict=True)), j) for j, x in enumerate(c))
+    for _ in range(rounds):
+        own = [[] for _ in c]
+        for _, v in kept:
+            own[near(v)[1]].append(v)
+        c = [[sum(col) // len(m) for col in zip(*m, strict=True)] if m else x for m, x in zip(own, c, strict=True)]
+    got = [(i, *near(v)[::-1]) for i, v in kept]
+    inertia = [sum(d for _, x, d in got if x == j) for j in range(len(c))]
+    return [(i, j, d, inertia[j], sum(inertia), hashlib.sha256(",".join(map(str, c[j])).encode()).hexdigest()) for i, j, d in got]
