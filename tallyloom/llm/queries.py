@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import centroids, decontamination, fingerprints, jaccard, line_dedup, merkle, mixing, quality_rules, token_counts, token_files, url_filters, warc
+from tallyloom.llm import centroids, decontamination, fingerprints, html_text, jaccard, line_dedup, merkle, mixing, quality_rules, token_counts, token_files, url_filters, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -71,6 +71,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontamination, op2_line_dedup, op3_ngram_jaccard, op4_token_files, op5_token_counts, op6_quality_rules, op7_mixing, op8_warc, op9_fingerprints, op10_url_filters, op11_merkle, op12_centroids, pipeline)
+    own = (op1_decontamination, op2_line_dedup, op3_ngram_jaccard, op4_token_files, op5_token_counts, op6_quality_rules, op7_mixing, op8_warc, op9_fingerprints, op10_url_filters, op11_merkle, op12_centroids, op13_html_text, pipeline)
     return {f.__name__: f for f in own}
 
 
