@@ -1,4 +1,4 @@
-"""Reachability over edges: components, dependents, cycles, chains. Lineage is cut in the shared checkpoint folder."""
+"""Reachability over edges: components, dependents, chains. Lineage is cut in the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -56,23 +56,6 @@ def closure(edges: DataFrame) -> DataFrame:
         n *= 2
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """id and cycle (its smallest id) of each id that reaches itself: strongly connected sets, single ones by their own edge.
-
-    Ids without edges in or out are on no cycle; they are trimmed while many go at a time, then closure decides.
-    """
-    e = shared(edges.select("a", "b").distinct())
-    n = e.count()
-    while n:
-        e = shared(e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
-        n, before = e.count(), n
-        if n > 0.9 * before:
-            break
-    c = closure(e)
-    back = c.select(F.col("reached").alias("start"), F.col("start").alias("reached"))
-    return c.join(back, ["start", "reached"]).groupBy(F.col("start").alias("id")).agg(F.least(F.col("id"), F.min("reached")).alias("cycle"))
-
-
 #: A rectangle is listed in the blocks that it meets at the finest level where they are no more than this.
 MOST_BLOCKS, LEVELS = 64, 10
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import formulas as text
 from tallyloom.functions import numbers
-from tallyloom.operators import controls, crosscheck, formulas, graph, regions
+from tallyloom.operators import controls, crosscheck, cycles, formulas, graph, regions
 from tallyloom.plans.cycles import BILLED, GRID, billed, grid, table
 
 QUERIES, SQL = {}, {}
@@ -222,15 +222,34 @@ def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(e)
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_regionkey AS b FROM nation UNION SELECT n_regionkey, (n_nationkey * 3 + 1) % 25 FROM nation), t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a)
-SELECT x.a AS id, least(x.a, min(x.b)) AS cycle FROM t x JOIN t y ON x.a = y.b AND x.b = y.a GROUP BY x.a
-""")
+#: Each order's running total reads the next order's; where a customer ordered again within 20 orders, the later total reads the earlier one too.
+CIRCULAR = """
+o AS (SELECT o_orderkey AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders), i AS (SELECT p AS lo, k AS hi FROM o WHERE k - p <= 20),
+n AS (SELECT lo, hi, lo > coalesce(max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM i), g AS (SELECT lo, hi, sum(fresh::INT) OVER (ORDER BY lo, hi) AS part FROM n),
+s AS (SELECT min(lo) AS cycle, max(hi) AS last FROM g GROUP BY part), c AS (SELECT k AS id, cycle FROM o JOIN s ON k BETWEEN cycle AND last)"""
+
+
+def circular_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("n"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("p"))
+    forward = o.select("a", F.col("n").alias("b")).join(o.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+    return cycles.cycles(forward.unionByName(o.where("a - p <= 20").select("a", F.col("p").alias("b"))))
+
+
+@query(f"WITH {CIRCULAR} SELECT id, cycle FROM c")
 def circular_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells on cycles of references, by cycle."""
-    n = table(spark, sf_dir, "nation")
-    e = n.select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b")).unionByName(n.select(F.col("n_regionkey").alias("a"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("b")))
-    return graph.cycles(e)
+    """Cells on cycles of references, by cycle: one chain of all orders with references back."""
+    return circular_cells(spark, sf_dir)
+
+
+@query(f"""
+WITH {CIRCULAR}, d AS (SELECT *, 'Orders!B' || id AS shown, row_number() OVER (PARTITION BY cycle ORDER BY id) AS place FROM c)
+SELECT cycle, count(*) AS cells, 'Orders!B' || cycle AS location, string_agg(shown, '; ' ORDER BY id) FILTER (place <= 8) || CASE WHEN count(*) > 8 THEN '; +' || (count(*) - 8) || ' more cells' ELSE '' END AS element,
+  'excel-cycle:' || substr(sha256('[' || string_agg('"' || shown || '"', ',' ORDER BY id) || ']'), 1, 12) AS event_key
+FROM d GROUP BY cycle
+""")
+def circular_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finding for each cycle, with a key made of all its cells."""
+    return cycles.findings(circular_cells(spark, sf_dir), "cycle", ["id"], F.concat(F.lit("Orders!B"), F.col("id").cast("string")))
 
 
 @query("""

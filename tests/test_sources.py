@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import formulas, numbers, periods, privacy, similarity
-from tallyloom.operators import align, crosscheck, diff, graph, objects, regions, triage
+from tallyloom.operators import align, crosscheck, cycles, diff, graph, objects, regions, triage
 from tallyloom.sources import ooxml, sinks
 from tallyloom.streaming import arrivals
 
@@ -143,7 +143,7 @@ def test_alignment_edges(spark):
 
 def test_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 7)], "a long, b long")
-    assert {(r.id, r.cycle) for r in graph.cycles(e).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5)}
+    assert {(r.id, r.cycle) for r in cycles.cycles(e).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5)}
     assert {(r.id, r.part) for r in graph.connected(e).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 6), (7, 6)}
     assert graph.connected(e.limit(0)).count() == 0 and graph.closure(e.limit(0)).count() == 0
 
@@ -153,7 +153,7 @@ def test_graph_of_any_depth(spark):
     step = {(a, b): b - a - (a == 0 and b > 1) - 19 * (a <= 100 and b >= 120) for a in range(151) for b in range(a + 1, 151)}
     assert {(r.start, r.reached): r.distance for r in graph.closure(chain).collect()} == step
     ring = spark.createDataFrame([(i, (i + 1) % 100) for i in range(100)] + [(99, 100), *[(i, i + 1) for i in range(100, 180)], (180, 180)], "a long, b long")
-    assert {(r.id, r.cycle) for r in graph.cycles(ring).collect()} == {(i, 0) for i in range(100)} | {(180, 180)}
+    assert {(r.id, r.cycle) for r in cycles.cycles(ring).collect()} == {(i, 0) for i in range(100)} | {(180, 180)}
 
 
 def test_region_scores_of_all_pairs(spark):
