@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import periods
 from tallyloom.operators.graph import shared
+from tallyloom.operators.stored import discarded, stored
 
 # The share of baseline keys that must match, and the axis size from which a fallback is called unsure.
 LEAST_MATCHED, SURE_SIZE = 0.5, 4
@@ -112,12 +113,12 @@ def unique_cascade(base: DataFrame, current: DataFrame, passes: list[tuple], id_
     return found
 
 
-def mutual_best(scored: DataFrame, a: str, b: str, score: str, rounds: int | None = None) -> DataFrame:
+def mutual_best(scored: DataFrame, a: str, b: str, score: str) -> DataFrame:
     """Of scored candidate pairs those that are each other's best, without a tie on either side.
 
-    They leave with all their pairs, and what is left is matched again until a round finds none, or for so many rounds.
+    They leave with all their pairs, and what is left is matched again until a round finds none.
     """
-    left, found, n = shared(scored), None, 0
+    left, found = shared(scored), None
     while True:
         out = left
         for side in (a, b):
@@ -125,30 +126,28 @@ def mutual_best(scored: DataFrame, a: str, b: str, score: str, rounds: int | Non
             top = left.join(best, side).where(F.col(score) == F.col("_best"))
             single = top.groupBy(side).agg(F.count("*").alias("_n")).where("_n = 1").select(side)
             out = out.join(top.join(single, side, "left_semi").select(a, b), [a, b], "left_semi")
-        out, n = shared(out), n + 1
+        out = shared(out)
         found = out if found is None else found.unionByName(out)
-        if n == rounds or not out.head(1):
+        if not out.head(1):
             return found
         left = shared(left.join(out.select(a), a, "left_anti").join(out.select(b), b, "left_anti"))
 
 
 def greedy(scored: DataFrame, group: str, a: str, b: str, score: str, least: float) -> DataFrame:
-    """One-to-one pairs of each group (a deck, a sheet), best score first, ties by ids; scores under the least don't pair.
+    """One-to-one pairs of each group (a deck, a sheet), best score first, ties by ids; scores under the least, and pairs without a group or an id, don't pair.
 
-    A group is a deck's slides or a sheet's regions, a few hundred at most; it fits one task.
+    A pair that is the best of both its ids is what taking pairs one by one would come to before any other of theirs. All such
+    pairs are taken at once, their ids leave, and the rest goes on, so a group can be of any size. Equal rows count once.
     """
-
-    def assign(pdf):
-        pdf = pdf[pdf[score] >= least].sort_values([score, a, b], ascending=[False, True, True])
-        seen_a, seen_b, take = set(), set(), []
-        for x, y in zip(pdf[a], pdf[b], strict=True):
-            take.append(x not in seen_a and y not in seen_b)
-            if take[-1]:
-                seen_a.add(x)
-                seen_b.add(y)
-        return pdf[take]
-
-    return scored.groupBy(group).applyInPandas(assign, scored.schema)
+    left = stored(scored.where(F.col(score) >= least).dropna(subset=[group, a, b]).distinct(), "candidates")
+    found = left.limit(0)
+    while left.head(1):
+        best = lambda side, d=left: d.groupBy(group, side).agg(F.min(F.struct((-F.col(score)).alias("_s"), F.col(a).alias("_a"), F.col(b).alias("_b"))).alias("_k")).select(group, F.col("_k._a").alias(a), F.col("_k._b").alias(b))
+        taken = stored(left.join(best(a), [group, a, b], "left_semi").join(best(b), [group, a, b], "left_semi"), "taken")
+        rest = stored(left.join(taken.select(group, a), [group, a], "left_anti").join(taken.select(group, b), [group, b], "left_anti"), "candidates")
+        discarded(left)
+        found, left = found.unionByName(taken), rest
+    return found
 
 
 def reordered(pairs: DataFrame, group: str, base: str, current: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import periods
+from tallyloom.functions import periods, similarity
+from tallyloom.operators import align
+from tallyloom.operators.stored import stored
 
 
 def table_changes(base: DataFrame, current: DataFrame, tables: list[str]) -> DataFrame:
@@ -102,3 +104,28 @@ def claim_population(claims: DataFrame) -> DataFrame:
     """What claims (figure, period, unit, anchor, ordinal; null: unknown) can be compared by: all, identified, without a period, without an anchor."""
     known = F.col("period").isNotNull() & F.col("anchor").isNotNull()
     return claims.agg(F.count("*").alias("claims"), F.count_if(known).alias("identified"), F.count_if(F.col("period").isNull()).alias("without_period"), F.count_if(F.col("anchor").isNull()).alias("without_anchor"))
+
+
+# The least likeness of two slides that pair.
+LEAST_LIKENESS = 55.0
+
+
+def matched_slides(base: DataFrame, current: DataFrame, deck: str, pins: DataFrame | None = None, least: float = LEAST_LIKENESS) -> DataFrame:
+    """Slides of two cycles of each deck paired one to one: deck, a and b (places), score (null if pinned).
+
+    Slides: deck, index, title, body. pins (deck, base, current: titles) win; the first slide of a title counts. The others
+    pair by likeness of titles, bodies and places, best first, ties by places.
+    """
+    sizes = base.groupBy(deck).agg(F.count("*").alias("_m")).join(current.groupBy(deck).agg(F.count("*").alias("_n")), deck, "full_outer").select(deck, F.greatest("_m", "_n", F.lit(1)).alias("_size"))
+    side = lambda df, i: df.select(deck, F.col("index").alias(i), F.coalesce("title", F.lit("")).alias(f"_title_{i}"), F.coalesce("body", F.lit("")).alias(f"_body_{i}"))
+    x, y = side(base, "a"), side(current, "b")
+    pinned = None
+    if pins is not None:
+        first = lambda df, i: df.groupBy(deck, F.col(f"_title_{i}").alias("base" if i == "a" else "current")).agg(F.min(i).alias(i))
+        p = pins.select(deck, "base", "current").distinct().join(first(x, "a"), [deck, "base"]).join(first(y, "b"), [deck, "current"])
+        pinned = stored(p.groupBy(deck, "a").agg(F.min("b").alias("b")).groupBy(deck, "b").agg(F.min("a").alias("a")).select(deck, "a", "b", F.lit(None).cast("double").alias("score")))
+        x, y = x.join(pinned, [deck, "a"], "left_anti"), y.join(pinned, [deck, "b"], "left_anti")
+    place = 100.0 * (1 - F.abs(F.col("a") - F.col("b")) / F.col("_size"))
+    score = similarity.slide_score(similarity.indel(F.col("_title_a"), F.col("_title_b")), similarity.token_set(F.col("_body_a"), F.col("_body_b")), place)
+    found = align.greedy(x.join(y, deck).join(sizes, deck).select(deck, "a", "b", score.alias("score")), deck, "a", "b", "score", least)
+    return found if pinned is None else pinned.unionByName(found)

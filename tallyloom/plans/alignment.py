@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers, periods, similarity
-from tallyloom.operators import align, axes, diff
+from tallyloom.operators import align, axes, decks, diff
 from tallyloom.plans.cycles import AXIS, BILLED, axis, billed, billed_months, booked, booked_months, table
 
 QUERIES, SQL = {}, {}
@@ -175,17 +175,6 @@ def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part")).agg(F.sum(F.col("l_quantity").cast("long")).alias("score"))
 
 
-@query("""
-WITH s AS (SELECT l_suppkey AS supplier, l_partkey AS part, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS score FROM lineitem GROUP BY 1, 2),
-r AS (SELECT *, max(score) OVER (PARTITION BY supplier) AS a, max(score) OVER (PARTITION BY part) AS b FROM s),
-x AS (SELECT supplier FROM r WHERE score = a GROUP BY 1 HAVING count(*) = 1), y AS (SELECT part FROM r WHERE score = b GROUP BY 1 HAVING count(*) = 1)
-SELECT supplier, part, score FROM r WHERE score = a AND score = b AND supplier IN (SELECT supplier FROM x) AND part IN (SELECT part FROM y)
-""")
-def mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and parts that are each other's best by quantity, without ties: the first round, as its SQL states."""
-    return align.mutual_best(quantities(spark, sf_dir), "supplier", "part", "score", rounds=1)
-
-
 @query("""
 WITH RECURSIVE s AS (SELECT l_suppkey AS supplier, l_partkey AS part, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS score FROM lineitem GROUP BY 1, 2),
 t AS (
@@ -196,7 +185,7 @@ t AS (
 )
 SELECT supplier, part, score FROM t WHERE hit
 """)
-def mutual_best_until_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and parts matched as each other's best among what is left, until no pair is found."""
     return align.mutual_best(quantities(spark, sf_dir), "supplier", "part", "score")
 
@@ -262,21 +251,17 @@ def structure_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.structure(a, b, ["nation"], ["n", "top"]).withColumn("changed", F.array_join("changed", ","))
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of a conversation's user and assistant turns, as slides of two decks, scored: any pair can be alike enough by its titles' letters."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    a = t.where("role = 'user'").select("conv_id", F.col("turn").alias("a"), F.col("text").alias("x"))
-    b = t.where("role = 'assistant'").select("conv_id", F.col("turn").alias("b"), F.col("text").alias("y"))
-    j = a.join(b, "conv_id")
-    title = lambda c: F.substring_index(F.col(c), "\n", 1)
-    score = similarity.slide_score(similarity.indel(title("x"), title("y")), similarity.token_set(F.col("x"), F.col("y")), 100.0 / (1 + F.abs(F.col("a") - F.col("b"))))
-    return j.select("conv_id", "a", "b", score.alias("score"))
+def turns(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+    """The turns of one role as slides of a deck: conv_id, turn, index, title, body."""
+    t = table(spark, sf_dir, "conversations").where(F.col("role") == role).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("body"))
+    index = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return t.select("conv_id", "turn", index.alias("index"), F.substring_index("body", "\n", 1).alias("title"), "body")
 
 
 @query()
 def slide_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns paired one to one, best first, and whether the pair has moved."""
-    pairs = align.greedy(turns(spark, sf_dir), "conv_id", "a", "b", "score", 20.0)
+    pairs = decks.matched_slides(turns(spark, sf_dir, "user"), turns(spark, sf_dir, "assistant"), "conv_id")
     moved = align.reordered(pairs, "conv_id", "a", "b").select("conv_id", "a", F.lit(True).alias("moved"))
     return pairs.join(moved, ["conv_id", "a"], "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
 
@@ -284,8 +269,6 @@ def slide_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line differences of each turn against the one before in its conversation, counted by kind."""
-    from pyspark.sql import Window
-
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
     d = t.select("conv_id", "turn", F.explode(similarity.lines(F.col("before"), F.col("text"))).alias("c"))

@@ -29,8 +29,9 @@ def query(sql: str | None = None):
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-#: First and last month (12 x year + month - 1) of the baseline; the current cycle ends one later, and begins one later on even sheets.
-FIRST, LAST = 12 * 1995, 12 * 1996 + 11
+#: The baseline has the orders' months (12 x year + month - 1) but the last; the current cycle has the last too, and begins one later on even sheets.
+MONTH = "12 * year(o_orderdate) + month(o_orderdate) - 1"
+FIRST, LAST = f"(SELECT min({MONTH}) FROM orders)", f"(SELECT max({MONTH}) - 1 FROM orders)"
 
 
 def values(names: tuple[str, ...]) -> Column:
@@ -44,7 +45,8 @@ def cells(spark: SparkSession, sf_dir: str, current: bool) -> DataFrame:
     d = d.join(c, d["o_custkey"] == c["c_custkey"]).select(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("segment"), (12 * F.year("o_orderdate") + F.month("o_orderdate") - 1).alias("m"), F.col("o_orderpriority").alias("priority"), F.floor(F.col("o_totalprice") * 100 + 0.5).cast("long").alias("cents"))
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
     kind = F.col("n") % 3
-    first, last = F.lit(FIRST) + (F.when(F.col("n") % 2 == 0, 1).otherwise(0) if current else F.lit(0)), F.lit(LAST + (1 if current else 0))
+    low, high = o.agg(F.min(F.expr(MONTH)), F.max(F.expr(MONTH)) - 1).first()
+    first, last = F.lit(low) + (F.when(F.col("n") % 2 == 0, 1).otherwise(0) if current else F.lit(0)), F.lit(high + (1 if current else 0))
     label = lambda m: F.date_format(F.make_date(F.floor(m / 12).cast("int"), (m % 12 + 1).cast("int"), F.lit(1)), "MMM-yyyy")
     named = F.when((F.col("n") >= 12) & (kind == 0), F.concat(F.lit("X-"), F.col("segment"))).otherwise(F.col("segment")) if current else F.col("segment")
     s = n.select("n", F.posexplode(values(SEGMENTS)).alias("i", "segment"))
@@ -74,14 +76,14 @@ def cells(spark: SparkSession, sf_dir: str, current: bool) -> DataFrame:
 def cells_sql(current: bool) -> str:
     """The same cells: n, row, col, value (labels), num."""
     first = f"({FIRST} + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END)" if current else f"{FIRST}"
-    last = LAST + (1 if current else 0)
+    last = f"{LAST} + {1 if current else 0}"
     name = "CASE WHEN n >= 12 AND n % 3 = 0 THEN 'X-' || segment ELSE segment END" if current else "segment"
     side = "c" if current else "b"
     rows = lambda names: ", ".join(f"({i}, '{x}')" for i, x in enumerate(names))
     return f"""
 {side}d AS (SELECT c_nationkey AS n, c_mktsegment AS segment, 12 * year(o_orderdate) + month(o_orderdate) - 1 AS m, o_orderpriority AS priority, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey {"WHERE o_orderstatus <> 'P'" if current else ""}),
 {side}s AS (SELECT n_nationkey AS n, i, segment FROM nation, (VALUES {rows(SEGMENTS)}) t(i, segment)),
-{side}t AS (SELECT s.n, s.i, s.segment, m.m, m.m - {first.replace("n %", "s.n %")} AS j, coalesce(sum(d.cents), 0) / 100.0 AS num FROM {side}s s JOIN range({FIRST}, {last + 1}) m(m) ON m.m >= {first.replace("n %", "s.n %")} LEFT JOIN {side}d d ON d.n = s.n AND d.segment = s.segment AND d.m = m.m WHERE s.n % 3 < 2 GROUP BY ALL),
+{side}t AS (SELECT s.n, s.i, s.segment, m.m, m.m - {first.replace("n %", "s.n %")} AS j, coalesce(sum(d.cents), 0) / 100.0 AS num FROM {side}s s JOIN (SELECT unnest(range({FIRST}, {last} + 1)) AS m) m ON m.m >= {first.replace("n %", "s.n %")} LEFT JOIN {side}d d ON d.n = s.n AND d.segment = s.segment AND d.m = m.m WHERE s.n % 3 < 2 GROUP BY ALL),
 {side}k AS (SELECT s.n, s.i, p.j, p.priority, coalesce(sum(d.cents), 0) / 100.0 AS num FROM {side}s s JOIN (VALUES {rows(PRIORITIES)}) p(j, priority) ON true LEFT JOIN {side}d d ON d.n = s.n AND d.segment = s.segment AND d.priority = p.priority WHERE s.n % 3 = 2 GROUP BY ALL),
 {side}cells AS (
   SELECT n, CASE WHEN n % 3 = 0 THEN i ELSE j END + 2 AS row, CASE WHEN n % 3 = 0 THEN j ELSE i END + 2 AS col, NULL AS value, num, NULL AS m FROM {side}t

@@ -34,50 +34,46 @@ def sheet_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.sheets(p.select(F.col("p_type").alias("n")), p.select(F.col("p_brand").alias("n")), "n", {"ECONOMY": "Brand#1"}, ["PROMO"])
 
 
-def customer_regions(spark: SparkSession, sf_dir: str, year: int) -> tuple[DataFrame, DataFrame]:
-    """A region for each nation and segment of a year: its rows and columns, and its customers as labels."""
+def customer_regions(spark: SparkSession, sf_dir: str, later: int) -> tuple[DataFrame, DataFrame]:
+    """A sheet for each segment and year, a region for each nation: its rows and columns, and its customers as labels; later: years after the sheet's."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    j = o.where(F.year("o_orderdate") == year).join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("sheet"), F.col("c_nationkey").alias("id"), "o_orderkey", "o_custkey")
+    sheet = F.concat_ws(" ", "c_mktsegment", F.year("o_orderdate") - later)
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(sheet.alias("sheet"), F.col("c_nationkey").alias("id"), "o_orderkey", "o_custkey")
     r = j.groupBy("sheet", "id").agg(F.count("*").alias("rows"), F.countDistinct("o_custkey").alias("cols")).withColumn("orientation", F.when(F.col("rows") > 3, "long").otherwise("block")).withColumn("top", F.col("id"))
     return r, j.select("sheet", "id", F.col("o_custkey").alias("label")).distinct()
 
 
-@query("""
-WITH j AS (SELECT year(o_orderdate) AS y, c_mktsegment AS sheet, c_nationkey AS id, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey),
-r AS (SELECT y, sheet, id, count(*) AS rows, count(DISTINCT o_custkey) AS cols, CASE WHEN count(*) > 3 THEN 'long' ELSE 'block' END AS ori FROM j WHERE y IN (1997, 1998) GROUP BY 1, 2, 3),
-l AS (SELECT DISTINCT y, sheet, id, o_custkey AS label FROM j),
-c AS (SELECT a.sheet, a.id AS a, b.id AS b, count(*) AS common FROM l a JOIN l b ON a.y = 1997 AND b.y = 1998 AND a.sheet = b.sheet AND a.label = b.label GROUP BY 1, 2, 3),
-p AS (SELECT sheet, a, b FROM c UNION SELECT x.sheet, x.id, y.id FROM r x JOIN r y ON x.y = 1997 AND y.y = 1998 AND x.sheet = y.sheet AND x.id = y.id)
-SELECT p.sheet, a, b, round(0.65 * 2.0 * coalesce(common, 0) / (x.cols + z.cols) + 0.25 * (least(x.rows, z.rows) / greatest(x.rows, z.rows) + least(x.cols, z.cols) / greatest(x.cols, z.cols)) / 2 + 0.10 / (1 + abs(a - b)), 6) AS score
-FROM p LEFT JOIN c USING (sheet, a, b) JOIN r x ON x.y = 1997 AND x.sheet = p.sheet AND x.id = a JOIN r z ON z.y = 1998 AND z.sheet = p.sheet AND z.id = b WHERE x.ori = z.ori
-  AND 0.65 * 2.0 * coalesce(common, 0) / (x.cols + z.cols) + 0.25 * (least(x.rows, z.rows) / greatest(x.rows, z.rows) + least(x.cols, z.cols) / greatest(x.cols, z.cols)) / 2 + 0.10 / (1 + abs(a - b)) >= 0.20
-""")
-def region_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of two years' regions by labels, shape and place, of those with a label or a place in common, as its SQL states."""
-    (_, la), (_, lb) = customer_regions(spark, sf_dir, 1997), customer_regions(spark, sf_dir, 1998)
-    common = la.withColumnRenamed("id", "a").join(lb.withColumnRenamed("id", "b"), ["sheet", "label"]).select("sheet", "a", "b").distinct().withColumn("_common", F.lit(True))
-    return all_region_scores(spark, sf_dir).join(common, ["sheet", "a", "b"], "left").where("_common or a = b").drop("_common")
+SCORES = """
+j AS (SELECT year(o_orderdate) AS y, c_mktsegment AS s, c_nationkey AS id, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey),
+r AS (SELECT y, s, id, count(*) AS rows, count(DISTINCT o_custkey) AS cols, CASE WHEN count(*) > 3 THEN 'long' ELSE 'block' END AS ori FROM j GROUP BY 1, 2, 3),
+l AS (SELECT DISTINCT y, s, id, o_custkey AS label FROM j),
+c AS (SELECT a.y, a.s, a.id AS a, b.id AS b, count(*) AS common FROM l a JOIN l b ON b.y = a.y + 1 AND a.s = b.s AND a.label = b.label GROUP BY 1, 2, 3, 4),
+p AS (SELECT x.s || ' ' || x.y AS sheet, x.id AS a, z.id AS b, 0.65 * 2.0 * coalesce(common, 0) / (x.cols + z.cols) + 0.25 * (least(x.rows, z.rows) / greatest(x.rows, z.rows) + least(x.cols, z.cols) / greatest(x.cols, z.cols)) / 2 + 0.10 / (1 + abs(x.id - z.id)) AS score
+  FROM r x JOIN r z ON z.y = x.y + 1 AND x.s = z.s AND x.ori = z.ori LEFT JOIN c ON c.y = x.y AND c.s = x.s AND c.a = x.id AND c.b = z.id),
+k AS (SELECT sheet, a, b, round(score, 6) AS score FROM p WHERE score >= 0.20)"""
 
 
-@query("""
-WITH j AS (SELECT year(o_orderdate) AS y, c_mktsegment AS sheet, c_nationkey AS id, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey),
-r AS (SELECT y, sheet, id, count(*) AS rows, count(DISTINCT o_custkey) AS cols, CASE WHEN count(*) > 3 THEN 'long' ELSE 'block' END AS ori FROM j WHERE y IN (1997, 1998) GROUP BY 1, 2, 3),
-l AS (SELECT DISTINCT y, sheet, id, o_custkey AS label FROM j),
-c AS (SELECT a.sheet, a.id AS a, b.id AS b, count(*) AS common FROM l a JOIN l b ON a.y = 1997 AND b.y = 1998 AND a.sheet = b.sheet AND a.label = b.label GROUP BY 1, 2, 3),
-p AS (SELECT x.sheet, x.id AS a, z.id AS b, 0.65 * 2.0 * coalesce(common, 0) / (x.cols + z.cols) + 0.25 * (least(x.rows, z.rows) / greatest(x.rows, z.rows) + least(x.cols, z.cols) / greatest(x.cols, z.cols)) / 2 + 0.10 / (1 + abs(x.id - z.id)) AS score
-  FROM r x JOIN r z ON x.y = 1997 AND z.y = 1998 AND x.sheet = z.sheet AND x.ori = z.ori LEFT JOIN c ON c.sheet = x.sheet AND c.a = x.id AND c.b = z.id)
-SELECT sheet, a, b, round(score, 6) AS score FROM p WHERE score >= 0.20
-""")
-def all_region_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of all pairs of two years' regions by labels, shape and place."""
-    (a, la), (b, lb) = customer_regions(spark, sf_dir, 1997), customer_regions(spark, sf_dir, 1998)
+@query(f"WITH {SCORES} SELECT sheet, a, b, score FROM k")
+def region_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness of all pairs of each year's regions and the next year's by labels, shape and place."""
+    (a, la), (b, lb) = customer_regions(spark, sf_dir, 0), customer_regions(spark, sf_dir, 1)
     return objects.region_scores(a, b, la, lb).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SCORES}, n AS (SELECT sheet, a, b, score, row_number() OVER (PARTITION BY sheet ORDER BY score DESC, a, b) AS place FROM k),
+t(sheet, place, a, b, score, taken, used_a, used_b) AS (
+  SELECT sheet, place, a, b, score, true, [a], [b] FROM n WHERE place = 1
+  UNION ALL
+  SELECT n.sheet, n.place, n.a, n.b, n.score, NOT (list_contains(used_a, n.a) OR list_contains(used_b, n.b)),
+    CASE WHEN list_contains(used_a, n.a) OR list_contains(used_b, n.b) THEN used_a ELSE list_append(used_a, n.a) END, CASE WHEN list_contains(used_a, n.a) OR list_contains(used_b, n.b) THEN used_b ELSE list_append(used_b, n.b) END
+  FROM t JOIN n ON n.sheet = t.sheet AND n.place = t.place + 1
+)
+SELECT sheet, a, b, score FROM t WHERE taken
+""")
 def region_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions paired one to one, best first."""
-    return align.greedy(all_region_scores(spark, sf_dir), "sheet", "a", "b", "score", objects.LEAST)
+    return align.greedy(region_scores(spark, sf_dir), "sheet", "a", "b", "score", objects.LEAST)
 
 
 @query("""
@@ -149,16 +145,6 @@ def policy_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("before", "after").agg(F.count("*").alias("findings"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT o_orderkey AS a, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders WHERE o_totalprice > 440000), x AS (SELECT a, b FROM e WHERE b IS NOT NULL),
-t AS (SELECT a AS start, b AS reached, 1 AS distance FROM x UNION ALL SELECT t.start, x.b, distance + 1 FROM t JOIN x ON t.reached = x.a)
-SELECT start, reached, distance FROM t
-""")
-def decision_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chain of earlier decisions behind each large order of a customer."""
-    return graph.closure(decisions(table(spark, sf_dir, "orders").where("o_totalprice > 440000")))
-
-
 def decisions(orders: DataFrame) -> DataFrame:
     """An edge from each order to the customer's order before it."""
     return orders.select(F.col("o_orderkey").alias("a"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("b")).where("b is not null")
@@ -169,7 +155,7 @@ WITH RECURSIVE e AS (SELECT o_orderkey AS a, lag(o_orderkey) OVER (PARTITION BY
 t AS (SELECT a AS start, b AS reached, 1 AS distance FROM x UNION ALL SELECT t.start, x.b, distance + 1 FROM t JOIN x ON t.reached = x.a)
 SELECT start, reached, distance FROM t
 """)
-def decision_dossier_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decision_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of earlier decisions behind each order of a customer."""
     return graph.closure(decisions(table(spark, sf_dir, "orders")))
 

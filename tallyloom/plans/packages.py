@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers, periods, privacy
@@ -104,13 +104,14 @@ def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH a AS ({AXIS}), w AS (SELECT customer % 7 AS member, max(m) AS last FROM a GROUP BY 1), d AS (SELECT customer % 7 AS member, m, customer FROM a WHERE place = 1 AND customer < 60)
-SELECT d.m, last, string_agg(DISTINCT 'C' || lpad(CAST(customer AS VARCHAR), 4, '0'), '; ' ORDER BY 'C' || lpad(CAST(customer AS VARCHAR), 4, '0')) AS sources FROM d, (SELECT max(last) AS last FROM w) x WHERE d.m <> last GROUP BY 1, 2
+WITH a AS ({AXIS}), d AS (SELECT DISTINCT m, 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS source FROM a JOIN customer ON customer = c_custkey)
+SELECT d.m, last, string_agg(source, '; ' ORDER BY source) AS sources FROM d, (SELECT max(m) AS last FROM a) x WHERE d.m <> last GROUP BY 1, 2
 """)
 def period_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reporting periods of a deck that aren't the workbook's latest."""
+    """Reporting periods of a deck (a slide for each nation, with the months of its customers' orders) that aren't the workbook's latest."""
     a = axis(spark, sf_dir)
-    deck = a.where("place = 1 and customer < 60").select("period.kind", "period.k1", "period.k2", "period.k3", F.concat(F.lit("C"), F.lpad(F.col("customer").cast("string"), 4, "0")).alias("source"))
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), F.concat(F.lit("N"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("source"))
+    deck = a.join(nation, "customer").select("period.kind", "period.k1", "period.k2", "period.k3", "source").distinct()
     latest = packages.latest_periods(a, [])
     found = packages.period_mismatches(latest, deck)
     month = periods.parse_period(F.col("expected"))
@@ -212,17 +213,17 @@ def formula_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 4 AS b FROM orders WHERE o_orderkey % 400 < 60 UNION SELECT o_orderkey, o_orderkey + 9 FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 400 < 60), t AS (SELECT a AS s, b AS r FROM e WHERE a % 100 = 1 UNION SELECT t.s, e.b FROM t JOIN e ON t.r = e.a),
+WITH RECURSIVE o AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, lead(o_orderkey, 2) OVER w AS c FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+e AS (SELECT a, b FROM o WHERE b IS NOT NULL AND a % 5 > 0 UNION SELECT a, c FROM o WHERE c IS NOT NULL AND a % 3 = 0), t AS (SELECT a AS s, b AS r FROM e UNION SELECT t.s, e.b FROM t JOIN e ON t.r = e.a),
 n AS (SELECT s, r, row_number() OVER (PARTITION BY s ORDER BY r) AS k FROM t)
 SELECT s AS start, array_to_string(list(r ORDER BY r) FILTER (k <= 25), ',') AS impacts, greatest(count(*) - 25, 0) AS more FROM n GROUP BY 1
 """)
 def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What depends on changed cells, directly or through others: the first few of each, and how many more."""
-    k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders")
-    low = o.where(k % 400 < 60)
-    edges = low.select(k.alias("a"), (k + 4).alias("b")).unionByName(low.where(k % 3 == 0).select(k.alias("a"), (k + 9).alias("b")))
-    found = graph.affected(o.where(k % 100 == 1).select(k.alias("id")), edges)
+    """What depends on each order's cell, directly or through others: the first few, and how many more. A customer's next order reads most orders, the one after it some."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), F.lead("o_orderkey", 2).over(w).alias("c"))
+    edges = o.where("b is not null and a % 5 > 0").select("a", "b").unionByName(o.where("c is not null and a % 3 = 0").select("a", F.col("c").alias("b")))
+    found = graph.affected(o.select(F.col("a").alias("id")), edges)
     return graph.impacts(found).withColumn("impacts", F.array_join("impacts", ","))
 
 
