@@ -33,7 +33,7 @@ from tallyloom.llm.shared import MOST_SHARDS, commit_files, fresh_path, hashed,
 from tallyloom.llm.token_counts import CONTRACTIONS, LETTER, NUMBER, OTHER, RESET, WHITE_MORE, byte_letters, classes
 
 MAGIC = b"TLTOKEN2"
-BLOCK, LANES = 1024, 4096
+BLOCK, LANES = 1024, 2048
 #: Contexts of an order in a block are numbers of SLOT bits. Frequencies of order 0 sum to 1 << PRIOR, or more where a shard
 #: has many ids, up to 1 << MOST_PRIOR; probabilities are of 1 << ODDS.
 SLOT, PRIOR, MOST_PRIOR, ODDS = 9, 18, 20, 12
@@ -286,6 +286,8 @@ class Encoder:
     """
 
     MOST, MOST_BYTES = 300_000, 100
+    #: Pretokens that the library gets at once; it takes hundreds of bytes for each.
+    ASKED = 16_384
 
     def __init__(self, path: str):
         global CLASSES
@@ -305,6 +307,8 @@ class Encoder:
         self.merger = Tokenizer(self.library.model)
         self.merger.pre_tokenizer = CharDelimiterSplit("\n")
         self.letters, vocab = np.full(256, ord("\n"), "<u2"), self.library.get_vocab()
+        if self.plain:
+            self.library = None  # its model is the merger's too; the rest isn't asked
         self.length = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
         for token, i in vocab.items():
             self.length[i] = len(token)
@@ -325,18 +329,22 @@ class Encoder:
         self.number = {a: i for i, a in enumerate(self.added, 1)}
         self.count = self.used + 1
 
+    def asked(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pretokens, and how many each has: the library gets them at once, their bytes spelt as letters, a line for each."""
+        lines = self.letters.take(np.frombuffer(b"\xff".join(new), np.uint8)).tobytes().decode("utf-16-le")
+        ids = np.array(self.merger.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
+        ends, reach = np.cumsum([len(w) for w in new]), np.cumsum(self.length.take(ids))
+        if not len(ids) or ends[-1] != reach[-1]:  # the vocabulary lacks a byte, so lengths don't tell whose ids are whose
+            return ids, np.bincount(np.array(self.merger.encode(lines, add_special_tokens=False).word_ids, np.int64), minlength=len(new))
+        return ids, np.diff(np.searchsorted(reach, ends, side="right"), prepend=0)
+
     def learn(self, words: list[bytes]) -> list[int]:
-        """Numbers of pretokens. The library's model is asked for new ones, all at once, their bytes spelt as letters, a line for each."""
+        """Numbers of pretokens. The library's model is asked for new ones."""
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
         known.update(zip(new, range(self.count, self.count + len(new)), strict=True))
-        lines = self.letters.take(np.frombuffer(b"\xff".join(new), np.uint8)).tobytes().decode("utf-16-le")
-        ids = np.array(self.merger.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
-        ends, reach = np.cumsum([len(w) for w in new]), np.cumsum(self.length.take(ids))
-        if len(new) and (not len(ids) or ends[-1] != reach[-1]):  # the vocabulary lacks a byte, so lengths don't tell whose ids are whose
-            sizes = np.bincount(np.array(self.merger.encode(lines, add_special_tokens=False).word_ids, np.int64), minlength=len(new))
-        else:
-            sizes = np.diff(np.searchsorted(reach, ends, side="right"), prepend=0)
+        found = [self.asked(new[i : i + self.ASKED]) for i in range(0, len(new), self.ASKED)] or [(np.empty(0, np.uint32), np.empty(0, np.int64))]
+        ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
         numbers = [known[w] for w in words]
         self.ids, self.first, self.size = roomy(self.ids, self.used + len(ids)), roomy(self.first, self.count + len(sizes)), roomy(self.size, self.count + len(sizes))
         self.ids[self.used : self.used + len(ids)] = ids
