@@ -9,7 +9,7 @@ a table in the shared folder: a lost executor's part is made again from the roun
 
 Defined results: vectors that are null, of another length or with a null or non-finite component are left out; rows may repeat;
 fewer vectors than clusters give as many clusters as vectors; ids that are null are the last to start a centroid; equal ids go by
-their components; no vectors give no rows. A vector whose squared length in steps exceeds 2**60, so that distances
+the bytes of their components; no vectors give no rows. A vector whose squared length in steps exceeds 2**60, so that distances
 might not fit a long, is an error.
 """
 
@@ -29,21 +29,28 @@ from tallyloom.llm.shared import discard, kept
 DIMENSIONS, CLUSTERS, ROUNDS, STEPS, SEED = 64, 8, 10, 1024, 3
 MOST_SQUARE = 2.0**60
 
-#: before: the cluster of the round before; scans: how often all distances were taken.
-STATE = "vec_id long, v array<bigint>, cluster int, before int, upper double, lower double, scans int"
-VECTOR = pa.list_(pa.int64())
-ARROW = pa.schema([("vec_id", pa.int64()), ("v", VECTOR), ("cluster", pa.int32()), ("before", pa.int32()), ("upper", pa.float64()), ("lower", pa.float64()), ("scans", pa.int32())])
+#: v: components as little-endian integers of 64 bits; before: the cluster of the round before; scans: how often all distances were taken.
+STATE = "vec_id long, v binary, cluster int, before int, upper double, lower double, scans int"
+ARROW = pa.schema([("vec_id", pa.int64()), ("v", pa.binary()), ("cluster", pa.int32()), ("before", pa.int32()), ("upper", pa.float64()), ("lower", pa.float64()), ("scans", pa.int32())])
 
 #: Beyond what rounding of a distance and of its root can come to.
 UP, DOWN = 1 + 2.0**-50, 1 - 2.0**-50
 
 
-def listed(m: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.reshape(-1)))
+def packed(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes."""
+    width = 8 * m.shape[1]
+    offsets = pa.py_buffer(np.arange(0, len(m) * width + 1, width, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, offsets, pa.py_buffer(np.ascontiguousarray(m, "<i8"))])
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    """The rows that packed() wrote."""
+    if not len(column):
+        return np.zeros((0, width), np.int64)
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    first = np.frombuffer(offsets, np.int32)[column.offset]
+    return np.frombuffer(data, "<i8", len(column) * width, first).reshape(-1, width)
 
 
 def integer_vectors(df: DataFrame, id_column: str, vector: str, dimensions: int = DIMENSIONS, steps: int = STEPS) -> DataFrame:
@@ -56,17 +63,17 @@ def integer_vectors(df: DataFrame, id_column: str, vector: str, dimensions: int
             whole = np.isfinite(x).all(axis=1)
             if (np.square(x[whole]).sum(axis=1) > MOST_SQUARE).any():
                 raise ValueError("a vector is too long for distances of 64 bits")
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(pa.array(whole)), listed(x[whole].astype(np.int64))], names=["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").filter(pa.array(whole)), packed(x[whole].astype(np.int64))], names=["vec_id", "v"])
 
     own = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    return own.mapInArrow(convert, "vec_id long, v array<bigint>")
+    return own.mapInArrow(convert, "vec_id long, v binary")
 
 
 def first_centroids(vectors: DataFrame, clusters: int = CLUSTERS, seed: int = SEED) -> np.ndarray:
     """The vectors with the smallest hashes of seed and id; so many rows reach the driver."""
     rank = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.orderBy(rank.asc_nulls_last(), "v").limit(clusters).collect()
-    return np.array([r.v for r in rows], np.int64)
+    return np.array([np.frombuffer(r.v, "<i8") for r in rows], np.int64)
 
 
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -101,7 +108,7 @@ def assigned_first(vectors: DataFrame, c: np.ndarray) -> DataFrame:
         for b in batches:
             near, upper, lower = scanned(matrix(b.column("v"), c.shape[1]), c)
             n = len(near)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v").cast(VECTOR), pa.array(near.astype(np.int32)), pa.nulls(n, pa.int32()), pa.array(upper), pa.array(lower), pa.array(np.ones(n, np.int32))], schema=ARROW)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near.astype(np.int32)), pa.nulls(n, pa.int32()), pa.array(upper), pa.array(lower), pa.array(np.ones(n, np.int32))], schema=ARROW)
 
     return vectors.mapInArrow(assign, STATE)
 
@@ -124,7 +131,7 @@ def assigned_again(state: DataFrame, old: np.ndarray, c: np.ndarray) -> DataFram
             if len(open_):
                 near[open_], upper[open_], lower[open_] = scanned(x[open_], c)
                 scans[open_] += 1
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v").cast(VECTOR), pa.array(near), pa.array(before), pa.array(upper), pa.array(lower), pa.array(scans)], schema=ARROW)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near), pa.array(before), pa.array(upper), pa.array(lower), pa.array(scans)], schema=ARROW)
 
     return state.mapInArrow(assign, STATE)
 

@@ -432,8 +432,9 @@ def labelled(pages: DataFrame, most: int = FIT_PAGES, layouts: int = LAYOUTS) ->
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["html"])
 
     eligible = pages.select("html").where((F.length("html") <= FIT_CHARS) & F.lower("html").rlike("<(article|main)\\b"))
-    ranked = eligible.select("html", F.xxhash64("html").alias("_h")).dropDuplicates(["_h"]).orderBy("_h", "html").limit(most).select("html")
-    return ranked.mapInArrow(make, "html string")
+    hashed = eligible.select("html", F.xxhash64("html").alias("_h"))
+    first = hashed.select("_h").distinct().orderBy("_h").limit(most)  # pages stay where they are
+    return hashed.join(F.broadcast(first), "_h", "left_semi").groupBy("_h").agg(F.min("html").alias("html")).select("html").mapInArrow(make, "html string")
 
 
 def fit(pages: DataFrame) -> Model:

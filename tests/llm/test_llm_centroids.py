@@ -75,5 +75,5 @@ def test_bounds_save_scans(spark):
     got = [r.scans for r in state.collect()]
     assert len(got) == 400 and sum(got) < 400 * 4  # 11 rounds
     for x in state.collect():  # bounds hold
-        d = [math.sqrt(sum((a - int(b)) ** 2 for a, b in zip(x.v, m, strict=True))) for m in c]
+        d = [math.sqrt(sum((int(a) - int(b)) ** 2 for a, b in zip(np.frombuffer(x.v, "<i8"), m, strict=True))) for m in c]
         assert x.upper >= d[x.cluster] * (1 - 1e-12) and x.lower <= min(e for j, e in enumerate(d) if j != x.cluster) * (1 + 1e-12)
