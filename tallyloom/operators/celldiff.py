@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import formulas, numbers, periods
+from tallyloom.operators import axes
 from tallyloom.operators.diff import blank, values_differ
 from tallyloom.operators.graph import contained
 from tallyloom.operators.layout import BOX, axis_periods
@@ -43,13 +44,24 @@ def in_ranges(cells: DataFrame, ranges: DataFrame | None, name: str) -> DataFram
 
 
 def recency(held: DataFrame) -> DataFrame:
-    """id, place, context of each dated place of a region's period axis that has data: the window trails the last period with data."""
+    """id, place, context of each dated place of a region's period axis that has data, within runs of neighbouring places of one kind that don't go back.
+
+    A run's latest periods are recent, as many as its kind's window counts; dates take the window of the cadence that their
+    median gap shows. Without a window, as for dates without a cadence, all is historical.
+    """
     data = held.where("orientation = 'long' and col <> key_col").select("id", F.col("row").alias("place")).unionByName(held.where("orientation = 'wide' and row <> header_row").select("id", F.col("col").alias("place"))).distinct()
     dated = axis_periods(held).join(data, ["id", "place"], "left_semi")
     key = F.struct("period.k1", "period.k2", "period.k3")
-    rank = F.dense_rank().over(Window.partitionBy("id", "period.kind").orderBy(key.desc()))
-    window = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in periods.RECENT.items() for x in kv]), F.col("period.kind")), F.lit(1))
-    return dated.select("id", "place", F.when(rank == 1, "current_period").when(rank <= window, "recent_window").otherwise("historical").alias("context"))
+    w = Window.partitionBy("id").orderBy("place")
+    before = F.lag("period").over(w)
+    goes_on = (F.col("place") == F.lag("place").over(w) + 1) & (F.col("period.kind") == before["kind"]) & ((key >= F.struct(before["k1"], before["k2"], before["k3"])) | periods.is_after(F.col("period"), before))
+    dated = dated.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("band", F.sum("_new").over(w))
+    days = dated.where("period.kind = 'date'").select("id", "band", F.make_date("period.k1", "period.k2", "period.k3").alias("date"))
+    dated = dated.join(axes.date_cadence(days, ["id", "band"], "date").select("id", "band", "cadence"), ["id", "band"], "left")
+    rank = F.dense_rank().over(Window.partitionBy("id", "band").orderBy(key.desc()))
+    kind = F.when(F.col("period.kind") == "date", F.col("cadence")).otherwise(F.col("period.kind"))
+    window = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in periods.RECENT.items() for x in kv]), kind), F.lit(0))
+    return dated.select("id", "place", F.when(rank > window, "historical").when(rank == 1, "current_period").otherwise("recent_window").alias("context"))
 
 
 def value_findings(pairs: DataFrame, contexts: DataFrame, *, absolute: float = 0.0, relative: float = 0.0, accepted: Column | None = None, ignore: DataFrame | None = None, refresh: DataFrame | None = None, value_only: DataFrame | None = None, blank_allowed: Column | None = None) -> DataFrame:

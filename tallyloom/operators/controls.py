@@ -26,13 +26,13 @@ def required(populated: DataFrame, rows: DataFrame, columns: DataFrame, on: list
 
 
 def duplicates(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Rows after the first of each composite key, with the first one's place; keys all of whose parts are blank don't count.
+    """Rows after the first of each composite key, with the first one's place; keys all of whose parts are null or empty don't count.
 
     The first is found by a partial aggregate, so a hot key doesn't gather in one task.
     """
     some = F.lit(False)
     for k in key:
-        some = some | (F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != ""))
+        some = some | (F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
     df = df.where(some)
     first = df.groupBy(*key).agg(F.min(order).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     cond = F.lit(True)

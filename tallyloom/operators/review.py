@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.graph import connected
+from tallyloom.operators.stored import numbered, stored
 
 SEVERITIES = ("critical", "warning", "info", "expected")
 
@@ -88,20 +89,28 @@ def grouped(findings: DataFrame, key: list[str]) -> DataFrame:
 def ranked_groups(findings: DataFrame, group: str) -> DataFrame:
     """group, members, score, tier, rank: by tier of deferral, then by the weights of what its findings show, then by group.
 
-    findings: severity, materiality, temporal_context, provenance, reviewed, waived (boolean).
+    findings: severity, materiality, temporal_context, provenance, reviewed, waived (boolean), and if known impacts (how many
+    cells depend on it) and story (null: none explains it). A group is deferred if any member is reviewed, waived or expected;
+    noise and tolerance are told by the members that have a materiality.
     """
     has = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
     is_ = lambda c, v: F.col(c) == v
+    for c, kind in (("impacts", "long"), ("story", "string")):
+        findings = findings if c in findings.columns else findings.withColumn(c, F.lit(None).cast(kind))
+    tiers = lambda m: F.coalesce(F.bool_and(is_("materiality", m)), F.lit(False)).alias({"noise": "noise", "within_tolerance": "tolerated"}[m])
     d = findings.groupBy(group).agg(
         F.count("*").alias("members"), *[has(is_("severity", s)).alias(s) for s in ("critical", "warning", "info")], has(is_("materiality", "material")).alias("material"), has(is_("temporal_context", "historical")).alias("historical"),
-        has(is_("provenance", "new")).alias("new"), F.bool_and(F.coalesce(is_("provenance", "inherited"), F.lit(False))).alias("inherited"), F.bool_and(F.coalesce(is_("materiality", "noise"), F.lit(False))).alias("noise"),
-        F.bool_and(F.coalesce(is_("materiality", "within_tolerance"), F.lit(False))).alias("tolerated"), F.bool_and("reviewed").alias("_reviewed"), F.bool_and("waived").alias("_waived"), F.bool_and(is_("severity", "expected")).alias("_expected"),
-    ).withColumn("wide", F.col("members") >= WIDE)
+        has(is_("provenance", "new")).alias("new"), F.bool_and(F.coalesce(is_("provenance", "inherited"), F.lit(False))).alias("inherited"), tiers("noise"), tiers("within_tolerance"), has(F.col("impacts") > 0).alias("impacts"), has(F.col("story").isNotNull()).alias("story"),
+        has(F.col("reviewed")).alias("_reviewed"), has(F.col("waived")).alias("_waived"), has(is_("severity", "expected")).alias("_expected"),
+    ).withColumn("wide", F.col("members") >= WIDE).withColumn("residual", ~F.col("story"))
     score = F.lit(0)
     for s, w in WEIGHTS.items():
         score = score + F.when(F.col(s), w).otherwise(0) if s in d.columns else score
     tier = F.when(F.col("_expected"), DEFERRED["expected"]).when(F.col("_waived"), DEFERRED["waived"]).when(F.col("_reviewed"), DEFERRED["reviewed"]).otherwise(0)
-    return d.select(group, "members", score.alias("score"), tier.alias("tier"))
+    d = stored(d.select(group, "members", score.alias("score"), tier.alias("tier")), "groups")
+    place = F.struct("tier", (-F.col("score")).alias("_s"), group)
+    n = numbered(d.select(place.alias("_place")), "_place").select(F.col("_place"), (F.col("n") + 1).alias("rank"))
+    return d.withColumn("_place", place).join(n, "_place").drop("_place")
 
 
 def decided(findings: DataFrame, decisions: DataFrame, group: str) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import alignment, cells, checks, objects, packages, parts, reviewing
+from tallyloom.plans import alignment, cells, checks, objects, packages, parts, references, reviewing
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (alignment, cells, checks, objects, packages, parts, reviewing)
+MODULES = (alignment, cells, checks, objects, packages, parts, references, reviewing)
 
 
 def queries() -> dict[str, Query]:

@@ -151,8 +151,9 @@ def error_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT o_custkey AS g, count(*) AS members, bool_or(o_totalprice > 400000) AS critical, bool_or(o_totalprice BETWEEN 100000 AND 400000) AS warning, bool_or(o_orderstatus = 'F') AS material, bool_or(o_orderpriority = '1-URGENT') AS fresh, bool_and(o_orderpriority = '5-LOW') AS inherited, bool_and(o_orderstatus = 'P') AS waived FROM orders GROUP BY 1)
-SELECT g AS customer, members, CAST(1000 * critical::INT + 400 * warning::INT + 300 * material::INT + 200 * fresh::INT - 200 * inherited::INT + 80 * (members >= 25)::INT AS INT) AS score, CASE WHEN waived THEN 2 ELSE 0 END AS tier FROM g
+WITH g AS (SELECT o_custkey AS g, count(*) AS members, bool_or(o_totalprice > 400000) AS critical, bool_or(o_totalprice BETWEEN 100000 AND 400000) AS warning, bool_or(o_orderstatus = 'F') AS material, bool_or(o_orderpriority = '1-URGENT') AS fresh, bool_and(o_orderpriority = '5-LOW') AS inherited, bool_or(o_orderstatus = 'P') AS waived, bool_or(o_orderkey % 9 = 0) AS story, bool_or(o_orderkey % 4 = 1) AS impacts FROM orders GROUP BY 1),
+s AS (SELECT g AS customer, members, CAST(1000 * critical::INT + 400 * warning::INT + 300 * material::INT + 200 * fresh::INT + 150 * impacts::INT - 100 * story::INT + 120 * (NOT story)::INT - 200 * inherited::INT + 80 * (members >= 25)::INT AS INT) AS score, CASE WHEN waived THEN 2 ELSE 0 END AS tier FROM g)
+SELECT *, row_number() OVER (ORDER BY tier, score DESC, customer) AS rank FROM s
 """)
 def ranked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review groups by what their findings show, deferred ones marked."""
@@ -160,6 +161,7 @@ def ranked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = o.select(
         F.col("o_custkey").alias("customer"), F.when(F.col("o_totalprice") > 400000, "critical").when(F.col("o_totalprice") >= 100000, "warning").otherwise("other").alias("severity"), F.when(F.col("o_orderstatus") == "F", "material").alias("materiality"),
         F.lit("recent_window").alias("temporal_context"), F.when(F.col("o_orderpriority") == "1-URGENT", "new").when(F.col("o_orderpriority") == "5-LOW", "inherited").otherwise("changed").alias("provenance"), F.lit(False).alias("reviewed"), (F.col("o_orderstatus") == "P").alias("waived"),
+        F.when(F.col("o_orderkey") % 9 == 0, "S1").alias("story"), F.when(F.col("o_orderkey") % 4 == 1, 3).otherwise(0).alias("impacts"),
     )
     return review.ranked_groups(d, "customer")
 

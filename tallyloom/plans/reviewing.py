@@ -201,17 +201,26 @@ def key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT lang, CASE WHEN text IS NULL THEN 'none' WHEN length(text) = 0 THEN '0' WHEN length(text) <= 10 THEN '1-10' WHEN length(text) <= 50 THEN '11-50' WHEN length(text) <= 200 THEN '51-200' WHEN length(text) <= 1000 THEN '201-1000' ELSE 'over 1000' END AS bucket, count(*) AS texts FROM documents GROUP BY 1, 2
+SELECT lang, CASE WHEN text IS NULL THEN 'none' WHEN length(text) = 0 THEN '0' WHEN length(text) <= 20 THEN '1-20' WHEN length(text) <= 80 THEN '21-80' WHEN length(text) <= 200 THEN '81-200' ELSE '201+' END AS bucket, count(*) AS texts FROM documents GROUP BY 1, 2
 """)
 def structure_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts by length without their content."""
     return table(spark, sf_dir, "documents").groupBy("lang", privacy.length_bucket(F.col("text")).alias("bucket")).agg(F.count("*").alias("texts"))
 
 
-@query("SELECT c_custkey AS key, 'TXT_' || substr(sha256(c_name), 1, 6) AS pseudonym FROM customer")
+HEX = "list_reduce(list_transform(range(1, 17), lambda i: (instr('0123456789abcdef', substr(h, i, 1)) - 1)::HUGEINT), lambda a, b: a * 16 + b)"
+
+
+@query(f"""
+WITH d AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, sha256('41|customer|' || c_custkey) AS h FROM customer), f AS (SELECT *, 0.85::DOUBLE + CAST({HEX} AS DOUBLE) / pow(2::DOUBLE, 64) * 0.3::DOUBLE AS factor FROM d)
+SELECT c_custkey AS key, 'TXT_' || substr(sha256('41|' || c_name || '|customer|' || c_custkey), 1, 6) AS pseudonym, CAST(round_even(c_nationkey * factor, 0) + CASE WHEN c_nationkey > 0 AND round_even(c_nationkey * factor, 0) = c_nationkey THEN 1 ELSE 0 END AS BIGINT) AS nation, abs(c_acctbal * factor - c_acctbal) <= 0.15 * abs(c_acctbal) + 1e-6 AS near FROM f
+""")
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names as pseudonyms that are stable and can't be read."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), privacy.pseudonym(F.col("c_name")).alias("pseudonym"))
+    """Names as pseudonyms and numbers as others near them, by a seed and by place."""
+    place = ("customer", F.col("c_custkey"))
+    balance = F.col("c_acctbal")
+    near = F.abs(privacy.scrambled(balance, 41, *place) - balance) <= 0.15 * F.abs(balance) + 1e-6
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), privacy.pseudonym(F.col("c_name"), 41, *place).alias("pseudonym"), privacy.scrambled(F.col("c_nationkey"), 41, *place, whole=True).alias("nation"), near.alias("near"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS stop, event_type, count(*) AS events FROM events GROUP BY 1, 2, 3")

@@ -142,7 +142,7 @@ def test_review(spark):
 
 
 def test_hidden_texts(spark):
-    d = spark.createDataFrame([("Acme sold $1.2M in Q3 2026-05",)], "t string").select(privacy.redacted(F.col("t")).alias("r"), "t")
+    d = spark.createDataFrame([("Acme sold $1.2M in Q3 2026-05",)], "t string").select(privacy.redacted(F.col("t"), 7, "A1").alias("r"), "t")
     r = d.select("r", privacy.leaks(F.col("r"), F.array(F.lit("acme"), F.lit("sold"))).alias("l")).first()
     assert "$1.2M" in r.r and "2026-05" in r.r and "Acme" not in r.r and r.l == []
     files = spark.createDataFrame([("a", b"1"), ("b", b"1"), ("c", b"2")], "path string, content binary")

@@ -222,8 +222,8 @@ def test_root_causes(spark):
 
 
 def test_privacy(spark):
-    r = spark.createDataFrame([("name", 100.0)], "t string, x double").select(privacy.pseudonym(F.col("t")).alias("p"), privacy.scrambled(F.col("x")).alias("x"), privacy.kind(F.lit("#N/A")).alias("k")).first()
-    assert r.p.startswith("TXT_") and len(r.p) == 10 and 90 <= r.x <= 110 and r.k == "error"
+    r = spark.createDataFrame([("name", 100.0)], "t string, x double").select(privacy.pseudonym(F.col("t"), 7).alias("p"), privacy.scrambled(F.col("x"), 7, "A1").alias("x"), privacy.kind(F.lit("#N/A")).alias("k")).first()
+    assert r.p.startswith("TXT_") and len(r.p) == 10 and 85 <= r.x <= 115 and r.k == "error"
 
 
 def test_sinks(spark, tmp_path):
