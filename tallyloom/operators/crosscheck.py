@@ -7,41 +7,56 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import numbers
+from tallyloom.functions import numbers, similarity
 
-#: A figure and a cell within 5 % of each other lie in the same or in neighbouring buckets of this width in the logarithm.
-NEAR, WIDTH = 0.05, math.log(1.06)
+#: A figure and a cell within 5 % of each other lie in the same or in neighbouring buckets of this width in the logarithm; numbers smaller than TINY share one.
+NEAR, WIDTH, TINY = 0.05, math.log(1.06), 1e-12
 
 
 def bucket(value: Column) -> Column:
-    """Buckets of the logarithm, one sequence for each sign; zero has its own."""
-    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * (F.floor(F.log(F.abs(value)) / WIDTH) + 100_000)).cast("long")
+    """Buckets of the logarithm, one ascending sequence from the least to the greatest number; all that is closer to 0 than TINY has its own."""
+    size = F.floor(F.log(F.greatest(F.abs(value), F.lit(TINY)) / TINY) / WIDTH)
+    return (F.signum(value) * size).cast("long")
+
+
+def cell_name(row: Column, col: Column) -> Column:
+    """A cell as text: D10."""
+    n = col.cast("long") - 1
+    one = lambda x: F.chr(F.lit(65) + x % 26)
+    two, three = F.floor(n / 26) - 1, F.floor((F.floor(n / 26) - 1) / 26) - 1
+    letters = F.when(n < 26, one(n)).when(n < 702, F.concat(one(two), one(n))).otherwise(F.concat(one(three), one(two), one(n)))
+    return F.concat(letters, row.cast("string"))
 
 
 def candidates(figures: DataFrame, cells: DataFrame, most: int = 5) -> DataFrame:
-    """Of each figure the best cells: those that display as it, or lie within 5 %; displayed ones first, then by difference, sheet, row, col.
+    """Of each figure the best cells: those that display as it, or lie within 5 %; displayed ones first, then by likeness of labels, difference, sheet, cell (as text).
 
-    figures: figure_id, mantissa, scale, percent, decimals, negative, figure_value. cells: sheet, row, col, value. A band join:
-    an equality join on buckets of the logarithm, each figure listed in the buckets that what matches it can lie in.
+    figures: figure_id, mantissa, scale, percent, decimals, negative, figure_value, and context (the text around it) if labels
+    count. cells: sheet, row, col, value, and row_label and column_label if known. A band join: an equality join on buckets of the
+    logarithm, each figure listed in the buckets that what matches it can lie in; of cells with equal values and labels the
+    first few, which come before all others of them for any figure, take part.
     """
-    # Cells without a finite number match nothing; nulls come first in Spark's order and would take the smallest cells' places.
-    cells = cells.where(F.abs("value") < F.lit(math.inf))
+    cells = cells.where(F.abs("value") < F.lit(math.inf))  # others match nothing
+    for c in ("row_label", "column_label"):
+        cells = cells if c in cells.columns else cells.withColumn(c, F.lit(None).cast("string"))
+    named = cells.withColumn("_cell", cell_name(F.col("row"), F.col("col"))).withColumn("_labels", F.concat_ws(" ", "sheet", F.coalesce("row_label", F.lit("")), F.coalesce("column_label", F.lit(""))))
+    same = Window.partitionBy("value", "sheet", "_labels").orderBy("_cell")
+    named = named.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= most).drop("_n")
     half = F.col("scale") * F.when(F.col("percent"), 0.01).otherwise(1.0) * (0.5 * F.pow(F.lit(10.0), -F.col("decimals")) + 1e-9)
-    lo = F.least(F.col("figure_value") - half, F.col("figure_value") - NEAR * F.abs("figure_value"))
-    hi = F.greatest(F.col("figure_value") + half, F.col("figure_value") + NEAR * F.abs("figure_value"))
-    f = figures.withColumn("_lo", lo * (1 - 1e-9 * F.signum(lo))).withColumn("_hi", hi * (1 + 1e-9 * F.signum(hi)))
-    crosses = (F.col("_lo") <= 0) & (F.col("_hi") >= 0)
-    near = F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))
-    whole = f.where(~crosses).withColumn("_b", F.explode(near))
-    # A figure shown as zero differs from a cell by the cell's size: the smallest cells are every such figure's best.
-    smallest = cells.orderBy(F.abs("value"), "sheet", "row", "col").limit(most)
-    c = cells.withColumn("_b", bucket(F.col("value")))
-    j = whole.join(c, "_b").drop("_b").unionByName(f.where(crosses).withColumn("_k", F.lit(1)).join(F.broadcast(smallest.withColumn("_k", F.lit(1))), "_k").drop("_k"))
+    reach = F.when(F.col("figure_value") == 0, F.lit(NEAR)).otherwise(NEAR * F.abs("figure_value"))
+    lo, hi = F.col("figure_value") - F.greatest(half, reach), F.col("figure_value") + F.greatest(half, reach)
+    f = figures if "context" in figures.columns else figures.withColumn("context", F.lit(None).cast("string"))
+    f = f.withColumn("_b", F.explode(F.sequence(bucket(lo - 1e-9 * F.abs(lo)), bucket(hi + 1e-9 * F.abs(hi)))))
+    j = f.join(named.withColumn("_b", bucket(F.col("value"))), "_b").drop("_b")
     shown = numbers.display_matches(F.col("mantissa"), F.col("scale"), F.col("percent"), F.col("decimals"), F.col("negative"), F.col("value"))
     diff = numbers.relative_difference(F.col("figure_value"), F.col("value"))
     j = j.withColumn("shown", shown).withColumn("difference", diff).where(F.col("shown") | (F.col("difference") <= NEAR))
-    w = Window.partitionBy("figure_id").orderBy(F.col("shown").desc(), "difference", "sheet", "row", "col")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("figure_id", "rank", "sheet", "row", "col", "value", "shown", "difference")
+    if "context" in figures.columns:
+        j = j.withColumn("label_score", similarity.token_set(F.coalesce("context", F.lit("")), F.col("_labels")))
+    else:
+        j = j.withColumn("label_score", F.lit(0.0))
+    w = Window.partitionBy("figure_id").orderBy(F.col("shown").desc(), F.col("label_score").desc(), "difference", "sheet", "_cell")
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("figure_id", "rank", "sheet", "row", "col", "value", "shown", "label_score", "difference", "row_label", "column_label")
 
 
 def verified(mappings: DataFrame, figures: DataFrame, cells: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import formulas as text
 from tallyloom.functions import numbers
-from tallyloom.operators import controls, crosscheck, cycles, formulas, graph, regions
+from tallyloom.operators import asof, controls, crosscheck, cycles, formulas, graph, regions
 from tallyloom.plans.cycles import BILLED, GRID, billed, grid, table
 
 QUERIES, SQL = {}, {}
@@ -279,7 +279,7 @@ FIGURES = "f AS (SELECT s_suppkey AS figure_id, floor(abs(s_acctbal) / 10 + 0.5)
 
 @query(f"""
 WITH {FIGURES}, j AS (SELECT figure_id, c_custkey AS row, c_acctbal AS value, abs(c_acctbal / 1000 - CASE WHEN neg THEN -m ELSE m END) <= 0.5 * 0.01 + 1e-9 AS shown, CASE WHEN fv = 0 THEN abs(c_acctbal) ELSE abs(c_acctbal - fv) / abs(fv) END AS difference FROM f, customer),
-r AS (SELECT *, row_number() OVER (PARTITION BY figure_id ORDER BY shown DESC, difference, row) AS rank FROM j WHERE shown OR difference <= 0.05)
+r AS (SELECT *, row_number() OVER (PARTITION BY figure_id ORDER BY shown DESC, difference, 'D' || row) AS rank FROM j WHERE shown OR difference <= 0.05)
 SELECT figure_id, rank, row, value, shown FROM r WHERE rank <= 5
 """)
 def figure_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,6 +287,46 @@ def figure_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosscheck.candidates(figures(spark, sf_dir), balances(spark, sf_dir)).select("figure_id", F.col("rank").cast("long").alias("rank"), "row", "value", "shown")
 
 
+@query()
+def labelled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five likeliest source cells of each displayed figure, told apart by the labels around them: segments to the left, a heading above."""
+    c = table(spark, sf_dir, "customer")
+    cell = lambda d, row, col, value, vtype, num: d.select(F.lit("Accounts").alias("sheet"), row.cast("long").alias("row"), F.lit(col).cast("long").alias("col"), value.alias("text"), F.lit(vtype).alias("vtype"), num.cast("double").alias("num"))
+    none = F.lit(None)
+    k = F.col("c_custkey") + 2
+    cells = cell(c, k, 1, F.col("c_mktsegment"), "text", none).unionByName(cell(c, k, 4, none.cast("string"), "number", F.col("c_acctbal"))).unionByName(cell(spark.range(1), F.lit(1), 4, F.lit("Balance"), "text", none))
+    told = asof.labels(cells.withColumnRenamed("text", "value")).where("vtype = 'number'").drop("value").withColumnRenamed("num", "value")
+    n = table(spark, sf_dir, "nation")
+    f = figures(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("figure_id"), F.col("s_nationkey").alias("n_nationkey")), "figure_id").join(n, "n_nationkey")
+    segments = F.array(*map(F.lit, ("automobile", "BUILDING", "furniture", "HOUSEHOLD", "machinery")))
+    f = f.withColumn("context", F.concat_ws(" ", F.lit("Balance of"), F.upper(F.get(segments, (F.col("figure_id") % 5).cast("int"))), "n_name")).drop("n_nationkey", "n_name", "n_regionkey")
+    return crosscheck.candidates(f, told).select("figure_id", "rank", "row", "label_score", "shown")
+
+
+@query("""
+WITH e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS who, ts, event_type FROM events),
+v AS (SELECT who, ts AS seen_at, max(event_id) AS seen FROM e WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT p.event_id, p.who, v.seen, v.seen_at FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.who = v.who AND p.ts >= v.seen_at
+""")
+def last_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with its user's last view until then; a third of the users are one."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("who"), "ts", "event_type")
+    views = e.where("event_type = 'view'").select("who", F.col("ts").alias("seen_at"), F.col("event_id").alias("seen"))
+    return asof.asof(e.where("event_type = 'purchase'"), views, ["who"], "ts", "seen_at", tie="seen").select("event_id", "who", "seen", "seen_at")
+
+
+@query("""
+WITH g AS (SELECT o_custkey AS row, year(o_orderdate) * 12 + month(o_orderdate) AS col, min(o_orderkey) AS k FROM orders GROUP BY 1, 2), c AS (SELECT row, col, o_orderstatus <> 'F' AS label, o_orderpriority AS text FROM g JOIN orders ON k = o_orderkey)
+SELECT row, col, last_value(CASE WHEN label THEN text END IGNORE NULLS) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS row_label, last_value(CASE WHEN label THEN text END IGNORE NULLS) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS column_label FROM c
+""")
+def cell_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest text left of and above each cell."""
+    o = table(spark, sf_dir, "orders").withColumn("col", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long"))
+    g = o.groupBy(F.col("o_custkey").alias("row"), "col").agg(F.min("o_orderkey").alias("o_orderkey")).join(o.drop("col"), "o_orderkey")
+    cells = g.select(F.lit("Orders").alias("sheet"), "row", "col", F.col("o_orderpriority").alias("value"), F.when(F.col("o_orderstatus") != "F", "text").otherwise("number").alias("vtype"))
+    return asof.labels(cells).select("row", "col", "row_label", "column_label")
+
+
 @query(f"""
 WITH {FIGURES}, m AS (SELECT l_suppkey AS figure_id, min(l_partkey) AS row FROM lineitem GROUP BY 1)
 SELECT m.figure_id, m.row, CASE WHEN fv IS NULL OR c_acctbal IS NULL THEN 'unresolved' WHEN abs(c_acctbal / 1000 - CASE WHEN neg THEN -m ELSE m END) <= 0.5 * 0.01 + 1e-9 THEN 'verified' ELSE 'mismatch' END AS status

@@ -38,7 +38,7 @@ def test_sql(spark, con, name):
 
 
 def test_every_query_has_sql_or_a_test_here():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"slide_matching", "text_changes", "displayed_figures"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"slide_matching", "text_changes", "displayed_figures", "labelled_candidates"}
 
 
 def test_displayed_figures(spark, con):
