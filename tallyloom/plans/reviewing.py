@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers, periods, privacy
-from tallyloom.operators import axes, history, keys, review, triage
+from tallyloom.operators import axes, history, keys, review, stored, triage
 from tallyloom.plans.alignment import CHANGES, MONTHS, aligned_months, changes
 from tallyloom.plans.cycles import booked, booked_months, table
-from tallyloom.streaming import arrivals
+from tallyloom.streaming import arrivals, lifecycles
 
 QUERIES, SQL = {}, {}
 
@@ -236,3 +238,29 @@ SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, user_id, count(*) AS
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users that end after six hours without an event."""
     return arrivals.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours", "10 minutes")
+
+
+@query("""
+WITH f AS (SELECT CAST(o_custkey AS VARCHAR) AS identity, year(o_orderdate) AS run, o_orderstatus AS severity, o_orderpriority AS digest, o_orderstatus <> 'P' AS finalized, o_totalprice > 250000 AS manual FROM orders),
+r AS (SELECT identity, run, count(*) AS n, min(digest) AS digest, bool_or(finalized) AS finalized, count(*) FILTER (finalized AND manual) AS manual, min(severity) FILTER (finalized) AS low, max(severity) FILTER (finalized) AS high FROM f GROUP BY 1, 2),
+c AS (SELECT *, lag(run) OVER w AS before, lag(n) OVER w AS n0, lag(digest) OVER w AS d0, lead(run) OVER w AS after, CAST(sum(finalized::INT) OVER u AS BIGINT) AS runs, CAST(sum(manual) OVER u AS BIGINT) AS by_hand, min(low) OVER u AS lowest, max(high) OVER u AS highest
+  FROM r WINDOW w AS (PARTITION BY identity ORDER BY run), u AS (PARTITION BY identity ORDER BY run ROWS UNBOUNDED PRECEDING))
+SELECT identity, CAST(run AS BIGINT) AS run, CASE WHEN n > 1 OR (before = run - 1 AND n0 > 1) THEN 'ambiguous' WHEN before IS DISTINCT FROM run - 1 THEN 'new' WHEN d0 = digest THEN 'exact' ELSE 'changed' END AS status, runs, by_hand AS manual, coalesce(runs >= 3 AND by_hand >= 2 AND lowest = highest, false) AS recurring FROM c
+UNION ALL SELECT identity, CAST(run + 1 AS BIGINT), CASE WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END, runs, by_hand, false FROM c WHERE after IS DISTINCT FROM run + 1 AND run < (SELECT max(run) FROM r)
+""")
+def finding_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each customer's finding in each year's run, read as a stream."""
+    path = f"{sf_dir}/orders.parquet"
+    o = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern may also match a single file
+    year = F.year("o_orderdate")
+    d = o.select(F.col("o_custkey").cast("string").alias("identity"), year.alias("run"), F.make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("at"), F.col("o_orderstatus").alias("severity"), F.col("o_orderpriority").alias("digest"), (F.col("o_orderstatus") != "P").alias("finalized"), (F.col("o_totalprice") > 250000).alias("manual"))
+    root = f"{stored.folder(spark)}/tallyloom/stream-{uuid.uuid4().hex}"
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, lifecycles.ROCKS)
+    try:
+        q = lifecycles.lifecycles(d).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(lifecycles.OUT).parquet(f"{root}/out")
