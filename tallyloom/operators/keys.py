@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.stored import stored
+
 # What a key must cover, how unique it must be, how far both cycles' keys must overlap.
 COVERAGE, UNIQUE, OVERLAP = 0.95, 0.995, 0.90
 # Rows that place would pair wrongly, and findings that a key must avoid, before it is suggested.
@@ -61,11 +63,89 @@ def sequences(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     return j.select("name", F.coalesce((F.col("n") >= SEQUENCE) & (lo == hi) & (lo != 0), F.lit(False)).alias("is_sequence"))
 
 
-def stride(df: DataFrame, key: list[str], most: int) -> DataFrame:
-    """The report's sample of keys: about so many, evenly spread over their order by hash, the same ones each time."""
-    h = F.xxhash64(*key)
-    n = df.count()
-    return df.where(F.pmod(h, F.lit(max(1, n // most))) == 0)
+# Keys compared by place and by key, and what makes a suggestion: share of wrong pairs that the key avoids, and how many.
+SAMPLE, REDUCTION, AVOIDED = 500, 0.50, 10_000
+#: Relative error of the sketches of distinct keys; combinations that fall short by more than five times that are out.
+SKETCH = 0.02
+
+
+def component(c: str) -> Column:
+    """A column's part of a key: its text without case and outer spaces; null if blank."""
+    t = F.lower(F.trim(F.col(c).cast("string")))
+    return F.when(t != "", t)
+
+
+def discovered(base: DataFrame, current: DataFrame, columns: list[str], row: str, size: int = 3) -> DataFrame:
+    """Smallest combinations of up to size columns that identify the rows of two cycles: key, coverage, uniqueness, overlap, displaced, reduction, projected, suggested.
+
+    row: the place of each row, numbers from 0. Level by level: one pass over a side counts whole rows and sketches distinct
+    keys of all combinations at once, without a row for each; a combination with too many blanks, and all that hold it, is out;
+    only combinations whose sketch may reach the bound are counted exactly; what holds a key isn't looked at. coverage and
+    uniqueness are the lesser of both sides', overlap is that of keys that occur once, displaced the share of common ones at
+    another place. reduction and projected compare the other columns of about SAMPLE common keys by place and by key.
+    """
+    sides = [d.select(F.col(row).cast("long").alias("_row"), *(component(c).alias(c) for c in columns)) for d in (base, current)]
+    level, found, blank = [(c,) for c in columns], [], set()
+    for k in range(1, size + 1):
+        if not level:
+            break
+        alive = dict.fromkeys(level, True)
+        for d in sides:
+            whole = {c: " and ".join(f"`{x}` is not null" for x in c) for c in level}
+            told = d.agg(F.count("*").alias("n"), *[x for i, c in enumerate(level) for x in (F.count_if(F.expr(whole[c])).alias(f"w{i}"), F.approx_count_distinct(F.when(F.expr(whole[c]), F.xxhash64(*c)), SKETCH).alias(f"d{i}"))]).first()
+            for i, c in enumerate(level):
+                if told[f"w{i}"] < COVERAGE * told["n"] or not told["n"]:
+                    blank.add(c)
+                elif told[f"d{i}"] < UNIQUE * (1 - 5 * SKETCH) * told[f"w{i}"]:
+                    alive[c] = False
+        exact = [c for c in level if c not in blank and alive[c]]
+        keys = []
+        if exact:
+            measured_ = stored(measured(*sides, exact), "keys")
+            found.append(measured_)
+            keys = [tuple(r.key.split("+")) for r in measured_.select("key").collect()]  # as many as combinations at most
+        open_ = {c for c in level if c not in blank and c not in keys}
+        level = [c for c in combinations(columns, k + 1) if all(x in open_ for x in combinations(c, k))]
+    if not found:
+        return measured(*sides, [])
+    out = found[0]
+    for d in found[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def measured(base: DataFrame, current: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame:
+    """Exact measures of those combinations that are keys of both sides (_row and the columns)."""
+    spark = base.sparkSession
+    columns = base.columns[1:]
+    n = [max(d.count(), 1) for d in (base, current)]
+
+    def listed(d: DataFrame) -> DataFrame:
+        rows = [F.struct(F.lit("+".join(c)).alias("key"), F.when(F.expr(" and ".join(f"`{x}` is not null" for x in c)), F.struct(F.xxhash64(*c).alias("x"), F.xxhash64(F.lit(1), *reversed(c)).alias("y"))).alias("h")) for c in keys]
+        empty = F.array().cast("array<struct<key:string,h:struct<x:bigint,y:bigint>>>")
+        own = d.select("_row", F.explode(F.array(*rows) if rows else empty).alias("_e")).where("_e.h is not null")
+        return own.groupBy("_e.key", "_e.h").agg(F.count("*").alias("n"), F.min("_row").alias("_row"))
+
+    a, b = stored(listed(base), "base-keys"), stored(listed(current), "current-keys")
+    per = lambda d, s: d.groupBy("key").agg(F.sum("n").alias(f"whole_{s}"), F.count_if(F.col("n") == 1).alias(f"once_{s}"))
+    pairs = a.where("n = 1").select("key", "h", F.col("_row").alias("ra")).join(b.where("n = 1").select("key", "h", F.col("_row").alias("rb")), ["key", "h"])
+    both = pairs.groupBy("key").agg(F.count("*").alias("common"), F.count_if(F.col("ra") != F.col("rb")).alias("moved"))
+    m = per(a, "a").join(per(b, "b"), "key").join(both, "key", "left").fillna(0, ["common", "moved"])
+    m = m.select("key", F.least(F.col("whole_a") / n[0], F.col("whole_b") / n[1]).alias("coverage"), F.least(F.col("once_a") / F.col("whole_a"), F.col("once_b") / F.col("whole_b")).alias("uniqueness"), (F.col("common") / F.greatest(F.col("once_a") + F.col("once_b") - F.col("common"), F.lit(1))).alias("overlap"), (F.col("moved") / F.greatest("common", F.lit(1))).alias("displaced"), "common")
+    m = m.where((F.col("coverage") >= COVERAGE) & (F.col("uniqueness") >= UNIQUE))
+    every = F.greatest(F.floor(F.col("common") / SAMPLE), F.lit(1))
+    some = pairs.join(m.select("key", "common"), "key").where(F.pmod(F.col("h.y"), every) == 0)
+    values = lambda d, r, v: d.select(F.col("_row").alias(r), F.array(*columns).alias(v))
+    other = spark.createDataFrame([("+".join(c), [x not in c for x in columns]) for c in keys] or [("", [])], "key string, other array<boolean>")
+    j = some.join(values(base, "ra", "v"), "ra").join(values(current, "rb", "w"), "rb").join(values(current, "ra", "p"), "ra", "left").join(F.broadcast(other), "key")
+    differ = lambda x, y: F.size(F.filter(F.zip_with(F.zip_with(x, y, lambda s, t: ~s.eqNullSafe(t)), "other", lambda d, o: d & o), lambda d: d))
+    s = j.groupBy("key").agg(F.count("*").alias("sampled"), F.sum(differ("v", "w")).alias("by_key"), F.sum(F.when(F.col("p").isNotNull(), differ("v", "p")).otherwise(0)).alias("by_place"))
+    m = m.join(s, "key", "left").fillna(0, ["sampled", "by_key", "by_place"])
+    reduction = F.when(F.col("by_place") == 0, 0.0).otherwise(F.greatest(1 - F.col("by_key") / F.col("by_place"), F.lit(0.0)))
+    projected = F.when(F.col("by_place") == 0, 0).otherwise(F.round(F.col("by_place") * F.col("common") / F.greatest("sampled", F.lit(1))))
+    m = m.withColumn("reduction", reduction).withColumn("projected", projected.cast("long"))
+    good = (F.col("overlap") >= OVERLAP) & (F.col("displaced") >= DISPLACED) & (F.col("projected") >= PROJECTED) & ((F.col("reduction") >= REDUCTION) | (F.round(F.col("projected") * F.col("reduction")) >= AVOIDED))
+    return m.select("key", "coverage", "uniqueness", "overlap", "displaced", "reduction", "projected", good.alias("suggested"))
 
 
 def header_rows(cells: DataFrame, depth: int = 10) -> DataFrame:
@@ -77,7 +157,7 @@ def header_rows(cells: DataFrame, depth: int = 10) -> DataFrame:
 
 
 def evaluated(candidates: DataFrame) -> DataFrame:
-    """Candidate keys (key, coverage, uniqueness, overlap, displaced, projected) with whether one is suggested, best first by rank.
+    """Candidate keys (sheet, key, coverage, uniqueness, overlap, displaced, projected) with whether one is suggested, best first by rank.
 
     displaced: share of rows that place alone would pair wrongly; projected: findings that the key would avoid.
     """

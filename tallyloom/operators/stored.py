@@ -41,11 +41,11 @@ def discarded(*tables: DataFrame) -> None:
 def numbered(ids: DataFrame, column: str = "id") -> DataFrame:
     """The distinct values of a column with n, their places from 0 in ascending order: a range sort and the counts of its parts, no global window."""
     runs = ids.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    runs = stored(runs.withColumn("_m", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_m", 33)
+    runs = stored(runs.withColumn("_m_", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_m_", 33)
     before, offsets = 0, []
-    for p, first, rows in sorted(runs.groupBy(part).agg(F.min("_m"), F.count("*")).collect()):  # a row for each part of the sort
+    for p, first, rows in sorted(runs.groupBy(part).agg(F.min("_m_"), F.count("*")).collect()):  # a row for each part of the sort
         offsets.append((p, before - first))
         before += rows
-    known = ids.sparkSession.createDataFrame(offsets, "_p long, _offset long")
-    return runs.join(F.broadcast(known), part == F.col("_p")).select(column, (F.col("_m") + F.col("_offset")).alias("n"))
+    known = ids.sparkSession.createDataFrame(offsets, "_part_ long, _offset_ long")
+    return runs.join(F.broadcast(known), part == F.col("_part_")).select(column, (F.col("_m_") + F.col("_offset_")).alias("n"))

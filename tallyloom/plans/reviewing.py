@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,6 +194,30 @@ def composite_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.combined(table(spark, sf_dir, "lineitem"), PARTS)
 
 
+LATTICE = ("o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice", "half")
+COMBINED = [c for k in (1, 2, 3) for c in combinations(LATTICE, k)]
+
+
+def combination_sql(c: tuple[str, ...]) -> str:
+    cols, whole = ", ".join(c), " AND ".join(f"{x} IS NOT NULL" for x in c)
+    return f"""SELECT '{"+".join(c)}' AS key, {len(c)} AS size, least((SELECT sum(n) FROM x) / (SELECT count(*) FROM b), (SELECT sum(n) FROM y) / (SELECT count(*) FROM c)) AS coverage,
+  least((SELECT count(*) FILTER (n = 1) / sum(n) FROM x), (SELECT count(*) FILTER (n = 1) / sum(n) FROM y)) AS uniqueness, count(*) / (SELECT (SELECT count(*) FILTER (n = 1) FROM x) + (SELECT count(*) FILTER (n = 1) FROM y)) AS half_overlap, count(*) AS common, count(*) FILTER (x.r <> y.r) AS moved
+  FROM x JOIN y USING ({cols}) WHERE x.n = 1 AND y.n = 1""".join((f"SELECT * FROM (WITH x AS (SELECT {cols}, count(*) AS n, min(row) AS r FROM b WHERE {whole} GROUP BY ALL), y AS (SELECT {cols}, count(*) AS n, min(row) AS r FROM c WHERE {whole} GROUP BY ALL) ", ")"))
+
+
+@query(f"""
+WITH o AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS half FROM orders), b AS (SELECT *, o_orderkey AS row FROM o), c AS (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS row FROM o WHERE o_orderkey % 50 > 0),
+k AS ({" UNION ALL ".join(map(combination_sql, COMBINED))}), g AS (SELECT *, string_split(key, '+') AS parts FROM k WHERE coverage >= 0.95 AND uniqueness >= 0.995)
+SELECT key, coverage, uniqueness, half_overlap / (1 - half_overlap) AS overlap, moved / greatest(common, 1) AS displaced FROM g WHERE NOT EXISTS (SELECT 1 FROM g s WHERE s.size < g.size AND list_has_all(g.parts, s.parts))
+""")
+def discovered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest combinations of columns that identify orders in two cycles, of which the current one is sorted by price."""
+    o = table(spark, sf_dir, "orders").withColumn("half", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")))
+    now, place = o.where("o_orderkey % 50 > 0"), F.struct("o_totalprice", "o_orderkey")
+    now = now.withColumn("_p", place).join(stored.numbered(now.select(place.alias("_p")), "_p").withColumnRenamed("n", "row"), "_p")
+    return keys.discovered(o.withColumn("row", F.col("o_orderkey")), now, list(LATTICE), "row").select("key", "coverage", "uniqueness", "overlap", "displaced")
+
+
 @query("""
 WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
 SELECT count(a.k) AS baseline_keys, count(b.k) AS current_keys, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS common, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) / count(*) AS overlap FROM a FULL JOIN b ON a.k = b.k
