@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers, periods, similarity
-from tallyloom.operators import align, axes, decks, diff
+from tallyloom.operators import align, axes, decks, diff, segments
 from tallyloom.plans.cycles import AXIS, BILLED, axis, billed, billed_months, booked, booked_months, table
 
 QUERIES, SQL = {}, {}
@@ -273,3 +273,26 @@ def text_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
     d = t.select("conv_id", "turn", F.explode(similarity.lines(F.col("before"), F.col("text"))).alias("c"))
     return d.groupBy("conv_id", "turn", "c.kind").agg(F.count("*").alias("lines"))
+
+
+SEGMENTS = """
+o AS (SELECT o_custkey AS customer, year(o_orderdate) * 12 + month(o_orderdate) AS k, o_orderkey, o_orderstatus FROM orders),
+b AS (SELECT customer, k, row_number() OVER (PARTITION BY customer ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY customer) AS n FROM o), c AS (SELECT customer, k, row_number() OVER (PARTITION BY customer ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY customer) AS n FROM o WHERE o_orderstatus <> 'P'),
+x AS (SELECT *, CASE WHEN i <= 2 THEN 'preamble' WHEN i >= n - 1 THEN 'footer' ELSE 'body' END AS s, CASE WHEN i <= 2 THEN 2 - i WHEN i >= n - 1 THEN i - (n - 1) END AS at FROM b),
+y AS (SELECT *, CASE WHEN i <= 2 + customer % 2 THEN 'preamble' WHEN i >= n - 1 + customer % 2 THEN 'footer' ELSE 'body' END AS s, CASE WHEN i <= 2 + customer % 2 THEN 2 + customer % 2 - i WHEN i >= n - 1 + customer % 2 THEN i - (n - 1 + customer % 2) END AS at FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY customer, k ORDER BY i) AS occ FROM x WHERE s = 'body'), q AS (SELECT *, row_number() OVER (PARTITION BY customer, k ORDER BY i) AS occ FROM y WHERE s = 'body'),
+j AS (SELECT coalesce(x.customer, y.customer) AS customer, coalesce(x.s, y.s) AS segment, x.i AS base, y.i AS current FROM (SELECT * FROM x WHERE s <> 'body') x FULL JOIN (SELECT * FROM y WHERE s <> 'body') y ON x.customer = y.customer AND x.s = y.s AND x.at = y.at
+  UNION ALL SELECT coalesce(p.customer, q.customer), 'body', p.i, q.i FROM p FULL JOIN q ON p.customer = q.customer AND p.k = q.k AND p.occ = q.occ)"""
+
+
+@query(f"WITH {SEGMENTS} SELECT customer, segment, base, current, CASE WHEN base IS NULL THEN 'inserted' WHEN current IS NULL THEN 'deleted' ELSE 'paired' END AS event FROM j")
+def axis_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as rows with a preamble and a footer, matched from their ends, and a body matched by month."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("k"), "o_orderkey", "o_orderstatus")
+    by, whole = Window.partitionBy("customer").orderBy("o_orderkey"), Window.partitionBy("customer")
+
+    def side(d: DataFrame, more: Column) -> DataFrame:
+        d = d.select("customer", "k", F.row_number().over(by).cast("long").alias("i"), F.count("*").over(whole).alias("n"))
+        return d.select("customer", "k", "i", (2 + more).cast("long").alias("header"), (F.col("n") - 1 + more).alias("footer"))
+
+    return segments.segmented(side(o, F.lit(0)), side(o.where("o_orderstatus <> 'P'"), F.col("customer") % 2), ["customer"], ["k"], "i", "header", "footer", "occurrence")
