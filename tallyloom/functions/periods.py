@@ -65,9 +65,8 @@ def parse_period(value: Column) -> Column:
 
 
 def with_period(df: DataFrame, label: str, name: str) -> DataFrame:
-    """df with the period of each label, parsed once for each distinct one."""
-    known = df.select(F.col(label).cast("string").alias("_label")).where("_label is not null").distinct().withColumn(name, parse_period(F.col("_label"))).where(F.col(name).isNotNull())
-    return df.join(known, df[label].cast("string") == known["_label"], "left").drop("_label")
+    """df with the period of each label, parsed in place: the rows are read once and stay where they are."""
+    return df.withColumn(name, parse_period(F.col(label).cast("string")))
 
 
 def date_period(value: Column) -> Column:
