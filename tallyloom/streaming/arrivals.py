@@ -1,4 +1,4 @@
-"""Streams of events as period axes: counts by window with a watermark, sessions, and arrivals that restate a closed period."""
+"""Streams of events as period axes: counts by window with a watermark, and sessions."""
 
 from __future__ import annotations
 
