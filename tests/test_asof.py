@@ -4,9 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.functions.similarity import token_set_ratio
-from tallyloom.operators import asof
+from tallyloom.operators import asof, crosscheck
 from tallyloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -73,3 +74,62 @@ def test_labelled_candidates(spark):
     for r in sorted(q, key=lambda r: r.rank):
         got[r.figure_id].append(r.row)
     assert got == want and any(r.label_score > 60 for r in q)
+
+
+def ranked(figures, cells, most):
+    """Of each figure (id, value, decimals, context) the best cells (sheet, row, label, value), by looking through all."""
+    out = {}
+    for i, v, decimals, context in figures:
+        found = []
+        for sheet, row, label, x in cells:
+            shown = abs(x - v) <= 0.5 * 10.0**-decimals + 1e-9
+            diff = abs(x) if v == 0 else abs(x - v) / abs(v)
+            if shown or diff <= 0.05:
+                score = token_set_ratio(context, f"{sheet} {label} ") if context is not None else 0.0
+                found.append((not shown, -score, diff, sheet, f"D{row}"))
+        out[i] = [x[3:] for x in sorted(found)[:most]]
+    return out
+
+
+@pytest.mark.parametrize("with_context", [False, True])
+def test_candidates_of_many_near_values(spark, with_context):
+    """Ties of value and of distance, zero, both signs, labels that differ, ends of the values; and no join of all that is near."""
+    r = random.Random(9)
+    values = [0.0, -0.0, 1e6, -1e6] + [r.choice([-1, 1]) * r.randrange(90, 120) / r.choice([1, 2, 4]) for _ in range(300)]
+    cells = [(r.choice(["A", "B"]), i, r.choice(["north", "south", "west"]), v) for i, v in enumerate(values)]
+    figures = [(i, float(v), r.choice([0, 2]), f"{r.choice(['north', 'south', 'east'])} total" if with_context else None) for i, v in enumerate([0, 100, -100, 105, 60, -30, 5, 1e6, 25, 119])]
+    c = spark.createDataFrame([(s, i, 4, label, v) for s, i, label, v in cells], "sheet string, row long, col long, row_label string, value double")
+    f = spark.createDataFrame([(i, abs(v), 1.0, False, d, v < 0, v, t) for i, v, d, t in figures], "figure_id long, mantissa double, scale double, percent boolean, decimals int, negative boolean, figure_value double, context string")
+    got = {i: [] for i, *_ in figures}
+    out = crosscheck.candidates(f if with_context else f.drop("context"), c, 3)
+    for x in sorted(out.collect(), key=lambda x: x["rank"]):
+        got[x.figure_id].append((x.sheet, f"D{x.row}"))
+    assert got == ranked(figures, cells, 3)
+
+
+def test_candidates_join_few_rows(spark):
+    """A figure near all of 20,000 cells is joined with the nearest ones only."""
+    n = 20_000
+    c = spark.range(n).select(F.lit("A").alias("sheet"), F.col("id").alias("row"), F.lit(4).alias("col"), (1000 + F.col("id") / n).alias("value"))
+    f = spark.range(50).select(F.col("id").alias("figure_id"), F.lit(1000.5).alias("mantissa"), F.lit(1.0).alias("scale"), F.lit(False).alias("percent"), F.lit(3).alias("decimals"), F.lit(False).alias("negative"), F.lit(1000.5).alias("figure_value"))
+    out = crosscheck.candidates(f, c)
+    assert {x.row for x in out.collect()} == {n // 2 + i for i in range(-2, 3)}
+    assert joined(out) <= n  # not 50 times as many
+
+
+def joined(df):
+    """The most rows that a join of the executed plan gave."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    df.collect()
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            if name.endswith("JoinExec"):
+                most = max(most, p.metrics().apply("numOutputRows").value())
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
