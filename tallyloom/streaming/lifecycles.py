@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,6 +18,7 @@ RUNS, MANUAL = 3, 2
 
 STATE = "run long, at long, rows long, digest string, runs long, manual long, severity string, mixed boolean"
 OUT = "identity string, run long, status string, runs long, manual long, recurring boolean"
+OUT_ROW = Row("identity", "run", "status", "runs", "manual", "recurring")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,39 +29,45 @@ class Lifecycle(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("last", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
-        d = pd.concat(list(rows))  # an identity's rows of a batch of runs
-        last = self.state.get() if self.state.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  names of the interface
+        last = self.state.get()
         run, at, n, digest, runs, manual, severity, mixed = last or (None, None, 0, None, 0, 0, None, False)
-        out = []
-        for now, own in d.sort_values("run").groupby("run", sort=True):
-            now = int(now)
+        seen: dict[int, list] = {}  # rows, digest, finalized rows, decisions by hand among them, their severities and the time of each run of the batch
+        for x in rows:
+            s = seen.setdefault(x.run, [0, None, 0, 0, set(), x.ms])
+            s[0] += 1
+            if x.digest is not None and (s[1] is None or x.digest < s[1]):
+                s[1] = x.digest
+            if x.finalized:
+                s[2] += 1
+                s[3] += x.manual
+                s[4].add(x.severity)
+            s[5] = max(s[5], x.ms)
+        for now in sorted(seen):
+            own, least, final, by_hand, kinds, time = seen[now]
             if run is not None and now <= run:
-                out += [(key[0], now, "late", runs, manual, False)] * len(own)
+                yield from [OUT_ROW(key[0], now, "late", runs, manual, False)] * own
                 continue
             if run is not None and now > run + 1 and n:
-                out.append((key[0], run + 1, "ambiguous" if n > 1 else "resolved", runs, manual, False))
-            seen = own["digest"].dropna().min() if own["digest"].notna().any() else None
+                yield OUT_ROW(key[0], run + 1, "ambiguous" if n > 1 else "resolved", runs, manual, False)
             follows = run is not None and now == run + 1
-            status = "ambiguous" if len(own) > 1 or follows and n > 1 else "new" if not follows else "exact" if seen == digest else "changed"
-            final = own[own["finalized"]]
-            if len(final):
-                runs, manual = runs + 1, manual + int(final["manual"].sum())
-                kinds = set(final["severity"]) | ({severity} if severity is not None else set())
-                severity, mixed = sorted(kinds)[0], mixed or len(kinds) > 1
-            run, at, n, digest = now, int(own["at"].max().timestamp() * 1000), len(own), seen
-            out.append((key[0], now, status, runs, manual, runs >= RUNS and manual >= MANUAL and not mixed))
+            status = "ambiguous" if own > 1 or follows and n > 1 else "new" if not follows else "exact" if least == digest else "changed"
+            if final:
+                runs, manual = runs + 1, manual + by_hand
+                kinds |= {severity} if severity is not None else set()
+                severity, mixed = min(kinds), mixed or len(kinds) > 1
+            run, at, n, digest = now, time, own, least
+            yield OUT_ROW(key[0], now, status, runs, manual, runs >= RUNS and manual >= MANUAL and not mixed)
         if run is not None and (last is None or run != last[0]):
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
+            if last is not None and last[2]:  # its timer is still set
+                self.handle.deleteTimer(last[1] + 1)
             self.handle.registerTimer(at + 1)
             self.state.update((run, at, n, digest, runs, manual, severity, mixed))
-        yield pd.DataFrame(out, columns=["identity", "run", "status", "runs", "manual", "recurring"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         run, at, n, digest, runs, manual, severity, mixed = self.state.get()
         self.state.update((run, at, 0, digest, runs, manual, severity, mixed))
-        yield pd.DataFrame([(key[0], run + 1, "ambiguous" if n > 1 else "resolved", runs, manual, False)], columns=["identity", "run", "status", "runs", "manual", "recurring"])
+        yield OUT_ROW(key[0], run + 1, "ambiguous" if n > 1 else "resolved", runs, manual, False)
 
     def close(self) -> None:
         pass
@@ -73,5 +79,5 @@ def lifecycles(findings: DataFrame) -> DataFrame:
     findings: a stream of identity (text), run (numbers without gaps), at (the run's time, ascending with it), severity,
     digest, finalized, manual. A severity that is null counts as one of its own. Needs the state store of RocksDB.
     """
-    d = findings.select("identity", F.col("run").cast("long").alias("run"), "at", F.coalesce("severity", F.lit("")).alias("severity"), "digest", F.coalesce("finalized", F.lit(False)).alias("finalized"), F.coalesce("manual", F.lit(False)).alias("manual"))
-    return d.where("identity is not null and run is not null and at is not null").withWatermark("at", "0 seconds").groupBy("identity").transformWithStateInPandas(Lifecycle(), OUT, "Append", "EventTime")
+    d = findings.select("identity", F.col("run").cast("long").alias("run"), "at", F.unix_millis(F.col("at").cast("timestamp")).alias("ms"), F.coalesce("severity", F.lit("")).alias("severity"), "digest", F.coalesce("finalized", F.lit(False)).alias("finalized"), F.coalesce("manual", F.lit(False)).alias("manual"))
+    return d.where("identity is not null and run is not null and at is not null").withWatermark("at", "0 seconds").groupBy("identity").transformWithState(Lifecycle(), OUT, "Append", "EventTime")
