@@ -24,15 +24,16 @@ def screen(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def combined(df: DataFrame, columns: list[str], size: int = 3) -> DataFrame:
-    """Of each combination of up to size columns: whole rows, distinct keys, and whether they make a key. All combinations share one shuffle."""
-    rows = []
-    for k in range(1, size + 1):
-        for c in combinations(columns, k):
-            whole = F.lit(True)
-            for x in c:
-                whole = whole & F.col(x).isNotNull() & (F.trim(F.col(x).cast("string")) != "")
-            rows.append(F.struct(F.lit("+".join(c)).alias("key"), F.when(whole, F.to_json(F.struct(*c))).alias("v")))
-    n = df.select(F.explode(F.array(*rows)).alias("x")).groupBy("x.key", "x.v").agg(F.count("*").alias("n"))
+    """Of each combination of up to size columns: whole rows, distinct keys, and whether they make a key. All combinations are counted as grouping sets, in one shuffle of values."""
+    sets = [c for k in range(1, size + 1) for c in combinations(columns, k)]
+    bit = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}  # set in the grouping id where a column is left out
+    mask = {c: sum(b for x, b in bit.items() if x not in c) for c in sets}
+    n = df.groupingSets([[F.col(x) for x in c] for c in sets], *columns).agg(F.grouping_id().alias("_id"), F.count("*").alias("n"))
+    key = F.create_map(*(x for c in sets for x in (F.lit(mask[c]).cast("long"), F.lit("+".join(c)))))[F.col("_id")]
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & (F.col("_id").bitwiseAND(bit[c]) != 0) | whole & F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
+    n = n.select(key.alias("key"), F.when(whole, 1).alias("v"), "n")
     d = n.groupBy("key").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("whole"), F.count("v").alias("distinct_keys"))
     return d.withColumn("is_key", (F.col("whole") >= COVERAGE * F.col("rows")) & (F.col("distinct_keys") >= UNIQUE * F.col("whole")))
 

@@ -55,3 +55,11 @@ def test_none_and_empty(spark):
     d = spark.createDataFrame([(0, "x"), (1, "x"), (2, None)], "row long, a string")
     assert keys.discovered(d, d, ["a"], "row").count() == 0
     assert keys.discovered(d.limit(0), d, ["a"], "row").count() == 0
+
+
+def test_combined_counts_values_not_texts(spark):
+    """Nulls and blanks aren't whole, -0 is 0, and rows aren't turned into texts before they are shuffled."""
+    d = spark.createDataFrame([("x", 1, 0.0), ("x", 1, -0.0), (" ", 2, 1.5), (None, 2, 1.5), ("y", 1, None)], "a string, b long, c double")
+    out = keys.combined(d, ["a", "b", "c"])
+    assert {tuple(r)[:4] for r in out.collect()} == {("a", 5, 3, 2), ("b", 5, 5, 2), ("c", 5, 4, 2), ("a+b", 5, 3, 2), ("a+c", 5, 2, 1), ("b+c", 5, 4, 2), ("a+b+c", 5, 2, 1)}
+    assert "to_json" not in out._jdf.queryExecution().optimizedPlan().toString()
