@@ -113,24 +113,33 @@ def unique_cascade(base: DataFrame, current: DataFrame, passes: list[tuple], id_
     return found
 
 
+#: After so many rounds the pairs that are left are written anew.
+AGAIN = 4
+
+
 def mutual_best(scored: DataFrame, a: str, b: str, score: str) -> DataFrame:
     """Of scored candidate pairs those that are each other's best, without a tie on either side.
 
     They leave with all their pairs, and what is left is matched again until a round finds none.
+    A side's best are grouped before they are shuffled, and pairs leave by joins with what was found; the pairs themselves stay.
     """
-    left, found = shared(scored), None
+    same = F.count("*").over(Window.partitionBy(a, b, score))  # equal rows are a tie
+    left, columns = stored(scored.withColumn("_same", same), "pairs"), scored.columns
+    found, rounds = left.select(*columns).limit(0), 0
+
+    def single(d: DataFrame, x: str, y: str) -> DataFrame:
+        best = d.where(F.col(score).isNotNull()).groupBy(x).agg(F.max(F.struct(F.col(score).alias("s"), F.col(y).alias("y"), "_same")).alias("_high"), F.min(F.struct((-F.col(score)).alias("s"), F.col(y).alias("y"))).alias("_low"))
+        return best.where("_high._same = 1 and _high.y <=> _low.y").select(x, F.col("_high.y").alias(y))
+
     while True:
-        out = left
-        for side in (a, b):
-            best = left.groupBy(side).agg(F.max(score).alias("_best"))
-            top = left.join(best, side).where(F.col(score) == F.col("_best"))
-            single = top.groupBy(side).agg(F.count("*").alias("_n")).where("_n = 1").select(side)
-            out = out.join(top.join(single, side, "left_semi").select(a, b), [a, b], "left_semi")
-        out = shared(out)
-        found = out if found is None else found.unionByName(out)
+        pairs = single(left, a, b).join(single(left, b, a), [a, b])
+        out = stored(left.join(pairs, [a, b], "left_semi").select(*columns), "best")
         if not out.head(1):
             return found
-        left = shared(left.join(out.select(a), a, "left_anti").join(out.select(b), b, "left_anti"))
+        found, rounds = found.unionByName(out) if rounds else out, rounds + 1
+        left = left.join(out.select(a), a, "left_anti").join(out.select(b), b, "left_anti")
+        if rounds % AGAIN == 0:
+            left = stored(left, "pairs")
 
 
 def greedy(scored: DataFrame, group: str, a: str, b: str, score: str, least: float) -> DataFrame:

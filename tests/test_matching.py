@@ -41,3 +41,26 @@ def test_pinned_slides(spark):
     got = {(r.a, r.b, r.score is None) for r in decks.matched_slides(base, current, "deck", pins).collect()}
     assert got == {(0, 1, True), (1, 0, False), (3, 2, False)}
     assert {(r.a, r.b) for r in decks.matched_slides(base, current, "deck").collect()} >= {(1, 0), (3, 2)}
+
+
+def best_in_rounds(rows):
+    out = []
+    while True:
+        top = lambda i, x: [r for r in rows if r[i] == x and r[2] == max(q[2] for q in rows if q[i] == x)]
+        hit = [r for r in rows if len(top(0, r[0])) == len(top(1, r[1])) == 1 and top(0, r[0])[0] == top(1, r[1])[0] == r]
+        if not hit:
+            return sorted(out)
+        out += hit
+        rows = [r for r in rows if r[0] not in {h[0] for h in hit} and r[1] not in {h[1] for h in hit}]
+
+
+def test_mutual_best_over_many_rounds(spark):
+    """Ties, equal rows and chains; pairs are grouped before a shuffle, none is shuffled whole after the first."""
+    r = random.Random(3)
+    rows = [(r.randrange(9), r.randrange(9), r.randrange(12)) for _ in range(40)]
+    rows = list({x[:2]: x for x in rows}.values()) + [(i, i, 200 - 2 * i) for i in range(20, 30)] + [(i, i + 1, 199 - 2 * i) for i in range(20, 30)] + [(50, 50, 3)] * 2
+    df = spark.createDataFrame(rows, "a long, b long, s long")
+    got = align.mutual_best(df, "a", "b", "s")
+    assert sorted(map(tuple, got.collect())) == best_in_rounds(rows) and got.columns == ["a", "b", "s"]
+    assert align.mutual_best(df.limit(0), "a", "b", "s").count() == 0
+    assert "Scan ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()  # files, not rows of a checkpoint
