@@ -116,32 +116,41 @@ def discovered(base: DataFrame, current: DataFrame, columns: list[str], row: str
 
 
 def measured(base: DataFrame, current: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame:
-    """Exact measures of those combinations that are keys of both sides (_row and the columns)."""
+    """Exact measures of those combinations that are keys of both sides (_row and the columns).
+
+    Both sides' keys meet in one shuffle of hashes; of the columns only the rows of the sampled keys are read again.
+    """
     spark = base.sparkSession
     columns = base.columns[1:]
     n = [max(d.count(), 1) for d in (base, current)]
 
-    def listed(d: DataFrame) -> DataFrame:
-        rows = [F.struct(F.lit("+".join(c)).alias("key"), F.when(F.expr(" and ".join(f"`{x}` is not null" for x in c)), F.struct(F.xxhash64(*c).alias("x"), F.xxhash64(F.lit(1), *reversed(c)).alias("y"))).alias("h")) for c in keys]
-        empty = F.array().cast("array<struct<key:string,h:struct<x:bigint,y:bigint>>>")
-        own = d.select("_row", F.explode(F.array(*rows) if rows else empty).alias("_e")).where("_e.h is not null")
-        return own.groupBy("_e.key", "_e.h").agg(F.count("*").alias("n"), F.min("_row").alias("_row"))
-
-    a, b = stored(listed(base), "base-keys"), stored(listed(current), "current-keys")
-    per = lambda d, s: d.groupBy("key").agg(F.sum("n").alias(f"whole_{s}"), F.count_if(F.col("n") == 1).alias(f"once_{s}"))
-    pairs = a.where("n = 1").select("key", "h", F.col("_row").alias("ra")).join(b.where("n = 1").select("key", "h", F.col("_row").alias("rb")), ["key", "h"])
-    both = pairs.groupBy("key").agg(F.count("*").alias("common"), F.count_if(F.col("ra") != F.col("rb")).alias("moved"))
-    m = per(a, "a").join(per(b, "b"), "key").join(both, "key", "left").fillna(0, ["common", "moved"])
-    m = m.select("key", F.least(F.col("whole_a") / n[0], F.col("whole_b") / n[1]).alias("coverage"), F.least(F.col("once_a") / F.col("whole_a"), F.col("once_b") / F.col("whole_b")).alias("uniqueness"), (F.col("common") / F.greatest(F.col("once_a") + F.col("once_b") - F.col("common"), F.lit(1))).alias("overlap"), (F.col("moved") / F.greatest("common", F.lit(1))).alias("displaced"), "common")
-    m = m.where((F.col("coverage") >= COVERAGE) & (F.col("uniqueness") >= UNIQUE))
+    def listed(d: DataFrame, here: str) -> DataFrame:
+        """A row for each whole key: the place of its combination, two hashes, and its own row on its side."""
+        rows = [F.when(F.expr(" and ".join(f"`{x}` is not null" for x in c)), F.struct(F.lit(i).alias("k"), F.xxhash64(*c).alias("x"), F.xxhash64(F.lit(1), *reversed(c)).alias("y"))) for i, c in enumerate(keys)]
+        empty = F.array().cast("array<struct<k:int,x:bigint,y:bigint>>")
+        own = d.select("_row", F.explode(F.array(*rows) if rows else empty).alias("_e")).where("_e is not null")
+        return own.select("_e.*", *[(F.col("_row") if s == here else F.lit(None).cast("long")).alias(f"r{s}") for s in "ab"])
+
+    # A key that occurs once on a side has its row there as the least; of others only the number counts.
+    groups = listed(base, "a").unionByName(listed(current, "b")).groupBy("k", "x", "y").agg(*[f(f"r{s}").alias(f"{c}{s}") for s in "ab" for f, c in ((F.count, "n"), (F.min, "r"))])
+    groups = stored(groups.select("k", "y", "na", "nb", *[F.when((F.col("na") == 1) & (F.col("nb") == 1), F.col(r)).alias(r) for r in ("ra", "rb")]), "keys-met")
+    pair = F.col("ra").isNotNull()
+    per = [x for s in "ab" for x in (F.sum(f"n{s}").alias(f"whole_{s}"), F.count_if(F.col(f"n{s}") == 1).alias(f"once_{s}"))]
+    m = groups.groupBy("k").agg(*per, F.count_if(pair).alias("common"), F.count_if(pair & (F.col("ra") != F.col("rb"))).alias("moved")).where("whole_a > 0 and whole_b > 0")
+    m = m.select("k", F.least(F.col("whole_a") / n[0], F.col("whole_b") / n[1]).alias("coverage"), F.least(F.col("once_a") / F.col("whole_a"), F.col("once_b") / F.col("whole_b")).alias("uniqueness"), (F.col("common") / F.greatest(F.col("once_a") + F.col("once_b") - F.col("common"), F.lit(1))).alias("overlap"), (F.col("moved") / F.greatest("common", F.lit(1))).alias("displaced"), "common")
+    m = stored(m.where((F.col("coverage") >= COVERAGE) & (F.col("uniqueness") >= UNIQUE)), "keys-told")
+    # About SAMPLE to twice as many common keys of each combination: so few that they are sent to where the rows are.
     every = F.greatest(F.floor(F.col("common") / SAMPLE), F.lit(1))
-    some = pairs.join(m.select("key", "common"), "key").where(F.pmod(F.col("h.y"), every) == 0)
-    values = lambda d, r, v: d.select(F.col("_row").alias(r), F.array(*columns).alias(v))
-    other = spark.createDataFrame([("+".join(c), [x not in c for x in columns]) for c in keys] or [("", [])], "key string, other array<boolean>")
-    j = some.join(values(base, "ra", "v"), "ra").join(values(current, "rb", "w"), "rb").join(values(current, "ra", "p"), "ra", "left").join(F.broadcast(other), "key")
+    some = stored(groups.where(pair).join(F.broadcast(m.select("k", "common")), "k").where(F.pmod("y", every) == 0).select("k", "ra", "rb"), "keys-sampled")
+
+    def values(d: DataFrame, places: DataFrame, r: str, v: str) -> DataFrame:
+        return d.join(F.broadcast(places.withColumnRenamed(places.columns[0], "_row").distinct()), "_row").select(F.col("_row").alias(r), F.array(*columns).alias(v))
+
+    other = spark.createDataFrame([(i, "+".join(c), [x not in c for x in columns]) for i, c in enumerate(keys)] or [(0, "", [])], "k int, key string, other array<boolean>")
+    j = some.join(values(base, some.select("ra"), "ra", "v"), "ra").join(values(current, some.select("rb"), "rb", "w"), "rb").join(values(current, some.select("ra"), "ra", "p"), "ra", "left").join(F.broadcast(other), "k")
     differ = lambda x, y: F.size(F.filter(F.zip_with(F.zip_with(x, y, lambda s, t: ~s.eqNullSafe(t)), "other", lambda d, o: d & o), lambda d: d))
-    s = j.groupBy("key").agg(F.count("*").alias("sampled"), F.sum(differ("v", "w")).alias("by_key"), F.sum(F.when(F.col("p").isNotNull(), differ("v", "p")).otherwise(0)).alias("by_place"))
-    m = m.join(s, "key", "left").fillna(0, ["sampled", "by_key", "by_place"])
+    s = j.groupBy("k").agg(F.count("*").alias("sampled"), F.sum(differ("v", "w")).alias("by_key"), F.sum(F.when(F.col("p").isNotNull(), differ("v", "p")).otherwise(0)).alias("by_place"))
+    m = m.join(s, "k", "left").fillna(0, ["sampled", "by_key", "by_place"]).join(F.broadcast(other.select("k", "key")), "k")
     reduction = F.when(F.col("by_place") == 0, 0.0).otherwise(F.greatest(1 - F.col("by_key") / F.col("by_place"), F.lit(0.0)))
     projected = F.when(F.col("by_place") == 0, 0).otherwise(F.round(F.col("by_place") * F.col("common") / F.greatest("sampled", F.lit(1))))
     m = m.withColumn("reduction", reduction).withColumn("projected", projected.cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,14 +38,23 @@ def discarded(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def placed(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df, written once, with the place of each row from 0 in that order (which must leave no ties): a range sort of the rows themselves and the counts of its parts, nothing is joined back."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _offset(stored(rows.withColumn("_m_", F.monotonically_increasing_id()), "placed"), name)
+
+
 def numbered(ids: DataFrame, column: str = "id") -> DataFrame:
-    """The distinct values of a column with n, their places from 0 in ascending order: a range sort and the counts of its parts, no global window."""
-    runs = ids.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    runs = stored(runs.withColumn("_m_", F.monotonically_increasing_id()), "numbered")
+    """The distinct values of a column with n, their places from 0 in ascending order."""
+    return placed(ids.select(column).distinct(), "n", F.col(column))
+
+
+def _offset(runs: DataFrame, name: str) -> DataFrame:
     part = F.shiftright("_m_", 33)
     before, offsets = 0, []
     for p, first, rows in sorted(runs.groupBy(part).agg(F.min("_m_"), F.count("*")).collect()):  # a row for each part of the sort
         offsets.append((p, before - first))
         before += rows
-    known = ids.sparkSession.createDataFrame(offsets, "_part_ long, _offset_ long")
-    return runs.join(F.broadcast(known), part == F.col("_part_")).select(column, (F.col("_m_") + F.col("_offset_")).alias("n"))
+    known = runs.sparkSession.createDataFrame(offsets, "_part_ long, _offset_ long")
+    columns = [c for c in runs.columns if c != "_m_"]
+    return runs.join(F.broadcast(known), part == F.col("_part_")).select(*columns, (F.col("_m_") + F.col("_offset_")).alias(name))

@@ -213,8 +213,7 @@ SELECT key, coverage, uniqueness, half_overlap / (1 - half_overlap) AS overlap,
 def discovered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest combinations of columns that identify orders in two cycles, of which the current one is sorted by price."""
     o = table(spark, sf_dir, "orders").withColumn("half", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")))
-    now, place = o.where("o_orderkey % 50 > 0"), F.struct("o_totalprice", "o_orderkey")
-    now = now.withColumn("_p", place).join(stored.numbered(now.select(place.alias("_p")), "_p").withColumnRenamed("n", "row"), "_p")
+    now = stored.placed(o.where("o_orderkey % 50 > 0"), "row", F.col("o_totalprice").asc_nulls_last(), F.col("o_orderkey").asc_nulls_last())
     return keys.discovered(o.withColumn("row", F.col("o_orderkey")), now, list(LATTICE), "row").select("key", "coverage", "uniqueness", "overlap", "displaced")
 
 

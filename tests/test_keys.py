@@ -5,8 +5,10 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
+from volumes import shuffled_rows
 
-from tallyloom.operators import keys
+from tallyloom.operators import keys, stored
 
 
 def part(v):
@@ -63,3 +65,23 @@ def test_combined_counts_values_not_texts(spark):
     out = keys.combined(d, ["a", "b", "c"])
     assert {tuple(r)[:4] for r in out.collect()} == {("a", 5, 3, 2), ("b", 5, 5, 2), ("c", 5, 4, 2), ("a+b", 5, 3, 2), ("a+c", 5, 2, 1), ("b+c", 5, 4, 2), ("a+b+c", 5, 2, 1)}
     assert "to_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_measures_shuffle_each_key_once(spark):
+    """Both sides' keys meet in one shuffle, and only rows of sampled keys are looked up: rows aren't shuffled with their columns."""
+    n = 20_000
+    d = stored.stored(spark.range(n).selectExpr("id as row", "cast(id as string) as a", "cast(id % 7 as string) as b"))
+    with shuffled_rows(spark) as told:
+        got = keys.discovered(d, d.withColumn("row", n - 1 - d["row"]), ["a", "b"], "row").collect()
+    assert [(x.key, x.coverage, x.uniqueness, x.overlap, x.displaced) for x in got] == [("a", 1.0, 1.0, 1.0, 1.0)]
+    assert told[0] < 3 * n
+
+
+def test_placed(spark):
+    """Places of whole rows, null last, over several parts."""
+    d = spark.range(5000).selectExpr("id", "case when id % 1000 > 0 then (id * 37) % 1009 end as v")
+    order = (F.col("v").asc_nulls_last(), F.col("id").asc())
+    want = sorted(((r.v is None, r.v or 0, r.id) for r in d.collect()))
+    got = stored.placed(d, "n", *order)
+    assert got.columns == ["id", "v", "n"] and [(r.v is None, r.v or 0, r.id) for r in got.orderBy("n").collect()] == want
+    assert [r.n for r in got.select("n").orderBy("n").collect()] == list(range(5000))
