@@ -49,6 +49,23 @@ def with_growth(aligned: DataFrame, base: DataFrame, period: Column, axis: list[
     return j.select("x.base", "x.current", F.when(grows, "growth").otherwise(F.col("event")).alias("event"))
 
 
+def presence(base: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
+    """key and event (paired, deleted, inserted) of the distinct keys of both: what keyed() gives where no key repeats, in one shuffle of keys and without a sort."""
+    d = base.select(*key, F.lit(True).alias("_b"), F.lit(False).alias("_c")).unionByName(current.select(*key, F.lit(False).alias("_b"), F.lit(True).alias("_c")))
+    d = d.groupBy(*key).agg(F.max("_b").alias("_b"), F.max("_c").alias("_c"))
+    return d.select(*key, F.when(~F.col("_b"), "inserted").when(~F.col("_c"), "deleted").otherwise("paired").alias("event"))
+
+
+def grown(events: DataFrame, axis: list[str], period: str = "period") -> DataFrame:
+    """events with inserted turned into growth where the period follows the latest of the baseline (of its kind, and axis): with_growth() for presence()."""
+    p = F.col(period)
+    latest = F.max(F.when(F.col("event") != "inserted", periods.sort_key(p))).over(Window.partitionBy(*axis, p["kind"]))
+    d = events.withColumn("_latest", latest)
+    last = F.when(F.col("_latest").isNotNull(), F.struct(p["kind"].alias("kind"), *[F.col(f"_latest.{k}").alias(k) for k in ("k1", "k2", "k3")]))
+    grows = (F.col("event") == "inserted") & F.coalesce(periods.is_after(p, last), F.lit(False))
+    return d.withColumn("event", F.when(grows, "growth").otherwise(F.col("event"))).drop("_latest")
+
+
 def null_safe_to_current(axis: list[str]) -> Column:
     out = F.lit(True)
     for c in axis:

@@ -16,8 +16,13 @@ def counts() -> list[Column]:
 
 
 def patterns(findings: DataFrame, key: list[str]) -> DataFrame:
-    """A row for each pattern (null is a value): members, counts by severity, the first and last location."""
-    return findings.groupBy(*key).agg(F.count("*").alias("members"), *counts(), F.min("location").alias("first_location"), F.max("location").alias("last_location"))
+    """A row for each pattern (null is a value): members, counts by severity, the first and last location.
+
+    Least and greatest texts alone would have Spark sort all findings by pattern; with a set beside them it keeps patterns in a hash map.
+    """
+    d = findings.groupBy(*key).agg(F.count("*").alias("members"), F.collect_set("severity").alias("_kinds"), *counts(), F.min("location").alias("first_location"), F.max("location").alias("last_location"))
+    seen = {s: F.when(F.array_contains("_kinds", s), F.col(s)).otherwise(0).alias(s) for s in SEVERITIES}
+    return d.select(*[seen.get(c, F.col(c)) for c in d.columns if c != "_kinds"])
 
 
 def populations(candidates: DataFrame, key: list[str], threshold: int = 10) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.operators.stored import placed
+
 # Classes of findings by their severity; others are warnings.
 CRITICAL = """value_changed formula_error formula_hardcoded formula_removed formula_missing circular_reference external_link
 active_content vba_module_changed power_query_changed connection_changed external_connection named_range_invalid
@@ -105,21 +107,12 @@ ORDER = ("severity_rank", "artifact", "sheet", "location", "element", "finding_c
 def ordered(findings: DataFrame) -> DataFrame:
     """findings with finding_id F0001, F0002 ... in the global order (severity, artifact, sheet, location, element, class, message; null as empty).
 
-    Sorted by range over all tasks; a place is that in its partition plus the rows of the partitions before it.
+    Sorted by range over all tasks and written once so; a place is that in its part plus the rows of the parts before it.
     """
-    from tallyloom.operators.graph import shared
-
     rank = F.lit(1)
     for s, n in RANKS.items():
         rank = F.when(F.col("severity") == s, n).otherwise(rank)
     d = findings.withColumn("severity_rank", rank)
     keys = [F.coalesce(F.col(c), F.lit("")) if c != "severity_rank" else F.col(c) for c in ORDER]
-    n = max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    d = shared(d.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
-    before, total = [], 0
-    for r in d.groupBy("_part").count().orderBy("_part").collect():
-        before.append((r["_part"], total))
-        total += r["count"]
-    d = d.join(F.broadcast(d.sparkSession.createDataFrame(before, "_part int, _before long")), "_part")
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return d.withColumn("finding_id", F.format_string("F%04d", place)).drop("_part", "_before", "severity_rank")
+    d = placed(d, "_place", *keys)
+    return d.withColumn("finding_id", F.format_string("F%04d", F.col("_place") + 1)).drop("_place", "severity_rank")

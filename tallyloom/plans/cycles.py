@@ -30,21 +30,34 @@ def billed(spark: SparkSession, sf_dir: str) -> DataFrame:
 BILLED = "SELECT l_orderkey AS key, sum(CAST(floor(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 100 + 0.5) AS BIGINT)) / 100.0 AS value FROM lineitem GROUP BY 1"
 
 
-def months(df: DataFrame, date: str) -> DataFrame:
-    """df with month (a label) and period (parsed from it)."""
-    return periods.with_period(df.withColumn("month", F.date_format(date, "MMM-yyyy")), "month", "period")
+def months(df: DataFrame, date: str, of: DataFrame | None = None) -> DataFrame:
+    """df with month (a label) and period (parsed from it). Labels are parsed once a month that of (df, if none is given) has, and sent to the rows: at most twelve a year."""
+    m = F.trunc(date, "month")
+    each = (df if of is None else of).select(m.alias("_m")).distinct()
+    each = periods.with_period(each.withColumn("month", F.date_format("_m", "MMM-yyyy")), "month", "period")
+    return df.join(F.broadcast(each), m.eqNullSafe(each["_m"]), "left").drop("_m")
 
 
 def booked_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer, month, period: a wide table's column headers, once each."""
-    o = table(spark, sf_dir, "orders")
-    return months(o.select(F.col("o_custkey").alias("customer"), F.trunc("o_orderdate", "month").alias("m")).distinct(), "m").drop("m")
+    d = booked_dates(spark, sf_dir)
+    return months(d.distinct(), "m", d).drop("m")
+
+
+def booked_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer and first of the month of each order."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.trunc("o_orderdate", "month").alias("m"))
+
+
+def billed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer and first of the month of each line item."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.trunc("l_shipdate", "month").alias("m"))
+    return li.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer")), "key").select("customer", "m")
 
 
-def billed_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    d = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("customer"), F.trunc("l_shipdate", "month").alias("m")).distinct()
-    return months(d, "m").drop("m")
+def all_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First of the month of all orders and line items, of any customer."""
+    return booked_dates(spark, sf_dir).select("m").unionByName(table(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").alias("m")))
 
 
 def axis(spark: SparkSession, sf_dir: str) -> DataFrame:

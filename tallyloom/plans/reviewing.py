@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers, periods, privacy
 from tallyloom.operators import axes, history, keys, review, stored, triage
-from tallyloom.plans.alignment import CHANGES, MONTHS, aligned_months, changes
-from tallyloom.plans.cycles import booked, booked_months, table
+from tallyloom.plans.alignment import CHANGES, MONTHS, aligned_months
+from tallyloom.plans.cycles import billed, booked, months, table
 from tallyloom.streaming import arrivals, lifecycles
 
 QUERIES, SQL = {}, {}
@@ -32,17 +32,21 @@ def query(sql: str | None = None):
     return add
 
 
-def with_context(spark: SparkSession, sf_dir: str, changed: DataFrame) -> DataFrame:
-    """Changed orders with the context of their month among the customer's months; unbooked ones have none."""
-    months = booked_months(spark, sf_dir)
-    known = axes.context(months, ["customer"], recent=periods.RECENT["month"]).select("customer", "month", "context")
-    return changed.join(booked(spark, sf_dir).select("key", "customer", "month"), "key", "left").join(known, ["customer", "month"], "left")
+def with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, base, current of orders on either side, with the context of their month among the customer's; unbooked ones have none.
+
+    Contexts meet booked values before these meet billed ones, so all three are shuffled by key once.
+    """
+    o = months(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer"), "o_orderdate"), "o_orderdate")
+    known = axes.context(o, ["customer"], recent=periods.RECENT["month"]).select("key", "context")
+    b, c = booked(spark, sf_dir).select("key", F.col("value").alias("base")), billed(spark, sf_dir).select("key", F.col("value").alias("current"))
+    return b.join(known, "key", "left").join(c, "key", "full_outer")
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atomic findings of the cycle comparison: changed values, and months deleted, inserted or grown."""
     b, c = F.col("base"), F.col("current")
-    v = with_context(spark, sf_dir, changes(spark, sf_dir).where(~b.eqNullSafe(c)))
+    v = with_context(spark, sf_dir).where(~b.eqNullSafe(c))
     none = F.lit(None).cast("string")
     place = lambda p, x: F.concat(F.lit(p), F.lpad(x.cast("string"), 10, "0"))
     values = v.select(
@@ -52,7 +56,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     m = aligned_months(spark, sf_dir).where("event <> 'paired'")
     events = m.select(
-        F.lit("excel").alias("artifact"), F.lit("Months").alias("sheet"), place("C", F.coalesce("base.customer", "current.customer")).alias("location"), F.coalesce("base.month", "current.month").alias("element"),
+        F.lit("excel").alias("artifact"), F.lit("Months").alias("sheet"), place("C", F.col("customer")).alias("location"), F.col("month").alias("element"),
         F.concat(F.lit("column_"), "event").alias("finding_class"), F.when(F.col("event") == "growth", "period_progression").alias("expected_reason"), none.alias("materiality"), F.lit("historical").alias("temporal_context"), F.lit("changed").alias("provenance"), F.col("event").alias("message"),
     )
     return values.unionByName(events)
