@@ -221,8 +221,8 @@ def chart_references(references: DataFrame, sheets: DataFrame) -> DataFrame:
     """References of charts' series (chart, series, role: values or categories, sheet, cells): chart, series, status valid, invalid (no such sheet or cells) or mismatch (lengths differ)."""
     known = sheets.select("sheet").distinct().withColumn("_known", F.lit(True))
     d = references.join(known, "sheet", "left").withColumn("_ok", F.coalesce("_known", F.lit(False)) & (F.coalesce("cells", F.lit(0)) > 0))
-    s = d.groupBy("chart", "series").agg(F.bool_and("_ok").alias("ok"), F.countDistinct("cells").alias("lengths"))
-    return s.select("chart", "series", F.when(~F.col("ok"), "invalid").when(F.col("lengths") > 1, "mismatch").otherwise("valid").alias("status"))
+    s = d.groupBy("chart", "series").agg(F.bool_and("_ok").alias("ok"), (F.min("cells") < F.max("cells")).alias("differ"))
+    return s.select("chart", "series", F.when(~F.col("ok"), "invalid").when(F.col("differ"), "mismatch").otherwise("valid").alias("status"))
 
 
 def pivots(base: DataFrame, current: DataFrame) -> DataFrame:
