@@ -35,11 +35,11 @@ def subtype(base: Column, current: Column) -> Column:
 def accepted(changes: DataFrame, bands: DataFrame, row: str, col: str, base: str, current: str) -> DataFrame:
     """changes with column accepted: whether a band of (bounds, absolute, relative) that holds the cell takes the change.
 
-    A null bound is open. Changes meet the bands that hold them through blocks, however many bands a profile has; each
-    distinct (row, col, base, current) is looked up once.
+    A null bound is open. Changes meet the bands that hold them through blocks, however many bands a profile has; of what is
+    found only the distinct (row, col, base, current) that a band takes are shuffled.
     """
     cell = {row: "row", col: "col", base: "_base", current: "_current"}
-    keys = changes.select(*[F.col(c).alias(n) for c, n in cell.items()]).distinct().withColumn("sheet", F.lit(0))
+    keys = changes.select(*[F.col(c).alias(n) for c, n in cell.items()]).withColumn("sheet", F.lit(0))
     bound = lambda c, default: F.coalesce(F.col(c).cast("long"), F.lit(default)).alias(c)
     boxes = bands.select(F.lit(0).alias("sheet"), bound("min_row", 0), bound("max_row", OPEN), bound("min_col", 0), bound("max_col", OPEN), "absolute", "relative")
     delta = F.abs(F.col("_current") - F.col("_base"))
