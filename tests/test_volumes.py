@@ -39,3 +39,26 @@ def test_accepted_shuffles_what_is_taken(spark):
         got = diff.accepted(d, bands, "key", "col", "base", "current").select("key", "accepted").collect()
     assert len(got) == n and sum(x.accepted for x in got) == n // 100 and all(x.accepted == (x.key % 100 == 0) for x in got)
     assert told[0] < n + 1000
+
+
+def test_affected_shuffles_found_pairs_once(spark, monkeypatch):
+    """Chains with shortcuts and a cycle against a plain search, also when rounds are merged; dependents are shown by one shuffle of them."""
+    edges = [(i, i + 1) for i in range(20) if i != 9] + [(i, i + 2) for i in range(0, 18, 3)] + [(30, 31), (31, 30)]
+    want = set()
+    for s in {a for a, _ in edges}:
+        todo = [s]
+        while todo:
+            x = todo.pop()
+            for b in (b for a, b in edges if a == x and (s, b) not in want):
+                want.add((s, b))
+                todo.append(b)
+    e, c = spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(a,) for a, _ in edges], "id long")
+    monkeypatch.setattr(graph, "MOST_PARTS", 3)
+    got = [tuple(x) for x in graph.affected(c, e).collect()]
+    assert len(got) == len(want) and set(got) == want
+    n = 9000
+    reached = stored.stored(spark.range(n).select((F.col("id") % 100).alias("start"), F.col("id").alias("reached")))
+    with shuffled_rows(spark) as told:
+        out = graph.impacts(reached, 3).collect()
+    assert {(x.start, tuple(x.impacts), x.more) for x in out} == {(s, (s, s + 100, s + 200), 87) for s in range(100)}
+    assert told[0] <= n
