@@ -33,7 +33,7 @@ from tallyloom.llm.shared import MOST_SHARDS, commit_files, fresh_path, hashed,
 from tallyloom.llm.token_counts import CONTRACTIONS, LETTER, NUMBER, OTHER, RESET, WHITE_MORE, byte_letters, classes
 
 MAGIC = b"TLTOKEN2"
-BLOCK, LANES = 1024, 2048
+BLOCK, LANES = 1024, 4096
 #: Contexts of an order in a block are numbers of SLOT bits. Frequencies of order 0 sum to 1 << PRIOR, or more where a shard
 #: has many ids, up to 1 << MOST_PRIOR; probabilities are of 1 << ODDS.
 SLOT, PRIOR, MOST_PRIOR, ODDS = 9, 18, 20, 12
@@ -154,10 +154,9 @@ class Lanes:
 
 
 def by_length(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Groups of at most LANES blocks, longest first: their numbers, and for each step how many still go on."""
+    """Groups of at most LANES blocks and about as many each, longest first: their numbers, and for each step how many still go on."""
     order = np.argsort(-lengths, kind="stable")
-    for i in range(0, len(order), LANES):
-        some = order[i : i + LANES]
+    for some in np.array_split(order, -(-len(order) // LANES)) if len(order) else ():
         yield some, np.searchsorted(-lengths[some], -np.arange(lengths[some[0]]), side="left")
 
 
@@ -279,10 +278,52 @@ assert (LETTER, NUMBER, OTHER) == (0, 1, 2)
 CLASSES = np.empty(0, np.uint8)
 
 
+class Short:
+    """Numbers of pretokens of 1 to 7 bytes, which are a 64-bit key with their length: most of what a text has, all looked up at once."""
+
+    SPREAD = U(0x9E3779B97F4A7C15)
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.used = bits, 0
+        self.keys, self.numbers = np.zeros(1 << bits, U), np.zeros(1 << bits, np.int32)
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * self.SPREAD) >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Their numbers, -1 for a key that isn't there."""
+        at, out = self.at(keys), np.full(len(keys), -1, np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            there = self.keys.take(at)
+            hit = there == keys
+            out[todo[hit]] = self.numbers.take(at[hit])
+            on = np.flatnonzero(~hit & (there != 0))
+            todo, keys, at = todo[on], keys[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Different keys that aren't there. Of those that want one place the last has it, the others go on. Half of the places stay free."""
+        self.used += len(keys)
+        if 2 * self.used > len(self.keys):
+            old = self.keys != 0
+            keys, numbers = np.concatenate((self.keys[old], keys)), np.concatenate((self.numbers[old], numbers))
+            self.__init__((2 * self.used - 1).bit_length() + 1)
+            self.used = len(keys)
+        at = self.at(keys)
+        while len(keys):
+            free = self.keys.take(at) == 0
+            self.keys[at[free]] = keys[free]
+            own = self.keys.take(at) == keys
+            self.numbers[at[own]] = numbers[own]
+            keys, numbers, at = keys[~own], numbers[~own], (at[~own] + 1) & ((1 << self.bits) - 1)
+
+
 class Encoder:
     """Texts' ids as the tokenizers library gives them. It encodes each pretoken alone, so its model is asked for those not met before.
 
-    About MOST pretokens that were met are kept at most, of MOST_BYTES each at most: 60 MB.
+    About MOST pretokens that were met are kept at most, of MOST_BYTES each at most: 60 MB. When there are more, those that no
+    later call had are forgotten, most of which never come again.
     """
 
     MOST, MOST_BYTES = 300_000, 100
@@ -322,13 +363,42 @@ class Encoder:
     def forget(self) -> None:
         """Number 0 is a head, 1 ... the added tokens, then pretokens as they come: where their ids begin and how many they are."""
         self.known: dict[bytes, int] = {}
+        self.short = Short()
         self.ids, self.used = np.zeros(1 << 20, np.uint32), len(self.added)
-        self.first, self.size = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.first, self.size, self.again = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), np.zeros(1 << 18, bool)
         self.ids[: self.used] = list(self.added.values())
         self.first[1 : self.used + 1], self.size[1 : self.used + 1] = range(self.used), 1
         self.number = {a: i for i, a in enumerate(self.added, 1)}
         self.count = self.used + 1
 
+    def thin(self) -> None:
+        """Forgets the pretokens that weren't met again since they were learnt, or since the last time; all if hardly any would go."""
+        words = [x for x, n in self.known.items() if self.again[n]]
+        numbers = np.fromiter(map(self.known.get, words), np.int64, len(words))
+        ids, sizes = self.of(numbers), self.size.take(numbers)
+        self.forget()
+        if 4 * len(words) <= 3 * self.MOST and len(ids) <= 6 * self.MOST:
+            self.add(words, ids, sizes)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these pretokens, one after the other."""
+        size = self.size.take(numbers)
+        ends = np.cumsum(size, dtype=np.int64)
+        return self.ids.take(np.repeat(self.first.take(numbers) - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0))
+
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Further pretokens, their ids, and how many each has."""
+        count, used = self.count + len(sizes), self.used + len(ids)
+        self.known.update(zip(words, range(self.count, count), strict=True))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        small = np.flatnonzero(lengths <= 7)
+        self.short.add(np.array([words[i] for i in small.tolist()], "S8").view("<u8") | lengths[small].astype(U) << U(56), self.count + small)
+        self.ids, self.first, self.size, self.again = roomy(self.ids, used), roomy(self.first, count), roomy(self.size, count), roomy(self.again, count)
+        self.ids[self.used : used] = ids
+        self.size[self.count : count] = sizes
+        self.first[self.count : count] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.count = used, count
+
     def asked(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pretokens, and how many each has: the library gets them at once, their bytes spelt as letters, a line for each."""
         lines = self.letters.take(np.frombuffer(b"\xff".join(new), np.uint8)).tobytes().decode("utf-16-le")
@@ -342,16 +412,10 @@ class Encoder:
         """Numbers of pretokens. The library's model is asked for new ones."""
         known = self.known
         new = [w for w in dict.fromkeys(words) if w not in known]
-        known.update(zip(new, range(self.count, self.count + len(new)), strict=True))
         found = [self.asked(new[i : i + self.ASKED]) for i in range(0, len(new), self.ASKED)] or [(np.empty(0, np.uint32), np.empty(0, np.int64))]
         ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
-        numbers = [known[w] for w in words]
-        self.ids, self.first, self.size = roomy(self.ids, self.used + len(ids)), roomy(self.first, self.count + len(sizes)), roomy(self.size, self.count + len(sizes))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.size[self.count : self.count + len(sizes)] = sizes
-        self.first[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.used, self.count = self.used + len(ids), self.count + len(sizes)
-        return numbers
+        self.add(new, ids, sizes)
+        return [known[w] for w in words]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
@@ -373,24 +437,29 @@ class Encoder:
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = np.flatnonzero(cuts(points, heads))
         own = np.searchsorted(starts, heads)  # the words that are heads
-        raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        data = joined.encode("utf-8", "surrogatepass") + b"\0" * 8
+        raw = np.frombuffer(data, np.uint8)[:-8]
         if len(raw) > len(points):
             starts = np.flatnonzero((raw & 0xC0) != 0x80).take(starts)
-        words = parted(raw, starts)
-        w = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        lengths = np.diff(starts, append=len(raw))
+        w, small = np.full(len(starts), -1, np.int64), lengths <= 7
+        sizes = lengths[small].astype(U)
+        eight = np.ndarray(len(raw), "V8", data, strides=(1,))[starts[small]].view("<u8")  # the 8 bytes from each start on
+        w[small] = self.short.find((eight & ((U(1) << (sizes << U(3))) - U(1))) | sizes << U(56))
+        words = parted(raw, lengths, ~small)
+        w[~small] = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         w[own] = numbers
-        missing, long = np.flatnonzero(w < 0), set()
-        if len(missing):
-            new = [words[i] for i in missing.tolist()]
+        self.again[w[w >= 0]] = True
+        missing, long = w < 0, set()
+        if missing.any():
+            new = parted(raw, lengths, missing)
             w[missing] = self.learn(new)
             long = {x for x in new if len(x) > self.MOST_BYTES}
-        size = self.size.take(w)
-        ends = np.cumsum(size, dtype=np.int64)
-        ids = self.ids.take(np.repeat(self.first.take(w) - ends + size, size) + np.arange(int(ends[-1])))
+        ids, ends = self.of(w), np.cumsum(self.size.take(w), dtype=np.int64)
         for x in long:
             del self.known[x]
         if self.count > self.MOST or self.used > 8 * self.MOST:
-            self.forget()
+            self.thin()
         edges, totals = np.concatenate((own[firsts], [len(w)])), np.concatenate(([0], ends))
         return ids, totals[edges[1:]] - totals[edges[:-1]]
 
@@ -399,10 +468,13 @@ def roomy(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate((a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)))
 
 
-def parted(raw: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """The bytes from each start to the next. 0xFF stands in no UTF-8 text, so it can mark the cuts."""
-    marked = np.empty(len(raw) + len(starts), np.uint8)
-    at = starts + np.arange(len(starts))
+def parted(raw: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> list[bytes]:
+    """The bytes of some of the pretokens that raw is made of. 0xFF stands in no UTF-8 text, so it can mark the cuts."""
+    raw, lengths = raw[np.repeat(which, lengths)], lengths[which]
+    if not len(lengths):
+        return []
+    marked = np.empty(len(raw) + len(lengths), np.uint8)
+    at = np.cumsum(lengths + 1) - lengths - 1
     text = np.ones(len(marked), bool)
     text[at] = False
     marked[at] = 0xFF

@@ -143,6 +143,35 @@ def test_range_coder():
         token_files.read_shard(bytes(broken))
 
 
+def test_encoder_keeps_what_comes_again(monkeypatch):
+    """When the encoder knows too many words it forgets those that came once: the others aren't asked again, and all ids are the library's."""
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(Q.tokenizer_path()), token_files.Encoder(Q.tokenizer_path())
+    monkeypatch.setattr(token_files.Encoder, "MOST", 2000)
+    asked, ask = [], e.asked
+    monkeypatch.setattr(e, "asked", lambda new: asked.append(new) or ask(new))
+    common = "".join(f" word{chr(97 + i % 26) * (i // 26 + 1)}" for i in range(200)) + " a\0b ñandú 字\0 x"
+    for i in range(12):
+        rare = "".join(f" {chr(97 + j % 26)}{chr(97 + j // 26)}q{chr(97 + i)}" + "z" * (j % 9) for j in range(500))
+        for text in (common, rare):
+            ids, sizes = e.encode([text, "", text[:-1]])
+            want = [t.encode(x, add_special_tokens=False).ids for x in (text, "", text[:-1])]
+            assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+    assert sum(w == b" wordccc" for new in asked for w in new) == 1 and len(e.known) <= 2000 + 1000
+
+
+def test_short_words_table():
+    rng = np.random.default_rng(4)
+    keys, table = np.unique(rng.integers(1, 1 << 62, 50_000).astype(np.uint64)), token_files.Short(4)
+    rng.shuffle(keys)
+    for i in range(0, 40_000, 777):
+        part = keys[i : min(i + 777, 40_000)]
+        table.add(part, np.arange(i, i + len(part)))
+    assert (table.find(keys) == np.where(np.arange(len(keys)) < 40_000, np.arange(len(keys)), -1)).all()
+    assert 2 * table.used <= len(table.keys) and len(token_files.Short().find(keys[:0])) == 0
+
+
 def test_encoder_of_any_text():
     import random
 
