@@ -149,14 +149,12 @@ def formula_findings(pairs: DataFrame) -> DataFrame:
     is now an argument, or reference_added (detail: the references). A formula where there was none gives nothing.
     """
     b, c = F.col("b"), F.col("c")
-    lost = pairs.where(b["formula"].isNotNull() & (c.isNull() | c["formula"].isNull()))
     event = F.when(c.isNotNull() & ~blank(c["value"]), "formula_hardcoded").otherwise("formula_removed")
     place = ["id", "sheet", "base_row", "base_col", "row", "col"]
-    none = F.lit(None).cast("string")
-    out = lost.select(*place, event.alias("finding_class"), none.alias("expected_reason"), none.alias("subtype"), none.alias("detail"))
-    both = pairs.where(b["formula"].isNotNull() & c["formula"].isNotNull()).select(*place, b["formula"].alias("_b"), c["formula"].alias("_c"))
+    had = pairs.where(b["formula"].isNotNull()).select(*place, b["formula"].alias("_b"), c["formula"].alias("_c"), event.alias("_lost"))
     x = F.col("_x")
-    logic = formulas.with_comparison(both, "_b", "_c", ("base_row", "base_col"), ("row", "col"), "_x").where(x["base"] != x["current"])
+    found = F.when(F.col("_c").isNull(), F.col("_lost")).when(x["base"] != x["current"], "formula_logic_changed")
     subtype = F.when(x["wrapper"].isNotNull(), "wrapped").when(F.size(x["added"]) > 0, "reference_added")
     detail = F.when(x["wrapper"].isNotNull(), x["wrapper"]).when(F.size(x["added"]) > 0, F.array_join(x["added"], ","))
-    return out.unionByName(logic.select(*place, F.lit("formula_logic_changed").alias("finding_class"), F.when(x["extended"], "range_extension").alias("expected_reason"), F.when(~x["extended"], subtype).alias("subtype"), F.when(~x["extended"], detail).alias("detail")))
+    d = formulas.with_comparison(had, "_b", "_c", ("base_row", "base_col"), ("row", "col"), "_x").where(found.isNotNull())
+    return d.select(*place, found.alias("finding_class"), F.when(x["extended"], "range_extension").alias("expected_reason"), F.when(~x["extended"], subtype).alias("subtype"), F.when(~x["extended"], detail).alias("detail"))

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 from volumes import shuffled_rows
 
-from tallyloom.operators import diff, graph, parts, stored
+from tallyloom.functions import formulas
+from tallyloom.operators import celldiff, diff, graph, parts, stored
 
 
 def test_few_rectangles_leave_points(spark, monkeypatch):
@@ -62,3 +63,34 @@ def test_affected_shuffles_found_pairs_once(spark, monkeypatch):
         out = graph.impacts(reached, 3).collect()
     assert {(x.start, tuple(x.impacts), x.more) for x in out} == {(s, (s, s + 100, s + 200), 87) for s in range(100)}
     assert told[0] <= n
+
+
+def test_formulas_compared_in_place(spark):
+    """Copies of one formula are compared once a batch and without a shuffle, each with its own texts; others aren't taken for copies."""
+    pairs = [
+        ("=SUM(A{r}:A{s})", "=SUM(A{r}:A{t})"), ("=A{r}", "=A{r}+b{t}+$B$2+B{t}"), ("=A{r}", "=IFERROR('x1'!A{r},0)"), ("=A{r}", "=IFERROR(A{r},0)"), ("=A$7*A{r}", "=A$8*A{r}"),
+        ('="A{r}"', '="A{s}"'), ("=#DIV/0!+A{r}", "=#DIV/1!+A{r}"), ("=A{r}", None), (None, "=A{r}"), ("=A0{r}", "=A{r}+C0{r}"), ("=A1234567{r}", "=A{r}"), ("=é1+A{r}", "=é2+A{r}"),
+    ]
+    rows = []
+    for r in (1, 8, 9, 10, 99, 100):
+        for i, pair in enumerate(pairs):
+            b, c = (x and x.format(r=r, s=r + 1, t=r + 2) for x in pair)
+            rows.append((i, r, b, c))
+    d = stored.stored(spark.createDataFrame(rows, "i int, row long, b string, c string").withColumn("col", F.lit(3)))
+    with shuffled_rows(spark) as told:
+        got = formulas.with_comparison(d, "b", "c", ("row", "col"), ("row", "col"), "x").collect()
+    assert told[0] == 0 and len(got) == len(rows)
+    for x in got:
+        if x.b is None or x.c is None:
+            assert x.x is None
+            continue
+        own, texts = formulas.compared(x.b, x.c, (x.row, 3), (x.row, 3)), [t for k, t in formulas.tokens(x.c) if k == "ref"]
+        assert x.x.asDict() == {"base": formulas.relative(x.b, x.row, 3), "current": formulas.relative(x.c, x.row, 3), "extended": own["extended"], "wrapper": own["wrapper"], "added": sorted({texts[i] for i in own["new"]})}
+        assert x.i != 0 or x.x.extended
+        assert x.i != 1 or x.x.added == sorted(["$B$2", f"B{x.row + 2}", f"b{x.row + 2}"])
+        assert x.i not in (2, 3) or x.x.wrapper == ("IFERROR" if x.i == 3 else None)
+    cells = d.select(F.lit("s").alias("id"), F.lit("s").alias("sheet"), F.col("row").alias("base_row"), F.col("i").alias("base_col"), "row", F.col("i").alias("col"), F.struct(F.lit("1").alias("value"), F.col("b").alias("formula")).alias("b"), F.when(F.col("row") < 100, F.struct(F.lit("1").alias("value"), F.col("c").alias("formula"))).alias("c"))
+    with shuffled_rows(spark) as told:
+        found = {(x.row, x.col): x.finding_class for x in celldiff.formula_findings(cells).collect()}
+    want = {(r, i): "formula_removed" if r == 100 else "formula_hardcoded" if c is None else "formula_logic_changed" for i, r, b, c in rows if b and (r == 100 or c is None or formulas.relative(b, r, i) != formulas.relative(c, r, i))}
+    assert found == want and told[0] == 0
