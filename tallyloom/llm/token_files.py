@@ -37,9 +37,8 @@ BLOCK, LANES = 1024, 4096
 #: Contexts of an order in a block are numbers of SLOT bits. Frequencies of order 0 sum to 1 << PRIOR, or more where a shard
 #: has many ids, up to 1 << MOST_PRIOR; probabilities are of 1 << ODDS.
 SLOT, PRIOR, MOST_PRIOR, ODDS = 9, 18, 20, 12
-#: Probabilities lie between LOWEST and LOWEST + FROM_TO; what confidence c becomes, at 2 c after a miss and 2 c + 1 after a hit.
-LOWEST, FROM_TO = np.int32(32), np.int32((1 << ODDS) - 64)
-GROWN = np.array([1, 1, 1, 2, 1, 3, 1, 4, 2, 5, 2, 6, 3, 7, 3, 7], np.int32)
+#: Probabilities lie between LOWEST and LOWEST + FROM_TO.
+LOWEST, FROM_TO = np.int16(32), np.int16((1 << ODDS) - 64)
 ONE, FIVE, TOP, SPREAD = np.uint32(1), np.uint32(5), np.uint32(32 - SLOT), np.uint32(0x9E3779B1)
 U = np.uint64
 WORD, WORD_BITS = U((1 << 32) - 1), U(32)
@@ -52,13 +51,19 @@ class Prior:
         self.ids, self.freq, self.bits = ids.astype(np.uint32), freqs.astype(np.int64), bits
         self.cum = np.cumsum(self.freq) - self.freq
         self.found = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.freq)
-
-    def part(self, places: np.ndarray, hit: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of an id's part of the range: the first p of 1 << ODDS if it was predicted, else its share of the rest."""
-        first = p.astype(np.int64)
-        rest = (1 << ODDS) - first
-        first <<= self.bits
-        return np.where(hit, 0, first + self.cum.take(places) * rest).view(U), np.where(hit, first, self.freq.take(places) * rest).view(U)
+        self.both = (self.cum << 32 | self.freq).view(U)
+
+    def part(self, places: np.ndarray, hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of an id's part of the range: the first ones of 1 << ODDS if it was predicted, else its share of the rest."""
+        size, rest, first = self.both.take(places), U(1 << ODDS) - first, first << U(self.bits)
+        start = size >> WORD_BITS
+        size &= WORD
+        start *= rest
+        start += first
+        size *= rest
+        at = np.flatnonzero(hit)
+        start[at], size[at] = 0, first.take(at)
+        return start, size
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[Prior, np.ndarray]:
@@ -89,51 +94,75 @@ class Prior:
         return cls(raw[0], raw[1], bits)
 
 
+def chosen(which: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """np.where for int32, by bits: which is at random, so that a branch for each would often be guessed wrong."""
+    mask = which.astype(np.int32)
+    np.negative(mask, out=mask)
+    mask &= a ^ b
+    mask ^= b
+    return mask
+
+
 class Lanes:
     """Models and range coder state of n blocks that advance together. The first k lanes go on.
 
     Arrays of two rows hold order 1 and order 2. What follows a context is a place of an id and a confidence in one number
-    (place << 3 | confidence; 0 before the context is met).
+    (place << 3 | confidence; 0 before the context is met). The lanes' cells of one context lie side by side, as do those of
+    one confidence: most lanes are at a few frequent ones, which thus stay in the processor's cache.
     """
 
     def __init__(self, n: int):
         self.seen = np.zeros(2 * n << SLOT, np.int32)
-        self.right = np.full(2 * n * 16, 1 << (ODDS - 1), np.int32)
+        self.right = np.full(2 * n * 16, 1 << (ODDS - 1), np.int16)
         self.weight = np.full(n, 1 << (ODDS - 1), np.int32)
-        both = np.arange(2 * n, dtype=np.int64).reshape(2, n)
-        self.slots, self.rows, self.contexts, self.last = both << SLOT, both << 4, both << SLOT, np.zeros(n, np.uint32)
+        order, lane = np.arange(2, dtype=np.int32).reshape(2, 1) * n, np.arange(n, dtype=np.int32)
+        self.n, self.slots, self.rows, self.last = n, (order << SLOT) + lane, (order << 4) + lane, np.zeros(n, np.uint32)
+        self.contexts = self.slots
         self.low, self.width, self.at = np.zeros(n, U), np.full(n, U((1 << 64) - 1), U), np.zeros(n, np.int64)
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, tuple]:
         """The predicted id's place, its probability of 1 << ODDS, and what learn() needs."""
-        at = self.contexts if self.contexts.shape[1] == k else self.contexts[:, :k].copy()
-        was = self.seen.take(at)
+        at = self.contexts[:, :k].astype(np.int64)
+        was = self.seen.take(at, mode="clip")
         c, s = was & 7, was >> 3
-        guess = np.where(c[1], s[1], s[0])
-        row = self.rows[:, :k] + c
-        row[0] += (s[0] != guess) * 8
-        p = self.right.take(row)
+        guess = chosen(c[1] > 0, s[1], s[0])
+        row = c * self.n
+        row += self.rows[:, :k]
+        row[0] += (s[0] != guess) * np.int32(8 * self.n)
+        row = row.astype(np.int64)
+        p = self.right.take(row, mode="clip")
         lead = p[0] - p[1]
-        return guess, p[1] + ((lead * self.weight[:k]) >> ODDS), (at, c, s, row, p, lead)
+        mixed = lead * self.weight[:k]
+        mixed >>= ODDS
+        mixed += p[1]
+        return guess, mixed.astype(U), (at, was, c, s, row, p, lead)
 
     def learn(self, places: np.ndarray, hit: np.ndarray, told: tuple, k: int) -> None:
-        at, c, s, row, p, lead = told
+        """Hits raise a confidence by 1, up to 7, misses halve it, to 1 at least; what had 1 or none then gives way to the new id."""
+        at, was, c, s, row, p, lead = told
         goal = hit * FROM_TO
         goal += LOWEST
-        self.right[row.ravel()] = (p + ((goal - p) >> 5)).ravel()
-        w = self.weight[:k]
-        w += np.where(hit, lead, -lead) >> 5
+        new = goal - p
+        new >>= 5
+        new += p
+        self.right[row.ravel()] = new.ravel()
+        w, turn = self.weight[:k], hit * np.int16(2)
+        turn -= 1
+        turn *= lead
+        turn >>= 5
+        w += turn
         np.maximum(w, LOWEST, out=w)
         np.minimum(w, LOWEST + FROM_TO, out=w)
-        now = np.where(c > 1, s, places) << 3
-        now |= GROWN.take(c + c + (s == places))
+        now = chosen(c < 2, places << 3 | 1, was - ((c + 1) >> 1))
+        now = chosen(s == places, was + (c < 7), now)
         self.seen[at.ravel()] = now.ravel()
         one = (places.view(np.uint32) + ONE) * SPREAD
         two = ((one ^ (self.last[:k] >> FIVE)) * SPREAD) >> TOP
-        self.last, one = one, one >> TOP
-        self.contexts = self.slots[:, :k].copy()
-        self.contexts[0] += one
-        self.contexts[1] += two
+        self.last = one
+        self.contexts = np.empty((2, k), np.int32)
+        self.contexts[0], self.contexts[1] = one >> TOP, two
+        self.contexts *= self.n
+        self.contexts += self.slots[:, :k]
 
     def narrow(self, start: np.ndarray, size: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Takes the part [start, start + size) of 1 << (bits + ODDS) of the ranges.
@@ -198,13 +227,12 @@ def decode_blocks(packed: list[np.ndarray], lengths: np.ndarray, prior: Prior) -
         code, last = (words[:, 0].astype(U) << WORD_BITS) | words[:, 1].astype(U), words.shape[1] - 1
         for t, k in enumerate(going.tolist()):
             guess, p, told = m.predict(k)
-            v = ((code[:k] - m.low[:k]) // (m.width[:k] >> U(bits + ODDS))).view(np.int64)
-            wide = p.astype(np.int64)
+            v, wide = ((code[:k] - m.low[:k]) // (m.width[:k] >> U(bits + ODDS))).view(np.int64), p.view(np.int64)
             np.minimum(v, (1 << (bits + ODDS)) - 1, out=v)
             v -= wide << bits
             hit = v < 0
             np.maximum(v, 0, out=v)
-            now = np.where(hit, guess, prior.found.take((v / ((1 << ODDS) - wide)).astype(np.int64)))  # exact: both are small whole numbers
+            now = chosen(hit, guess, prior.found.take((v / ((1 << ODDS) - wide)).astype(np.int64)))  # exact: both are small whole numbers
             idx, _, at = m.narrow(*prior.part(now, hit, p), k, bits)
             code[idx] = (code.take(idx) << WORD_BITS) | words[idx, np.minimum(at + 2, last)]
             m.learn(now, hit, told, k)
@@ -279,54 +307,76 @@ CLASSES = np.empty(0, np.uint8)
 
 
 class Short:
-    """Numbers of pretokens of 1 to 7 bytes, which are a 64-bit key with their length: most of what a text has, all looked up at once."""
+    """Numbers of pretokens of 1 to 15 bytes, nearly all that a text has, looked up at once.
 
-    SPREAD = U(0x9E3779B97F4A7C15)
+    A key is 64 bits: of at most 7 bytes, these and their number. Longer ones (more: True) have their first 8 bytes as a
+    second column; the key holds the other bytes and the number of all.
+    """
+
+    SPREAD, STIR = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
-    def __init__(self, bits: int = 16):
+    def __init__(self, bits: int = 16, more: bool = False):
         self.bits, self.used = bits, 0
         self.keys, self.numbers = np.zeros(1 << bits, U), np.zeros(1 << bits, np.int32)
+        self.more = np.zeros(1 << bits, U) if more else None
 
-    def at(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * self.SPREAD) >> U(64 - self.bits)).astype(np.int64)
+    def at(self, keys: np.ndarray, more: np.ndarray | None) -> np.ndarray:
+        return (((keys if more is None else keys ^ (more * self.STIR)) * self.SPREAD) >> U(64 - self.bits)).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
         """Their numbers, -1 for a key that isn't there."""
-        at, out = self.at(keys), np.full(len(keys), -1, np.int64)
+        at, out = self.at(keys, more), np.full(len(keys), -1, np.int64)
         todo = np.arange(len(keys))
         while len(todo):
             there = self.keys.take(at)
             hit = there == keys
+            if more is not None:
+                hit &= self.more.take(at) == more
             out[todo[hit]] = self.numbers.take(at[hit])
             on = np.flatnonzero(~hit & (there != 0))
-            todo, keys, at = todo[on], keys[on], (at[on] + 1) & ((1 << self.bits) - 1)
+            todo, keys, at, more = todo[on], keys[on], (at[on] + 1) & ((1 << self.bits) - 1), None if more is None else more[on]
         return out
 
-    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
-        """Different keys that aren't there. Of those that want one place the last has it, the others go on. Half of the places stay free."""
+    def add(self, keys: np.ndarray, numbers: np.ndarray, more: np.ndarray | None = None) -> None:
+        """Different keys that aren't there, each with its own number. Of those that want one place one has it, the others go on. Half of the places stay free."""
         self.used += len(keys)
         if 2 * self.used > len(self.keys):
             old = self.keys != 0
             keys, numbers = np.concatenate((self.keys[old], keys)), np.concatenate((self.numbers[old], numbers))
-            self.__init__((2 * self.used - 1).bit_length() + 1)
+            more = None if more is None else np.concatenate((self.more[old], more))
+            self.__init__((2 * self.used - 1).bit_length(), more is not None)
             self.used = len(keys)
-        at = self.at(keys)
+        at = self.at(keys, more)
         while len(keys):
-            free = self.keys.take(at) == 0
-            self.keys[at[free]] = keys[free]
-            own = self.keys.take(at) == keys
+            own = self.keys.take(at) == 0
             self.numbers[at[own]] = numbers[own]
+            own &= self.numbers.take(at) == numbers
+            self.keys[at[own]] = keys[own]
+            if more is not None:
+                self.more[at[own]] = more[own]
+                more = more[~own]
             keys, numbers, at = keys[~own], numbers[~own], (at[~own] + 1) & ((1 << self.bits) - 1)
 
+    def those(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Keys, numbers and second column of those whose number is marked in which."""
+        at = np.flatnonzero(self.keys)
+        at = at[which.take(self.numbers.take(at))]
+        return self.keys.take(at), self.numbers.take(at), None if self.more is None else self.more.take(at)
+
+
+def first_bytes(eight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """So many bytes of each 64 bits, at most 7; the others are 0."""
+    return eight & ((U(1) << (sizes << U(3))) - U(1))
+
 
 class Encoder:
     """Texts' ids as the tokenizers library gives them. It encodes each pretoken alone, so its model is asked for those not met before.
 
-    About MOST pretokens that were met are kept at most, of MOST_BYTES each at most: 60 MB. When there are more, those that no
+    About MOST pretokens that were met are kept at most, of MOST_BYTES each at most: 80 MB. When there are more, those that no
     later call had are forgotten, most of which never come again.
     """
 
-    MOST, MOST_BYTES = 300_000, 100
+    MOST, MOST_BYTES = 1_000_000, 100
     #: Pretokens that the library gets at once; it takes hundreds of bytes for each.
     ASKED = 16_384
 
@@ -362,8 +412,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Number 0 is a head, 1 ... the added tokens, then pretokens as they come: where their ids begin and how many they are."""
-        self.known: dict[bytes, int] = {}
-        self.short = Short()
+        self.known: dict[bytes, int] = {}  # those of more than 15 bytes
+        self.short, self.middle = Short(), Short(more=True)
         self.ids, self.used = np.zeros(1 << 20, np.uint32), len(self.added)
         self.first, self.size, self.again = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32), np.zeros(1 << 18, bool)
         self.ids[: self.used] = list(self.added.values())
@@ -374,25 +424,39 @@ class Encoder:
     def thin(self) -> None:
         """Forgets the pretokens that weren't met again since they were learnt, or since the last time; all if hardly any would go."""
         words = [x for x, n in self.known.items() if self.again[n]]
-        numbers = np.fromiter(map(self.known.get, words), np.int64, len(words))
+        tables = [self.short.those(self.again), self.middle.those(self.again)]
+        numbers = np.concatenate([*(t[1] for t in tables), np.fromiter(map(self.known.get, words), np.int64, len(words))])
         ids, sizes = self.of(numbers), self.size.take(numbers)
         self.forget()
-        if 4 * len(words) <= 3 * self.MOST and len(ids) <= 6 * self.MOST:
-            self.add(words, ids, sizes)
+        if 4 * len(numbers) <= 3 * self.MOST and len(ids) <= 6 * self.MOST:
+            at = self.count
+            self.put(ids, sizes)
+            for table, (keys, _, more) in zip((self.short, self.middle), tables, strict=True):
+                table.add(keys, np.arange(at, at + len(keys)), more)
+                at += len(keys)
+            self.known.update(zip(words, range(at, self.count), strict=True))
 
     def of(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of these pretokens, one after the other."""
         size = self.size.take(numbers)
         ends = np.cumsum(size, dtype=np.int64)
-        return self.ids.take(np.repeat(self.first.take(numbers) - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0))
+        at = np.repeat(self.first.take(numbers) - ends + size, size)
+        at += np.arange(len(at))
+        return self.ids.take(at)
 
     def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Further pretokens, their ids, and how many each has."""
-        count, used = self.count + len(sizes), self.used + len(ids)
-        self.known.update(zip(words, range(self.count, count), strict=True))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        small = np.flatnonzero(lengths <= 7)
+        small, middle, long = np.flatnonzero(lengths <= 7), np.flatnonzero((lengths > 7) & (lengths <= 15)), np.flatnonzero(lengths > 15).tolist()
         self.short.add(np.array([words[i] for i in small.tolist()], "S8").view("<u8") | lengths[small].astype(U) << U(56), self.count + small)
+        both = np.array([words[i] for i in middle.tolist()], "S16").view("<u8").reshape(-1, 2)
+        self.middle.add(both[:, 1] | lengths[middle].astype(U) << U(56), self.count + middle, both[:, 0])
+        self.known.update((words[i], self.count + i) for i in long)
+        self.put(ids, sizes)
+
+    def put(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the next numbers, and how many each has."""
+        count, used = self.count + len(sizes), self.used + len(ids)
         self.ids, self.first, self.size, self.again = roomy(self.ids, used), roomy(self.first, count), roomy(self.size, count), roomy(self.again, count)
         self.ids[self.used : used] = ids
         self.size[self.count : count] = sizes
@@ -409,13 +473,13 @@ class Encoder:
         return ids, np.diff(np.searchsorted(reach, ends, side="right"), prepend=0)
 
     def learn(self, words: list[bytes]) -> list[int]:
-        """Numbers of pretokens. The library's model is asked for new ones."""
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        found = [self.asked(new[i : i + self.ASKED]) for i in range(0, len(new), self.ASKED)] or [(np.empty(0, np.uint32), np.empty(0, np.int64))]
+        """Numbers of pretokens that aren't known: the library's model is asked for them."""
+        new = list(dict.fromkeys(words))
+        found = [self.asked(new[i : i + self.ASKED]) for i in range(0, len(new), self.ASKED)]
         ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        numbers = dict(zip(new, range(self.count, self.count + len(new)), strict=True))
         self.add(new, ids, sizes)
-        return [known[w] for w in words]
+        return [numbers[w] for w in words]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has."""
@@ -437,22 +501,25 @@ class Encoder:
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = np.flatnonzero(cuts(points, heads))
         own = np.searchsorted(starts, heads)  # the words that are heads
-        data = joined.encode("utf-8", "surrogatepass") + b"\0" * 8
-        raw = np.frombuffer(data, np.uint8)[:-8]
+        data = joined.encode("utf-8", "surrogatepass") + b"\0" * 16
+        raw = np.frombuffer(data, np.uint8)[:-16]
         if len(raw) > len(points):
             starts = np.flatnonzero((raw & 0xC0) != 0x80).take(starts)
         lengths = np.diff(starts, append=len(raw))
-        w, small = np.full(len(starts), -1, np.int64), lengths <= 7
-        sizes = lengths[small].astype(U)
-        eight = np.ndarray(len(raw), "V8", data, strides=(1,))[starts[small]].view("<u8")  # the 8 bytes from each start on
-        w[small] = self.short.find((eight & ((U(1) << (sizes << U(3))) - U(1))) | sizes << U(56))
-        words = parted(raw, lengths, ~small)
-        w[~small] = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        w = np.full(len(starts), -1, np.int64)
+        eight = np.ndarray(len(raw) + 9, "V8", data, strides=(1,))  # the 8 bytes from each byte on
+        small, middle, long = np.flatnonzero(lengths <= 7), np.flatnonzero((lengths > 7) & (lengths <= 15)), np.flatnonzero(lengths > 15)
+        at, sizes = starts.take(small), lengths.take(small).astype(U)
+        w[small] = self.short.find(first_bytes(eight[at].view("<u8"), sizes) | sizes << U(56))
+        at, sizes = starts.take(middle), lengths.take(middle).astype(U)
+        w[middle] = self.middle.find(first_bytes(eight[at + 8].view("<u8"), sizes - U(8)) | sizes << U(56), eight[at].view("<u8"))
+        words = parted(data, starts.take(long), lengths.take(long))
+        w[long] = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         w[own] = numbers
         self.again[w[w >= 0]] = True
-        missing, long = w < 0, set()
-        if missing.any():
-            new = parted(raw, lengths, missing)
+        missing, long = np.flatnonzero(w < 0), set()
+        if len(missing):
+            new = parted(data, starts.take(missing), lengths.take(missing))
             w[missing] = self.learn(new)
             long = {x for x in new if len(x) > self.MOST_BYTES}
         ids, ends = self.of(w), np.cumsum(self.size.take(w), dtype=np.int64)
@@ -468,18 +535,8 @@ def roomy(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate((a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)))
 
 
-def parted(raw: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> list[bytes]:
-    """The bytes of some of the pretokens that raw is made of. 0xFF stands in no UTF-8 text, so it can mark the cuts."""
-    raw, lengths = raw[np.repeat(which, lengths)], lengths[which]
-    if not len(lengths):
-        return []
-    marked = np.empty(len(raw) + len(lengths), np.uint8)
-    at = np.cumsum(lengths + 1) - lengths - 1
-    text = np.ones(len(marked), bool)
-    text[at] = False
-    marked[at] = 0xFF
-    marked[text] = raw
-    return marked.tobytes()[1:].split(b"\xff")
+def parted(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    return [data[i:j] for i, j in zip(starts.tolist(), (starts + lengths).tolist(), strict=True)]
 
 
 ENCODERS: dict[str, Encoder] = {}

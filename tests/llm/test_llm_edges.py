@@ -172,6 +172,55 @@ def test_short_words_table():
     assert 2 * table.used <= len(table.keys) and len(token_files.Short().find(keys[:0])) == 0
 
 
+def test_middle_words_table():
+    """Keys of two columns, either of which may be equal in different words, or 0 in the second."""
+    rng = np.random.default_rng(6)
+    both = np.unique(rng.integers(0, 200, (30_000, 2)), axis=0).astype(np.uint64)
+    rng.shuffle(both)
+    keys, more, table, known = both[:, 0] + np.uint64(1), both[:, 1], token_files.Short(4, more=True), len(both) * 3 // 4
+    for i in range(0, known, 777):
+        part = slice(i, min(i + 777, known))
+        table.add(keys[part], np.arange(len(both))[part], more[part])
+    numbers = np.arange(len(both))
+    assert (table.find(keys, more) == np.where(numbers < known, numbers, -1)).all() and 2 * table.used <= len(table.keys)
+    some_keys, some, some_more = table.those(numbers % 3 == 0)
+    assert sorted(some.tolist()) == [n for n in range(known) if n % 3 == 0] and (keys[some] == some_keys).all() and (more[some] == some_more).all()
+
+
+def test_encoder_of_words_of_each_length():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(Q.tokenizer_path()), token_files.Encoder(Q.tokenizer_path())
+    texts = [x * n + y for x in ("a", "\0", "é", "字", "-", " ") for n in range(1, 20) for y in ("", "b", "\0", "\0\0")]
+    for _ in range(3):
+        ids, sizes = e.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+        e.thin()
+
+
+def test_encoder_knows_the_words_of_a_shard():
+    """16 MB of text have some 300 000 different words, of which half come again in the next: none is asked for twice."""
+    e, asked = token_files.Encoder(Q.tokenizer_path()), []
+    ask = e.asked
+    e.asked = lambda new: asked.extend(new) or ask(new)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(f" {letters[i % 26]}{letters[i // 26 % 26]}{letters[i // 676 % 26]}{letters[i // 17576]}qxzv" for i in range(j, j + 16_000)) for j in range(0, 320_000, 16_000)]
+    first = [e.encode([x])[0].tolist() for x in texts]
+    assert len(asked) == 320_000
+    assert [e.encode([x])[0].tolist() for x in texts] == first and len(asked) == 320_000
+
+
+def test_token_files_bytes():
+    """Files of before are read, and the same ids give the same bytes."""
+    import zlib
+
+    ids = (np.random.default_rng(8).zipf(1.3, 30_000) % 50_000).astype(np.uint32)
+    ids[10_000:14_000] = ids[:4_000]
+    data = token_files.packed_shard([1], np.array([len(ids)]), ids)
+    assert (len(data), zlib.crc32(data)) == (32875, 1449067526)
+    assert (token_files.read_shard(data)[2] == ids).all()
+
+
 def test_encoder_of_any_text():
     import random
 
